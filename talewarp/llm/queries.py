@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import langid, packing, sharding, simhash, token_counts, toxicity, warc
+from . import html_text, langid, packing, sharding, simhash, token_counts, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -42,17 +46,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_html_text": op6_html_text,
     "op7_token_counts": op7_token_counts,
     "op9_language_id": op9_language_id,
+    "op10_topk": op10_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.ORACLE,
     "op3_sharding": sharding.ORACLE,
+    "op10_topk": topk.ORACLE,
 }
