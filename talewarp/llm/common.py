@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -63,3 +63,18 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Reco
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[list[str]], Iterable[bool]], slice_bytes: int = 1 << 20, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, for whose texts ``keep`` is true (null: empty).
+
+    One map without a shuffle; rows without an id are judged like any other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, text_col, slice_bytes):
+                texts = [t or "" for t in part.column(text_col).to_pylist()]
+                yield part.filter(pa.array(list(keep(texts)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, held_out
+from .common import by_bytes, held_out, keep_rows
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -133,3 +133,15 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     """Train on the rows of ``docs`` that are not held out, then predict every row."""
     languages, matrix = train(docs, **options)
     return predict(docs, languages, matrix)
+
+
+def keep_identified(docs: DataFrame, least: float = 0.4, **options) -> DataFrame:
+    """``docs`` without the rows whose language is ``und`` or scores below ``least``."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, **options))
+    orders = options.get("orders", ORDERS)
+
+    def keep(texts: list[str]) -> list[bool]:
+        names, scores = _score(texts, *model.value, orders)
+        return [n != "und" and s >= least for n, s in zip(names, scores, strict=True)]
+
+    return keep_rows(docs, keep, SLICE_BYTES)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, held_out
+from .common import by_bytes, held_out, keep_rows
 
 DECAY, SPAN, NORM_LENGTH = 0.7, 8, 12
 LANDMARKS, ROUNDS, WITNESSES = 240, 5, 3
@@ -287,3 +287,9 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 def detect(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Train on labelled rows, then score every whole text of ``docs``."""
     return score(docs, train(docs, labels, **options))
+
+
+def remove_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows that are predicted toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
+    return keep_rows(docs, lambda texts: shared.value.scores(texts) < 0.5 if shared.value else [True] * len(texts), SLICE_BYTES)
