@@ -1,19 +1,21 @@
 """Exact top-k search (op 10): three-phase uniform threshold (Cao and Wang, 2004).
 
-Vectors are cut into ``SLICES`` vertical slices; a score is the sum of the slices'
-local scores. Work is laid out in cells of one slice, one block of queries and one
-block of rows, each of bounded size, and numpy scores a cell at a time.
-
-1. Cells send local score lists; the best k per query and slice are scored exactly, and
-   a query's k-th best exact total is a safe cutoff t.
-2. Queries carry their cutoffs to the cells (a join by query, as there may be many).
-   Cells send the entries with a local score of t / SLICES or more: an object with none
-   has a total below t. Among rows with equal vectors a cell needs the k + 1 smallest
-   ids only, since each has the same score as the rest; so a vector that a third of all
-   rows hold doesn't multiply entries.
-3. Objects known in all slices are summed; the others are sent back to the cells of the
-   slices that they lack, and their remaining scores are resolved exactly. The k best
-   by score, then id, are ranked; Spark prunes that window before its shuffle.
+A score is the sum over ``SLICES`` vertical slices of the vectors; each slice gives a
+list of local scores. Work is laid out in cells of one block of queries and one block of
+rows, each of bounded size. A cell holds all slices of its rows, so sums over lists need
+no shuffle; numpy scores a cell, some queries at a time.
+
+1. Cells gather the best entries of each list and send their totals. A query's k-th best
+   total so far is a safe cutoff t.
+2. Queries carry their cutoffs to the cells (by a join, as there may be many queries).
+   Entries with a local score of t / SLICES or more in some list are sufficient: an
+   object with none has a total below t.
+3. The remaining local scores of those entries are resolved, and totals of t or more are
+   sent, at most k for a cell and query. The k best by score, then id, are ranked; Spark
+   prunes that window before its shuffle.
+
+Among rows with equal vectors a cell needs the k + 1 smallest ids only, since the rest
+have the same score; so a vector that a third of all rows hold doesn't multiply entries.
 
 Defined results: vectors that are null, or hold null or non-finite components, and rows
 without an id take no part; of rows that repeat an id, the smallest vector counts;
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 K, SCALE, QUERY_MODULUS, SLICES = 20, 64, 20, 2
-QUERY_BLOCK, ROW_BLOCK, LEAST_BLOCKS = 2048, 8192, 16
-_CELL = ["slice", "query_block", "row_block"]
+QUERY_BLOCK, ROW_BLOCK, LEAST_BLOCKS, STEP = 2048, 8192, 32, 256
+_CELL = ["query_block", "row_block"]
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -68,102 +70,79 @@ def _distinct_rows(table: pa.Table, keep: int) -> pa.Table:
     return table.filter(pa.array(rank < keep))
 
 
+def _best_first(total: np.ndarray, query: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first ``k`` entries of each query, by total, then id."""
+    order = np.lexsort((ids, -total, query))
+    own = query[order]
+    first = np.flatnonzero(np.diff(own, prepend=own[0] - 1 if len(own) else 0))
+    rank = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    return order[rank < k]
+
+
 def search(vectors: DataFrame, k: int = K, scale: int = SCALE, modulus: int = QUERY_MODULUS, slices: int = SLICES, id_col: str = "vec_id", vector_col: str = "embedding", row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best rows for every query (id divisible by ``modulus``)."""
     rows = checkpointed(quantized(vectors, scale, id_col, vector_col).withColumn("vector", F.md5(F.array_join("q", ","))))
     size = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % modulus == 0, 1)).alias("m"), F.max(F.size("q")).alias("dim")).first()
-    width = -(-max(1, size["dim"] or 1) // slices)
+    part = -(-max(1, size["dim"] or 1) // slices)
     row_blocks = max(LEAST_BLOCKS, -(-size["n"] // row_block))
     query_blocks = max(1, -(-size["m"] // query_block))
-    number = F.lit(row_blocks), F.lit(query_blocks)
-
-    def cut(frame: DataFrame, *columns: str) -> DataFrame:
-        parts = F.array(*(F.struct(F.lit(s).alias("slice"), F.slice("q", s * width + 1, width).alias("part")) for s in range(slices)))
-        return frame.select("id", *columns, F.explode(parts).alias("p")).select("id", *columns, "p.slice", "p.part")
-
-    row_of, query_of = (lambda c: F.pmod(F.xxhash64(c), number[0]).cast("int")), (lambda c: F.pmod(F.xxhash64(c), number[1]).cast("int"))
-    left = cut(rows, "vector").withColumn("row_block", row_of("id")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = rows.where(F.col("id") % modulus == 0).select(*(F.col(c).alias(c) for c in rows.columns))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))
-
-    def placed(frame: DataFrame, *columns: str) -> DataFrame:
-        return cut(frame, *columns).withColumn("query_block", query_of("id")).withColumn("row_block", blocks)
-
     lists = max(2, -(-2 * k // row_blocks))
 
-    def local_lists(cell_rows: pa.Table, cell_queries: pa.Table) -> pa.Table:
-        found = []
-        if len(cell_rows) and len(cell_queries):
-            cell_rows = _distinct_rows(cell_rows, k + 1)
-            ids, x = cell_rows.column("id").to_numpy(), _matrix(cell_rows.column("part"), width)
-            names, y = cell_queries.column("id").to_numpy(), _matrix(cell_queries.column("part"), width)
-            for start in range(0, len(names), 256):
-                own, local = names[start : start + 256], _scores(y[start : start + 256], x)
-                best = np.argpartition(-local, min(lists, len(ids) - 1), axis=1)[:, : lists + 1]
-                found.append((np.repeat(own, best.shape[1]), ids[best].ravel(), np.take_along_axis(local, best, 1).ravel()))
-        q, v, p = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
-        other = q != v
-        which = cell_rows.column("slice")[0].as_py() if len(cell_rows) else 0
-        return pa.table({"query": q[other], "id": v[other], "slice": pa.array(np.full(other.sum(), which), pa.int32()), "local": p[other]})
-
-    def sufficient(cell_rows: pa.Table, cell_queries: pa.Table) -> pa.Table:
-        found = []
-        if len(cell_rows) and len(cell_queries):
-            cell_rows = _distinct_rows(cell_rows, k + 1)
-            ids, x = cell_rows.column("id").to_numpy(), _matrix(cell_rows.column("part"), width)
-            names, y = cell_queries.column("id").to_numpy(), _matrix(cell_queries.column("part"), width)
-            cutoff = cell_queries.column("cutoff").to_numpy(zero_copy_only=False).astype(float)  # NaN: none, so all are sent
-            for start in range(0, len(names), 256):
-                local, own = _scores(y[start : start + 256], x), slice(start, start + 256)
-                i, j = np.nonzero(~(local * float(slices) < cutoff[own, None]))
-                found.append((names[own][i], ids[j], local[i, j]))
-        q, v, p = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
-        other = q != v
-        which = cell_rows.column("slice")[0].as_py() if len(cell_rows) else 0
-        return pa.table({"query": q[other], "id": v[other], "slice": pa.array(np.full(other.sum(), which), pa.int32()), "local": p[other]})
-
-    def resolve(cell_rows: pa.Table, asked: pa.Table) -> pa.Table:
-        mine = asked.filter(asked.column("part").is_valid())
-        asked = asked.filter(asked.column("part").is_null())
-        if not (len(cell_rows) and len(mine) and len(asked)):
-            return pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "slice": pa.array([], pa.int32()), "local": pa.array([], pa.int64())})
-        ids, names = cell_rows.column("id").to_numpy(), mine.column("id").to_numpy()
-        x, y = _matrix(cell_rows.column("part"), width), _matrix(mine.column("part"), width)
-        by_id, by_name = np.argsort(ids), np.argsort(names)
-        q, v = asked.column("id").to_numpy(), asked.column("other").to_numpy()
-        i, j = by_name[np.searchsorted(names, q, sorter=by_name)], by_id[np.searchsorted(ids, v, sorter=by_id)]
-        local = np.concatenate([np.einsum("ij,ij->i", y[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(q), 65536)])
-        which = cell_rows.column("slice")[0].as_py()
-        return pa.table({"query": q, "id": v, "slice": pa.array(np.full(len(q), which), pa.int32()), "local": local})
-
-    entry = "query long, id long, slice int, local long"
-
-    def cells(right: DataFrame, what) -> DataFrame:
-        return left.groupBy(*_CELL).cogroup(right.groupBy(*_CELL)).applyInArrow(what, entry)
-
-    # 1: local lists, exact totals of the best, and each query's cutoff
-    gathered = cells(placed(queries), local_lists)
-    best = gathered.withColumn("n", F.row_number().over(Window.partitionBy("query", "slice").orderBy(F.desc("local"), "id"))).where(F.col("n") <= k).select("query", "id").distinct()
-    best = checkpointed(best)
-    total = F.aggregate(F.zip_with("q", "other", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
-    exact = best.join(rows.select("id", "q"), "id").join(queries.select(F.col("id").alias("query"), F.col("q").alias("other")), "query").select("query", total.alias("total"))
-    ordered = exact.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("total")))).where(F.col("n") <= k)
-    cutoffs = checkpointed(ordered.where(F.col("n") == k).select(F.col("query").alias("asker"), F.col("total").alias("cutoff")))
-
-    # 2: sufficient entries
-    entries = checkpointed(cells(placed(queries.join(cutoffs, queries.id == cutoffs.asker, "left").drop("asker"), "cutoff"), sufficient))
-
-    # 3: remaining scores
-    known = entries.groupBy("query", "id").agg(F.sum("local").alias("known"), F.sum(F.expr("shiftleft(1, slice)")).alias("seen"))
-    known = checkpointed(known)
-    lacking = F.array_compact(F.array(*(F.when(F.col("seen").bitwiseAND(F.lit(1 << s)) == 0, F.lit(s)) for s in range(slices))))
-    requests = known.where(F.col("seen") < (1 << slices) - 1).select(F.col("query").alias("id"), F.col("id").alias("other"), F.explode(lacking).alias("slice"))
-    requests = requests.select("id", "other", "slice", F.lit(None).cast("array<bigint>").alias("part"), query_of("id").alias("query_block"), row_of("other").alias("row_block"))
-    asked = placed(queries).select("id", F.lit(None).cast("long").alias("other"), "slice", "part", "query_block", "row_block").unionByName(requests)
-    rest = cells(asked, resolve).select("query", "id", F.col("local").alias("known"))
-    scores = known.select("query", "id", "known").unionByName(rest).groupBy("query", "id").agg(F.sum("known").alias("score"))
-    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    def spread(name: str, number: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias(name)
+
+    def block(name: str, number: int):
+        return F.pmod(F.xxhash64("id"), F.lit(number)).cast("int").alias(name)
+
+    left = rows.select("id", "vector", "q", block("row_block", row_blocks), spread("query_block", query_blocks))
+    queries = rows.where(F.col("id") % modulus == 0).select(F.col("id").alias("id"), F.col("q").alias("q"), block("query_block", query_blocks))
+
+    def cells(right: DataFrame, entries) -> DataFrame:
+        """``query, id, total``: what ``entries`` (local scores, cutoffs) picks in each cell, with exact totals."""
+
+        def run(cell_rows: pa.Table, cell_queries: pa.Table) -> pa.Table:
+            found = [(np.zeros(0, np.int64),) * 3]
+            if len(cell_rows) and len(cell_queries):
+                cell_rows = _distinct_rows(cell_rows, k + 1)
+                ids, x = cell_rows.column("id").to_numpy(), _matrix(cell_rows.column("q"), part * slices)
+                names, y = cell_queries.column("id").to_numpy(), _matrix(cell_queries.column("q"), part * slices)
+                cutoff = cell_queries.column("cutoff").to_numpy(zero_copy_only=False).astype(float)
+                for a in range(0, len(names), STEP):
+                    local = [_scores(y[a : a + STEP, s * part : (s + 1) * part], x[:, s * part : (s + 1) * part]) for s in range(slices)]
+                    i, j = entries(local, cutoff[a : a + STEP, None])
+                    total = sum(one[i, j] for one in local)
+                    q, v = names[a : a + STEP][i], ids[j]
+                    kept = (q != v) & ~(total < cutoff[a : a + STEP][i])
+                    q, v, total = q[kept], v[kept], total[kept]
+                    best = _best_first(total, q, v, k)
+                    found.append((q[best], v[best], total[best]))
+            return pa.table({n: np.concatenate([f[i] for f in found]) for i, n in enumerate(("query", "id", "total"))})
+
+        placed = right.select("id", "q", "cutoff", "query_block", spread("row_block", row_blocks))
+        return left.groupBy(*_CELL).cogroup(placed.groupBy(*_CELL)).applyInArrow(run, "query long, id long, total long")
+
+    def gather(local: list[np.ndarray], cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best entries of each list."""
+        number = min(lists + 1, local[0].shape[1])
+        best = np.hstack([np.argpartition(-one, number - 1, axis=1)[:, :number] for one in local])
+        pairs = np.unique(np.repeat(np.arange(len(best)), best.shape[1]) * local[0].shape[1] + best.ravel())
+        return np.divmod(pairs, local[0].shape[1])
+
+    def sufficient(local: list[np.ndarray], cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries that reach the uniform threshold in some list; all where there is no cutoff."""
+        enough = np.zeros(local[0].shape, bool)
+        for one in local:
+            enough |= ~(one * float(slices) < cutoff)
+        return np.nonzero(enough)
+
+    def first(frame: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query").orderBy(F.desc("total"), "id")
+        return frame.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    gathered = cells(queries.withColumn("cutoff", F.lit(None).cast("long")), gather)
+    cutoffs = checkpointed(first(gathered).where(F.col("rank") == k).select(F.col("query").alias("asker"), F.col("total").alias("cutoff")))
+    ranked = first(cells(queries.join(cutoffs, queries.id == cutoffs.asker, "left"), sufficient))
+    return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("total").alias("score"))
 
 
 #: DuckDB: the same result by scoring every pair.
