@@ -203,7 +203,9 @@ def record_types(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the archives into ``folder``; one row (path, records, bytes) per archive."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    samples = pages.where("html IS NOT NULL").select(F.xxhash64("page_id").alias("h"), F.substring("html", 1, DICT_SAMPLE_BYTES).alias("t")).orderBy("h", "t").limit(DICT_SAMPLES).collect()
+    hashed = pages.where("html IS NOT NULL").withColumn("h", F.xxhash64("page_id"))
+    least = hashed.select("h").orderBy("h").limit(DICT_SAMPLES).agg(F.max("h")).first()[0]
+    samples = hashed.where(F.col("h") <= F.lit(least)).select(F.substring("html", 1, DICT_SAMPLE_BYTES).alias("t")).limit(DICT_SAMPLES).collect() if least is not None else []
     dictionary = train_dictionary([r["t"].encode()[:DICT_SAMPLE_BYTES] for r in samples])
     digest = F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
     types = record_types(pages).select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("key"), "digest", "first")
