@@ -101,7 +101,7 @@ def fulltext_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_BM25},
 v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY d, vec_id) - 1 AS rank FROM (
   SELECT vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS d
-  FROM embeddings WHERE embedding IS NOT NULL ORDER BY d, vec_id LIMIT {NEAR})),
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IN (SELECT doc_id FROM documents) ORDER BY d, vec_id LIMIT {NEAR})),
 t AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT {NEAR})),
 f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank + 1)) AS score FROM (FROM v UNION ALL FROM t) GROUP BY id)
 SELECT f.id AS doc_id, lang, source, round(1 - least(1, score / (2.0::DOUBLE / 61)), 6) AS distance

@@ -189,7 +189,7 @@ class KeyedState:
         return logs.last_wins(every, ["key"], ["written", "batch"]).where("NOT gone")
 
     def _add(self, key: str, value: str, generation: int, attempts: int, due: float, gone: bool = False) -> None:
-        row = [(key, value, generation, attempts, due, gone, time.time(), uuid.uuid4().hex)]
+        row = [(key, value, generation, attempts, float(due), gone, time.time(), uuid.uuid4().hex)]
         self.spark.createDataFrame(row, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
 
     def get(self, key: str):
