@@ -17,6 +17,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.files import source_kind
 from ..functions.text import stem
 from ..operators import logs
 from ..sources import registry
@@ -25,6 +26,8 @@ from ..table import ChunkTable, Embedder
 
 #: Sessions that name no conversation, and so are never excluded.
 SYNTHETIC = ["unknown", "gemini-session", "gemini-logs"]
+#: Sources whose files hold many conversations.
+EXPORTS = ("chatgpt", "claudeapp")
 STATE = {"excluded": "path string, object string, session string, reason string", "progress": "path string, digest string", "meta": "name string, value string"}
 
 
@@ -137,24 +140,33 @@ class ForwardIngest:
         timed = F.when(F.unix_seconds("Timestamp") >= 86_400, F.col("Timestamp"))
         rows = chunks.select(F.col("SourceFile").alias("path"), timed.alias("ts"), F.lit(False).alias("issue"), F.col("SessionId").alias("session"))
         rows = rows.unionByName(issues.select("path", F.lit(None).cast("timestamp").alias("ts"), F.lit(True).alias("issue"), F.lit(None).cast("string").alias("session")))
-        judged = logs.eligibility(rows, "path", "ts", F.lit(cutoff), ~F.col("issue"), F.col("issue")).select("path", "status")
-        judged = changed.select("path", "digest").join(judged, "path", "left").withColumn("status", F.coalesce("status", F.lit("empty"))).collect()
+        # exports are judged by conversation, other files as a whole
+        whole = ~F.coalesce(source_kind(F.col("path")).isin(*EXPORTS), F.lit(False))
+        rows = rows.where(whole | ~F.col("issue")).withColumn("unit", F.when(whole, F.col("path")).otherwise(F.concat("path", F.lit("\n"), "session")))
+        units = logs.eligibility(rows, "unit", "ts", F.lit(cutoff), ~F.col("issue"), F.col("issue")).select("unit", "status").cache()
+        judged = units.select(F.substring_index("unit", "\n", 1).alias("path"), "status").groupBy("path").agg(F.collect_set("status").alias("states"))
+        state = F.when(F.array_contains("states", "wait"), "wait").when(F.array_contains("states", "accept"), "accept").otherwise("refuse")
+        judged = changed.select("path", "digest").join(judged.select("path", state.alias("status")), "path", "left").withColumn("status", F.coalesce("status", F.lit("empty"))).collect()
         by = {s: [r["path"] for r in judged if r["status"] == s] for s in ("accept", "refuse", "wait", "empty")}
+        own = chunks.withColumn("unit", F.when(~F.coalesce(source_kind(F.col("SourceFile")).isin(*EXPORTS), F.lit(False)), F.col("SourceFile")).otherwise(F.concat("SourceFile", F.lit("\n"), "SessionId")))
+        accepted = own.join(units.where("status = 'accept'").select("unit"), "unit", "left_semi").drop("unit")
         old = self._read("excluded").select("session").where("session IS NOT NULL").distinct()
-        accepted = chunks.where(F.col("SourceFile").isin(by["accept"]))
         accepted = accepted.join(F.broadcast(old), F.lower("SessionId") == old.session, "left_anti")
         current = self.table.read().select("Id", F.sha2("Content", 256).alias("sha"))
         novel = accepted.withColumn("sha", F.sha2("Content", 256)).join(current, ["Id", "sha"], "left_anti").drop("sha")
         if novel.limit(1).count():
             self.table.upsert(novel, "remote_model" if self.embedder else "deferred", self.embedder)
-        if by["refuse"]:
+        whole_files = [p for p in by["refuse"] if not p.endswith("conversations.json")]
+        if whole_files:
             real = ~(F.col("SessionId").isin(SYNTHETIC) | F.col("SessionId").rlike("^[0-9]+$"))
-            gone = chunks.where(F.col("SourceFile").isin(by["refuse"])).select(F.col("SourceFile").alias("path"), F.when(real, F.lower("SessionId")).alias("session")).distinct()
-            kept = objects.where(F.col("path").isin(by["refuse"])).join(gone, "path", "left")
+            gone = chunks.where(F.col("SourceFile").isin(whole_files)).select(F.col("SourceFile").alias("path"), F.when(real, F.lower("SessionId")).alias("session")).distinct()
+            kept = objects.where(F.col("path").isin(whole_files)).join(gone, "path", "left")
             self._append("excluded", kept.select("path", "object", "session", F.lit("refused").alias("reason")))
-        done = [(r["path"], r["digest"]) for r in judged if r["status"] in ("accept", "empty")]
+        # a refused export isn't excluded: it may gain conversations, and is read again only if it changes
+        done = [(r["path"], r["digest"]) for r in judged if r["status"] in ("accept", "empty") or r["path"].endswith("conversations.json")]
         if done:
             self._append("progress", self.spark.createDataFrame(done, STATE["progress"]))
+        units.unpersist()
         self.ready = True
         return {"accepted": len(by["accept"]), "refused": len(by["refuse"]), "waiting": len(by["wait"])}
 

@@ -85,6 +85,12 @@ def test_forward_and_search(spark, tmp_path):
     again.start()
     assert again.tick() == {"accepted": 0, "refused": 0, "waiting": 0} and table.read().count() == 5
 
+    talk = [{"id": f"c{n}", "title": "T", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "created_at": t}]} for n, t in enumerate(("2020-01-01T00:00:00Z", soon))]
+    export = tmp_path / "projects" / "conversations.json"
+    export.write_text(json.dumps(talk))
+    assert again.tick()["accepted"] == 1
+    assert [r["SessionId"] for r in table.read().where("ProjectName = 'ChatGPT'").collect()] == ["c1"]
+
     engine = Engine(table, embedder)
     found = engine.search('{"query": "question parsers", "limit": 3}')
     assert found["search_type"] == "hybrid" and "question" in found["results"][0]["content"]
@@ -93,7 +99,7 @@ def test_forward_and_search(spark, tmp_path):
     assert [r["file_path"] for r in changes["results"]] == ["/w/f1.py"]
     assert engine.sessions("{}")["results"][0]["chunk_type"] == "summary"
     assert engine.search('{"query": "x", "project_path": "/none"}')["search_type"] == "empty"
-    assert engine.status()["total"] == 5 and engine.ready() and not engine.ready(watcher_ready=False)
+    assert engine.status()["total"] == 6 and engine.ready() and not engine.ready(watcher_ready=False)
 
 
 def test_keyed_state(spark, tmp_path):
