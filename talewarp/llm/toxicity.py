@@ -3,9 +3,10 @@
 A text is a bag of units, its words; runs of single characters ("i d i o t") are one
 unit. The kernel of two units is the gap-weighted count of common subsequences of
 three characters: an occurrence that spans s characters weighs ``DECAY ** s``, and
-spans end at ``SPAN``. Characters lie between the three at a cost only, so inserted
-marks and gaps are tolerated. Letters are compared without case and accents; each unit
-starts with a marker character. Kernels are scaled by units' lengths.
+spans end at ``SPAN``. Characters between the three only cost weight, so inserted and
+missing letters are tolerated; marks inside a word are skipped. Letters are compared
+without case; each unit has a marker character at its start and end. Kernels are scaled
+by units' lengths.
 
 Training is multiple-instance: labels belong to texts, so each toxic text is
 represented by its few most suspicious units (at first by support among toxic against clean
@@ -13,20 +14,19 @@ texts, then by the model's own score), and clean texts by their most suspicious
 random units. Landmark units give Nystrom features, a squared-hinge SVM is fitted to
 them, and since the kernel's features can be written out, the machine sum(a_l K(x, l))
 collapses into one weight per character triple; scoring needs no landmark loop. A
-text's margin is that of its worst unit; a second half of the sample calibrates it to
-a probability.
+text is summed up by the margins of its ``TOP`` worst units and its number of units; a
+second half of the sample calibrates them to a probability.
 
 The sample is bounded: ``per_class`` labelled texts of either class with the smallest
 id hashes, each of at most ``train_bytes`` bytes. Scoring covers every whole text.
 
 Defined results: null or empty text, and text without a unit of three characters, has
-the margin of a unit that matches nothing; without both labels in the training rows
+the margins of units that match nothing; without both labels in the training rows
 every score is 0; repeated labels of a document count as toxic if one is.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,43 +39,46 @@ from pyspark.sql import functions as F
 from .common import by_bytes, held_out, keep_rows
 
 DECAY, SPAN, NORM_LENGTH = 0.7, 8, 12
-LANDMARKS, ROUNDS, WITNESSES = 240, 5, 3
+LANDMARKS, ROUNDS, WITNESSES, TOP, FLOOR = 240, 5, 3, 3, -4.0
 PER_CLASS, TRAIN_BYTES = 1600, 20_000
 SLICE_BYTES = 1 << 20
-#: Character classes: 0 white space inside a unit, 1-26 letters, 27 digits, 28-29 other letters, 30 start of a unit, 31 marks.
-GAP, DIGIT, OTHER, START, MARK = 0, 27, 28, 30, 31
+#: Character classes: 1-26 letters, 27 digits, 28-60 other letters, 62 start or end of a unit, 63 marks.
+DIGIT, OTHER, OTHERS, START, MARK, BITS = 27, 28, 33, 62, 63, 6
+FEATURES = 1 << (3 * BITS)
 
 
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
     table = np.full(1 << 16, MARK, np.int32)
     for code in range(1 << 16):
-        char = chr(code)
+        char = chr(code).lower()
         if char.isspace():
             table[code] = START
         elif char.isdigit():
             table[code] = DIGIT
         elif char.isalpha():
-            base = unicodedata.normalize("NFKD", char)[0].lower()
-            table[code] = ord(base) - 96 if "a" <= base <= "z" else OTHER + code % 2
+            table[code] = ord(char) - 96 if "a" <= char <= "z" else OTHER + ord(char[0]) % OTHERS
     return table
 
 
 def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all characters, where each unit starts, and the first unit of each text."""
+    """Classes of all characters (a last marker ends the last unit), where each unit starts, and the first unit of each text."""
     lengths = np.array([len(t) + 1 for t in texts])
-    codes = np.frombuffer((" " + " ".join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     classes = _classes()[np.minimum(codes, 0xFFFF)]
     text_starts = np.cumsum(lengths) - lengths
-    starts = np.flatnonzero(classes == START)
-    size = np.diff(np.append(starts, len(classes))) - 1
+    starts = np.flatnonzero(classes[:-1] == START)
+    size = np.diff(np.append(starts, len(classes) - 1)) - 1
     joined = np.zeros(len(starts), bool)
     joined[1:] = (size[1:] == 1) & (size[:-1] == 1)
     joined[np.searchsorted(starts, text_starts)] = False
     classes = classes.copy()
-    classes[starts[joined]] = GAP
+    classes[starts[joined]] = MARK
     starts = starts[~joined]
-    return classes, starts, np.searchsorted(starts, text_starts)
+    firsts = np.searchsorted(starts, text_starts)
+    kept = classes != MARK
+    place = np.cumsum(kept) - 1
+    return classes[kept], place[starts], firsts
 
 
 @lru_cache(maxsize=1)
@@ -90,62 +93,53 @@ def _scale() -> np.ndarray:
 def _margins(classes: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """For each unit the sum of its triples' weights, scaled by its length."""
     n, total = len(classes), np.zeros(len(classes), np.float32)
-    unit = np.zeros(n, np.int32)
-    unit[starts[1:]] = 1
-    unit = np.cumsum(unit, dtype=np.int32)
+    begins = np.zeros(n, np.int32)
+    begins[starts[1:]] = begins[-1] = 1
+    unit = np.cumsum(begins, dtype=np.int32)
+    ends_in = unit - begins  # a unit's start is also the end of the one before
     for s in range(3, min(SPAN, n) + 1):
-        first, last = classes[: n - s + 1] << 10, classes[s - 1 :]
-        ends = first | last
-        part = weights.take(ends | (classes[1 : n - s + 2] << 5))
+        outer = (classes[: n - s + 1] << (2 * BITS)) | classes[s - 1 :]
+        part = weights.take(outer | (classes[1 : n - s + 2] << BITS))
         for m in range(2, s - 1):
-            part += weights.take(ends | (classes[m : n - s + 1 + m] << 5))
+            part += weights.take(outer | (classes[m : n - s + 1 + m] << BITS))
         part *= np.float32(DECAY**s)
-        part *= unit[: n - s + 1] == unit[s - 1 :]
+        part *= unit[: n - s + 1] == ends_in[s - 1 :]
         total[: n - s + 1] += part
-    length = np.diff(np.append(starts, n))
-    return np.add.reduceat(total, starts, dtype=np.float64) / _scale()[np.minimum(length, NORM_LENGTH)]
+    plain = np.diff(np.append(starts, n - 1)) + 1
+    return np.add.reduceat(total[:-1], starts, dtype=np.float64) / _scale()[np.minimum(plain, NORM_LENGTH)]
 
 
 def _triples(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit, feature and value of every subsequence of the units (class strings)."""
     rows, cols, vals = [], [], []
     for row, unit in enumerate(units):
-        c = np.frombuffer(unit, np.uint8).astype(np.int32)
+        c = np.append(np.frombuffer(unit, np.uint8), START).astype(np.int32)
         scale = _scale()[min(len(c), NORM_LENGTH)]
         for s in range(3, min(SPAN, len(c)) + 1):
+            last = len(c) - s + 1
             for m in range(1, s - 1):
-                a, b, d = c[: len(c) - s + 1], c[m : len(c) - s + 1 + m], c[s - 1 :]
-                ok = (a != GAP) & (a != MARK) & (b != GAP) & (b != MARK) & (d != GAP) & (d != MARK)
-                feature = ((a << 10) | (b << 5) | d)[ok]
-                rows.append(np.full(len(feature), row))
-                cols.append(feature)
-                vals.append(np.full(len(feature), DECAY**s / scale))
+                rows.append(np.full(last, row))
+                cols.append((c[:last] << (2 * BITS)) | (c[m : last + m] << BITS) | c[s - 1 :])
+                vals.append(np.full(last, DECAY**s / scale))
     if not rows:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
 
 
-def _dense(units: list[bytes]) -> np.ndarray:
+def _written(units: list[bytes], used: np.ndarray) -> np.ndarray:
+    """The features ``used`` of each unit, written out."""
     rows, cols, vals = _triples(units)
-    out = np.zeros((len(units), 1 << 15), np.float64)
-    np.add.at(out, (rows, cols), vals)
+    place = np.full(FEATURES, -1)
+    place[used] = np.arange(len(used))
+    shared = place[cols] >= 0
+    out = np.zeros((len(units), len(used)))
+    np.add.at(out, (rows[shared], place[cols[shared]]), vals[shared])
     return out
 
 
-def _kernel(units: list[bytes], landmarks: np.ndarray) -> np.ndarray:
+def _kernel(units: list[bytes], landmarks: np.ndarray, used: np.ndarray) -> np.ndarray:
     """Kernels of units and landmarks, over the features that a landmark has."""
-    used = np.flatnonzero(landmarks.any(axis=0))
-    place = np.full(landmarks.shape[1], -1)
-    place[used] = np.arange(len(used))
-    right, out = landmarks[:, used].T.copy(), []
-    for i in range(0, len(units), 1000):
-        part = units[i : i + 1000]
-        rows, cols, vals = _triples(part)
-        shared = place[cols] >= 0
-        left = np.zeros((len(part), len(used)))
-        np.add.at(left, (rows[shared], place[cols[shared]]), vals[shared])
-        out.append(left @ right)
-    return np.concatenate(out)
+    return np.concatenate([_written(units[i : i + 1000], used) @ landmarks.T for i in range(0, len(units), 1000)])
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> np.ndarray:
@@ -164,51 +158,64 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -
     return w
 
 
-def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, with a small ridge, by damped Newton steps."""
-    x, p = np.column_stack([margin, np.ones_like(margin)]), np.array([1.0, 0.0])
+def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Coefficients of a logistic model (the last is the offset), with a small ridge, by damped Newton steps."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    p = np.zeros(x.shape[1])
 
     def loss(q: np.ndarray) -> float:
-        return float(np.sum(weight * np.logaddexp(0, -y * (x @ q))) + 0.005 * q @ q)
+        return float(np.sum(weight * np.logaddexp(0, -y * (x @ q))) + 0.05 * q @ q)
 
     for _ in range(100):
         s = 1 / (1 + np.exp(np.clip(y * (x @ p), -500, 500)))
-        gradient = -(x * (weight * y * s)[:, None]).sum(axis=0) + 0.01 * p
-        hessian = (x * (weight * s * (1 - s))[:, None]).T @ x + 0.01 * np.eye(2)
+        gradient = -(x * (weight * y * s)[:, None]).sum(axis=0) + 0.1 * p
+        hessian = (x * (weight * s * (1 - s))[:, None]).T @ x + 0.1 * np.eye(len(p))
         step, rate = np.linalg.solve(hessian, gradient), 1.0
         while rate > 1e-6 and loss(p - rate * step) > loss(p):
             rate /= 2
         p = p - rate * step
         if np.abs(rate * step).max() < 1e-9:
             break
-    return float(max(p[0], 1e-3)), float(p[1])
+    return p
 
 
 class Model:
-    """Weights of character triples, bias, and the calibration of a text's margin."""
+    """Weights of character triples, bias, and the calibration of a text's summary."""
 
-    def __init__(self, weights: np.ndarray, bias: float, slope: float, offset: float):
-        self.weights, self.bias, self.slope, self.offset = weights.astype(np.float32), bias, slope, offset
+    def __init__(self, weights: np.ndarray, bias: float):
+        self.weights, self.bias = weights.astype(np.float32), bias
+        self.curve = np.zeros(TOP + 2)
 
-    def margins(self, texts: list[str]) -> np.ndarray:
+    def summary(self, texts: list[str]) -> np.ndarray:
+        """For each text the margins of its worst units, and the logarithm of its number of units."""
         classes, starts, firsts = _units(texts)
-        return np.maximum.reduceat(_margins(classes, starts, self.weights), firsts) + self.bias
+        margin = np.maximum(_margins(classes, starts, self.weights) + self.bias, FLOOR)
+        number = np.diff(np.append(firsts, len(starts)))
+        owner = np.repeat(np.arange(len(texts)), number)
+        out = np.zeros((len(texts), TOP + 1))
+        for k in range(TOP):
+            out[:, k] = np.maximum.reduceat(margin, firsts)
+            at = np.flatnonzero(margin == out[owner, k])
+            margin[at[np.unique(owner[at], return_index=True)[1]]] = FLOOR
+        out[:, TOP] = np.log(number)
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(np.clip(-(self.slope * self.margins(texts) + self.offset), -500, 500)))
+        value = self.summary(texts) @ self.curve[:-1] + self.curve[-1]
+        return 1 / (1 + np.exp(np.clip(-value, -500, 500)))
 
 
 def _bags(texts: list[str]) -> list[set[bytes]]:
     """The distinct units of each text, as strings of classes."""
     classes, starts, firsts = _units(texts)
-    raw, ends = classes.astype(np.uint8).tobytes(), np.append(starts[1:], len(classes))
+    raw, ends = classes.astype(np.uint8).tobytes(), np.append(starts[1:], len(classes) - 1)
     units = [raw[a:b] for a, b in zip(starts, ends, strict=True)]
     bounds = np.append(firsts, len(units))
     return [{u for u in units[a:b] if len(u) > 3} for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _unit_scores(units: list[bytes], weights: np.ndarray) -> np.ndarray:
-    joined = np.frombuffer(b"".join(units), np.uint8).astype(np.int32)
+    joined = np.append(np.frombuffer(b"".join(units), np.uint8), START).astype(np.int32)
     lengths = np.array([len(u) for u in units])
     return _margins(joined, np.cumsum(lengths) - lengths, weights.astype(np.float32))
 
@@ -224,7 +231,7 @@ def fit(toxic: list[str], clean: list[str], clean_share: float, landmarks: int =
     bad_index = [np.fromiter((number[u] for u in b), int, len(b)) for b in bad if b]
     good_index = [np.fromiter((number[u] for u in b), int, len(b)) for b in good if b]
     value, least = support, 2.0
-    weights, bias = np.zeros(1 << 15), -1.0
+    weights, bias = np.zeros(FEATURES), -1.0
     common = [u for u, _ in in_good.most_common(1000)]
     for _ in range(rounds):
         worst = Counter(names[i] for b in bad_index for i in b[np.argsort(-value[b])[:WITNESSES]] if value[i] >= least)
@@ -235,22 +242,24 @@ def fit(toxic: list[str], clean: list[str], clean_share: float, landmarks: int =
             break
         marks = [u for u, _ in worst.most_common(landmarks * 2 // 3)]
         marks += [pool[i] for i in rng.permutation(len(pool))[: landmarks - len(marks)]]
-        written = _dense(marks)
+        used = np.unique(_triples(marks)[1])
+        written = _written(marks, used)
         gram = written @ written.T
         eigen, vectors = np.linalg.eigh(gram + 1e-6 * np.eye(len(marks)))
         root = vectors / np.sqrt(np.maximum(eigen, 1e-6)) @ vectors.T
         units = [*worst, *pool]
         y = np.array([1.0] * len(worst) + [-1.0] * len(pool))
         weight = np.array([np.sqrt(n) for n in worst.values()] + [1.0] * len(pool))
-        w = _svm(_kernel(units, written) @ root, y, weight)
-        weights, bias = written.T @ (root @ w[:-1]), float(w[-1])
+        w = _svm(_kernel(units, written, used) @ root, y, weight)
+        weights, bias = np.zeros(FEATURES), float(w[-1])
+        weights[used] = written.T @ (root @ w[:-1])
         value, least = _unit_scores(names, weights) + bias, 0.0
-    model = Model(weights, bias, 1.0, 0.0)
+    model = Model(weights, bias)
     held_bad, held_good = toxic[1::2] or toxic, clean[1::2] or clean
-    margin = model.margins([*held_bad, *held_good])
+    seen = model.summary([*held_bad, *held_good])
     y = np.array([1.0] * len(held_bad) + [-1.0] * len(held_good))
     weight = np.where(y > 0, 1.0, clean_share * len(held_bad) / max(1, len(held_good)))
-    model.slope, model.offset = _platt(margin, y, weight)
+    model.curve = _calibrated(seen, y, weight)
     return model
 
 
