@@ -76,3 +76,9 @@ def eligibility(rows: DataFrame, path: str, time: str, cutoff: Column, meaningfu
     )
     status = F.when((F.col("early") > 0) | (F.col("untimed") > 0), "refuse").when((F.col("issues") > 0) | F.col("first_time").isNull(), "wait").otherwise("accept")
     return grouped.withColumn("status", status)
+
+
+def debounced(events: DataFrame, path: str, time: str, now: Column, delay_seconds: float) -> DataFrame:
+    """``path, time`` of the last event of each path that has been quiet for the delay, by path."""
+    last = events.groupBy(path).agg(F.max(F.col(time).cast("timestamp")).alias(time))
+    return last.where(F.col(time) + F.expr(f"INTERVAL '{delay_seconds}' SECOND") <= now).orderBy(path)

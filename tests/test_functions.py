@@ -73,3 +73,11 @@ def test_routes(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "p string").select("p", files.source_kind(F.col("p")).alias("k")).collect()
     assert {r["p"]: r["k"] for r in rows} == cases
+
+
+def test_debounced(spark):
+    from talewarp.operators.logs import debounced
+
+    events = spark.createDataFrame([("a", 1.0), ("a", 5.0), ("b", 2.0), ("c", 9.5)], "p string, s double").select("p", F.timestamp_seconds("s").alias("t"))
+    rows = debounced(events, "p", "t", F.timestamp_seconds(F.lit(8)), 2.5).collect()
+    assert [r["p"] for r in rows] == ["a", "b"] and rows[0]["t"].second == 5
