@@ -9,6 +9,7 @@ are idempotent, so a tick that dies is simply run again.
 
 from __future__ import annotations
 
+import json
 import os
 import time
 import uuid
@@ -51,6 +52,14 @@ def listing(root: str) -> list[tuple[str, str, int, float]]:
     return out
 
 
+def root_object(root: str) -> str:
+    """Device and inode of a root; raises where it is no folder."""
+    if not os.path.isdir(root):
+        raise FileNotFoundError(f"no root {root}")
+    found = os.stat(root)
+    return f"{found.st_dev}:{found.st_ino}"
+
+
 def path_session(path):
     """The session that a path names: after ``brain``, before ``subagents``, or a UUID in the file's name."""
     uuid_pattern = r"(?i)([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
@@ -84,15 +93,47 @@ class ForwardIngest:
         return datetime.fromisoformat(row["value"]) if row else None
 
     def _listed(self) -> DataFrame:
-        missing = [r for r in self.roots if not os.path.isdir(r)]
-        if missing:
-            raise FileNotFoundError(f"no root {missing[0]}")
         rows = [x for r in self.roots for x in listing(r)]
         frame = self.spark.createDataFrame(rows, "path string, object string, bytes long, modified double")
         return registry.routed(frame)
 
+    def _kept_roots(self) -> dict[str, str]:
+        """The object of each root as last kept."""
+        rows = self._read("meta").where("name = 'root_object'").collect()
+        return {path: kept for _, path, kept in sorted(json.loads(r["value"]) for r in rows)}
+
+    def _keep_roots(self, objects: dict[str, str]) -> None:
+        rows = [("root_object", json.dumps([time.time(), path, kept])) for path, kept in objects.items()]
+        self._append("meta", self.spark.createDataFrame(rows, STATE["meta"]))
+
+    def _reconcile(self) -> None:
+        """Hold the roots against the kept ones.
+
+        A root that is missing, left out or another folder than before is an error. Where
+        only the device's number changed, exclusions are kept under the new one too.
+        """
+        now = {r: root_object(r) for r in self.roots}
+        moved = {}
+        for path, old in self._kept_roots().items():
+            if path not in now:
+                raise ValueError(f"root {path} is left out")
+            if now[path].split(":")[1] != old.split(":")[1]:
+                raise ValueError(f"root {path} is another folder than before")
+            if now[path] != old:
+                moved[path] = now[path]
+                device, renamed = old.split(":")[0], now[path].split(":")[0]
+                held = self._read("excluded").where(F.substring_index("object", ":", 1) == device)
+                number = F.concat(F.lit(f"{renamed}:"), F.substring_index("object", ":", -1))
+                self._append("excluded", held.withColumn("object", number))
+        if moved:
+            self._keep_roots(moved)
+
     def start(self, now: datetime | None = None) -> None:
-        """Keep the cutoff and exclude what is there, before anything is written; once."""
+        """Keep the cutoff and exclude what is there, before anything is written; once.
+
+        A root that is new is treated so when it first appears.
+        """
+        self._reconcile()
         known = {r["value"] for r in self._read("meta").where("name = 'root'").collect()}
         fresh = [r for r in self.roots if r not in known]
         if self.cutoff() is None or fresh:
@@ -102,6 +143,8 @@ class ForwardIngest:
             if self.cutoff() is None:
                 meta.append(("cutoff", (now or datetime.now(UTC)).isoformat()))
             self._append("meta", self.spark.createDataFrame(meta, STATE["meta"]))
+        if new := {r: root_object(r) for r in self.roots if r not in self._kept_roots()}:
+            self._keep_roots(new)
 
     # one tick --------------------------------------------------------------
     def tick(self) -> dict[str, int]:
@@ -109,23 +152,33 @@ class ForwardIngest:
         cutoff = self.cutoff()
         if cutoff is None:
             raise RuntimeError("start() comes first")
+        self._reconcile()
         excluded, progress = self._read("excluded"), self._progress()
         files = self._listed().withColumn("session", path_session(F.col("path")))
         for key in ("path", "object", "session"):
-            files = files.join(F.broadcast(excluded.select(key).where(f"{key} IS NOT NULL").distinct()), key, "left_anti")
+            files = files.join(excluded.select(key).where(f"{key} IS NOT NULL").distinct(), key, "left_anti")
         waiting = files.select("path", "kind").orderBy("path").collect()
         names, kinds = [r["path"] for r in waiting], {r["kind"] for r in waiting}
         if not names:
             self.ready = True
             return {"accepted": 0, "refused": 0, "waiting": 0}
-        found = self.spark.read.format("binaryFile").load([f"file://{n}" for n in names])
-        found = found.select(F.regexp_replace("path", "^file:(?://)?(?=/)", "").alias("path"), "content", F.sha2("content", 256).alias("digest"))
-        changed = found.join(F.broadcast(progress), ["path", "digest"], "left_anti").orderBy("path").limit(MAX_FILES).cache()
+        # contents stay where they are read: only names of changed files come to the driver
+        changed = self._snapshot(names).select("path", "digest").join(progress, ["path", "digest"], "left_anti")
+        todo = [r["path"] for r in changed.select("path").orderBy("path").limit(MAX_FILES).collect()]
+        if not todo:
+            self.ready = True
+            return {"accepted": 0, "refused": 0, "waiting": 0}
+        changed = self._snapshot(todo).cache()
         try:
             return self._ingest(changed, files.select("path", "object"), cutoff, kinds)
         finally:
             changed.unpersist()
 
+    def _snapshot(self, names: list[str]) -> DataFrame:
+        """``path, content, digest`` of files."""
+        found = self.spark.read.format("binaryFile").load([f"file://{n}" for n in names])
+        return found.select(F.regexp_replace("path", "^file:(?://)?(?=/)", "").alias("path"), "content", F.sha2("content", 256).alias("digest"))
+
     def _ingest(self, changed: DataFrame, objects: DataFrame, cutoff: datetime, kinds: set[str]) -> dict[str, int]:
         chunks, issues = registry.all_chunks(changed.select("path", "content"), self.machine, only=kinds)
         chunks, issues = chunks.cache(), issues.cache()
@@ -151,7 +204,7 @@ class ForwardIngest:
         own = chunks.withColumn("unit", F.when(~F.coalesce(source_kind(F.col("SourceFile")).isin(*EXPORTS), F.lit(False)), F.col("SourceFile")).otherwise(F.concat("SourceFile", F.lit("\n"), "SessionId")))
         accepted = own.join(units.where("status = 'accept'").select("unit"), "unit", "left_semi").drop("unit")
         old = self._read("excluded").select("session").where("session IS NOT NULL").distinct()
-        accepted = accepted.join(F.broadcast(old), F.lower("SessionId") == old.session, "left_anti")
+        accepted = accepted.join(old, F.lower("SessionId") == old.session, "left_anti")
         current = self.table.read().select("Id", F.sha2("Content", 256).alias("sha"))
         novel = accepted.withColumn("sha", F.sha2("Content", 256)).join(current, ["Id", "sha"], "left_anti").drop("sha")
         if novel.limit(1).count():
