@@ -14,9 +14,8 @@ def debounce(events: DataFrame, path: str = "path", time: str = "time", delay_ms
     """``path, time`` of the last event of each path, ``delay_ms`` after that event came in.
 
     State is the latest time of a path and lives in Spark's state store, spread by path;
-    it goes when the path fires. Events come down to one row for each path of a batch by
-    an aggregate in the handler's group, and an event that comes while a path waits
-    starts its delay anew. Null paths are one path; null times count as the earliest.
+    it goes when the path fires. A batch's events of a path come down to the latest, and
+    an event that comes while a path waits starts its delay anew. Null paths are one path; null times count as the earliest.
     """
     schema = f"path string, {time} timestamp"
 
