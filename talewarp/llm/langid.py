@@ -5,7 +5,8 @@ rows, taken by a hash of the id (None: all rows): tasks count in numpy and
 emit one row per (language, bucket) that they saw, Spark sums them, and the driver
 receives languages x ``buckets`` numbers, a size fixed by parameters. Log
 probabilities are broadcast as one matrix. Scoring gathers matrix rows for the n-grams
-of a whole batch and sums them per document.
+of a whole batch and sums them per document, in blocks of ``CELLS`` numbers, so that
+neither a very long text nor many languages take more memory.
 
 Defined results: null or letterless text gives ``und`` with score 0; ties go to the
 language that sorts first; without training rows every text is ``und``; more than
@@ -30,6 +31,8 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS = 20_000
 MAX_LANGUAGES = 256
 SLICE_BYTES = 1 << 20
+#: Numbers held at once while n-grams are looked up: positions of a text times languages.
+CELLS = 1 << 23
 _LETTER = regex.compile(r"\p{L}").search
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
 
@@ -80,7 +83,8 @@ def train(docs: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORD
                 for lang, texts in by_language.items():
                     codes, _ = _codes(texts)
                     for order in orders:
-                        counts[place[lang]] += np.bincount(_hashes(codes, order, buckets), minlength=buckets)
+                        for a in range(0, max(0, len(codes) - order + 1), CELLS):
+                            counts[place[lang]] += np.bincount(_hashes(codes[a : a + CELLS + order - 1], order, buckets), minlength=buckets)
         lang, bucket = counts.nonzero()
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[lang, bucket])], names=["lang", "bucket", "n"])
 
@@ -113,14 +117,22 @@ def _score(texts: list[str], names: list[str], logp: np.ndarray, orders: tuple[i
     if not names:
         return ["und"] * len(texts), [0.0] * len(texts)
     codes, starts = _codes(texts)
-    each = np.zeros((len(codes), len(names)), np.float32)
-    for order in orders:
-        rows = _hashes(codes, order, len(logp))
-        found = logp.take(rows, axis=0)
-        for back in range(1, order):  # n-grams that run on into the next text don't count
-            found[starts[1:-1] - back] = 0
-        each[: len(rows)] += found
-    total = np.add.reduceat(each, starts[:-1], axis=0, dtype=np.float64)
+    total = np.zeros((len(texts), len(names)))
+    block = max(1, CELLS // len(names))
+    for a in range(0, len(codes), block):
+        size = min(block, len(codes) - a)
+        each = np.zeros((size, len(names)), np.float32)
+        ends = starts[1:-1][(starts[1:-1] > a) & (starts[1:-1] < a + size + max(orders))] - a
+        for order in orders:
+            rows = _hashes(codes[a : a + size + order - 1], order, len(logp))
+            found = logp.take(rows, axis=0)
+            for back in range(1, order):  # n-grams that run on into the next text don't count
+                crossing = ends - back
+                found[crossing[(crossing >= 0) & (crossing < len(found))]] = 0
+            each[: len(rows)] += found
+        first = int(np.searchsorted(starts, a, side="right")) - 1
+        begins = np.concatenate(([0], ends[ends < size]))
+        total[first : first + len(begins)] += np.add.reduceat(each, begins, axis=0, dtype=np.float64)
     total -= total.max(axis=1, keepdims=True)
     share = np.exp(total)
     share /= share.sum(axis=1, keepdims=True)

@@ -27,6 +27,7 @@ every score is 0; repeated labels of a document count as toxic if one is.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,6 +43,8 @@ DECAY, SPAN, NORM_LENGTH = 0.7, 8, 12
 LANDMARKS, ROUNDS, WITNESSES, TOP, FLOOR = 240, 5, 3, 3, -4.0
 PER_CLASS, TRAIN_BYTES = 1600, 20_000
 SLICE_BYTES = 1 << 20
+#: Characters of a very long text that are scored at once; and a place between units, neither of them a single character run.
+PART_CHARS, _BETWEEN = 1 << 20, re.compile(r"\s(?=\S\S)")
 #: Character classes: 1-26 letters, 27 digits, 28-60 other letters, 62 start or end of a unit, 63 marks.
 DIGIT, OTHER, OTHERS, START, MARK, BITS = 27, 28, 33, 62, 63, 6
 FEATURES = 1 << (3 * BITS)
@@ -81,6 +84,18 @@ def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return classes[kept], place[starts], firsts
 
 
+def _parts(text: str, limit: int) -> Iterator[str]:
+    """A text in parts of about ``limit`` characters that hold its units between them.
+
+    Runs of single characters are one unit, so cuts are before longer words only.
+    """
+    at = 0
+    while len(text) - at > limit and (cut := _BETWEEN.search(text, at + limit)):
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:]
+
+
 @lru_cache(maxsize=1)
 def _scale() -> np.ndarray:
     """By a unit's length: the norm that it has if its subsequences are all different."""
@@ -186,8 +201,23 @@ class Model:
         self.weights, self.bias = weights.astype(np.float32), bias
         self.curve = np.zeros(TOP + 2)
 
-    def summary(self, texts: list[str]) -> np.ndarray:
-        """For each text the margins of its worst units, and the logarithm of its number of units."""
+    def summary(self, texts: list[str], part_chars: int = PART_CHARS) -> np.ndarray:
+        """For each text the margins of its worst units, and the logarithm of its number of units.
+
+        Very long texts are read in parts, whose worst units and numbers are put together.
+        """
+        out = np.zeros((len(texts), TOP + 1))
+        long = [i for i, t in enumerate(texts) if len(t) > part_chars]
+        for i in long:
+            parts = np.concatenate([self._worst([p]) for p in _parts(texts[i], part_chars)])
+            out[i] = [*np.sort(parts[:, :TOP], axis=None)[::-1][:TOP], parts[:, TOP].sum()]
+        if short := sorted(set(range(len(texts))) - set(long)):
+            out[short] = self._worst([texts[i] for i in short])
+        out[:, TOP] = np.log(out[:, TOP])
+        return out
+
+    def _worst(self, texts: list[str]) -> np.ndarray:
+        """For each text the margins of its worst units, and its number of units."""
         classes, starts, firsts = _units(texts)
         margin = np.maximum(_margins(classes, starts, self.weights) + self.bias, FLOOR)
         number = np.diff(np.append(firsts, len(starts)))
@@ -197,7 +227,7 @@ class Model:
             out[:, k] = np.maximum.reduceat(margin, firsts)
             at = np.flatnonzero(margin == out[owner, k])
             margin[at[np.unique(owner[at], return_index=True)[1]]] = FLOOR
-        out[:, TOP] = np.log(number)
+        out[:, TOP] = number
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:

@@ -136,6 +136,30 @@ def test_toxicity_held_out_accuracy(spark):
     assert (model.scores(["the stone is of the", "", "x"]) < 0.5).all()
 
 
+def test_language_of_long_texts_and_many_languages(monkeypatch):
+    rng = np.random.default_rng(3)
+    names = [f"l{i:02d}" for i in range(7)]
+    logp = np.log(rng.random((512, len(names)))).astype(np.float32)
+    texts = ["", "a", "ab cd", "word " * 300, "é" * 50, *("".join(rng.choice(list("abcde "), n)) for n in (1, 2, 3, 40, 900))]
+    whole = langid._score(texts, names, logp, (1, 2, 3))
+    for cells in (7, 21, 350, 7000):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        got = langid._score(texts, names, logp, (1, 2, 3))
+        assert got[0] == whole[0] and np.allclose(got[1], whole[1], atol=1e-4)
+
+
+def test_toxicity_of_long_texts_in_parts():
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(size=toxicity.FEATURES), -0.5)
+    words = ["i", "d", "i.d", "idiot", "", "a\tb", "stone", "x y z", "é", "..", "the\n\n"]
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 5, 50, 400, 1500)] + ["", "x " * 300, "y" * 500]
+    whole = model.summary(texts)
+    for limit in (1, 7, 100, 900):
+        for text in texts:
+            assert " ".join(p.replace("\t", " ").replace("\n", " ") for p in toxicity._parts(text, limit)) == text.replace("\t", " ").replace("\n", " ")
+        assert np.allclose(model.summary(texts, part_chars=limit), whole, atol=1e-5)
+
+
 def test_toxicity_edges(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = toxicity.detect(odd, labels).collect()
