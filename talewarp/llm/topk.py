@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 K, SCALE, QUERY_MODULUS, SLICES = 20, 64, 20, 2
-QUERY_BLOCK, ROW_BLOCK, LEAST_BLOCKS, STEP = 2048, 8192, 32, 256
+QUERY_BLOCK, ROW_BLOCK, LEAST_BLOCKS, STEP = 8192, 32_768, 32, 64
 _CELL = ["query_block", "row_block"]
 
 
