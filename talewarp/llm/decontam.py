@@ -146,14 +146,15 @@ class Index:
         joined = np.concatenate([x for n in numbers for x in (n, gap)] or [gap])
         lengths = np.array([len(n) + self.reach for n in numbers])
         first = np.cumsum(lengths) - lengths
-        starts = self._starts(joined)
+        ends = first + np.array([len(n) for n in numbers])
+        starts = self._starts(joined, first, ends)
         for n, found in starts.items():
             for a in range(0, len(found), 20_000):
-                self._match(n, self.edits[self.by_size[n][0]], found[a : a + 20_000], joined, first, out)
+                self._match(n, self.edits[self.by_size[n][0]], found[a : a + 20_000], joined, first, ends, out)
         return out
 
-    def _starts(self, joined: np.ndarray) -> dict[int, np.ndarray]:
-        """By item size, where windows start that hold enough anchors of one item."""
+    def _starts(self, joined: np.ndarray, first: np.ndarray, ends: np.ndarray) -> dict[int, np.ndarray]:
+        """By item size, where windows start that hold enough anchors of one item; within the document of the anchor."""
         count = self.posting_ends[joined + 1] - self.posting_ends[joined]
         at = np.flatnonzero(count)
         count = count[at]
@@ -165,14 +166,15 @@ class Index:
         hit = np.flatnonzero((np.arange(len(item)) + self.need[item] <= len(item)) & (item[last] == item) & (pos[last] - pos < self.span[item]))
         out: dict[int, list[np.ndarray]] = {}
         guess = pos[hit] - place[hit]
+        doc = np.searchsorted(first, pos[hit], side="right") - 1
         for n, members in self.by_size.items():
-            mine = guess[np.isin(item[hit], members)] if len(hit) else guess
-            if len(mine):
-                k = self.edits[members[0]]
-                out[n] = np.unique(np.clip(mine[:, None] + np.arange(-k, k + 1), 0, len(joined) - 1))
+            its = np.isin(item[hit], members)
+            if its.any():
+                k, mine = self.edits[members[0]], doc[its]
+                out[n] = np.unique(np.clip(guess[its][:, None] + np.arange(-k, k + 1), first[mine][:, None], ends[mine][:, None] - 1))
         return out
 
-    def _match(self, n: int, k: int, starts: np.ndarray, joined: np.ndarray, first: np.ndarray, out: list[dict[int, tuple[int, int]]]) -> None:
+    def _match(self, n: int, k: int, starts: np.ndarray, joined: np.ndarray, first: np.ndarray, ends: np.ndarray, out: list[dict[int, tuple[int, int]]]) -> None:
         windows = padded(np.concatenate([joined, np.zeros(n, np.int32)])[starts[:, None] + np.arange(n)])
         candidates: set[tuple[int, int]] = set()
         for r in range(self.repeats):
@@ -184,7 +186,7 @@ class Index:
             start = int(starts[i])
             doc = int(np.searchsorted(first, start, side="right")) - 1
             begin = max(int(first[doc]), start - k)
-            stretch = joined[begin : start + n + k]
+            stretch = joined[begin : min(int(ends[doc]), start + n + k)]
             words = self.items[item]
             if item in out[doc] and out[doc][item][0] == 0:
                 continue
