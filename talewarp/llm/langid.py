@@ -1,7 +1,9 @@
 """Language identification (op 9): multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams per language over a sample of about ``train_rows`` training
-rows, taken by a hash of the id (None: all rows): tasks count in numpy and
+rows (None: all rows). All labelled rows are counted by language first, and each
+language gives an equal number, taken by a hash of the id; one that has fewer gives all
+that it has, and what it leaves is shared by the others. Tasks count in numpy and
 emit one row per (language, bucket) that they saw, Spark sums them, and the driver
 receives languages x ``buckets`` numbers, a size fixed by parameters. Log
 probabilities are broadcast as one matrix. Scoring gathers matrix rows for the n-grams
@@ -27,8 +29,9 @@ from .common import by_bytes, held_out, keep_rows
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Training rows, about; beyond it a share of the ids is taken by hash.
+#: Training rows, about; beyond it a share of each language's ids is taken by hash.
 TRAIN_ROWS = 20_000
+HASH_PARTS = 1_000_003
 MAX_LANGUAGES = 256
 SLICE_BYTES = 1 << 20
 #: Numbers held at once while n-grams are looked up: positions of a text times languages.
@@ -55,6 +58,14 @@ def _hashes(codes: np.ndarray, order: int, buckets: int) -> np.ndarray:
     return (h >> np.uint32(7)) % np.uint32(buckets)
 
 
+def quotas(counted: dict[str, int], rows: int) -> dict[str, int]:
+    """Rows that each language gives: as equal as their numbers allow, ``rows`` in all at most, and one at least."""
+    taken: dict[str, int] = {}
+    for place, lang in enumerate(sorted(counted, key=lambda x: (counted[x], x))):
+        taken[lang] = min(counted[lang], max(1, (rows - sum(taken.values())) // (len(counted) - place)))
+    return taken
+
+
 def train(docs: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS, smoothing: float = 0.5, max_languages: int = MAX_LANGUAGES, train_rows: int | None = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order and their log probabilities, one row per bucket.
 
@@ -63,14 +74,15 @@ def train(docs: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORD
     """
     usable = ~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()
     source = docs.where(usable).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    share = 1.0
-    if train_rows is not None:
-        share = train_rows / max(1, source.count())
-    if share < 1:
-        source = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < int(share * 1_000_003)).where(usable).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    languages = sorted(r[0] for r in source.select("lang").distinct().limit(max_languages + 1).collect())
+    counted = {r["lang"]: r["n"] for r in source.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    languages = sorted(counted)
     if len(languages) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
+    if train_rows is not None and sum(counted.values()) > train_rows:
+        taken = quotas(counted, train_rows)
+        parts = F.create_map(*(F.lit(x) for lang in languages for x in (lang, -(-taken[lang] * HASH_PARTS // counted[lang]))))
+        chosen = F.pmod(F.xxhash64(id_col), F.lit(HASH_PARTS)) < F.try_element_at(parts, F.col(lang_col))
+        source = docs.where(chosen).where(usable).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     place = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
