@@ -205,20 +205,37 @@ def test_decontamination_edges(spark):
 def test_topk_edges(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)]
-    rows += [(200 + i, rows[7][1]) for i in range(40)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (None, [1.0] * 6), (340, []), (40, rows[40][1])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    valid = {i: v for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    whole = {i: [int(np.floor(64 * x)) for x in v] + [0] * (6 - len(v)) for i, v in valid.items()}
+    rows += [(200 + i, rows[7][1]) for i in range(40)] + [(300, None), (301, [1.0, None]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (None, [1.0] * 6), (340, []), (40, rows[40][1]), (40, [3.0] * 6), (41, [2.0] * 6)]
+    frame = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, key string")
+    whole = [(i, [int(np.floor(64 * x)) for x in v] + [0] * (6 - len(v))) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in (i for i in whole if i % 20 == 0):
-        scores = sorted((-int(np.dot(whole[q], v)), i) for i, v in whole.items() if i != q)[:20]
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
-    got = [tuple(r) for r in topk.search(frame, row_block=16, query_block=4).collect()]
-    assert sorted(got) == sorted(want)
+    for at, (q, w) in enumerate(whole):
+        if q is not None and q % 20 == 0:
+            scores = sorted(((-int(np.dot(w, v)), i is None, i or 0) for n, (i, v) in enumerate(whole) if n != at))[:20]
+            want += [(q, r + 1, None if missing else i, -s) for r, (s, missing, i) in enumerate(scores)]
+    for options in ({"row_block": 3, "gather_blocks": 2}, {"slices": 3}):
+        assert sorted(map(str, map(tuple, topk.search(frame, **options).collect()))) == sorted(map(str, want))
     assert topk.search(frame.where("vec_id IN (20, 21)")).count() == 1
     assert topk.search(frame.limit(0)).count() == 0
 
 
+def test_topk_threshold_prunes_lists():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-60, 60, (500, 8)) * rng.integers(1, 200, (500, 1))
+    y = rng.integers(-60, 60, (9, 8))
+    block = topk.Block(np.arange(500), np.arange(500), x, 2, 5)
+    exact = y @ x.T
+    order = np.argsort(-exact, axis=1, kind="stable")[:, :5]
+    cutoff = np.take_along_axis(exact, order[:, 4:], axis=1)[:, 0].astype(float)
+    read = []
+    plain = block._list
+    block._list = lambda s, y, upto: read.append(upto) or plain(s, y, upto)
+    i, j, total = block.best(np.full(9, -1), y, cutoff)
+    assert (total == exact[i, block.keys[j]]).all() and max(read) < 500
+    for q in range(9):
+        assert sorted(total[i == q].tolist()) == sorted(np.take(exact[q], order[q]).tolist())
+
+
 def test_pipeline(spark):
     frame, kept = spark.read.parquet(f"{SF}/documents.parquet"), []
     columns = frame.columns
