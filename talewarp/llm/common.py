@@ -18,13 +18,15 @@ HELD_OUT_MODULUS = 5
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint folder exists (single-machine
-    tests) is a local temporary folder set.
+    Where neither that setting nor a checkpoint folder exists, a session on a single
+    machine gets a local temporary folder; on a cluster that is an error, as executors
+    wouldn't see each other's files.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        existing = spark.sparkContext.getCheckpointDir()
-        root = existing or tempfile.mkdtemp(prefix="talewarp-checkpoint-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="talewarp-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -35,12 +37,40 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and what it holds, on any store that Spark knows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def small_or_not(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows; else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, number: str = "n") -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a key and each key's number of rows.
+
+    Keys with more than a ten-thousandth of all rows are fewer than ten thousand, so
+    they are broadcast; no other key is large enough to hold up a task.
+    """
+    total = table.agg(F.sum(number)).first()[0] or 0
+    heavy = F.col(number) > max(10_000, total // 10_000)
+    few, rest = F.broadcast(table.where(heavy).drop(number)), table.where(~heavy).drop(number)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key))
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True where crc32 of the id's decimal text is divisible by five."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -15,7 +15,10 @@ def components(edges: DataFrame) -> DataFrame:
     follows that label once, which halves the length of label chains. Labels are
     checkpointed each round, so lineage stays short and no state is lost with an
     executor. Messages are minimums that Spark pre-aggregates before the shuffle.
+    Rows with a null end link nothing and name no node; repeated edges count once; no
+    edges give no nodes.
     """
+    edges = edges.where("a IS NOT NULL AND b IS NOT NULL")
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     changed = 1

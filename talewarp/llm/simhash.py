@@ -4,22 +4,27 @@ Fingerprints: words of the lower-cased (A-Z) text, 3-word shingles, XXH64 with s
 and a bit for each position that more than half of the hashes set.
 
 Two fingerprints that differ in at most two bits agree in at least six of their eight
-bytes. Postings of single bytes have 256 values, so their lists grow with the corpus;
-the index therefore posts four byte positions at once. The eight positions form four
-pairs, and a posting joins two of the pairs: whichever two bytes differ, at least one
-of the six postings holds none of them. Fingerprints that share a posting have their
-matching positional bytes tallied, those with six or more are kept, and the bits are
-verified.
+positional bytes. A list for a single position and byte has a 256th of all
+fingerprints, so a posting takes four positions with their bytes. The 14 postings of a
+fingerprint are the sets of four positions whose numbers have the exclusive or zero;
+every three positions lie in exactly one of them. Two fingerprints that differ in d
+bytes thus share 14, 7 or 3 postings for d = 0, 1 or 2, which together hold every
+position that agrees, and one at most for more. The tally of a pair is the number of
+positional bytes in the postings that it shares; pairs with six or more are kept, and
+their bits verified.
 
 Only distinct fingerprints are indexed, so exact copies cost one posting. A posting of
-more than ``HOT`` fingerprints isn't paired: each of its members is linked through the
-65 points at most one bit away, and two fingerprints are within two bits exactly if
-they share such a point. That needs 65 rows a member instead of all pairs, and loses
-no link between components. Components come from iterated minimum labels.
+more than ``HOT`` fingerprints isn't paired: the key of its members is extended to all
+eight bytes but for one bit, by the 65 points at most one bit away, and two
+fingerprints are within two bits exactly if they share such a point. That needs 65
+rows a member instead of all pairs, and loses no link between components: a pair has
+either both members in a hot posting, or a whole tally. Components come from iterated
+minimum labels.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like
 any other; texts of one or two words hash the whole sequence; rows with a null id take
-part, and a component of null ids alone has a null ``component_id``.
+part, and a component of null ids alone has a null ``component_id``; repeated rows give
+repeated results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,15 +35,17 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, checkpointed
+from .common import as_bytes, by_bytes, checkpointed, joined, quoted, small_or_not
 from .graph import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: Members of a posting beyond which they are linked by points, not in pairs.
-HOT = 48
+HOT = 24
+#: Rows to be dropped, up to which they are broadcast (about 100 bytes each).
+FEW_ROWS = 500_000
 SLICE_BYTES, SLICE_HASHES = 2 << 20, 1 << 18
 
 
@@ -76,42 +83,52 @@ def fingerprint_array(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` of every row; fp is the fingerprint as a long."""
+    """``doc_id, text_key, fp`` of every row; fp is the fingerprint as a long, text_key a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE_BYTES):
                 fps = fingerprint_array(as_bytes(part.column("text")), size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(fps)], names=["doc_id", "text_key", "fp"])
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    source = with_text_key(docs, id_col, text_col)
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key long, fp long")
 
 
-def _blocks() -> list[int]:
-    """Masks of the six postings: two of the four pairs of byte positions each."""
-    pair = [0xFFFF << (16 * k) for k in range(4)]
-    return [_signed(a | b) for a, b in combinations(pair, 2)]
+def with_text_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_key, text`` of every row."""
+    return docs.select(quoted(id_col).alias("doc_id"), F.xxhash64(quoted(text_col)).alias("text_key"), quoted(text_col).alias("text"))
 
 
-def _matching_bytes(a: Column, b: Column) -> Column:
-    differ = a.bitwiseXOR(b)
-    return sum((F.when(differ.bitwiseAND(F.lit(_signed(0xFF << (8 * k)))) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
+def blocks() -> list[int]:
+    """The 14 postings as sets of four positions (a bit for each of the eight)."""
+    return [sum(1 << p for p in four) for four in combinations(range(8), 4) if four[0] ^ four[1] ^ four[2] ^ four[3] == 0]
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
+def _mask(positions: int) -> int:
+    """The bits of a fingerprint at some byte positions."""
+    return _signed(sum(0xFF << (8 * p) for p in range(8) if positions >> p & 1))
+
+
+def postings(distinct: DataFrame) -> DataFrame:
+    """``fp, positions, bytes``: the byte-position index of distinct fingerprints."""
+    keys = F.array(*(F.struct(F.lit(p).alias("positions"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("bytes")) for p in blocks()))
+    return distinct.select("fp", F.explode(keys).alias("key")).select("fp", "key.positions", "key.bytes")
+
+
+def tallied(members: DataFrame, least: int = 8 - MAX_BITS) -> DataFrame:
+    """Pairs (a, b) of members of postings that share at least ``least`` positional bytes."""
+    left, right = (members.select("positions", "bytes", F.col("fp").alias(x)) for x in "ab")
+    shared = left.join(right, ["positions", "bytes"]).where("a < b")
+    return shared.groupBy("a", "b").agg(F.bit_or("positions").alias("agree")).where(F.bit_count("agree") >= least).select("a", "b")
+
+
+def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs (a, b) of fingerprints within two bits that connect all that are within two bits."""
-    if max_bits != 2:
-        raise ValueError("the postings guarantee two differing bytes, and points two bits")
-    posted = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for k, m in enumerate(_blocks())))).alias("key")).select("fp", "key.block", "key.bytes")
-    posted = checkpointed(posted)
-    shared = checkpointed(posted.groupBy("block", "bytes").agg(F.count("*").alias("n")).where("n > 1"))
-    members = checkpointed(posted.join(shared, ["block", "bytes"]))
-
-    few = members.where(F.col("n") <= hot)
-    left, right = few.select("block", "bytes", F.col("fp").alias("a")), few.select("block", "bytes", F.col("fp").alias("b"))
-    pairs = left.join(right, ["block", "bytes"]).where("a < b")
-    cold = pairs.where((_matching_bytes(F.col("a"), F.col("b")) >= 8 - max_bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
+    posted = checkpointed(postings(distinct))
+    shared = checkpointed(posted.groupBy("positions", "bytes").agg(F.count("*").alias("n")).where("n > 1"))
+    members = checkpointed(posted.join(shared, ["positions", "bytes"]))
+    cold = tallied(members.where(F.col("n") <= hot)).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
 
     points = [F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64))]
     spread = members.where(F.col("n") > hot).select("fp").distinct().select("fp", F.explode(F.array(*points)).alias("point"))
@@ -120,23 +137,47 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> Data
     return cold.unionByName(warm).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row."""
-    marked = checkpointed(fingerprints(docs, size, id_col, text_col))
-    distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct, max_bits, hot))
-    grouped = checkpointed(roots.join(distinct, roots.node == distinct.fp).select("fp", "label", "first"))
+def first_of(rows: DataFrame, key: str) -> DataFrame:
+    """``key, n, first``: each key's number of rows, and its smallest (id, text); rows without an id come last."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")).alias("first"))
+
+
+def with_components(marked: DataFrame, distinct: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """``marked`` with ``first``, the smallest (id, text) of its component; ``distinct`` is ``first_of`` its keys."""
+    roots = components(edges)
+    grouped = checkpointed(distinct.join(roots, distinct[key] == roots.node).select(key, "label", "first"))
     smallest = checkpointed(grouped.groupBy("label").agg(F.min("first").alias("smallest")))
-    changed = grouped.join(smallest, "label").select(F.col("fp").alias("node"), "smallest")
-    labels = checkpointed(distinct.join(changed, distinct.fp == changed.node, "left").select("fp", F.coalesce("smallest", "first").alias("component_id")))
-    return marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    changed = grouped.join(smallest, "label").select(F.col(key).alias("node"), "smallest")
+    labels = checkpointed(distinct.join(changed, distinct[key] == changed.node, "left").select(key, "n", F.coalesce("smallest", "first").alias("first")))
+    return joined(marked, labels, key)
+
 
+def _linked(docs: DataFrame, size: int, hot: int, id_col: str, text_col: str) -> DataFrame:
+    marked = checkpointed(fingerprints(docs, size, id_col, text_col))
+    distinct = checkpointed(first_of(marked, "fp"))
+    return with_components(marked, distinct, links(distinct, hot), "fp")
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id.
 
-    Repeated rows of the id that stays are the same document and stay, as do rows
-    without an id.
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every row."""
+    linked = _linked(docs, size, hot, id_col, text_col)
+    return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, linked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that aren't the first of their component.
+
+    A document is an id with a text: where an id is repeated with another text, each is
+    judged for itself. Rows that repeat id and text are one document and stay or go
+    together. Documents to be dropped are broadcast while they are few, so that texts
+    aren't shuffled.
     """
-    copies = near_duplicates(docs, **options).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    own = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")
+    dropped = checkpointed(linked.where(~own.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_dropped_id"), F.col("text_key").alias("_dropped_key")).distinct())
+    same = quoted(id_col).eqNullSafe(F.col("_dropped_id")) & (F.xxhash64(quoted(text_col)) == F.col("_dropped_key"))
+    return docs.join(small_or_not(dropped, FEW_ROWS), same, "left_anti")
+
+
+def deduplicate(docs: DataFrame, size: int = SHINGLE, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, that with the smallest id; see ``keep_first``."""
+    return keep_first(docs, _linked(docs, size, hot, id_col, text_col), id_col, text_col)

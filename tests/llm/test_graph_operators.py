@@ -10,6 +10,8 @@ import xxhash
 import corpus_pipeline
 from talewarp.llm import decontam, queries, sharding, simhash, topk, warc
 
+from .test_near import groups
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -236,6 +238,23 @@ def test_topk_threshold_prunes_lists():
         assert sorted(total[i == q].tolist()) == sorted(np.take(exact[q], order[q]).tolist())
 
 
+def test_posting_tally(spark):
+    """The index alone tells pairs that agree in six bytes or more."""
+    assert len(simhash.blocks()) == 14
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    values = [base]
+    for d in range(1, 6):
+        for _ in range(8):
+            values.append(base ^ sum(rng.randrange(1, 256) << (8 * p) for p in rng.sample(range(8), d)))
+    frame = spark.createDataFrame([(simhash._signed(v),) for v in sorted(set(values))], "fp long")
+    got = {(r["a"], r["b"]) for r in simhash.tallied(simhash.postings(frame)).collect()}
+    mask = (1 << 64) - 1
+    signed = sorted(simhash._signed(v) for v in set(values))
+    want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if sum(((a ^ b) & mask) >> (8 * p) & 255 == 0 for p in range(8)) >= 6}
+    assert got == want and want
+
+
 def test_pipeline(spark):
     frame, kept = spark.read.parquet(f"{SF}/documents.parquet"), []
     columns = frame.columns
@@ -248,7 +267,7 @@ def test_pipeline(spark):
             frame = spark.createDataFrame(rows, frame.schema)
     assert all(after <= before for before, after in zip(kept, kept[1:], strict=False))
     assert kept[4] == kept[3] and len(kept[3]) > 100
-    values = sorted((r["doc_id"], fingerprint(r["text"])) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["doc_id"] in kept[1])
-    assert kept[2] == {d for d, c in components(values).items() if d == c}
+    values = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["doc_id"] in kept[1]]
+    assert kept[2] == {d for d, c in groups(values).items() if d == c}
     held = decontam.contaminated(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet"))
     assert kept[3] == kept[2] - {r["doc_id"] for r in held.collect()}

@@ -5,13 +5,20 @@ import random
 import pytest
 
 import corpus_pipeline
-from talewarp.llm import near
+from talewarp.llm import near, simhash
 
 SF = "/root/testdata/sf0.001"
 
 
 def groups(rows, least=near.SIMILARITY):
-    sets = [(d, near.shingles(near.words_of((t or "").encode()))) for d, t in rows]
+    def shingles(text):
+        found = (text or "").encode().lower().split()
+        return {b" ".join(found[i : i + near.SIZE]) for i in range(max(1, len(found) - near.SIZE + 1))} if found else set()
+
+    def alike(a, b):
+        return len(a & b) / len(a | b) if a or b else 1.0
+
+    sets = [(d, shingles(t)) for d, t in rows]
     parent = list(range(len(sets)))
 
     def find(i):
@@ -21,7 +28,7 @@ def groups(rows, least=near.SIMILARITY):
 
     for i, (_, a) in enumerate(sets):
         for j in range(i):
-            if near.similarity(a, sets[j][1]) >= least:
+            if alike(a, sets[j][1]) >= least:
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     smallest = {}
@@ -45,7 +52,7 @@ def rows(spark):
     return out + [(200_000 + i, t) for i, t in enumerate(["", None, " \t", "One", "one", "one two", "a b c d e f"])]
 
 
-@pytest.mark.parametrize("hot", [near.HOT, 3])
+@pytest.mark.parametrize("hot", [near.HOT, 48])
 def test_near_copies_equal_all_pairs(spark, rows, hot):
     want = groups(rows)
     assert len(rows) - len(set(want.values())) > 60
@@ -61,3 +68,12 @@ def test_stage_drops_copies_with_a_few_edited_words(spark):
     kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "None"]
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
+
+
+def test_repeated_ids_keep_their_other_text(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, 1), (2, long, 2), (2, "an other text of the same id", 3), (None, long, 4), (None, "no id", 5), (3, "no id", 6), (1, long, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long")
+    for stage in (near.deduplicate, simhash.deduplicate):
+        kept = stage(docs)
+        assert kept.columns == docs.columns and sorted(r["a.b"] for r in kept.collect()) == [1, 3, 6, 7]
