@@ -3,26 +3,37 @@
 Markup is stripped into lines, one per block of the page. Elements that are never
 article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, comments by readers) are known by tag, role, or the words of their class and
-id; they leave empty lines where they stood. So do blocks that are mostly link text,
-and, where the page marks an ``article`` or ``main`` element with text, blocks outside.
-Text lengths are then summed over windows of ``WINDOW`` lines. A surge point is a line
-with text where the sum rises from nothing, a dive point is where it falls back to
-nothing, and the text between a surge and its dive is kept. On pages without a marked
-article, regions with less than ``MINOR`` of the largest region's text are dropped as
-stray lines.
+id; empty lines stand for them, more than a window holds. Where the page marks an
+``article`` or ``main`` element with text, lines outside it count as empty too.
 
+A line weighs the length of its text, without that of its links unless it stands in a
+marked article. Weights are summed over windows of ``WINDOW`` lines. A surge point is a
+line where the sum rises from nothing, a dive point is where it falls back to nothing,
+and the text between a surge and its dive is kept if its highest sum is at least
+``SURGE`` of the page's highest (in a marked article: whatever it is). So menus that are
+nothing but links, and stray lines, stay outside, while a paragraph that is one link,
+between others, is inside. Lines that stand beside kept ones, as elements of the same
+name in the same parent, are kept as well: a short closing paragraph after a menu isn't
+a stray line.
+
+The scanner reads each character a bounded number of times, however broken the markup.
 Reading stops nowhere early and text is neither dropped nor capped by length. Unclosed
-elements end with their parent or where an article begins.
+elements end with their parent, and those that are never closed where an article
+begins. A tag that is cut off by the page's end is left out.
 
 Defined results: null or empty html, and pages without main text, give an empty string
-and 0 characters; repeated rows give repeated results; ids and urls may be null.
+and 0 characters; repeated rows give repeated results; ids and urls may be null; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes
 
-WINDOW, MINOR, LINK_SHARE = 3, 0.05, 0.6
+WINDOW, SURGE = 3, 0.1
 SLICE_BYTES = 4 << 20
 
 #: Elements of HTML by their part in a page.
@@ -38,97 +49,184 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("nav header footer aside form script style noscript template svg math iframe object canvas audio video select button textarea title head menu dialog input option datalist map".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 ARTICLE = frozenset("article main".split())
-CLOSED_BY_BLOCK = frozenset(["p"])
+#: A block that starts ends an open one of these; a paragraph ends at any block.
+ENDED_BY_ITS_LIKE = frozenset("li dt dd td th tr option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 WORDS = frozenset("ad ads adv advert advertisement adverts advertising adsense banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pagination paywall popup promo promoted promotion related replies reply respond rss search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Class names of an ``article`` that is a reader's comment or a teaser.
+OTHER_ARTICLES = re.compile(r"(?:comment|reply|related|promo|teaser|sponsored)(?:-(?:body|item|content|entry|card|post|article|wrapper))?")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE = re.compile(r"=\s*([\"'])")
+_ATTRIBUTE = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
+class Line(NamedTuple):
+    """A block's text, its length without links, whether it lies in a marked article, and its element's parent and name."""
+
+    text: str
+    weight: int
+    inside: bool
+    place: tuple[int, str]
+
+
+_EMPTY = Line("", 0, False, (-1, ""))
+
+
+@lru_cache(maxsize=64)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+
+
+def _attributes(text: str) -> Iterator[tuple[str, str]]:
+    for name, value in _ATTRIBUTE.findall(text):
+        yield name.lower(), value[1:-1] if value[:1] in ("'", '"') else value
+
+
 def _never(tag: str, attributes: str, in_article: bool) -> bool:
     """True for an element that isn't article text."""
     if tag in NEVER and not (in_article and tag == "header"):
         return True
-    if not attributes or tag in ("html", "body", *ARTICLE):
+    if not attributes or tag in ("html", "body"):
         return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value in _attributes(attributes):
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and WORDS.intersection(x.lower() for x in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
-            return True
+        if name in ("class", "id"):
+            if tag in ARTICLE:
+                if any(OTHER_ARTICLES.fullmatch(x) for x in value.lower().split()):
+                    return True
+            elif not WORDS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", value).lower())):
+                return True
     return False
 
 
-def lines(page: str) -> tuple[list[tuple[str, bool]], bool]:
-    """Text of each block in order, empty where other matter stood, with whether it lies in an article; and whether any does."""
-    out: list[tuple[str, bool]] = []
+class _Scanner:
+    """Tags of a page in order; a search that found nothing isn't made again."""
+
+    def __init__(self, page: str):
+        self.page, self.gone, self.last = page, set(), {}
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def end_of_tag(self, at: int) -> int:
+        """Where the tag closes whose attributes start at a place: at the first ``>`` outside a quoted value."""
+        page, at_first = self.page, self.find(">", at)
+        end = at_first
+        while end >= 0 and (value := _QUOTE.search(page, at, end)):
+            shut = self.find(value[1], value.end())
+            if shut < 0:
+                break  # the quote isn't closed, so it is none
+            if shut > end:
+                end = page.find(">", shut) if ">" not in self.gone else -1
+            at = shut + 1
+        return end if end >= 0 else at_first
+
+    def closes_after(self, tag: str, at: int) -> bool:
+        if tag not in self.last:
+            self.last[tag] = max((m.start() for m in _closing(tag).finditer(self.page)), default=-1)
+        return self.last[tag] >= at
+
+
+def lines(page: str) -> list[Line]:
+    """The blocks of a page in order, with empty lines where other matter stood."""
+    out: list[Line] = []
     text: list[str] = []
     linked: list[str] = []
     stack: list[str] = []
+    numbers: list[int] = []  # of the elements on the stack
+    blocks: list[int] = []  # depths of the block elements on the stack
+    opened: Counter[str] = Counter()
     skip: int | None = None  # depth of the element that is left out
-    articles = links = 0
+    articles = links = element = 0
+    scan = _Scanner(page)
 
     def flush() -> None:
         whole = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         if whole:
-            inside = len(_SPACE.sub(" ", html.unescape("".join(linked))).strip())
-            blank = inside > LINK_SHARE * len(whole) and not articles
-            out.append(("" if blank else whole, articles > 0))
+            inside = len(_SPACE.sub(" ", html.unescape("".join(linked))).strip()) if linked and not articles else 0
+            place = (numbers[blocks[-2]] if len(blocks) > 1 else 0, stack[blocks[-1]]) if blocks else (0, "")
+            out.append(Line(whole, max(0, len(whole) - inside), articles > 0, place))
         text.clear()
         linked.clear()
 
     def leave(depth: int) -> None:
         nonlocal skip, articles, links
         while len(stack) > depth:
-            tag = stack.pop()
-            if skip is not None and len(stack) <= skip:
-                skip = None
-                out.extend([("", False)] * WINDOW)
-            elif tag in ARTICLE and skip is None:
+            tag = stack[-1]
+            if tag in ARTICLE and skip is None:
                 flush()
                 articles -= 1
             elif tag == "a" and skip is None:
                 links -= 1
+            stack.pop()
+            numbers.pop()
+            opened[tag] -= 1
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+            if skip is not None and len(stack) <= skip:
+                skip = None
+                out.extend([_EMPTY] * WINDOW)
 
     at, end = 0, len(page)
     while at < end:
-        found = _TOKEN.search(page, at)
-        start = found.start() if found else end
-        loose = page.find("<", at, start)
-        if loose >= 0 and (other := _LOOSE.match(page, loose)) and (not found or other.end() <= start):
-            found, start = other, loose
+        start = page.find("<", at)
+        if start < 0:
+            start = end
         if start > at and skip is None:
             text.append(page[at:start])
             if links > 0:
                 linked.append(page[at:start])
-        if not found:
+        if start == end:
             break
-        at = found.end()
-        if found.re is _TOKEN and found[2] is None:
+        after = page[start + 1 : start + 2]
+        if after in ("!", "?"):
+            comment = page.startswith("<!--", start)
+            shut = scan.find("-->" if comment else ">", start + 2)
+            at = end if shut < 0 else shut + (3 if comment else 1)
             continue
-        closing, tag, attributes = found[1], found[2].lower(), found[3]
+        name = _NAME.match(page, start + (2 if after == "/" else 1))
+        if not name:
+            if skip is None:
+                text.append("<")
+            at = start + 1
+            continue
+        shut = scan.end_of_tag(name.end())
+        if shut < 0:
+            break  # cut off
+        tag, attributes, at = name[0].lower(), page[name.end() : shut], shut + 1
         block = tag in BLOCKS
         if block and skip is None:
             flush()
-        if closing:
-            if tag in stack:
+        if after == "/":
+            if opened[tag] > 0:
                 leave(len(stack) - 1 - stack[::-1].index(tag))
             continue
-        if skip is not None and tag in ARTICLE and stack[skip] not in RAW:
-            leave(skip)  # an unclosed element ends where an article begins
-        if block and stack and stack[-1] in CLOSED_BY_BLOCK:
-            leave(len(stack) - 1)
+        if skip is not None and ((stack[skip] == "head" and tag not in IN_HEAD) or (tag in ARTICLE and not scan.closes_after(stack[skip], at))):
+            leave(skip)
+        if block and blocks and (stack[blocks[-1]] == "p" or (tag in ENDED_BY_ITS_LIKE and stack[blocks[-1]] == tag)):
+            leave(blocks[-1])
         if tag in VOID or attributes.endswith("/"):
             continue
+        element += 1
+        if block:
+            blocks.append(len(stack))
         stack.append(tag)
+        numbers.append(element)
+        opened[tag] += 1
         if skip is None:
             if _never(tag, attributes, articles > 0):
                 flush()
@@ -138,40 +236,46 @@ def lines(page: str) -> tuple[list[tuple[str, bool]], bool]:
             elif tag == "a":
                 links += 1
         if tag in RAW:
-            shut = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = shut.end() if shut else end
+            found = _closing(tag).search(page, at)
+            at = found.end() if found else end
             leave(len(stack) - 1)
     if skip is None:
         flush()
-    return out, any(inside and t for t, inside in out)
-
-
-def regions(sizes: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """Surge and dive points: runs of lines that start where the window sum rises from
-    nothing and end where the sum of the next ``window`` lines is nothing."""
-    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
-    out, start = [], None
-    for i, n in enumerate(sizes):
-        if start is None and n and sums[i]:
-            start = i
-        elif start is not None and not sums[i]:
-            out.append((start, i))
+    return out
+
+
+def regions(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """Surge and dive points and the highest window sum between them.
+
+    A region starts at a line with weight, where the sum rises from nothing, and ends
+    after its last line with weight before the sum of the next ``window`` lines is nothing.
+    """
+    ahead, sums = sum(weights[:window]), []
+    for i, weight in enumerate(weights):
+        sums.append(ahead)
+        ahead += (weights[i + window] if i + window < len(weights) else 0) - weight
+    out, start, last, peak = [], None, 0, 0
+    for i, weight in enumerate(weights):
+        if start is not None and not sums[i]:
+            out.append((start, last + 1, peak))
             start = None
+        if weight:
+            start, peak = (i, 0) if start is None else (start, peak)
+            last, peak = i, max(peak, sums[i])
     if start is not None:
-        out.append((start, len(sizes)))
+        out.append((start, last + 1, peak))
     return out
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
     """The article's blocks, joined by newlines."""
-    found, marked = lines(page or "")
-    kept = [t if inside or not marked else "" for t, inside in found]
-    sizes = list(map(len, kept))
-    spans = regions(sizes)
-    if spans and not marked:
-        most = max(sum(sizes[a:b]) for a, b in spans)
-        spans = [(a, b) for a, b in spans if sum(sizes[a:b]) >= MINOR * most]
-    return "\n".join(t for a, b in spans for t in kept[a:b] if t)
+    found = lines(page or "")
+    marked = any(x.inside for x in found)
+    spans = regions([x.weight if x.inside or not marked else 0 for x in found], window)
+    least = 0 if marked else surge * max((peak for _, _, peak in spans), default=0)
+    kept = {i for a, b, peak in spans if peak >= least for i in range(a, b)}
+    beside = {found[i].place for i in kept if found[i].weight}
+    return "\n".join(x.text for i, x in enumerate(found) if x.text and (i in kept or (x.place in beside and (x.inside or not marked))) and (x.inside or not marked))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -187,4 +187,3 @@ def test_main_text(spark):
     got = {r["page_id"]: r for r in html_text.extract(rows).collect()}
     assert [got[i]["text"] for i in range(len(cases))] == list(cases.values())
     assert got[9]["text"] == "" and got[9]["n_chars"] == 0 and got[0]["n_chars"] == len(got[0]["text"])
-    assert html_text.regions([0, 5, 0, 0, 0, 7, 3, 0, 0, 0]) == [(1, 2), (5, 7)]
