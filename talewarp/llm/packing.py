@@ -5,18 +5,24 @@
 2. Spark counts pieces by length: at most ``capacity`` numbers reach the driver.
 3. The driver plans on that histogram alone. It enumerates patterns of up to three
    lengths that fill a sequence, fits repeat counts r >= 0 to the histogram in the
-   least-squares sense, and rounds down. What the patterns leave over is packed by best
-   fit, longest length first, group of equal pieces by group. Its work depends on the
-   number of lengths, not on that of pieces.
-4. Pieces of one length are numbered by salted window and prefix sums, so that a length
-   that holds a third of all pieces still spreads; the n-th piece of a length takes the
-   n-th place planned for that length, found by binary search in the broadcast plan.
+   least-squares sense, and rounds down. To what is left it fits, in the same way,
+   patterns that leave some tokens free: for every pair of lengths the longest third
+   that there is. The rest is packed by best fit, longest length first, group of equal
+   pieces by group. Of the shares of free tokens in ``SLACKS`` the one counts that gives
+   the fewest sequences. The driver's work depends on the number of lengths, not on
+   that of pieces.
+4. Pieces of one length are numbered by salted window and prefix sums. A length has a
+   salt for every ``PIECES_PER_SALT`` of its pieces, dealt by row, so that a length that
+   holds a third of all pieces, or a row that is repeated as often, still spreads; the
+   n-th piece of a length takes the n-th place planned for that length, found by binary
+   search in the broadcast plan.
 
 The plan grows with ``capacity`` only. Losing executors recomputes tasks; the pieces
-are checkpointed once, before the histogram is taken, so both uses see the same rows.
+are checkpointed once, before the histogram is taken, so all uses see the same rows.
 
 Defined results: null and empty texts are one piece, the end id alone; repeated rows
-are packed each on its own; null ids are kept; an empty table gives an empty result.
+are packed each on its own; null ids are kept; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ from .common import as_bytes, by_bytes, checkpointed
 from .token_counts import SLICE_BYTES, default_tokenizer_path, encoder, split_long
 
 CAPACITY, END_ID = 2048, 0
+#: Shares of a sequence that near-full patterns may leave free.
+SLACKS = (1 / 32, 1 / 128, 0)
 #: Pieces that share a window when pieces of one length are numbered.
 PIECES_PER_SALT = 20_000
 
@@ -73,20 +81,20 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
     return source.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def patterns(capacity: int, present: np.ndarray) -> np.ndarray:
-    """All multisets of at most three present lengths with sum ``capacity``, zero-padded, as rows."""
-    here = np.zeros(capacity + 1, bool)
-    here[present] = True
-    here[0] = True
-    values = np.flatnonzero(here)
+def patterns(capacity: int, present: np.ndarray, slack: int = 0) -> np.ndarray:
+    """Multisets of at most three present lengths with sums of ``capacity`` - ``slack`` or more, as zero-padded rows.
+
+    Of those that share their two shortest lengths, the one with the longest third.
+    """
+    values = np.unique(np.append(present, 0))
+    upto = values[np.searchsorted(values, np.arange(capacity + 1), side="right") - 1]  # the longest present length within each
     found = []
     for a in values:
         middle = values[(values >= a) & (2 * values <= capacity - a)]
-        last = capacity - a - middle
-        middle = middle[here[last]]
-        found.append(np.column_stack([np.full(len(middle), a), middle, capacity - a - middle]))
-    out = np.concatenate(found)
-    return out[out[:, 2] > 0]
+        last = upto[capacity - a - middle]
+        fits = (last >= middle) & (last > 0) & (a + middle + last >= capacity - slack)
+        found.append(np.column_stack([np.full(int(fits.sum()), a), middle[fits], last[fits]]))
+    return np.concatenate(found)
 
 
 def fit_counts(rows: np.ndarray, histogram: np.ndarray, steps: int = 400) -> np.ndarray:
@@ -135,21 +143,34 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[in
     if left[capacity]:
         out.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    present = np.flatnonzero(left)
-    if len(present) and len(rows := patterns(capacity, present)):
-        repeats = fit_counts(rows, left)
-        # whole counts, largest first, never more than the pieces that are left
-        for k in np.argsort(-repeats, kind="stable"):
-            if repeats[k] < 1:
-                break
-            lengths = tuple(int(x) for x in rows[k][::-1] if x)
-            need = {x: lengths.count(x) for x in lengths}
-            n = min(int(repeats[k]), *(int(left[x]) // c for x, c in need.items()))
-            if n > 0:
-                for x, c in need.items():
-                    left[x] -= n * c
-                out.append((lengths, n))
-    return out + _best_fit(left, capacity)
+    out += _fitted(left, capacity, 0)
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for slack in sorted({int(share * capacity) for share in SLACKS}, reverse=True):
+        rest = left.copy()
+        found = (_fitted(rest, capacity, slack, 100) if slack else []) + _best_fit(rest, capacity)
+        if best is None or sum(n for _, n in found) < sum(n for _, n in best):
+            best = found
+    return out + best
+
+
+def _fitted(left: np.ndarray, capacity: int, slack: int, steps: int = 400) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and their whole counts, which are taken from ``left``."""
+    present, out = np.flatnonzero(left), []
+    if not len(present) or not len(rows := patterns(capacity, present, slack)):
+        return out
+    repeats = fit_counts(rows, left, steps)
+    # largest first, never more than the pieces that are left
+    for k in np.argsort(-repeats, kind="stable"):
+        if repeats[k] < 1:
+            break
+        lengths = tuple(int(x) for x in rows[k][::-1] if x)
+        need = {x: lengths.count(x) for x in lengths}
+        n = min(int(repeats[k]), *(int(left[x]) // c for x, c in need.items()))
+        if n > 0:
+            for x, c in need.items():
+                left[x] -= n * c
+            out.append((lengths, n))
+    return out
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -207,16 +228,15 @@ class Places:
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all rows with ``sequence_id`` and ``offset``, gapless from 0."""
     spark = docs.sparkSession
-    parts = checkpointed(pieces(docs, capacity, path, end_id, id_col, text_col))
-    rows = parts.groupBy("length").agg(F.count("*").alias("n")).collect()
+    parts = checkpointed(pieces(docs, capacity, path, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     histogram = np.zeros(capacity + 1, np.int64)
-    for r in rows:
+    for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect():
         histogram[r["length"]] = r["n"]
     places = spark.sparkContext.broadcast(Places(plan(histogram, capacity), capacity))
-    salts = max(64, int(histogram.sum()) // PIECES_PER_SALT)
+    salts = F.element_at(F.lit((histogram // PIECES_PER_SALT + 1).tolist()), F.col("length").cast("int") + 1)
 
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("row"), salts))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1)
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = ranked.join(before.select("length", "salt", F.coalesce("before", F.lit(0)).alias("before")), ["length", "salt"])

@@ -106,6 +106,33 @@ def test_plan_places_each_piece_once(seed):
 def test_patterns_are_all_there_is():
     got = {tuple(sorted(int(x) for x in r if x)) for r in packing.patterns(12, np.array([2, 3, 5, 7, 12]))}
     assert got == {(12,), (5, 7), (2, 3, 7), (2, 5, 5)}
+    near = {tuple(sorted(int(x) for x in r if x)) for r in packing.patterns(2048, np.array([640, 700]), 64)}
+    assert near == {(640, 700, 700)}
+
+
+def test_patterns_fit_lengths_that_never_fill_a_sequence():
+    histogram = np.zeros(2049, np.int64)
+    histogram[640], histogram[700] = 1000, 2000
+    rows = packing.patterns(2048, np.array([640, 700]), 64)
+    assert abs(packing.fit_counts(rows, histogram)[0] - 1000) < 50
+    planned = packing.plan(histogram)
+    assert ((700, 700, 640), 1000) in planned or sum(n for p, n in planned if sorted(p) == [640, 700, 700]) >= 950
+    assert sum(n for _, n in planned) <= 1020
+
+
+def test_packing_edges(spark, monkeypatch):
+    frame = spark.createDataFrame([(None, "same text", 1)] * 50 + [(7, "same text", 2), (8, None, 3)], "doc_id long, text string, length long")
+    monkeypatch.setattr(packing, "PIECES_PER_SALT", 8)
+    rows = packing.pack(frame).collect()
+    assert len(rows) == 52 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 52
+    assert packing.pack(frame.limit(0)).count() == 0
+    monkeypatch.setattr(packing, "SLICE_BYTES", 64)
+    long = spark.createDataFrame([(1, "some words " * 3000), (2, "x" * 500)], "doc_id long, text string")
+    enc = token_counts.encoder(token_counts.default_tokenizer_path())
+    got = {}
+    for r in packing.pack(long).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == {1: int(enc.counts([b"some words " * 3000])[0]) + 1, 2: int(enc.counts([b"x" * 500])[0]) + 1}
 
 
 def test_language(spark, docs, odd):
