@@ -2,17 +2,22 @@
 
 An archive is a sequence of Zstandard frames. The first is a skippable frame that holds
 the dictionary (itself compressed); each following frame is one whole WARC record,
-compressed with that dictionary, so any record can be decoded alone.
+compressed with that dictionary, so any record can be decoded alone. An empty skippable
+frame, which every decoder passes over, follows each.
 
 Writing: equal payloads are found by an aggregate over (digest, id), pre-aggregated
 before the shuffle, so a payload shared by a third of all pages costs one row a task.
-Pages then meet their record type by page id, which spreads evenly. Tasks write files
-of about ``archive_bytes`` to the shared folder under a temporary name and rename them;
-rows are sorted before, so a task that is run again writes the same files.
+Pages then meet their record type; revisits are broadcast while they are few, so that
+html isn't shuffled. Tasks encode records, and Spark's text writer puts the frames into
+files of about ``archive_bytes`` in the shared folder, on any store that Spark writes
+and with its commit protocol: a text row is written as its bytes are, and the separator
+between rows is the empty skippable frame. Files are named as Spark names them.
 
 Reading: Spark reads the files as binary; each task decodes frame by frame and checks
 magic, dictionary, version line, mandatory headers, Content-Length, the end of record,
-and the payload digest.
+and the payload digest. Archives made elsewhere may hold other record types; their
+headers, lengths and digests (SHA-256 in hexadecimal, SHA-1 in base 32) are checked and
+their block is the payload.
 
 The dictionary is trained on a bounded sample: ``DICT_SAMPLES`` pages with the smallest
 id hashes, ``DICT_SAMPLE_BYTES`` of each. It only affects size.
@@ -20,11 +25,13 @@ id hashes, ``DICT_SAMPLE_BYTES`` of each. It only affects size.
 Defined results: null html is an empty payload; a null url gives an empty target;
 payloads under ``MIN_REVISIT`` bytes are always responses; rows that repeat the
 response's page id are responses too; null ids come back as null, as a revisit if
-another page has the same payload.
+another page has the same payload; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 import uuid
@@ -35,14 +42,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, checkpointed, fresh_folder
+from .common import as_bytes, by_bytes, checkpointed, fresh_folder, joined, small_or_not
 
 MIN_REVISIT, ARCHIVE_BYTES, LEVEL = 100, 32 << 20, 3
 DICT_BYTES, DICT_SAMPLES, DICT_SAMPLE_BYTES = 64 << 10, 512, 8 << 10
 DATE = "2024-01-01T00:00:00Z"
+#: Revisits up to which they are broadcast (about 200 bytes each), and html that a task encodes at once.
+FEW_ROWS, SLICE_BYTES = 250_000, 4 << 20
 #: Fixed values of the Zstandard and WARC formats.
 SKIPPABLE_DICT = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
+EMPTY_FRAME = "P*M\x18\0\0\0\0"  # magic number 0x184D2A50, length 0
+PLAIN_TYPES = ("warcinfo", "request", "metadata", "resource", "conversion", "continuation")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -114,6 +125,14 @@ def _length(headers: dict[str, str], what: str) -> int:
     return int(value)
 
 
+def _check_digest(stated: str | None, data: bytes) -> None:
+    """Raise where a digest is stated that ``data`` doesn't have."""
+    algorithm, _, digest = (stated or "").partition(":")
+    found = {"sha256": lambda: hashlib.sha256(data).hexdigest(), "sha1": lambda: base64.b32encode(hashlib.sha1(data).digest()).decode()}.get(algorithm)
+    if stated and (found is None or found() != digest):
+        raise WarcError(f"{stated[:80]!r} is not the digest of {len(data)} bytes")
+
+
 def parse_record(raw: bytes) -> dict:
     """Fields of one record; raises WarcError where a header, length or digest is wrong."""
     head, blank, rest = raw.partition(b"\r\n\r\n")
@@ -127,20 +146,29 @@ def parse_record(raw: bytes) -> dict:
     size = _length(headers, "record")
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise WarcError(f"record of {len(rest)} bytes after its head, {size + 4} announced")
+    kind = headers["warc-type"]
+    if kind in PLAIN_TYPES:
+        _check_digest(headers.get("warc-block-digest"), rest[:size])
+        return {
+            "page_id": None,
+            "url": headers.get("warc-target-uri"),
+            "payload": rest[:size],
+            "payload_bytes": size,
+            "payload_digest": hashlib.sha256(rest[:size]).hexdigest(),
+            "record_type": kind,
+            "refers_to": None,
+        }
     http, blank, payload = rest[:size].partition(b"\r\n\r\n")
     status, _, lines = http.partition(b"\r\n")
     if not blank or not status.startswith(b"HTTP/1."):
         raise WarcError("block is not an HTTP response")
     announced = _length(_headers(lines, "block"), "block")
-    algorithm, _, digest = headers.get("warc-payload-digest", "").partition(":")
-    if algorithm != "sha256" or len(digest) != 64:
-        raise WarcError("bad payload digest")
-    kind = headers["warc-type"]
+    _, _, digest = headers.get("warc-payload-digest", "").partition(":")
     if kind == "response":
         if len(payload) != announced:
             raise WarcError(f"payload of {len(payload)} bytes, {announced} announced")
-        if hashlib.sha256(payload).hexdigest() != digest:
-            raise WarcError("payload does not match its digest")
+        _check_digest(headers.get("warc-payload-digest"), payload)
+        digest = hashlib.sha256(payload).hexdigest()
     elif kind == "revisit":
         if payload or headers.get("warc-profile") != REVISIT_PROFILE or "warc-refers-to" not in headers:
             raise WarcError("bad revisit record")
@@ -160,20 +188,23 @@ def parse_record(raw: bytes) -> dict:
 
 def read_archive(data: bytes) -> Iterator[dict]:
     """The records of one archive, a frame at a time."""
-    view, at, dictionary = memoryview(data), 0, None
-    while at + 8 <= len(view) and 0x184D2A50 <= (magic := int.from_bytes(view[at : at + 4], "little")) <= 0x184D2A5F:
-        size = int.from_bytes(view[at + 4 : at + 8], "little")
-        if at + 8 + size > len(view):
-            raise WarcError("skippable frame runs beyond the archive")
-        if magic == SKIPPABLE_DICT and at == 0:
-            held = bytes(view[8 : 8 + size])
-            try:
-                dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(held) if held.startswith(FRAME_MAGIC) else held)
-            except zstandard.ZstdError as error:
-                raise WarcError(f"bad dictionary: {error}") from error
-        at += 8 + size
-    decoder = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
+    view, at, dictionary = memoryview(data).cast("B"), 0, None
+    decoder = zstandard.ZstdDecompressor()
     while at < len(view):
+        magic = int.from_bytes(view[at : at + 4], "little")
+        if 0x184D2A50 <= magic <= 0x184D2A5F:
+            size = int.from_bytes(view[at + 4 : at + 8], "little")
+            if at + 8 + size > len(view):
+                raise WarcError("skippable frame runs beyond the archive")
+            if magic == SKIPPABLE_DICT and at == 0:
+                held = bytes(view[8 : 8 + size])
+                try:
+                    dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(held) if held.startswith(FRAME_MAGIC) else held)
+                except zstandard.ZstdError as error:
+                    raise WarcError(f"bad dictionary: {error}") from error
+                decoder = zstandard.ZstdDecompressor(dict_data=dictionary)
+            at += 8 + size
+            continue
         if view[at : at + 4] != FRAME_MAGIC:
             raise WarcError(f"no frame at byte {at}")
         one = decoder.decompressobj()
@@ -192,67 +223,49 @@ def read_archive(data: bytes) -> Iterator[dict]:
 
 
 def record_types(pages: DataFrame) -> DataFrame:
-    """``page_id, digest, first`` for pages that share a payload of at least ``MIN_REVISIT`` bytes."""
+    """``page_id, digest, first`` for pages that revisit another's payload of at least ``MIN_REVISIT`` bytes."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", payload.alias("payload")).where(F.length("payload") >= MIN_REVISIT).select("page_id", F.sha2("payload", 256).alias("digest"))
     keyed = checkpointed(keyed)
-    firsts = checkpointed(keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n"))
-    return checkpointed(keyed.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct())
+    firsts = checkpointed(keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL"))
+    return checkpointed(joined(keyed, firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct())
 
 
-def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write the archives into ``folder``; one row (path, records, bytes) per archive."""
+def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write the archives into the new ``folder``."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     hashed = pages.where("html IS NOT NULL").withColumn("h", F.xxhash64("page_id"))
     least = hashed.select("h").orderBy("h").limit(DICT_SAMPLES).agg(F.max("h")).first()[0]
     samples = hashed.where(F.col("h") <= F.lit(least)).select(F.substring("html", 1, DICT_SAMPLE_BYTES).alias("t")).limit(DICT_SAMPLES).collect() if least is not None else []
     dictionary = train_dictionary([r["t"].encode()[:DICT_SAMPLE_BYTES] for r in samples])
+    # records of a file, by the size of an average page; its first row is the dictionary
+    size = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    rows = max(2, int(archive_bytes / (size + 400)) + 1)
+    types = small_or_not(record_types(pages).select(F.col("page_id").alias("revisit_id"), F.col("digest").alias("revisit_digest"), "first"), FEW_ROWS)
     digest = F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
-    types = record_types(pages).select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("key"), "digest", "first")
-    keyed = pages.withColumn("digest", digest).withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
-    typed = keyed.hint("merge").join(types, ["key", "digest"], "left").select("page_id", "url", "html", "digest", "first")
-    typed = typed.sortWithinPartitions("page_id", "digest", "url")
+    same = F.col("page_id").eqNullSafe(F.col("revisit_id")) & (F.col("digest") == F.col("revisit_digest"))
+    typed = pages.withColumn("digest", digest).join(types, same, "left").select("page_id", "url", "html", "digest", "first", F.col("revisit_digest").isNotNull().alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-        context = TaskContext.get()
         held = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         coder = zstandard.ZstdCompressor(level=LEVEL, dict_data=held) if held else zstandard.ZstdCompressor(level=LEVEL)
-        frames: list[bytes] = []
-        size = number = 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal size, number
-            name = f"part-{context.partitionId():06d}-{number:04d}.warc.zst"
-            draft = f"{root}/_{name}.{context.taskAttemptId()}"
-            with store.open_output_stream(draft, compression=None) as out:
-                out.write(b"".join(frames))
-            store.move(draft, f"{root}/{name}")
-            row = pa.RecordBatch.from_pydict({"path": [name], "records": [len(frames) - bool(dictionary)], "bytes": [size]})
-            frames.clear()
-            size, number = 0, number + 1
-            return row
-
+        number = 0
         for batch in batches:
-            for part in by_bytes(batch, "html", 4 << 20):
-                for page, url, payload, digest, first in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), as_bytes(part.column("html")), part.column("digest").to_pylist(), part.column("first").to_pylist(), strict=True):
-                    if not frames and dictionary:
+            for part in by_bytes(batch, "html", SLICE_BYTES):
+                frames = []
+                for page, url, payload, digest, first, revisit in zip(*(part.column(c).to_pylist() for c in ("page_id", "url")), as_bytes(part.column("html")), *(part.column(c).to_pylist() for c in ("digest", "first", "revisit")), strict=True):
+                    if dictionary and number % rows == 0:
                         frames.append(dictionary_frame(dictionary))
-                        size += len(frames[0])
-                    frames.append(coder.compress(record(page, url, payload, digest, first, first is not None)))
-                    size += len(frames[-1])
-                    if size >= archive_bytes:
-                        yield close()
-        if frames:
-            yield close()
+                        number += 1
+                    frames.append(coder.compress(record(page, url, payload, digest, first, revisit)))
+                    number += 1
+                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
-    return checkpointed(typed.mapInArrow(run, "path string, records long, bytes long"))
+    frames = typed.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("frame"))
+    frames.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", rows).text(folder)
 
 
-def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+def read(spark: SparkSession, folder: str, payloads: bool = True, files: str = "part-*") -> DataFrame:
     """Records of all archives in ``folder``, validated; raises at the first that is malformed."""
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
     kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
@@ -264,7 +277,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows, size = [], 0
-                for row in read_archive(content.as_py()):
+                for row in read_archive(content.as_buffer()):
                     rows.append(row)
                     size += len(row["payload"]) + 200
                     if size > 4 << 20:
@@ -274,25 +287,17 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                     yield batch_of(rows)
 
     schema = ", ".join(f"{n} {'binary' if n == 'payload' else 'long' if pa.types.is_integer(kinds[n]) else 'string'}" for n in names)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", files).load(folder).select("content").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write one record per row, read the archives back and return the records without payloads."""
     spark = pages.sparkSession
     folder = fresh_folder(spark, "warc")
-    _make(spark, folder)
-    written = write(pages, folder, archive_bytes)
-    if not written.limit(1).count():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    write(pages, folder, archive_bytes)
     return read(spark, folder, payloads=False).drop("url")
 
 
-def _make(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-
-
 #: DuckDB: the record of each page. Rows that repeat a page id and payload share a type.
 ORACLE = f"""
 WITH p AS (

@@ -45,6 +45,42 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_archives_on_any_store(spark, tmp_path):
+    """Archives are files of bounded size that any decoder reads; payloads come back whole."""
+    import zstandard
+
+    rng = random.Random(4)
+    rows = [(i, f"http://h/{i}", "".join(rng.choice(["<p>", "é", "word ", "x" * rng.randrange(9)]) for _ in range(900)), i) for i in range(300)] + [(300, None, None, 1), (None, "u", "", 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest long")
+    folder = f"file://{tmp_path}/warc"
+    warc.write(pages, folder, archive_bytes=50_000)
+    got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read(spark, folder).collect()}
+    assert got == {i: html or "" for i, _, html, _ in rows}
+    files = sorted((tmp_path / "warc").glob("part-*.txt"))
+    assert len(files) > 10 and max(f.stat().st_size for f in files) < 200_000
+    data = files[0].read_bytes()
+    size = int.from_bytes(data[4:8], "little")
+    held = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(data[8 : 8 + size]))
+    plain = zstandard.ZstdDecompressor(dict_data=held).stream_reader(data, read_across_frames=True).read()
+    assert plain.count(b"WARC/1.1\r\n") == len(list(warc.read_archive(data)))
+
+
+def test_warc_records_of_others():
+    import base64
+    import hashlib
+
+    import zstandard
+
+    block = b"software: some crawler\r\n"
+    digest = base64.b32encode(hashlib.sha1(block).digest()).decode()
+    head = f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Block-Digest: sha1:{digest}\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+    pack = zstandard.ZstdCompressor().compress
+    (row,) = warc.read_archive(pack(head + block + b"\r\n\r\n"))
+    assert row["record_type"] == "warcinfo" and row["payload"] == block and row["page_id"] is None
+    with pytest.raises(warc.WarcError):
+        list(warc.read_archive(pack(head + block.upper() + b"\r\n\r\n")))
+
+
 def test_warc_reader_rejects_damage():
     import zstandard
 
