@@ -3,21 +3,26 @@
 Training counts n-grams per language over a sample of about ``train_rows`` training
 rows (None: all rows). All labelled rows are counted by language first, and each
 language gives an equal number, taken by a hash of the id; one that has fewer gives all
-that it has, and what it leaves is shared by the others. Tasks count in numpy and
+that it has, and what it leaves is shared by the others. Priors are the languages'
+shares of all labelled rows. Tasks count in numpy and
 emit one row per (language, bucket) that they saw, Spark sums them, and the driver
 receives languages x ``buckets`` numbers, a size fixed by parameters. Log
-probabilities are broadcast as one matrix. Scoring gathers matrix rows for the n-grams
-of a whole batch and sums them per document, in blocks of ``CELLS`` numbers, so that
-neither a very long text nor many languages take more memory.
+probabilities are broadcast as one matrix. A batch is a sparse matrix of documents and
+n-grams, one entry for each position; scoring multiplies it with the broadcast matrix,
+in blocks of ``CELLS`` numbers, so that neither a very long text nor many languages take
+more memory.
 
 Defined results: null or letterless text gives ``und`` with score 0; ties go to the
-language that sorts first; without training rows every text is ``und``; more than
-``max_languages`` labels raise an error.
+language that sorts first; without training rows every text is ``und``, and nothing is
+kept; more than ``max_languages`` labels raise an error; rows without an id aren't
+trained on; repeated rows count, and are predicted, each for itself; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,6 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Training rows, about; beyond it a share of each language's ids is taken by hash.
 TRAIN_ROWS = 20_000
-HASH_PARTS = 1_000_003
 MAX_LANGUAGES = 256
 SLICE_BYTES = 1 << 20
 #: Numbers held at once while n-grams are looked up: positions of a text times languages.
@@ -66,12 +70,21 @@ def quotas(counted: dict[str, int], rows: int) -> dict[str, int]:
     return taken
 
 
-def train(docs: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS, smoothing: float = 0.5, max_languages: int = MAX_LANGUAGES, train_rows: int | None = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in order and their log probabilities, one row per bucket.
+def hash_limit(share: float) -> int:
+    """Hashes of 63 bits below this are a share of all; above zero however small the share."""
+    return max(1, min((1 << 63) - 1, int(share * 2.0**63)))
 
-    Prior probabilities are uniform. Only rows that are not held out, with non-null
-    text and language, are read.
-    """
+
+class Model(NamedTuple):
+    """Languages in order, log probabilities with a row for each bucket, and log priors."""
+
+    languages: list[str]
+    matrix: np.ndarray
+    priors: np.ndarray
+
+
+def train(docs: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS, smoothing: float = 0.5, max_languages: int = MAX_LANGUAGES, train_rows: int | None = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """The model of the rows that are not held out and have a text and a language; only those are read."""
     usable = ~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()
     source = docs.where(usable).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counted = {r["lang"]: r["n"] for r in source.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
@@ -80,8 +93,8 @@ def train(docs: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORD
         raise ValueError(f"more than {max_languages} languages")
     if train_rows is not None and sum(counted.values()) > train_rows:
         taken = quotas(counted, train_rows)
-        parts = F.create_map(*(F.lit(x) for lang in languages for x in (lang, -(-taken[lang] * HASH_PARTS // counted[lang]))))
-        chosen = F.pmod(F.xxhash64(id_col), F.lit(HASH_PARTS)) < F.try_element_at(parts, F.col(lang_col))
+        limits = F.create_map(*(F.lit(x) for lang in languages for x in (lang, hash_limit(taken[lang] / counted[lang]))))
+        chosen = F.shiftrightunsigned(F.xxhash64(id_col), 1) <= F.try_element_at(limits, F.col(lang_col))
         source = docs.where(chosen).where(usable).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     place = {x: i for i, x in enumerate(languages)}
 
@@ -93,10 +106,13 @@ def train(docs: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORD
                 for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
                     by_language.setdefault(lang, []).append(text)
                 for lang, texts in by_language.items():
-                    codes, _ = _codes(texts)
+                    codes, starts = _codes(texts)
                     for order in orders:
+                        crossing = (starts[1:-1, None] - np.arange(1, order)).ravel()  # they run on into the next text
                         for a in range(0, max(0, len(codes) - order + 1), CELLS):
-                            counts[place[lang]] += np.bincount(_hashes(codes[a : a + CELLS + order - 1], order, buckets), minlength=buckets)
+                            found = _hashes(codes[a : a + CELLS + order - 1], order, buckets)
+                            own = crossing[(crossing >= a) & (crossing < a + len(found))] - a
+                            counts[place[lang]] += np.bincount(np.delete(found, own), minlength=buckets)
         lang, bucket = counts.nonzero()
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[lang, bucket])], names=["lang", "bucket", "n"])
 
@@ -104,20 +120,20 @@ def train(docs: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORD
     summed = source.mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts[summed.column("lang").to_numpy(), summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
     smoothed = counts + smoothing
-    return languages, np.ascontiguousarray(np.log(smoothed / smoothed.sum(axis=1, keepdims=True)).T.astype(np.float32))
+    number = np.array([counted[x] for x in languages], float)
+    return Model(languages, np.ascontiguousarray(np.log(smoothed / smoothed.sum(axis=1, keepdims=True)).T.astype(np.float32)), np.log(number / number.sum()) if languages else number)
 
 
-def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, orders: tuple[int, ...] = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, orders: tuple[int, ...] = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every column of ``docs`` is dropped but the id and text; adds ``held_out, lang_pred, score``."""
     spark: SparkSession = docs.sparkSession
-    model = spark.sparkContext.broadcast((languages, matrix))
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, logp = model.value
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE_BYTES):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                pred, score = _score(texts, names, logp, orders)
+                pred, score = _score(texts, shared.value, orders)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out")), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -125,11 +141,12 @@ def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, orders: t
     return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def _score(texts: list[str], names: list[str], logp: np.ndarray, orders: tuple[int, ...]) -> tuple[list[str], list[float]]:
+def _score(texts: list[str], model: Model, orders: tuple[int, ...]) -> tuple[list[str], list[float]]:
+    names, logp, priors = model
     if not names:
         return ["und"] * len(texts), [0.0] * len(texts)
     codes, starts = _codes(texts)
-    total = np.zeros((len(texts), len(names)))
+    total = np.tile(priors, (len(texts), 1))
     block = max(1, CELLS // len(names))
     for a in range(0, len(codes), block):
         size = min(block, len(codes) - a)
@@ -155,17 +172,16 @@ def _score(texts: list[str], names: list[str], logp: np.ndarray, orders: tuple[i
 
 def identify(docs: DataFrame, **options) -> DataFrame:
     """Train on the rows of ``docs`` that are not held out, then predict every row."""
-    languages, matrix = train(docs, **options)
-    return predict(docs, languages, matrix)
+    return predict(docs, train(docs, **options))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4, **options) -> DataFrame:
     """``docs`` without the rows whose language is ``und`` or scores below ``least``."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, **options))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, **options))
     orders = options.get("orders", ORDERS)
 
     def keep(texts: list[str]) -> list[bool]:
-        names, scores = _score(texts, *model.value, orders)
+        names, scores = _score(texts, shared.value, orders)
         return [n != "und" and s >= least for n, s in zip(names, scores, strict=True)]
 
     return keep_rows(docs, keep, SLICE_BYTES)

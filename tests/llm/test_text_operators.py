@@ -140,8 +140,7 @@ def test_language(spark, docs, odd):
     held = [(r["lang"], got[r["doc_id"]]["lang_pred"]) for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     assert len(held) > 20 and np.mean([a == b for a, b in held]) > 0.9
     assert all(got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in docs.collect())
-    languages, matrix = langid.train(docs)
-    rows = langid.predict(odd, languages, matrix).collect()
+    rows = langid.predict(odd, langid.train(docs)).collect()
     assert len(rows) == len(ODD) + 2 and all(r["lang_pred"] == "und" and r["score"] == 0 for r in rows if r["doc_id"] in (0, 1, 2))
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert langid.identify(docs.limit(0)).count() == 0
@@ -168,10 +167,11 @@ def test_language_of_long_texts_and_many_languages(monkeypatch):
     names = [f"l{i:02d}" for i in range(7)]
     logp = np.log(rng.random((512, len(names)))).astype(np.float32)
     texts = ["", "a", "ab cd", "word " * 300, "é" * 50, *("".join(rng.choice(list("abcde "), n)) for n in (1, 2, 3, 40, 900))]
-    whole = langid._score(texts, names, logp, (1, 2, 3))
+    model = langid.Model(names, logp, np.log(np.full(len(names), 1 / len(names))))
+    whole = langid._score(texts, model, (1, 2, 3))
     for cells in (7, 21, 350, 7000):
         monkeypatch.setattr(langid, "CELLS", cells)
-        got = langid._score(texts, names, logp, (1, 2, 3))
+        got = langid._score(texts, model, (1, 2, 3))
         assert got[0] == whole[0] and np.allclose(got[1], whole[1], atol=1e-4)
 
 
