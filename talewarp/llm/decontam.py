@@ -1,8 +1,11 @@
 """Benchmark decontamination (op 8): CGK embedding, bit-sampling LSH, edit verification.
 
-Benchmark items and documents are sequences of lower-cased words. A document holds an
-item of n words if some window lies within edit distance floor((1 - ``SIMILARITY``) n)
-of it, counted in words.
+Benchmark items and documents are sequences of lower-cased words; in scripts that don't
+space their words (Han, Kana, Thai, Lao, Burmese, Khmer) each character is a word. A
+document holds an item of n words if some window lies within edit distance
+floor((1 - ``SIMILARITY``) n) of it, counted in words; items of fewer than five words are
+thus matched exactly. An item without any word (nothing but marks) is held where its
+text stands in the document's, letter by letter.
 
 Windows of an item's size start at every word of a whole document. A lossless filter
 leaves those that can match: k edits spare all but k of an item's words, so of its
@@ -19,9 +22,12 @@ are verified by shared words and then by exact edit distance with free ends.
 The benchmark is a query set: it is broadcast in blocks of at most ``BLOCK_BYTES`` of
 text, one pass over the documents each. There is no join or shuffle of documents.
 
-Defined results: null and empty texts hold nothing; items of fewer than ``MIN_WORDS``
-words, or null, take no part; repeated items are each reported; repeated documents give
-repeated rows.
+Defined results: null and empty texts hold nothing; null and blank items take no part;
+repeated items are each reported, under their ids or null; repeated documents, and
+those without an id, give a row each; of windows with equal distance the first found
+counts; other columns are ignored (``decontaminate`` keeps them); an empty table of
+documents or items gives an empty result. Texts of any length are read whole, a part at
+a time.
 """
 
 from __future__ import annotations
@@ -37,14 +43,31 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, keep_rows
 
-SIMILARITY, MIN_WORDS = 0.8, 5
+SIMILARITY = 0.8
 BITS, REPEATS, STRETCH, SPARE = 3, 32, 2, 5
 BLOCK_BYTES, SLICE_BYTES = 16 << 20, 4 << 20
+#: Characters of a long text that are split into words at once.
+PART_CHARS = 1 << 20
 _WORDS = re.compile(r"\w+").findall
+_SPACE = re.compile(r"\s")
+#: Ranges of the scripts that don't space their words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS(text.lower())
+    text = text.lower()
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", text)
+    return _WORDS(text)
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about ``PART_CHARS`` that are cut at white space."""
+    at = 0
+    while len(text) - at > PART_CHARS and (cut := _SPACE.search(text, at + PART_CHARS)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
 def allowed(n: int, similarity: float = SIMILARITY) -> int:
@@ -97,18 +120,21 @@ def walk_keys(rows: np.ndarray, repeat: int, bits: int = BITS) -> np.ndarray:
 class Index:
     """The items of one block, by number of words, with their buckets."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, min_words: int = MIN_WORDS, bits: int = BITS, repeats: int = REPEATS):
+    def __init__(self, items: list[tuple[int | None, str]], similarity: float = SIMILARITY, bits: int = BITS, repeats: int = REPEATS):
         self.numbers: dict[str, int] = {}
         self.bits, self.repeats = bits, repeats
         ids: dict[tuple[str, ...], list[int]] = {}
+        marks: dict[str, list[int]] = {}
         for item, text in items:
-            words = tuple(words_of(text or ""))
-            if len(words) >= min_words:
+            if words := tuple(words_of(text or "")):
                 ids.setdefault(words, []).append(item)
+            elif bare := (text or "").strip():
+                marks.setdefault(bare, []).append(item)
         for words in ids:
             for w in words:
                 self.numbers.setdefault(w, len(self.numbers) + 1)
-        self.ids = list(ids.values())
+        self.marks = list(marks)
+        self.ids = [*ids.values(), *marks.values()]
         self.items = [np.array([self.numbers[w] for w in words], np.int32) for words in ids]
         self.edits = [allowed(len(x), similarity) for x in self.items]
         self.by_size: dict[int, list[int]] = {}
@@ -138,10 +164,14 @@ class Index:
     def find(self, texts: list[str]) -> list[dict[int, tuple[int, int]]]:
         """For each text the items that it holds: distance, and the word where the window starts."""
         out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+        for k, bare in enumerate(self.marks, len(self.items)):
+            for matches, text in zip(out, texts, strict=True):
+                if bare in text:
+                    matches[k] = (0, sum(len(words_of(p)) for p in _parts(text[: text.index(bare)])))
         if not self.items or not texts:
             return out
         get = self.numbers.get
-        numbers = [np.array([get(w, 0) for w in words_of(t)], np.int32) for t in texts]
+        numbers = [np.concatenate([np.array([get(w, 0) for w in words_of(p)], np.int32) for p in _parts(t)]) for t in texts]
         gap = np.zeros(self.reach, np.int32)
         joined = np.concatenate([x for n in numbers for x in (n, gap)] or [gap])
         lengths = np.array([len(n) + self.reach for n in numbers])
@@ -197,7 +227,7 @@ class Index:
                 out[doc][item] = (distance, start - int(first[doc]))
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
     """The benchmark's rows in blocks of bounded size."""
     rows = benchmark.where("text IS NOT NULL").select("item_id", "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -220,7 +250,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
             for batch in batches:
                 for part in by_bytes(batch, "text", SLICE_BYTES):
                     rows = [
-                        (row, item, distance, len(held.items[k]), start)
+                        (row, item, distance, len(held.items[k]) if k < len(held.items) else 0, start)
                         for row, matches in enumerate(held.find([t or "" for t in part.column("text").to_pylist()]))
                         for k, (distance, start) in matches.items()
                         for item in held.ids[k]

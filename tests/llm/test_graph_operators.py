@@ -235,6 +235,7 @@ def test_decontamination_edges(spark):
     docs = spark.createDataFrame([(1, f"before {text.upper()} after", 7), (1, f"x {text}", 7), (2, None, 7), (3, "", 7), (None, text, 7), (4, "two one", 7)], "doc_id long, text string, item_id long")
     got = sorted((str(r["doc_id"]), r["item_id"], r["distance"]) for r in decontam.contaminated(docs, benchmark).collect())
     assert got == sorted([("1", 1, 0), ("1", 2, 0)] * 2 + [("None", 1, 0), ("None", 2, 0)])
+    assert decontam.contaminated(docs.limit(0), benchmark).count() == 0 and decontam.decontaminate(docs, benchmark.limit(0)).count() == docs.count()
     kept = decontam.decontaminate(docs, benchmark, block_bytes=40)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "3", "4"]
     assert decontam.contaminated(docs, benchmark.limit(0)).count() == 0
