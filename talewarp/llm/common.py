@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Documents whose crc32 of the decimal id leaves this remainder are held out of training.
 HELD_OUT_MODULUS = 5
+#: Bytes of rows that go to Python at once.
+BATCH_BYTES = 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -95,6 +97,19 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most about ``BATCH_BYTES``.
+
+    Spark's own limit of 64 MB is held by each running task some times over, outside the
+    JVM's heap and in Python. The setting is the session's, as Spark reads it when the
+    plan is run; one that was made by the user is left as it is.
+    """
+    conf, name, own = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
+    if conf.get(name, own) == own:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def keep_rows(docs: DataFrame, keep: Callable[[list[str]], Iterable[bool]], slice_bytes: int = 1 << 20, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, for whose texts ``keep`` is true (null: empty).
 
@@ -107,4 +122,4 @@ def keep_rows(docs: DataFrame, keep: Callable[[list[str]], Iterable[bool]], slic
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
                 yield part.filter(pa.array(list(keep(texts)), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

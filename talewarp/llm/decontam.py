@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, keep_rows
+from .common import by_bytes, keep_rows, map_batches
 
 SIMILARITY = 0.8
 BITS, REPEATS, STRETCH, SPARE = 3, 32, 2, 5
@@ -261,7 +261,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
                         names=["doc_id", "item_id", "distance", "item_words", "start_word"],
                     )
 
-        part = source.mapInArrow(run, f"doc_id {kind}, item_id long, distance int, item_words int, start_word int")
+        part = map_batches(source, run, f"doc_id {kind}, item_id long, distance int, item_words int, start_word int")
         found = part if found is None else found.unionByName(part)
     return found
 

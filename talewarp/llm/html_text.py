@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, map_batches
 
 WINDOW, SURGE = 3, 0.1
 SLICE_BYTES = 4 << 20
@@ -289,4 +289,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
     kind = pages.select("page_id").schema[0].dataType.simpleString()
     source = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return source.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return map_batches(source, run, f"page_id {kind}, url string, text string, n_chars long")

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, held_out, keep_rows
+from .common import by_bytes, held_out, keep_rows, map_batches
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -117,7 +117,7 @@ def train(docs: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORD
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[lang, bucket])], names=["lang", "bucket", "n"])
 
     counts = np.zeros((len(languages), buckets))
-    summed = source.mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    summed = map_batches(source, run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts[summed.column("lang").to_numpy(), summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
     smoothed = counts + smoothing
     number = np.array([counted[x] for x in languages], float)
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, model: Model, orders: tuple[int, ...] = ORDERS, id_
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"))
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return map_batches(source, run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def _score(texts: list[str], model: Model, orders: tuple[int, ...]) -> tuple[list[str], list[float]]:

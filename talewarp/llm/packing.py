@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, checkpointed
+from .common import as_bytes, by_bytes, checkpointed, map_batches
 from .token_counts import SLICE_BYTES, default_tokenizer_path, encoder, split_long
 
 CAPACITY, END_ID = 2048, 0
@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_batches(source, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def patterns(capacity: int, present: np.ndarray, slack: int = 0) -> np.ndarray:
@@ -249,4 +249,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     numbered = ranked.select(*names, (F.col("before") + F.col("rank")).alias("rank"))
-    return numbered.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_batches(numbered, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -35,10 +35,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, checkpointed, joined, quoted, small_or_not
+from .common import as_bytes, by_bytes, checkpointed, joined, map_batches, quoted, small_or_not
 from .graph import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(fps)], names=["doc_id", "text_key", "fp"])
 
     source = with_text_key(docs, id_col, text_col)
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key long, fp long")
+    return map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key long, fp long")
 
 
 def with_text_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,25 +137,30 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     return cold.unionByName(warm).distinct()
 
 
-def first_of(rows: DataFrame, key: str) -> DataFrame:
-    """``key, n, first``: each key's number of rows, and its smallest (id, text); rows without an id come last."""
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")).alias("first"))
+def first_of() -> tuple[Column, Column]:
+    """Aggregates ``n, first``: a group's number of rows, and its smallest id with a text of that id; no id comes last."""
+    smallest = F.min("doc_id")
+    text = F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key"))
+    return F.count("*").alias("n"), F.struct(smallest.isNull().alias("missing"), smallest.alias("doc_id"), text.alias("text_key")).alias("first")
 
 
-def with_components(marked: DataFrame, distinct: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """``marked`` with ``first``, the smallest (id, text) of its component; ``distinct`` is ``first_of`` its keys."""
+def with_components(marked: DataFrame, distinct: DataFrame, edges: DataFrame, key: str, node: str) -> DataFrame:
+    """``marked`` with ``first``, the smallest (id, text) of its component.
+
+    ``distinct`` has ``first_of`` for each ``key``, and the ``node`` by which ``edges`` name it.
+    """
     roots = components(edges)
-    grouped = checkpointed(distinct.join(roots, distinct[key] == roots.node).select(key, "label", "first"))
+    grouped = checkpointed(distinct.join(roots.withColumnRenamed("node", "_node"), F.col(node) == F.col("_node")).select(node, "label", "first"))
     smallest = checkpointed(grouped.groupBy("label").agg(F.min("first").alias("smallest")))
-    changed = grouped.join(smallest, "label").select(F.col(key).alias("node"), "smallest")
-    labels = checkpointed(distinct.join(changed, distinct[key] == changed.node, "left").select(key, "n", F.coalesce("smallest", "first").alias("first")))
+    changed = grouped.join(smallest, "label").select(F.col(node).alias("_node"), "smallest")
+    labels = checkpointed(distinct.join(changed, F.col(node) == F.col("_node"), "left").select(key, "n", F.coalesce("smallest", "first").alias("first")))
     return joined(marked, labels, key)
 
 
 def _linked(docs: DataFrame, size: int, hot: int, id_col: str, text_col: str) -> DataFrame:
     marked = checkpointed(fingerprints(docs, size, id_col, text_col))
-    distinct = checkpointed(first_of(marked, "fp"))
-    return with_components(marked, distinct, links(distinct, hot), "fp")
+    distinct = checkpointed(marked.groupBy("fp").agg(*first_of()))
+    return with_components(marked, distinct, links(distinct, hot), "fp", "fp")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes
+from .common import as_bytes, by_bytes, map_batches
 
 #: Words held by a worker's cache, and the longest word that it keeps, in bytes.
 CACHE_WORDS, CACHE_WORD_BYTES = 600_000, 48
@@ -218,4 +218,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048, id
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(source, run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, map_batches
 
 K, SCALE, QUERY_MODULUS, SLICES = 20, 64, 20, 2
 ROW_BLOCK, LEAST_BLOCKS, GATHER_BLOCKS, STEP = 131_072, 32, 4, 64
@@ -203,7 +203,7 @@ def search(vectors: DataFrame, k: int = K, scale: int = SCALE, modulus: int = QU
         spread = F.explode(F.sequence(F.lit(0), F.lit(to - 1)))
         placed = asking.select("key", "id", "q", "cutoff", spread.alias("step")).select(F.pmod(F.xxhash64("key") + F.col("step"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("asks"), "key", "id", "q", "cutoff")
         both = held.unionByName(placed).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "asks")
-        return both.mapInArrow(run, "query long, query_id long, id long, total long")
+        return map_batches(both, run, "query long, query_id long, id long, total long")
 
     def first(frame: DataFrame) -> DataFrame:
         w = Window.partitionBy("query").orderBy(F.desc("total"), F.asc_nulls_last("id"))

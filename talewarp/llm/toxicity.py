@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, held_out, keep_rows
+from .common import by_bytes, held_out, keep_rows, map_batches
 
 DECAY, SPAN, NORM_LENGTH = 0.7, 8, 12
 LANDMARKS, ROUNDS, WITNESSES, TOP, FLOOR = 240, 5, 3, 3, -4.0
@@ -320,7 +320,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"))
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_batches(source, run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def detect(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, checkpointed, fresh_folder, joined, small_or_not
+from .common import as_bytes, by_bytes, checkpointed, fresh_folder, joined, map_batches, small_or_not
 
 MIN_REVISIT, ARCHIVE_BYTES, LEVEL = 100, 32 << 20, 3
 DICT_BYTES, DICT_SAMPLES, DICT_SAMPLE_BYTES = 64 << 10, 512, 8 << 10
@@ -261,7 +261,7 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
                     number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
-    frames = typed.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("frame"))
+    frames = map_batches(typed, run, "frame binary").select(F.col("frame").cast("string").alias("frame"))
     frames.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", rows).text(folder)
 
 
@@ -287,7 +287,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True, files: str = "
                     yield batch_of(rows)
 
     schema = ", ".join(f"{n} {'binary' if n == 'payload' else 'long' if pa.types.is_integer(kinds[n]) else 'string'}" for n in names)
-    return spark.read.format("binaryFile").option("pathGlobFilter", files).load(folder).select("content").mapInArrow(run, schema)
+    return map_batches(spark.read.format("binaryFile").option("pathGlobFilter", files).load(folder).select("content"), run, schema)
 
 
 def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
