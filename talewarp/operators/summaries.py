@@ -33,5 +33,5 @@ def progress(before: tuple[int, float] | None, embedded: int, awaiting: int, now
     return {"rate_per_minute": rate, "eta_seconds": awaiting * 60 / rate if rate else None}
 
 
-def exists(rows: DataFrame, value: str, id_col: str = "Id") -> bool:
+def exists(rows: DataFrame, value: str | int, id_col: str = "Id") -> bool:
     return bool(rows.where(F.col(id_col) == value).limit(1).count())

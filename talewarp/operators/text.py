@@ -30,10 +30,17 @@ def _equal_to(word: str):
     return lambda token: token == word
 
 
-def inverted_index(docs: DataFrame, id_col: str = "Id", text_col: str = "Content") -> DataFrame:
-    """``token, Id, tf, dl`` of every document."""
-    split = docs.select(F.col(id_col).alias("Id"), tokens(text_col).alias("t")).select("Id", F.size("t").alias("dl"), F.explode("t").alias("token"))
-    return split.groupBy("token", "Id", "dl").agg(F.count("*").alias("tf"))
+def inverted_index(docs: DataFrame, id_col: str = "Id", text_col: str = "Content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``token, Id, tf, dl`` of every document, and its columns ``keep``.
+
+    A document's tokens are sorted and counted in its row, so no shuffle is needed.
+    """
+    words = docs.select(F.col(id_col).alias("Id"), *keep, F.array_sort(tokens(text_col)).alias("t")).where(F.size("t") > 0)
+    # where a run of equal tokens begins; the next run's start (or the end) gives its length
+    starts = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.col("t")[i - 1] != F.try_element_at("t", F.greatest(i - 1, F.lit(1)))))
+    runs = words.withColumn("s", starts).select("*", F.posexplode("s").alias("place", "start"))
+    end = F.coalesce(F.try_element_at("s", F.col("place") + 2), F.size("t") + 1)
+    return runs.select("Id", *keep, F.col("t")[F.col("start") - 1].alias("token"), (end - F.col("start")).cast("long").alias("tf"), F.size("t").alias("dl"))
 
 
 def bm25_topk(docs: DataFrame, query: str, k: int, where: Column | None = None, id_col: str = "Id", text_col: str = "Content", k1: float = K1, b: float = B) -> DataFrame:
@@ -62,12 +69,15 @@ def bm25_topk(docs: DataFrame, query: str, k: int, where: Column | None = None,
     return scored.withColumn("Distance", 1 - F.col("Score")).orderBy(F.desc("Score"), "Id").limit(k)
 
 
-def search_index(index: DataFrame, stats: DataFrame, query: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """As ``bm25_topk``, from a stored inverted index and its ``n, avgdl`` row."""
+def search_index(index: DataFrame, stats: DataFrame, query: str, k: int, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """As ``bm25_topk``, from a stored inverted index and its ``n, avgdl`` row; ``allowed`` has the ids that a filter leaves."""
     wanted = query_tokens(query)
     hits = index.where(F.col("token").isin(wanted))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    # one row for each token of the query, and one row
     scored = hits.join(F.broadcast(df), "token").join(F.broadcast(stats)).groupBy("Id").agg(F.sum(weight).alias("Score"), F.count("*").alias("hit")).where(F.col("hit") == len(wanted))
+    if allowed is not None:
+        scored = scored.join(allowed, "Id", "left_semi")
     return scored.select("Id", "Score", (1 - F.col("Score")).alias("Distance")).orderBy(F.desc("Score"), "Id").limit(k)

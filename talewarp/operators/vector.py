@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 #: Columns that an index row carries beside its vector.
 STORED = ["Id", "ChunkType", "SessionId", "ProjectName", "MachineId"]
 BUILD_THRESHOLD = 10_000
+#: Leaves and probes for tables of some thousand rows; tests hold recall at 0.9 or more.
+SMALL_LEAVES, SMALL_PROBES = 16, 11
+
+
+def probes_for(leaves: int) -> int:
+    """Leaves that a query visits: as many as give a recall of 0.9 on vectors without clusters."""
+    return max(1, -(-leaves * 30 // 100))
 
 
 def cosine_distance(vector: str | Column, query: Sequence[float]) -> Column:
@@ -39,27 +46,36 @@ def unit(vector: str | Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def build_index(chunks: DataFrame, leaves: int, path: str | None = None, seed: int = 7, sample_rows: int = 200_000, stored: Sequence[str] = tuple(STORED), vector: str = "Vector") -> tuple[DataFrame, list[list[float]]]:
-    """Rows with their nearest centroid as ``leaf``, and the centroids.
-
-    Centroids come from k-means on unit vectors of a bounded sample; every row is
-    assigned. Given a path, the index is written partitioned by leaf, so that a probe
-    prunes partitions.
-    """
+def train_leaves(chunks: DataFrame, leaves: int, seed: int = 7, sample_rows: int = 200_000, id_col: str = "Id", vector: str = "Vector"):
+    """A k-means model of unit vectors, from a sample by id hash that has about ``sample_rows`` rows at most."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = chunks.where(F.col(vector).isNotNull())
     total = rows.count()
-    share = min(1.0, sample_rows / max(1, total))
-    sample = rows if share == 1 else rows.where(F.pmod(F.xxhash64(stored[0]), F.lit(1_000_003)) < int(share * 1_000_003))
-    model = KMeans(k=max(2, min(leaves, total)), seed=seed, featuresCol="unit", predictionCol="leaf", maxIter=10).fit(sample.select(array_to_vector(unit(vector)).alias("unit")))
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
-    assigned = model.transform(rows.select(*stored, vector, array_to_vector(unit(vector)).alias("unit"))).drop("unit")
-    if path:
-        assigned.repartition("leaf").write.mode("overwrite").partitionBy("leaf").parquet(path)
-        assigned = chunks.sparkSession.read.parquet(path)
-    return assigned, centres
+    # hashes of 63 bits, so that the share is above zero however large the table
+    limit = max(1, int(min(1.0, sample_rows / max(1, total)) * ((1 << 63) - 1)))
+    sample = rows if total <= sample_rows else rows.where(F.shiftrightunsigned(F.xxhash64(id_col), 1) <= F.lit(limit))
+    units = sample.select(array_to_vector(unit(vector)).alias("unit"))
+    return KMeans(k=max(2, min(leaves, total)), seed=seed, featuresCol="unit", predictionCol="leaf", maxIter=10).fit(units)
+
+
+def assigned(chunks: DataFrame, model, stored: Sequence[str] = tuple(STORED), vector: str = "Vector") -> DataFrame:
+    """Every row that has a vector, with its nearest centroid as ``leaf``."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = chunks.where(F.col(vector).isNotNull())
+    return model.transform(rows.select(*stored, vector, array_to_vector(unit(vector)).alias("unit"))).drop("unit")
+
+
+def centres_of(model) -> list[list[float]]:
+    return [list(map(float, c)) for c in model.clusterCenters()]
+
+
+def build_index(chunks: DataFrame, leaves: int, seed: int = 7, sample_rows: int = 200_000, stored: Sequence[str] = tuple(STORED), vector: str = "Vector") -> tuple[DataFrame, list[list[float]]]:
+    """Rows with their leaf, and the centroids. Centroids come from a bounded sample; every row is assigned."""
+    model = train_leaves(chunks, leaves, seed, sample_rows, stored[0], vector)
+    return assigned(chunks, model, stored, vector), centres_of(model)
 
 
 def nearest_leaves(centres: Sequence[Sequence[float]], query: Sequence[float], probes: int) -> list[int]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import threading
 import time
 import uuid
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.text import first_text
 from ..operators import hybrid, summaries, vector
 from ..operators import text as fulltext
+from ..operators.filters import Filter
 from ..schema import RESULT_COLUMNS, vector_error
 from ..table import ChunkTable, Embedder
+from ..streaming.forward import KeyedState
 from .requests import MAX_RESPONSE_BYTES, InvalidRequest, Request, choose_mode, decode
 
 DEADLINE_SECONDS, STATS_SECONDS = 60, 30
@@ -23,22 +26,28 @@ WIRE = {"Id": "id", "Content": "content", "ChunkType": "chunk_type", "SessionId"
 TOOLS = ("search_conversations", "search_file_changes", "get_session_summaries", "get_status", "get_health")
 
 
+#: Wire names that no result may lack.
+REQUIRED = ("id", "content", "chunk_type", "session_id", "project_path", "project_name", "timestamp", "source_file", "search_type")
+
+
+class InvalidResult(ValueError):
+    """A row of a result that breaks the contract."""
+
+
 class DeadlineExceeded(TimeoutError):
     """A request that ran longer than its deadline."""
 
 
 class Engine:
-    def __init__(self, table: ChunkTable, embedder: Embedder, full_text: bool = True, candidates: int = hybrid.CANDIDATES, rrf_k: int = hybrid.RRF_K, probes: int = 50):
+    def __init__(self, table: ChunkTable, embedder: Embedder, full_text: bool = True, candidates: int = hybrid.CANDIDATES, rrf_k: int = hybrid.RRF_K, probes: int | None = None):
         self.table, self.embedder, self.full_text = table, embedder, full_text
         self.candidates, self.rrf_k, self.probes = candidates, rrf_k, probes
-        self.index: tuple[DataFrame, list[list[float]]] | None = None
-        self._stats: tuple[float, str | None, dict] | None = None
+        self._stats: tuple[float, int | None, dict] | None = None
         self._lock = threading.Lock()
 
     def optimize(self, leaves: int = 1000) -> bool:
         """Build the vector index if the table is large enough."""
-        self.index = self.table.optimize(leaves)
-        return self.index is not None
+        return self.table.optimize(leaves)
 
     def query_vector(self, text: str) -> list[float]:
         found = self.embedder.embed([text], "RETRIEVAL_QUERY")
@@ -51,26 +60,31 @@ class Engine:
 
     def vector_search(self, request: Request, limit: int | None = None) -> DataFrame:
         """The nearest chunks; filters come before the top-k on either path."""
-        mode = choose_mode(request.mode, request.where, self.index is not None)
+        index = self.table.leaves()
+        mode = choose_mode(request.mode, request.where, index is not None)
         query, k = self.query_vector(request.query), limit or request.limit
         if mode == "exact":
             top = vector.exact_topk(self.table.read(), query, k, request.where.column())
             return top.select(*RESULT_COLUMNS, "Distance", F.lit("exact").alias("SearchType"))
-        rows, centres = self.index
-        top = vector.ann_topk(rows, centres, query, k, self.probes, request.where.column()).select("Id", "Distance")
+        rows, centres = index
+        top = vector.ann_topk(rows, centres, query, k, self.probes or vector.probes_for(len(centres)), request.where.column()).select("Id", "Distance")
         return hybrid.late_materialized(top, self.table.read(), RESULT_COLUMNS).select(*RESULT_COLUMNS, "Distance", F.lit("ann").alias("SearchType")).orderBy("Distance", "Id")
 
     def text_search(self, request: Request) -> DataFrame:
         if not self.full_text:
             raise InvalidRequest("full-text search is disabled")
-        top = fulltext.bm25_topk(self.table.read(), request.query, request.limit, request.where.column()).select("Id", "Distance")
+        top = self._said(request, request.limit).select("Id", "Distance")
         return hybrid.late_materialized(top, self.table.read(), RESULT_COLUMNS).select(*RESULT_COLUMNS, "Distance", F.lit("full_text").alias("SearchType")).orderBy("Distance", "Id")
 
+    def _said(self, request: Request, k: int) -> DataFrame:
+        """The best chunks by text, from the table's inverted index."""
+        return self.table.search_text(request.query, k, None if request.where == Filter() else request.where.column())
+
     def hybrid_search(self, request: Request) -> DataFrame:
         """Vector and text candidates, fused by rank."""
         n = max(request.limit, self.candidates)
         near = self.vector_search(request, n)
-        said = fulltext.bm25_topk(self.table.read(), request.query, n, request.where.column())
+        said = self._said(request, n)
         top = hybrid.fuse([hybrid.ranked(near, "Distance", "Id"), hybrid.ranked(said, F.desc("Score"), "Id")], request.limit, self.rrf_k)
         return hybrid.late_materialized(top, self.table.read(), RESULT_COLUMNS).select(*RESULT_COLUMNS, "Distance", F.lit("hybrid").alias("SearchType")).orderBy("Distance", "Id")
 
@@ -112,7 +126,7 @@ class Engine:
         context.setJobGroup(group, "retrieval", interruptOnCancel=True)
         timer.start()
         try:
-            rows = [r.asDict() for r in wire(build()).collect()]
+            rows = checked([r.asDict() for r in wire(build()).collect()])
         except Exception as error:
             if expired.is_set():
                 raise DeadlineExceeded(f"no result within {DEADLINE_SECONDS} s") from error
@@ -125,15 +139,15 @@ class Engine:
             raise InvalidRequest("the response is too large")
         return answer
 
-    def status(self, now: float | None = None) -> dict:
-        """Statistics, kept for a while unless the table changes."""
+    def status(self, now: float | None = None, queue: KeyedState | None = None) -> dict:
+        """Statistics, kept for a while unless the table changes, and the number of items that wait in ``queue``."""
         now = time.time() if now is None else now
         with self._lock:
             try:
                 version = self.table.version()
                 if not self._stats or self._stats[1] != version or now - self._stats[0] > STATS_SECONDS:
                     self._stats = (now, version, self.table.stats(now))
-                return {"available": True, "error": None, **self._stats[2]}
+                return {"available": True, "error": None, "queue_depth": queue.rows().count() if queue else 0, **self._stats[2]}
             except Exception as error:
                 return {"available": False, "error": str(error)[:200]}
 
@@ -163,6 +177,15 @@ class Engine:
         raise InvalidRequest(f"unknown tool {name!r}")
 
 
+def checked(rows: list[dict]) -> list[dict]:
+    """Results, if each has what it must have and a finite distance; raises InvalidResult otherwise."""
+    for row in rows:
+        missing = [name for name in REQUIRED if not row[name]]
+        if missing or row["distance"] is None or not math.isfinite(row["distance"]):
+            raise InvalidResult(f"bad result row {row['id']!r}: {', '.join(missing) or 'distance'}")
+    return rows
+
+
 def wire(rows: DataFrame) -> DataFrame:
     """Results under their wire names, with null text as empty and times in RFC 3339."""
     out = []

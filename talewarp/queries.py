@@ -16,6 +16,7 @@ from .functions import files, text
 from .operators import hybrid, logs, summaries, vector
 from .operators import text as fulltext
 from .session import ship
+from .sources import claude, codex, exports
 
 TEXT_QUERY, TOP, NEAR = "the and", 10, 100
 CUTOFF = datetime(2024, 1, 8)
@@ -67,8 +68,8 @@ def vector_exact_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def vector_ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    index, centres = vector.build_index(rows, 16, stored=("vec_id", "label"), vector="embedding")
-    top = vector.ann_topk(index, centres, _query_vector(spark, sf_dir), TOP, 8, vector="embedding", id_col="vec_id")
+    index, centres = vector.build_index(rows, vector.SMALL_LEAVES, stored=("vec_id", "label"), vector="embedding")
+    top = vector.ann_topk(index, centres, _query_vector(spark, sf_dir), TOP, vector.SMALL_PROBES, vector="embedding", id_col="vec_id")
     return top.select("vec_id", "label", F.round("Distance", 6).alias("distance"))
 
 
@@ -132,7 +133,7 @@ def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) > 0 AS found FROM documents WHERE doc_id = 17")
 def chunk_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("doc_id = 17").limit(1).agg((F.count("*") > 0).alias("found"))
+    return spark.createDataFrame([(summaries.exists(table(spark, sf_dir, "documents"), 17, "doc_id"),)], "found boolean")
 
 
 @query("SELECT page_id, url FROM pages WHERE url LIKE '%e_ample.net/%/1%'")
@@ -197,26 +198,25 @@ def split_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", "part", F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("digest"))
 
 
-_COMMANDS = "('rm -rf ' || url)", "('mv a.txt ' || url)", "('cat x > ' || url)", "('sed -i s/a/b/ ' || url)", "('mkdir -p ' || url)", "('echo ' || page_id::VARCHAR)"
+_SHELL = [("rm -rf ", "delete"), ("mv a.txt ", "move"), ("cp -r a ", "write"), ("touch ", "write"), ("mkdir -p ", "write"), ("cat x > ", "write"), ("cat x | tee -a ", "write"), ("sed -i s/a/b/ ", "edit"), ("echo ", None)]
 
 
-@query(f"""WITH c AS (SELECT page_id, url, CASE page_id % 6 {" ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_COMMANDS))} END AS command FROM pages)
-SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'delete' WHEN 1 THEN 'move' WHEN 2 THEN 'write' WHEN 3 THEN 'edit' WHEN 4 THEN 'write' END AS kind,
-       CASE WHEN page_id % 6 < 5 THEN regexp_extract(url, '^[^ ]+') END AS path FROM c""")
+@query(f"""SELECT page_id, CASE page_id % 9 {" ".join(f"WHEN {i} THEN '{kind}'" for i, (_, kind) in enumerate(_SHELL) if kind)} END AS kind,
+       CASE page_id % 9 WHEN 8 THEN NULL WHEN 2 THEN 'a' ELSE regexp_extract(url, '^[^ ]+') END AS path FROM pages""")
 def shell_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    heads = ["rm -rf ", "mv a.txt ", "cat x > ", "sed -i s/a/b/ ", "mkdir -p "]
-    command = F.concat(F.lit("echo "), F.col("page_id").cast("string"))
-    for i, head in enumerate(heads):
-        command = F.when(F.col("page_id") % 6 == i, F.concat(F.lit(head), F.col("url"))).otherwise(command)
+    command = F.concat(F.element_at(F.array(*(F.lit(head) for head, _ in _SHELL)), (F.col("page_id") % 9 + 1).cast("int")), F.col("url"))
     op = F.try_element_at(files.shell_operations(command), F.lit(1))
-    return pages.select("page_id", op["kind"].alias("kind"), op["path"].alias("path"))
+    return table(spark, sf_dir, "pages").select("page_id", op["kind"].alias("kind"), op["path"].alias("path"))
 
 
 @query("""SELECT page_id, 0 AS place, 'edit' AS kind, url AS path FROM pages
-UNION ALL SELECT page_id, 1, 'move', page_id::VARCHAR || '.new' FROM pages""")
+UNION ALL SELECT page_id, 1, 'move', page_id::VARCHAR || '.new' FROM pages
+UNION ALL SELECT page_id, 2, 'write', 'new/' || page_id::VARCHAR FROM pages
+UNION ALL SELECT page_id, 3, 'delete', 'old/' || page_id::VARCHAR FROM pages""")
 def patch_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patch = F.concat(F.lit("*** Begin Patch\n*** Update File: "), F.col("url"), F.lit("\n context \n+line\n*** Move to: "), F.col("page_id").cast("string"), F.lit(".new\n*** End Patch"))
+    number = F.col("page_id").cast("string")
+    lines = ["*** Begin Patch\n*** Update File: ", F.col("url"), "\n context \n+line\n*** Move to: ", number, ".new\n*** Add File: new/", number, "\n+text\n*** Delete File: old/", number, "\n*** End Patch"]
+    patch = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in lines))
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(files.patch_operations(patch)).alias("place", "op")).select("page_id", "place", "op.kind", "op.path")
 
 
@@ -236,27 +236,27 @@ def forward_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("user_id", "status")
 
 
-_TARGET = "SELECT doc_id::VARCHAR AS Id, source AS MachineId, n_chars AS SourceLine FROM documents WHERE doc_id % 2 = 0"
-_SOURCE = "SELECT doc_id::VARCHAR AS Id, source AS MachineId, -n_chars AS SourceLine FROM documents WHERE doc_id % 3 = 0"
+_TARGET = "SELECT doc_id::VARCHAR AS Id, source AS MachineId, n_chars AS SourceLine FROM documents"
+_SOURCE = "SELECT page_id::VARCHAR AS Id, 'pages' AS MachineId, octet_length(encode(html)) AS SourceLine FROM pages"
 
 
-def _upsert_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("Id"), F.col("source").alias("MachineId"), F.col("n_chars").alias("SourceLine"), "doc_id")
-    return docs.where("doc_id % 2 = 0").drop("doc_id"), docs.where("doc_id % 3 = 0").withColumn("SourceLine", -F.col("SourceLine")).drop("doc_id")
+def _target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("Id"), F.col("source").alias("MachineId"), F.col("n_chars").alias("SourceLine"))
 
 
 @query(f"WITH t AS ({_TARGET}), s AS ({_SOURCE}) SELECT * FROM t WHERE Id NOT IN (SELECT Id FROM s) UNION ALL SELECT * FROM s")
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .table import merged
 
-    return merged(*_upsert_sides(spark, sf_dir))
+    source = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("Id"), F.lit("pages").alias("MachineId"), F.octet_length("html").cast("long").alias("SourceLine"))
+    return merged(_target(spark, sf_dir), source)
 
 
 @query(f"WITH t AS ({_TARGET}) SELECT * FROM t WHERE MachineId IS DISTINCT FROM 'src4'")
 def delete_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .table import without_machine
 
-    return without_machine(_upsert_sides(spark, sf_dir)[0], "src4")
+    return without_machine(_target(spark, sf_dir), "src4")
 
 
 @query("""SELECT left(sha256(doc_id::VARCHAR), 2) AS shard, count(*) AS processed FROM documents LEFT JOIN embeddings ON doc_id = vec_id
@@ -267,3 +267,86 @@ def backfill_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     rows = docs.join(vectors, docs.doc_id == vectors.vec_id, "left").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("Id"), F.col("text").alias("Content"), F.col("embedding").alias("Vector"))
     return shard_report(backfilled(rows, HashEmbedder(64), 64)).select("shard", "processed")
+
+
+# readers: each source's log is written from ``conversations`` and read back -------------------------
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` with a time a second a turn after 2024, and columns for log lines."""
+    stamp = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 1000 + F.col("turn"))
+    return table(spark, sf_dir, "conversations").withColumn("timestamp", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
+def _log_files(rows: DataFrame, path: Column, line: Column, frame: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``path, content`` of a file a conversation; ``frame`` makes a document of its lines in order."""
+    each = rows.select(path.alias("path"), "conv_id", "turn", line.alias("line"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"])
+    body = F.array_join(ordered, "\n") if frame is None else frame(F.array_join(ordered, ","))
+    return each.groupBy("path").agg(body.cast("binary").alias("content"))
+
+
+def _read_back(chunks: DataFrame) -> DataFrame:
+    return chunks.select("SourceFile", "SourceLine", "ChunkType", "SessionId", "ProjectPath", "ProjectName", F.unix_seconds("Timestamp").alias("seconds"), F.sha2("Content", 256).alias("digest"))
+
+
+_TALK = """WITH r AS (SELECT conv_id, turn, role, text, 1704067200 + conv_id * 1000 + turn AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line FROM conversations),
+p AS (SELECT *, lag(role) OVER w AS before, lag(text) OVER w AS asked, lag(line) OVER w AS asked_line, lag(s) OVER w AS asked_s FROM r WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
+_DIGEST = "sha256({}) AS digest"
+
+
+@query(f"""{_TALK}
+SELECT '/home/me/projects/-w-demo/c' || conv_id || '.jsonl' AS SourceFile, asked_line AS SourceLine, 'turn' AS ChunkType, 's' || conv_id AS SessionId, '/w/demo' AS ProjectPath, 'demo' AS ProjectName, s AS seconds,
+  {_DIGEST.format("'In project demo, user asked:' || chr(10) || asked || chr(10) || chr(10) || 'Assistant responded:' || chr(10) || text")} FROM p WHERE role = 'assistant' AND before = 'user'""")
+def read_claude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    message = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")))).otherwise(F.to_json(F.struct(F.col("text").alias("content"))))
+    head = F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("s"), "conv_id").alias("sessionId"), "timestamp"))
+    line = F.concat(F.expr("left(head, length(head) - 1)"), F.lit(',"message":'), F.col("message"), F.lit("}"))
+    rows = _rows(spark, sf_dir).withColumn("message", message).withColumn("head", head)
+    return _read_back(claude.chunks(_log_files(rows, F.concat(F.lit("/home/me/projects/-w-demo/c"), "conv_id", F.lit(".jsonl")), line))[0])
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, role, text, 1704067200 + conv_id * 1000 + turn AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line,
+  sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations),
+t AS (SELECT conv_id, g, min(line) AS line, min(s) AS s, min_by(text, line) AS asked, coalesce(string_agg(text, chr(10) ORDER BY line) FILTER (role <> 'user'), '') AS answer FROM r WHERE g > 0 GROUP BY ALL),
+c AS (SELECT conv_id, line, s, 'In project demo, user asked:' || chr(10) || asked || chr(10) || chr(10) || 'Assistant responded:' || chr(10) || answer AS content FROM t
+  UNION ALL SELECT conv_id, line, s, 'In project demo, assistant responded:' || chr(10) || text FROM r WHERE g = 0)
+SELECT '/logs/rollout-' || conv_id || '.jsonl' AS SourceFile, line AS SourceLine, 'turn' AS ChunkType, 'unknown' AS SessionId, '/w/demo' AS ProjectPath, 'demo' AS ProjectName, s AS seconds, {_DIGEST.format("content")} FROM c""")
+def read_codex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("role") == "user", "input_text").otherwise("output_text")
+    payload = F.struct(F.lit("message").alias("type"), "role", F.array(F.struct(kind.alias("type"), "text")).alias("content"))
+    line = F.to_json(F.struct(F.lit("response_item").alias("type"), "timestamp", payload.alias("payload")))
+    # where a session has no line of its own, its folder is told by one that shares the first line
+    rows = _rows(spark, sf_dir)
+    context = rows.groupBy("conv_id").agg(F.min("turn").alias("turn"), F.min("timestamp").alias("timestamp")).withColumn("turn", F.col("turn") - 1)
+    opening = F.to_json(F.struct(F.lit("turn_context").alias("type"), "timestamp", F.struct(F.lit("/w/demo").alias("cwd")).alias("payload")))
+    path = F.concat(F.lit("/logs/rollout-"), "conv_id", F.lit(".jsonl"))
+    both = rows.select("conv_id", "turn", line.alias("line")).unionByName(context.select("conv_id", "turn", opening.alias("line")))
+    found = _read_back(codex.chunks(_log_files(both, path, F.col("line")))[0])
+    return found.withColumn("SourceLine", F.col("SourceLine") - 1)
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, role, text, 1704067200 + conv_id * 1000 + turn AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations),
+p AS (SELECT *, lag(role) OVER w AS before, lag(text) OVER w AS asked, lag(place) OVER w AS asked_place, lag(s) OVER w AS asked_s FROM r WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT '/x/' || conv_id || '/conversations.json' AS SourceFile, 100000 + place + 1 AS SourceLine, 'turn' AS ChunkType, 'c' || conv_id AS SessionId, s AS seconds,
+  {_DIGEST.format("'In ChatGPT conversation T' || conv_id || ', user asked:' || chr(10) || asked || chr(10) || chr(10) || 'ChatGPT responded:' || chr(10) || text")} FROM p WHERE role = 'assistant' AND before = 'user'""")
+def read_chatgpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.to_json(F.struct(F.col("role"), F.col("text").alias("content"), F.col("timestamp").alias("created_at")))
+    rows = _rows(spark, sf_dir)
+    path = F.concat(F.lit("/x/"), "conv_id", F.lit("/conversations.json"))
+    number = F.regexp_extract("path", "[0-9]+", 0)
+    files_ = _log_files(rows, path, line, lambda x: x).select("path", F.concat(F.lit('[{"id":"c'), number, F.lit('","title":"T'), number, F.lit('","messages":['), F.col("content").cast("string"), F.lit("]}]")).cast("binary").alias("content"))
+    return _read_back(exports.chatgpt_chunks(files_)[0]).drop("ProjectPath", "ProjectName")
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, role, text, 1704067200 + conv_id * 1000 + turn AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations),
+p AS (SELECT *, lag(role) OVER w AS before, lag(text) OVER w AS asked FROM r WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT '/claude-app/' || conv_id || '/conversations.json' AS SourceFile, 100000 + place + 1 AS SourceLine, 'turn' AS ChunkType, 'c' || conv_id AS SessionId, s AS seconds,
+  {_DIGEST.format("'In Claude app conversation T' || conv_id || ', user asked:' || chr(10) || asked || chr(10) || chr(10) || 'Claude responded:' || chr(10) || text")} FROM p WHERE role = 'assistant' AND before = 'user'""")
+def read_claude_app(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sender = F.when(F.col("role") == "user", "human").otherwise(F.col("role"))
+    line = F.to_json(F.struct(sender.alias("sender"), "text", F.col("timestamp").alias("created_at")))
+    path = F.concat(F.lit("/claude-app/"), "conv_id", F.lit("/conversations.json"))
+    number = F.regexp_extract("path", "[0-9]+", 0)
+    files_ = _log_files(_rows(spark, sf_dir), path, line, lambda x: x).select("path", F.concat(F.lit('[{"uuid":"c'), number, F.lit('","name":"T'), number, F.lit('","chat_messages":['), F.col("content").cast("string"), F.lit("]}]")).cast("binary").alias("content"))
+    return _read_back(exports.claudeapp_chunks(files_)[0]).drop("ProjectPath", "ProjectName")

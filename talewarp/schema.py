@@ -83,13 +83,16 @@ def chunk_errors(dimension: int = DIMENSION) -> Column:
     return F.array_compact(F.array(*checks))
 
 
-def normalized(chunks: DataFrame) -> DataFrame:
-    """Empty optional text becomes null, columns take the table's order; missing ones are null."""
+def normalized(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Empty optional text becomes null, columns take the table's order; missing ones are null.
+
+    Of other columns those in ``keep`` stay.
+    """
     have = set(chunks.columns)
-    out = []
+    out = [F.col(name) for name in keep]
     for field in CHUNK.fields:
         col = F.col(field.name) if field.name in have else F.lit(None)
         if field.name in OPTIONAL_TEXT:
             col = F.nullif(col.cast("string"), F.lit(""))
         out.append(col.cast(field.dataType).alias(field.name))
-    return chunks.select(out)
+    return chunks.select(out[len(keep) :] + out[: len(keep)])

@@ -1,18 +1,22 @@
 """Table, requests, engine and forward ingestion together."""
 
 import json
+import os
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talewarp.operators import summaries
+from talewarp.operators import summaries, vector
+from talewarp.operators import text as fulltext
 from talewarp.operators.filters import Filter, InvalidRequest, parse_bound
-from talewarp.plans.engine import Engine
+from talewarp.plans.engine import REQUIRED, Engine, InvalidResult, checked
 from talewarp.plans.requests import choose_mode, decode
 from talewarp.schema import CHUNK
 from talewarp.streaming.forward import ForwardIngest, KeyedState
 from talewarp.table import ChunkTable, HashEmbedder, InvalidChunks
+from talewarp.versions import Conflict
 
 
 def chunk(number, content=None, **more):
@@ -39,10 +43,119 @@ def test_table(spark, tmp_path):
             table.upsert(frame(spark, chunk(4), bad))
     table.upsert(frame(spark, chunk(5, MachineId="m")))
     assert table.delete_machine(" m ") == 1 and table.delete_machine("m") == 0
-    assert table.optimize() is None and table.stats(0.0)["total"] == 2
+    assert table.optimize() is False and table.stats(0.0)["total"] == 2
     assert table.clear() == 2 and table.read().count() == 0
 
 
+def test_states_survive_writers_that_die_or_meet(spark, tmp_path):
+    table = ChunkTable(spark, str(tmp_path / "t"), 16, buckets=4)
+    table.initialize()
+    table.upsert(frame(spark, chunk(1), chunk(2)))
+    before = table.version()
+    # a writer died between making the state's file and filling it
+    dead = tmp_path / "t" / "states" / f"{before + 1:020d}"
+    dead.touch()
+    os.utime(dead, (1, 1))
+    assert {r["Id"] for r in table.read().collect()} == {"01id", "02id"}
+    table.upsert(frame(spark, chunk(3)))
+    assert table.version() == before + 2 and table.read().count() == 3
+    # another commits while this one writes: it starts again from the newer state
+    other, write, tries = ChunkTable(spark, str(tmp_path / "t"), 16), table._write, []
+
+    def late(*args):
+        if not tries:
+            other.upsert(frame(spark, chunk(4), chunk(1, "theirs")))
+        tries.append(args[0])
+        write(*args)
+
+    table._write = late
+    table.upsert(frame(spark, chunk(1, "mine"), chunk(5)))
+    assert len(tries) == 2
+    assert {r["Id"]: r["Content"] for r in table.read().collect()} == {"01id": "mine", "02id": "text 2", "03id": "text 3", "04id": "text 4", "05id": "text 5"}
+    assert [r["Content"] for r in table.lookup(["05id"]).collect()] == ["text 5"]
+    with pytest.raises(Conflict):
+        table.versions.commit(0, {})
+    table.vacuum()
+    assert table.read().count() == 5
+    rows = frame(spark, chunk(7, "second"), chunk(7, "first")).withColumn("at", F.when(F.col("Content") == "first", 1).otherwise(2))
+    table.upsert(rows, order="at")
+    assert table.lookup(["07id"]).first()["Content"] == "second"
+
+
+def test_refused_texts_are_reported(spark, tmp_path):
+    class Picky(HashEmbedder):
+        def embed(self, texts, task="RETRIEVAL_DOCUMENT"):
+            if any("bad" in t for t in texts):
+                raise ValueError("refused")
+            return super().embed(texts, task)
+
+    table = ChunkTable(spark, str(tmp_path / "t"), 16)
+    table.initialize()
+    table.upsert(frame(spark, chunk(1), chunk(2, "bad"), chunk(3)))
+    report = {r["shard"]: (r["processed"], r["failed"]) for r in table.backfill(Picky(16)).collect()}
+    assert report == {"01": (1, 0), "02": (0, 1), "03": (1, 0)}
+    assert {r["Id"] for r in table.read().where("Vector IS NULL").collect()} == {"02id"}
+
+
+def test_indexes_follow_every_write(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector, "BUILD_THRESHOLD", 20)
+    words = ["parser", "lexer", "token", "stack", "heap"]
+
+    def some(numbers, seed):
+        own = np.random.default_rng(seed)
+        return [chunk(n, " ".join(own.choice(words, 6)), Id=f"{n:04x}", Vector=[float(x) for x in own.normal(size=16)]) for n in numbers]
+
+    table = ChunkTable(spark, str(tmp_path / "t"), 16, buckets=4)
+    table.initialize()
+    table.upsert(frame(spark, *some(range(60), 1)))
+    engine = Engine(table, HashEmbedder(16))
+    assert engine.optimize(4)
+    table.upsert(frame(spark, *some(range(50, 70), 2)))  # replaces ten, adds ten
+    table.upsert(frame(spark, chunk(99, "lexer lexer", Id="0063", MachineId="m", Vector=[1.0] * 16)))
+    table.delete_machine("m")
+    again = ChunkTable(spark, str(tmp_path / "t"), 16)
+    for t in (table, again):
+        rows = t.read()
+        entries, centres = t.leaves()
+        assert sorted((r["Id"], tuple(r["Vector"])) for r in entries.collect()) == sorted((r["Id"], tuple(r["Vector"])) for r in rows.collect())
+        assert len(centres) == 4
+        for query in ("parser lexer", "heap", "nothing", "!"):
+            want = [(r["Id"], round(r["Score"], 9)) for r in fulltext.bm25_topk(rows, query, 7).collect()]
+            assert [(r["Id"], round(r["Score"], 9)) for r in t.search_text(query, 7).collect()] == want
+            kept = F.col("SourceLine") < 30
+            want = [(r["Id"], round(r["Score"], 9)) for r in fulltext.bm25_topk(rows, query, 7, kept).collect()]
+            assert [(r["Id"], round(r["Score"], 9)) for r in t.search_text(query, 7, kept).collect()] == want
+    assert engine.search('{"query": "parser", "use_hybrid": false}')["search_type"] == "ann"
+    assert engine.search('{"query": "parser lexer"}')["search_type"] == "hybrid"
+
+
+def test_ann_recall(spark):
+    """Against brute force, over queries with ids divisible by 20, at both settings that are used."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    table = rows.toPandas().sort_values("vec_id")
+    ids, x = table.vec_id.to_numpy(), np.stack(table.embedding).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for leaves, probes in ((vector.SMALL_LEAVES, vector.SMALL_PROBES), (400, vector.probes_for(400))):
+        index, centres = vector.build_index(rows, leaves, stored=("vec_id", "label"), vector="embedding")
+        leaf = index.select("vec_id", "leaf").toPandas().set_index("vec_id").leaf.loc[ids].to_numpy()
+        hits = total = 0
+        for q in np.flatnonzero(ids % 20 == 0)[:500]:
+            scores = x @ x[q]
+            near = np.isin(leaf, vector.nearest_leaves(centres, x[q], probes))
+            want = set(np.argsort(-scores, kind="stable")[:10])
+            hits += len(want & set(np.flatnonzero(near)[np.argsort(-scores[near], kind="stable")[:10]]))
+            total += 10
+        assert hits / total >= 0.9, (leaves, probes, hits / total)
+
+
+def test_results_are_checked():
+    good = {name: "x" for name in REQUIRED} | {"distance": 0.5}
+    assert checked([good]) == [good] and checked([]) == []
+    for bad in ({"content": ""}, {"distance": float("nan")}, {"distance": None}, {"timestamp": None}):
+        with pytest.raises(InvalidResult):
+            checked([good | bad])
+
+
 def test_requests():
     assert decode('{"query": "x"}', "search").limit == 5
     for body, kind in (('{"query": " "}', "search"), ('{"query": "x", "limit": 51}', "search"), ('{"query": "x", "query": "y"}', "search"), ('{"query": "x", "other": 1}', "search"), ('{"operation": "delete"}', "files"), ("[]", "sessions")):
