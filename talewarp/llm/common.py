@@ -97,8 +97,30 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow`` in batches of at most about ``BATCH_BYTES``.
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """What a worker holds under ``key`` from task to task; it holds one thing at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def enter(key: str) -> None:
+    """Drop what a reused worker holds under another key than ``key``."""
+    if key not in _kept:
+        _kept.clear()
+
+
+def leave() -> None:
+    """Give Arrow's free memory back, as the worker may wait for long."""
+    pa.default_memory_pool().release_unused()
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str = "") -> DataFrame:
+    """``df.mapInArrow`` in batches of at most about ``BATCH_BYTES``; ``keeps`` names what tasks hold (``kept``).
 
     Spark's own limit of 64 MB is held by each running task some times over, outside the
     JVM's heap and in Python. The setting is the session's, as Spark reads it when the
@@ -107,7 +129,13 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     conf, name, own = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
     if conf.get(name, own) == own:
         conf.set(name, f"{BATCH_BYTES}b")
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(keeps)
+        yield from run(batches)
+        leave()
+
+    return df.mapInArrow(task, schema)
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[list[str]], Iterable[bool]], slice_bytes: int = 1 << 20, text_col: str = "text") -> DataFrame:

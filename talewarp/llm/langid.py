@@ -39,7 +39,7 @@ TRAIN_ROWS = 20_000
 MAX_LANGUAGES = 256
 SLICE_BYTES = 1 << 20
 #: Numbers held at once while n-grams are looked up: positions of a text times languages.
-CELLS = 1 << 23
+CELLS = 1 << 21
 _LETTER = regex.compile(r"\p{L}").search
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
 

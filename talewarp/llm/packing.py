@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(source, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_batches(source, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", path)
 
 
 def patterns(capacity: int, present: np.ndarray, slack: int = 0) -> np.ndarray:

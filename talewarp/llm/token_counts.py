@@ -19,7 +19,6 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, map_batches
+from .common import as_bytes, by_bytes, kept, map_batches
 
 #: Words held by a worker's cache, and the longest word that it keeps, in bytes.
 CACHE_WORDS, CACHE_WORD_BYTES = 600_000, 48
@@ -41,7 +40,6 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@lru_cache(maxsize=4)
 def _library(path: str) -> tuple[Callable[[list[str]], list[list[int]]], bool, Callable | None]:
     """The file's batch encoder, whether white space is a safe place to split, and the
     library's encoder of lower-case letter runs where those are pieces."""
@@ -192,10 +190,9 @@ class TextEncoder:
         return flat[place], np.diff(upto[np.concatenate(([0], ends))])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
-    """A worker's encoder for a vocabulary file, kept between tasks."""
-    return TextEncoder(path)
+    """A worker's encoder for a vocabulary file, kept between tasks of operators that use it."""
+    return kept(path, lambda: TextEncoder(path))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,4 +215,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048, id
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(source, run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(source, run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean", path)
