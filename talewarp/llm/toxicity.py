@@ -5,8 +5,9 @@ unit. The kernel of two units is the gap-weighted count of common subsequences o
 three characters: an occurrence that spans s characters weighs ``DECAY ** s``, and
 spans end at ``SPAN``. Characters between the three only cost weight, so inserted and
 missing letters are tolerated; marks inside a word are skipped. Letters are compared
-without case; each unit has a marker character at its start and end. Kernels are scaled
-by units' lengths.
+without case and in their compatible form, so full-width and mathematical letters are
+the letters that they show; each unit has a marker character at its start and end.
+Kernels are scaled by units' lengths.
 
 Training is multiple-instance: labels belong to texts, so each toxic text is
 represented by its few most suspicious units (at first by support among toxic against clean
@@ -21,13 +22,17 @@ The sample is bounded: ``per_class`` labelled texts of either class with the sma
 id hashes, each of at most ``train_bytes`` bytes. Scoring covers every whole text.
 
 Defined results: null or empty text, and text without a unit of three characters, has
-the margins of units that match nothing; without both labels in the training rows
-every score is 0; repeated labels of a document count as toxic if one is.
+the margins of units that match nothing; without both labels in the training rows, or
+in an empty table, every score is 0; repeated labels of a document count as toxic if one
+is; null and other labels are no labels; repeated rows, and rows without an id, are
+scored each for itself; other columns are ignored (``remove_toxic`` keeps them).
+Letters that share a class (see ``OTHERS``) are alike to the kernel.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -48,13 +53,17 @@ PART_CHARS, _BETWEEN = 1 << 20, re.compile(r"\s(?=\S\S)")
 #: Character classes: 1-26 letters, 27 digits, 28-60 other letters, 62 start or end of a unit, 63 marks.
 DIGIT, OTHER, OTHERS, START, MARK, BITS = 27, 28, 33, 62, 63, 6
 FEATURES = 1 << (3 * BITS)
+#: Code points that have a class of their own kind.
+CODES = 0x20000
 
 
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
-    table = np.full(1 << 16, MARK, np.int32)
-    for code in range(1 << 16):
-        char = chr(code).lower()
+    table = np.full(CODES + 1, MARK, np.int32)
+    table[CODES] = OTHER  # all beyond: rare letters of East Asia
+    for code in range(CODES):
+        char, same = chr(code), unicodedata.normalize("NFKC", chr(code))
+        char = (same if char.isalpha() and len(same) == 1 else char).lower()
         if char.isspace():
             table[code] = START
         elif char.isdigit():
@@ -68,7 +77,7 @@ def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of all characters (a last marker ends the last unit), where each unit starts, and the first unit of each text."""
     lengths = np.array([len(t) + 1 for t in texts])
     codes = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = _classes()[np.minimum(codes, 0xFFFF)]
+    classes = _classes()[np.minimum(codes, CODES)]
     text_starts = np.cumsum(lengths) - lengths
     starts = np.flatnonzero(classes[:-1] == START)
     size = np.diff(np.append(starts, len(classes) - 1)) - 1
@@ -235,13 +244,13 @@ class Model:
         return 1 / (1 + np.exp(np.clip(-value, -500, 500)))
 
 
-def _bags(texts: list[str]) -> list[set[bytes]]:
-    """The distinct units of each text, as strings of classes."""
+def _bags(texts: list[str]) -> list[list[bytes]]:
+    """The distinct units of each text, as sorted strings of classes."""
     classes, starts, firsts = _units(texts)
     raw, ends = classes.astype(np.uint8).tobytes(), np.append(starts[1:], len(classes) - 1)
     units = [raw[a:b] for a, b in zip(starts, ends, strict=True)]
     bounds = np.append(firsts, len(units))
-    return [{u for u in units[a:b] if len(u) > 3} for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [sorted({u for u in units[a:b] if len(u) > 3}) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _unit_scores(units: list[bytes], weights: np.ndarray) -> np.ndarray:
@@ -255,22 +264,23 @@ def fit(toxic: list[str], clean: list[str], clean_share: float, landmarks: int =
     rng = np.random.default_rng(seed)
     bad, good = _bags(toxic[::2]), _bags(clean[::2])
     in_bad, in_good = Counter(u for b in bad for u in b), Counter(u for b in good for u in b)
-    names = list(in_bad | in_good)
+    names = sorted(in_bad | in_good)
     support = np.array([in_bad[u] - 5 * in_good[u] * len(bad) / max(1, len(good)) for u in names])
     number = {u: i for i, u in enumerate(names)}
     bad_index = [np.fromiter((number[u] for u in b), int, len(b)) for b in bad if b]
     good_index = [np.fromiter((number[u] for u in b), int, len(b)) for b in good if b]
     value, least = support, 2.0
     weights, bias = np.zeros(FEATURES), -1.0
-    common = [u for u, _ in in_good.most_common(1000)]
+    ordered = np.array(sorted(in_good), object)
+    common = sorted(in_good, key=lambda u: (-in_good[u], u))[:1000]
     for _ in range(rounds):
-        worst = Counter(names[i] for b in bad_index for i in b[np.argsort(-value[b])[:WITNESSES]] if value[i] >= least)
+        worst = Counter(names[i] for b in bad_index for i in b[np.argsort(-value[b], kind="stable")[:WITNESSES]] if value[i] >= least)
         worst = Counter({u: n for u, n in worst.items() if in_good[u] * len(bad) <= 0.2 * in_bad[u] * len(good)})
         hard = {names[b[np.argmax(value[b])]] for b in good_index} if value is not support else set()
-        pool = list(hard | set(common) | set(rng.choice(np.array(list(in_good), object), min(3000, len(in_good)), replace=False)) - set(worst)) if in_good else []
+        pool = sorted(hard | set(common) | set(rng.choice(ordered, min(3000, len(ordered)), replace=False)) - set(worst)) if in_good else []
         if not worst or not pool:
             break
-        marks = [u for u, _ in worst.most_common(landmarks * 2 // 3)]
+        marks = sorted(worst, key=lambda u: (-worst[u], u))[: landmarks * 2 // 3]
         marks += [pool[i] for i in rng.permutation(len(pool))[: landmarks - len(marks)]]
         used = np.unique(_triples(marks)[1])
         written = _written(marks, used)

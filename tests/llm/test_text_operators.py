@@ -41,6 +41,14 @@ def test_token_counts_equal_the_library(spark, docs, odd, tokenizer):
     assert token_counts.count_tokens(docs.limit(0)).count() == 0
 
 
+def test_token_counts_of_long_texts(spark, monkeypatch, tokenizer):
+    monkeypatch.setattr(token_counts, "SLICE_BYTES", 100)
+    texts = ["some words, é and marks! " * 40, "x" * 300, "漢字" * 90, "\u3000".join(["wide"] * 60), " " * 250]
+    frame = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens long")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(frame).collect()}
+    assert got == {i: len(ids(tokenizer, t)) for i, t in enumerate(texts)}
+
+
 def test_long_texts_split_at_white_space():
     text = ("some words " * 1000).encode()
     parts = list(token_counts.split_long(text, 1000))
@@ -193,6 +201,55 @@ def test_toxicity_edges(spark, odd):
     assert len(rows) == len(ODD) + 2 and all(r["score"] == 0 and r["predicted"] == 0 for r in rows)
 
 
+def test_kernel_equals_counting_every_subsequence():
+    """Gap-weighted common subsequences of three characters, one by one, against features and margins."""
+    from itertools import combinations
+
+    def features(word):
+        c = [toxicity.START, *(int(toxicity._classes()[ord(x)]) for x in word), toxicity.START]
+        out = {}
+        for i, j, k in combinations(range(len(c)), 3):
+            if k - i + 1 <= toxicity.SPAN:
+                out[c[i], c[j], c[k]] = out.get((c[i], c[j], c[k]), 0) + toxicity.DECAY ** (k - i + 1)
+        scale = toxicity._scale()[min(len(word) + 2, toxicity.NORM_LENGTH)]
+        return {f: v / scale for f, v in out.items()}
+
+    words = ["idiot", "idxiot", "stone", "a", "ab", "mississippi", "été", "x1y2", "abcdefghijklmnop"]
+    plain = [features(w) for w in words]
+    want = np.array([[sum(v * b.get(f, 0) for f, v in a.items()) for b in plain] for a in plain])
+    units = [bytes([toxicity.START, *(int(toxicity._classes()[ord(x)]) for x in w)]) for w in words]
+    used = np.unique(toxicity._triples(units)[1])
+    written = toxicity._written(units, used)
+    assert np.allclose(written @ written.T, want)
+    alpha = np.linspace(-1, 1, len(words))
+    weights = np.zeros(toxicity.FEATURES)
+    weights[used] = written.T @ alpha
+    classes, starts, _ = toxicity._units([" ".join(words)])
+    assert np.allclose(toxicity._margins(classes, starts, weights.astype(np.float32)), want @ alpha, atol=1e-5)
+
+
+def test_toxicity_of_letters_in_other_forms(spark):
+    model = toxicity.Model(np.random.default_rng(2).normal(size=toxicity.FEATURES), -0.5)
+    plain, bold, wide, far = model.summary(["idiot", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d", "\uff49\uff44\uff49\uff4f\uff54", "\U00020000\U00020001\U00020002"])
+    assert np.allclose(plain, bold) and np.allclose(plain, wide) and not np.allclose(plain, far)
+
+
+def test_toxicity_rows(spark):
+    text = [("you are an idiot", 1), ("a fine stone house", 0)]
+    rows = [(i, f"{text[i % 2][0]} {'abcdefgh'[i % 8]}", i) for i in range(120)] + [(None, "you are an idiot", 1), (7, None, 1), (7, "", 1), (8, "idiot " * 3000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    known = [(i, 0, text[i % 2][1]) for i in range(120)]
+    labels = spark.createDataFrame([*known, *known[:20], (3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.detect(docs, labels)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    found = got.collect()
+    assert len(found) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found)
+    assert np.mean([r["predicted"] == text[r["doc_id"] % 2][1] for r in found[:120]]) > 0.95
+    assert toxicity.detect(docs.limit(0), labels).count() == 0
+    kept = toxicity.remove_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in found)
+
+
 def test_collapsed_weights_equal_the_kernel():
     units = [bytes(int(toxicity._classes()[ord(c)]) for c in f" {w}") for w in ("idiot", "idoit", "stone", "ixdixot")]
     used = np.unique(toxicity._triples(units[:2])[1])
