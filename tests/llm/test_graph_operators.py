@@ -114,6 +114,8 @@ def test_shard_placement_edges(spark):
     got = sharding.place(rows, "k").collect()
     assert len(got) == 3 and len({r["shard"] for r in got if r["k"] == 1}) == 1 and all(r["shard"] for r in got)
     assert sharding.place(rows.limit(0), "k").count() == 0
+    own = sharding.place(spark.createDataFrame([("a", 1, "q"), ("b" * 100_000, 2, None)], "slot string, `x.y` int, shard string"), "slot")
+    assert own.columns == ["x.y", "slot", "shard"] and sorted(r["x.y"] for r in own.collect()) == [1, 2]
 
 
 def fingerprint(text):
