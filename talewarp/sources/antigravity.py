@@ -154,7 +154,7 @@ def chunks(files: DataFrame, machine: str = "", sessions: DataFrame | None = Non
     rows = c.carried_ns(parsed.where("reason IS NULL")).withColumn("session", session_of(F.col("path")))
     if sessions is None:
         sessions = files.sparkSession.createDataFrame([], SUMMARY_SCHEMA)
-    rows = rows.join(F.broadcast(sessions), "session", "left")
+    rows = rows.join(sessions, "session", "left")
     targets = F.transform("calls", _target)
     flat = _quoted(F.flatten(targets))
     rows = rows.withColumn("quoted", flat).withColumn("at", c.fallback_ns(F.col("ns"), F.col("line")))

@@ -1,21 +1,25 @@
 """Forward-only ingestion: new transcript files into the chunk table, once each change.
 
 At the first start the present files are excluded and a cutoff is kept. Each tick lists
-the files, leaves out excluded ones and those whose digest is known, judges the rest by
-their records' times, and upserts the chunks of accepted files. State lives in Parquet
-tables next to the chunk table; the chunks are committed before the state, and upserts
-are idempotent, so a tick that dies is simply run again.
+the files, leaves out excluded ones and those whose size and time, or digest, are known,
+judges the rest by their records' times, and upserts the chunks of accepted files. Only
+files that changed are read, ``MAX_FILES`` at a time until none is left; their names come
+to the driver, contents don't. A file that changes while it is read waits for the next
+tick. Roots are folders of this host and listed by the
+driver. State lives in Parquet tables next to the chunk table; the chunks are committed
+before the state, and upserts are idempotent, so a tick that dies is simply run again.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import stat
 import time
 import uuid
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.files import source_kind
@@ -24,31 +28,36 @@ from ..operators import logs
 from ..sources import registry
 from ..sources.common import MAX_FILES, MAX_SNAPSHOT_BYTES
 from ..table import ChunkTable, Embedder
+from ..versions import Conflict, Versions
 
 #: Sessions that name no conversation, and so are never excluded.
 SYNTHETIC = ["unknown", "gemini-session", "gemini-logs"]
 #: Sources whose files hold many conversations.
 EXPORTS = ("chatgpt", "claudeapp")
-STATE = {"excluded": "path string, object string, session string, reason string", "progress": "path string, digest string", "meta": "name string, value string"}
+STATE = {"excluded": "path string, object string, session string, reason string", "progress": "path string, digest string, bytes long, modified long, status string", "meta": "name string, value string"}
 
 
-def listing(root: str) -> list[tuple[str, str, int, float]]:
-    """``path, object, bytes, modified`` of the regular files below a root on this host.
+def listed(path: str) -> tuple[str, str, int, int] | None:
+    """``path, object, bytes, modified`` (nanoseconds) of a regular file; None for what isn't one.
 
-    Symbolic links and files with several names are left out. The object (device and
+    Symbolic links and files with several names don't count. The object (device and
     inode) tells a file that was renamed from a new one.
     """
+    try:
+        found = os.lstat(path)
+    except FileNotFoundError:
+        return None
+    if not stat.S_ISREG(found.st_mode) or found.st_nlink != 1 or found.st_size > MAX_SNAPSHOT_BYTES:
+        return None
+    return path, f"{found.st_dev}:{found.st_ino}", found.st_size, found.st_mtime_ns
+
+
+def listing(root: str) -> list[tuple[str, str, int, int]]:
+    """The files below a root on this host, as ``listed`` has them."""
     out = []
     for folder, dirs, names in os.walk(root, followlinks=False):
         dirs.sort()
-        for name in sorted(names):
-            path = os.path.join(folder, name)
-            try:
-                found = os.lstat(path)
-            except FileNotFoundError:
-                continue
-            if os.path.isfile(path) and not os.path.islink(path) and found.st_nlink == 1 and found.st_size <= MAX_SNAPSHOT_BYTES:
-                out.append((path, f"{found.st_dev}:{found.st_ino}", found.st_size, found.st_mtime))
+        out += filter(None, (listed(os.path.join(folder, name)) for name in sorted(names)))
     return out
 
 
@@ -85,7 +94,7 @@ class ForwardIngest:
         rows.write.mode("append").parquet(f"{self.state}/{name}")
 
     def _progress(self) -> DataFrame:
-        """Digests of every version of a file that was handled."""
+        """Size, time and digest of every version of a file that was handled."""
         return self._read("progress").distinct()
 
     def cutoff(self) -> datetime | None:
@@ -94,7 +103,7 @@ class ForwardIngest:
 
     def _listed(self) -> DataFrame:
         rows = [x for r in self.roots for x in listing(r)]
-        frame = self.spark.createDataFrame(rows, "path string, object string, bytes long, modified double")
+        frame = self.spark.createDataFrame(rows, "path string, object string, bytes long, modified long")
         return registry.routed(frame)
 
     def _kept_roots(self) -> dict[str, str]:
@@ -148,7 +157,7 @@ class ForwardIngest:
 
     # one tick --------------------------------------------------------------
     def tick(self) -> dict[str, int]:
-        """One pass over the roots; returns the number of files by outcome."""
+        """One pass over the roots; returns the number of changed files by outcome."""
         cutoff = self.cutoff()
         if cutoff is None:
             raise RuntimeError("start() comes first")
@@ -157,38 +166,57 @@ class ForwardIngest:
         files = self._listed().withColumn("session", path_session(F.col("path")))
         for key in ("path", "object", "session"):
             files = files.join(excluded.select(key).where(f"{key} IS NOT NULL").distinct(), key, "left_anti")
-        waiting = files.select("path", "kind").orderBy("path").collect()
-        names, kinds = [r["path"] for r in waiting], {r["kind"] for r in waiting}
-        if not names:
-            self.ready = True
-            return {"accepted": 0, "refused": 0, "waiting": 0}
-        # contents stay where they are read: only names of changed files come to the driver
-        changed = self._snapshot(names).select("path", "digest").join(progress, ["path", "digest"], "left_anti")
-        todo = [r["path"] for r in changed.select("path").orderBy("path").limit(MAX_FILES).collect()]
-        if not todo:
-            self.ready = True
-            return {"accepted": 0, "refused": 0, "waiting": 0}
-        changed = self._snapshot(todo).cache()
+        # what has a known size and time isn't read
+        changed = files.join(progress.select("path", "bytes", "modified"), ["path", "bytes", "modified"], "left_anti").cache()
+        outcome = {"accepted": 0, "refused": 0, "waiting": 0}
         try:
-            return self._ingest(changed, files.select("path", "object"), cutoff, kinds)
+            after = ""
+            while part := changed.where(F.col("path") > after).orderBy("path").limit(MAX_FILES).collect():
+                for name, number in self._batch(part, progress, cutoff).items():
+                    outcome[name] += number
+                after = part[-1]["path"]
         finally:
             changed.unpersist()
+        self.ready = True
+        return outcome
+
+    def _batch(self, part: list[Row], progress: DataFrame, cutoff: datetime) -> dict[str, int]:
+        """Ingest a bounded number of files: those of known content get their new time, the others are judged."""
+        found = self._snapshot([r["path"] for r in part]).cache()
+        try:
+            digests = {r["path"]: r["digest"] for r in found.select("path", "digest").collect()}
+            # a file that changed since it was listed is left to the next tick
+            steady = {r["path"]: r for r in part if r["path"] in digests and listed(r["path"]) == (r["path"], r["object"], r["bytes"], r["modified"])}
+            known = {(r["path"], r["digest"]) for r in progress.where(F.col("path").isin(list(steady))).select("path", "digest").collect()}
+            same = [p for p in steady if (p, digests[p]) in known]
+            if same:
+                self._append("progress", self._progress_rows([steady[p] for p in same], digests, dict.fromkeys(same, "same")))
+            fresh = [p for p in steady if (p, digests[p]) not in known]
+            if not fresh:
+                return {}
+            return self._ingest(found.where(F.col("path").isin(fresh)), [steady[p] for p in fresh], digests, cutoff)
+        finally:
+            found.unpersist()
+
+    def _progress_rows(self, files: list[Row], digests: dict[str, str], status: dict[str, str]) -> DataFrame:
+        rows = [(r["path"], digests[r["path"]], r["bytes"], r["modified"], status[r["path"]]) for r in files]
+        return self.spark.createDataFrame(rows, STATE["progress"])
 
     def _snapshot(self, names: list[str]) -> DataFrame:
         """``path, content, digest`` of files."""
         found = self.spark.read.format("binaryFile").load([f"file://{n}" for n in names])
         return found.select(F.regexp_replace("path", "^file:(?://)?(?=/)", "").alias("path"), "content", F.sha2("content", 256).alias("digest"))
 
-    def _ingest(self, changed: DataFrame, objects: DataFrame, cutoff: datetime, kinds: set[str]) -> dict[str, int]:
-        chunks, issues = registry.all_chunks(changed.select("path", "content"), self.machine, only=kinds)
+    def _ingest(self, changed: DataFrame, files: list[Row], digests: dict[str, str], cutoff: datetime) -> dict[str, int]:
+        chunks, issues = registry.all_chunks(changed.select("path", "content"), self.machine, only={r["kind"] for r in files})
         chunks, issues = chunks.cache(), issues.cache()
         try:
-            return self._commit(chunks, issues, changed, objects, cutoff)
+            return self._commit(chunks, issues, files, digests, cutoff)
         finally:
             chunks.unpersist()
             issues.unpersist()
 
-    def _commit(self, chunks: DataFrame, issues: DataFrame, changed: DataFrame, objects: DataFrame, cutoff: datetime) -> dict[str, int]:
+    def _commit(self, chunks: DataFrame, issues: DataFrame, files: list[Row], digests: dict[str, str], cutoff: datetime) -> dict[str, int]:
         # a time within the first day after the epoch is a line number, so there was none
         timed = F.when(F.unix_seconds("Timestamp") >= 86_400, F.col("Timestamp"))
         rows = chunks.select(F.col("SourceFile").alias("path"), timed.alias("ts"), F.lit(False).alias("issue"), F.col("SessionId").alias("session"))
@@ -199,8 +227,9 @@ class ForwardIngest:
         units = logs.eligibility(rows, "unit", "ts", F.lit(cutoff), ~F.col("issue"), F.col("issue")).select("unit", "status").cache()
         judged = units.select(F.substring_index("unit", "\n", 1).alias("path"), "status").groupBy("path").agg(F.collect_set("status").alias("states"))
         state = F.when(F.array_contains("states", "wait"), "wait").when(F.array_contains("states", "accept"), "accept").otherwise("refuse")
-        judged = changed.select("path", "digest").join(judged.select("path", state.alias("status")), "path", "left").withColumn("status", F.coalesce("status", F.lit("empty"))).collect()
-        by = {s: [r["path"] for r in judged if r["status"] == s] for s in ("accept", "refuse", "wait", "empty")}
+        judged = {r["path"]: r["status"] for r in judged.select("path", state.alias("status")).collect()}
+        status = {r["path"]: judged.get(r["path"], "empty") for r in files}
+        by = {s: [p for p, own in status.items() if own == s] for s in ("accept", "refuse", "wait", "empty")}
         own = chunks.withColumn("unit", F.when(~F.coalesce(source_kind(F.col("SourceFile")).isin(*EXPORTS), F.lit(False)), F.col("SourceFile")).otherwise(F.concat("SourceFile", F.lit("\n"), "SessionId")))
         accepted = own.join(units.where("status = 'accept'").select("unit"), "unit", "left_semi").drop("unit")
         old = self._read("excluded").select("session").where("session IS NOT NULL").distinct()
@@ -213,14 +242,15 @@ class ForwardIngest:
         if whole_files:
             real = ~(F.col("SessionId").isin(SYNTHETIC) | F.col("SessionId").rlike("^[0-9]+$"))
             gone = chunks.where(F.col("SourceFile").isin(whole_files)).select(F.col("SourceFile").alias("path"), F.when(real, F.lower("SessionId")).alias("session")).distinct()
-            kept = objects.where(F.col("path").isin(whole_files)).join(gone, "path", "left")
+            objects = self.spark.createDataFrame([(r["path"], r["object"]) for r in files if r["path"] in whole_files], "path string, object string")
+            kept = objects.join(gone, "path", "left")
             self._append("excluded", kept.select("path", "object", "session", F.lit("refused").alias("reason")))
         # a refused export isn't excluded: it may gain conversations, and is read again only if it changes
-        done = [(r["path"], r["digest"]) for r in judged if r["status"] in ("accept", "empty") or r["path"].endswith("conversations.json")]
+        # nor is a file that waits, which is read again when it changes
+        done = [r for r in files if status[r["path"]] != "refuse" or r["path"].endswith("conversations.json")]
         if done:
-            self._append("progress", self.spark.createDataFrame(done, STATE["progress"]))
+            self._append("progress", self._progress_rows(done, digests, status))
         units.unpersist()
-        self.ready = True
         return {"accepted": len(by["accept"]), "refused": len(by["refuse"]), "waiting": len(by["wait"])}
 
     # trigger ---------------------------------------------------------------
@@ -239,52 +269,89 @@ class ForwardIngest:
 
 
 class KeyedState:
-    """Small keyed state (checkpoints, retry queue) as appended Parquet rows; the last of a key counts."""
+    """Small keyed state (checkpoints, retry queue): at most ``capacity`` rows, written whole at each change.
 
-    SCHEMA = "key string, value string, generation long, attempts int, due double, gone boolean, written double, batch string"
+    Changes are numbered states (``versions``), so of two writers the second starts again
+    from the first one's rows, and no generation goes back.
+    """
+
+    SCHEMA = "key string, value string, generation long, attempts int, due double"
 
     def __init__(self, spark: SparkSession, path: str, capacity: int = 10_000):
-        self.spark, self.path, self.capacity = spark, path, capacity
+        self.spark, self.path, self.capacity = spark, path.rstrip("/"), capacity
+        self.versions = Versions(spark, f"{self.path}/states")
 
-    def rows(self) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+    def _at(self, state: dict | None) -> DataFrame:
+        if not state:
             return self.spark.createDataFrame([], self.SCHEMA)
-        every = self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        return logs.last_wins(every, ["key"], ["written", "batch"]).where("NOT gone")
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{state['folder']}")
+
+    def rows(self) -> DataFrame:
+        return self._at(self.versions.latest()[1])
+
+    def _change(self, make) -> None:
+        """Replace the rows by what ``make`` returns of them (None: leave them)."""
+        for _ in range(8):
+            number, state = self.versions.latest()
+            new = make(self._at(state))
+            if new is None:
+                return
+            folder = f"r-{uuid.uuid4().hex}"
+            new.coalesce(1).write.parquet(f"{self.path}/{folder}")
+            try:
+                self.versions.commit(number, {"folder": folder})
+            except Conflict:
+                continue
+            named, jvm = {s["folder"] for s in self.versions.kept()}, self.spark._jvm
+            for found in self.versions.fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.path)):
+                name = found.getPath().getName()
+                # others may be about to commit what they have just written
+                if name.startswith("r-") and name not in named and time.time() - found.getModificationTime() / 1000 > 3600:
+                    self.versions.fs.delete(found.getPath(), True)
+            return
+        raise Conflict(f"{self.path} keeps being changed by others")
 
-    def _add(self, key: str, value: str, generation: int, attempts: int, due: float, gone: bool = False) -> None:
-        row = [(key, value, generation, attempts, float(due), gone, time.time(), uuid.uuid4().hex)]
-        self.spark.createDataFrame(row, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+    def _with(self, rows: DataFrame, key: str, value: str, generation: int, attempts: int, due: float) -> DataFrame:
+        return rows.where(F.col("key") != key).unionByName(self.spark.createDataFrame([(key, value, generation, attempts, float(due))], self.SCHEMA))
 
     def get(self, key: str):
         return self.rows().where(F.col("key") == key).first()
 
     def put(self, key: str, value: str, generation: int) -> None:
         """A checkpoint; its generation must not go back."""
-        old = self.get(key)
-        if old and generation < old["generation"]:
-            raise ValueError("the generation goes back")
-        self._add(key, value, generation, 0, 0.0)
+
+        def make(rows: DataFrame) -> DataFrame:
+            old = rows.where(F.col("key") == key).first()
+            if old and generation < old["generation"]:
+                raise ValueError("the generation goes back")
+            return self._with(rows, key, value, generation, 0, 0.0)
+
+        self._change(make)
 
     def enqueue(self, key: str, value: str, now: float) -> None:
         """Add an item; the same item again does nothing, another under its key is a conflict."""
-        old = self.get(key)
-        if old:
-            if old["value"] != value:
-                raise ValueError("another item has this key")
-            return
-        if self.rows().count() >= self.capacity:
-            raise ValueError("the queue is full")
-        self._add(key, value, 0, 0, now)
+
+        def make(rows: DataFrame) -> DataFrame | None:
+            old = rows.where(F.col("key") == key).first()
+            if old:
+                if old["value"] != value:
+                    raise ValueError("another item has this key")
+                return None
+            if rows.count() >= self.capacity:
+                raise ValueError("the queue is full")
+            return self._with(rows, key, value, 0, 0, now)
+
+        self._change(make)
 
     def due(self, now: float, limit: int) -> DataFrame:
         return self.rows().where(F.col("due") <= now).orderBy("key").limit(limit)
 
     def acknowledge(self, key: str) -> None:
-        self._add(key, "", 0, 0, 0.0, gone=True)
+        self._change(lambda rows: rows.where(F.col("key") != key))
 
     def retry(self, key: str, due: float) -> None:
-        old = self.get(key)
-        if old:
-            self._add(key, old["value"], old["generation"], old["attempts"] + 1, due)
+        def make(rows: DataFrame) -> DataFrame | None:
+            old = rows.where(F.col("key") == key).first()
+            return self._with(rows, key, old["value"], old["generation"], old["attempts"] + 1, due) if old else None
+
+        self._change(make)

@@ -57,6 +57,40 @@ def test_uploads_are_judged(spark):
             upload(rows, endpoint, token)
 
 
+def test_ticks_read_what_changed_in_batches(spark, tmp_path, monkeypatch):
+    """More waiting files than a batch holds keep no other waiting; known files aren't read again."""
+    from talewarp.streaming import forward
+
+    monkeypatch.setattr(forward, "MAX_FILES", 2)
+    root = tmp_path / "projects" / "-w-app"
+    root.mkdir(parents=True)
+    table = ChunkTable(spark, str(tmp_path / "t"), 16, buckets=2)
+    table.initialize()
+    ingest = ForwardIngest(spark, [str(tmp_path / "projects")], table, str(tmp_path / "state"))
+    ingest.start()
+    stamp = "2099-01-01T00:00:00Z"
+    for i in range(3):
+        (root / f"a{i}.jsonl").write_text("{bad\n")
+    good = json.dumps({"type": "summary", "summary": "done", "sessionId": "s", "timestamp": stamp})
+    (root / "z.jsonl").write_text(good)
+    read, plain = [], ingest._snapshot
+    ingest._snapshot = lambda names: read.append([os.path.basename(n) for n in names]) or plain(names)
+    assert ingest.tick() == {"accepted": 1, "refused": 0, "waiting": 3} and table.read().count() == 1
+    assert read == [["a0.jsonl", "a1.jsonl"], ["a2.jsonl", "z.jsonl"]]
+    read.clear()
+    assert ingest.tick() == {"accepted": 0, "refused": 0, "waiting": 0} and read == []
+    os.utime(root / "z.jsonl")  # another time, the same content
+    assert ingest.tick() == {"accepted": 0, "refused": 0, "waiting": 0} and read == [["z.jsonl"]]
+    read.clear()
+    (root / "a1.jsonl").write_text(good.replace("done", "mended"))
+    # a file that changes while it is read is left to the next tick
+    part = ingest._listed().where("path LIKE '%a1.jsonl'").collect()
+    (root / "a1.jsonl").write_text(good.replace("done", "mended again"))
+    assert ingest._batch(part, ingest._progress(), ingest.cutoff()) == {} and table.read().count() == 1
+    read.clear()
+    assert ingest.tick()["accepted"] == 1 and table.read().count() == 2 and read == [["a1.jsonl"]]
+
+
 def test_roots_are_reconciled(spark, tmp_path):
     roots = [tmp_path / "one", tmp_path / "two"]
     for r in roots:
