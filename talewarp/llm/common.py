@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -112,11 +113,14 @@ def enter(key: str) -> None:
     """Drop what a reused worker holds under another key than ``key``."""
     if key not in _kept:
         _kept.clear()
+        leave()
 
 
 def leave() -> None:
-    """Give Arrow's free memory back, as the worker may wait for long."""
+    """Give free memory back to the system, as workers are reused and may wait for long."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str = "") -> DataFrame:

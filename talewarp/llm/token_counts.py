@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, by_bytes, kept, map_batches
 
 #: Words held by a worker's cache, and the longest word that it keeps, in bytes.
-CACHE_WORDS, CACHE_WORD_BYTES = 600_000, 48
+CACHE_WORDS, CACHE_WORD_BYTES = 250_000, 48
 #: Bytes of text encoded at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def default_tokenizer_path() -> str:
