@@ -186,8 +186,8 @@ class ChunkTable:
         # the indexes are made from what was written
         written = self.spark.read.schema(f"{dealt.drop('bucket').schema.toDDL()}, bucket int").parquet(f"{self.path}/data/{name}")
         folder = F.lit(name).alias("folder")
-        postings = fulltext.inverted_index(written, keep=("bucket",)).select("bucket", "token", "Id", "tf", "dl", folder, F.pmod(F.xxhash64("token"), F.lit(self.SLOTS)).cast("int").alias("slot"))
-        postings.repartition("slot").sortWithinPartitions("slot", "token").write.partitionBy("slot").parquet(f"{self.path}/text/{name}")
+        postings = fulltext.inverted_index(written, keep=("bucket",)).select("bucket", "token", "Id", "tf", "dl", F.pmod(F.xxhash64("token"), F.lit(self.SLOTS)).cast("int").alias("slot"))
+        postings.repartition("slot").sortWithinPartitions("slot", "token").write.partitionBy("slot").parquet(f"{self.path}/text/folder={name}")
         totals = written.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.size(fulltext.tokens("Content"))).cast("long").alias("tokens")).select("*", folder)
         totals.coalesce(1).write.parquet(f"{self.path}/totals/{name}")
         if state["index"]:
@@ -221,7 +221,7 @@ class ChunkTable:
         for part in parts:
             where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
             for found in fs.listStatus(where) if fs.exists(where) else []:
-                if (name := found.getPath().getName()) not in named and name != "model":
+                if (name := found.getPath().getName().removeprefix("folder=")) not in named and name != "model":
                     fs.delete(found.getPath(), True)
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches"), True)
 
@@ -315,7 +315,7 @@ class ChunkTable:
         if not names or not wanted:
             return self.spark.createDataFrame([], "Id string, Score double, Distance double")
         slots = [r["s"] for r in self.spark.createDataFrame([(t,) for t in wanted], "token string").select(F.pmod(F.xxhash64("token"), F.lit(self.SLOTS)).alias("s")).distinct().collect()]
-        postings = self.spark.read.schema(self.POSTINGS).option("basePath", f"{self.path}/text").parquet(*(f"{self.path}/text/{n}" for n in names))
+        postings = self.spark.read.schema(self.POSTINGS).option("basePath", f"{self.path}/text").parquet(*(f"{self.path}/text/folder={n}" for n in names))
         totals = self.spark.read.schema(self.TOTALS).parquet(*(f"{self.path}/totals/{n}" for n in names)).where(_live(state))
         stats = totals.agg(F.sum("n").alias("n"), (F.sum("tokens") / F.sum("n")).alias("avgdl"))
         allowed = None if where is None else self._rows(state).where(where).select("Id")
