@@ -31,34 +31,34 @@ def _equal_to(word: str):
 
 
 def inverted_index(docs: DataFrame, id_col: str = "Id", text_col: str = "Content", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``token, Id, tf, dl`` of every document, and its columns ``keep``.
-
-    A document's tokens are sorted and counted in its row, so no shuffle is needed.
-    """
-    words = docs.select(F.col(id_col).alias("Id"), *keep, F.array_sort(tokens(text_col)).alias("t")).where(F.size("t") > 0)
-    # where a run of equal tokens begins; the next run's start (or the end) gives its length
-    starts = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.col("t")[i - 1] != F.try_element_at("t", F.greatest(i - 1, F.lit(1)))))
-    runs = words.withColumn("s", starts).select("*", F.posexplode("s").alias("place", "start"))
-    end = F.coalesce(F.try_element_at("s", F.col("place") + 2), F.size("t") + 1)
-    return runs.select("Id", *keep, F.col("t")[F.col("start") - 1].alias("token"), (end - F.col("start")).cast("long").alias("tf"), F.size("t").alias("dl"))
+    """``token, Id, tf, dl`` of every document, and its columns ``keep``."""
+    split = docs.select(F.col(id_col).alias("Id"), *keep, tokens(text_col).alias("t")).select("Id", *keep, F.size("t").alias("dl"), F.explode("t").alias("token"))
+    return split.groupBy("token", "Id", "dl", *keep).agg(F.count("*").alias("tf"))
 
 
 def bm25_topk(docs: DataFrame, query: str, k: int, where: Column | None = None, id_col: str = "Id", text_col: str = "Content", k1: float = K1, b: float = B) -> DataFrame:
     """``Id, Score, Distance`` of the ``k`` best documents; Distance is 1 - Score.
 
-    One scan computes lengths and the query tokens' frequencies together; only those
-    tokens are counted, so no index of other words is built or shuffled.
+    Without a stored index the texts are read twice: for the corpus's numbers, and for
+    the documents that hold the query's words, of which those whose text lacks one are
+    left out before they are split. Only the query's tokens are counted, and each text
+    is split once a pass.
     """
     wanted = query_tokens(query)
     if not wanted:
         return docs.select(F.col(id_col).alias("Id"), F.lit(0.0).alias("Score"), F.lit(0.0).alias("Distance")).limit(0)
-    found = tokens(text_col)
-    kept = F.lit(True) if where is None else where
-    counted = docs.select(F.col(id_col).alias("Id"), kept.alias("kept"), found.alias("t")).select(
-        "Id", "kept", F.size("t").alias("dl"), *(F.size(F.filter("t", _equal_to(w))).alias(f"tf{i}") for i, w in enumerate(wanted))
-    )
-    corpus = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
-    matched = counted.where(F.col("kept")).where(F.least(*(F.col(f"tf{i}") for i in range(len(wanted))), F.lit(1 << 30)) > 0)
+
+    def counted(rows: DataFrame) -> DataFrame:
+        # within the lambda the tokens are a variable, so they aren't computed for each count
+        numbers = F.transform(F.array(tokens(text_col)), lambda t: F.struct(F.size(t).alias("dl"), *(F.size(F.filter(t, _equal_to(w))).alias(f"tf{i}") for i, w in enumerate(wanted))))
+        return rows.select(F.col(id_col).alias("Id"), F.explode(numbers).alias("_c")).select("Id", "_c.*")
+
+    corpus = counted(docs).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
+    lower = F.lower(F.col(text_col))
+    holding = docs if where is None else docs.where(where)
+    for w in wanted:
+        holding = holding.where(F.contains(lower, F.lit(w)))
+    matched = counted(holding).where(F.least(*(F.col(f"tf{i}") for i in range(len(wanted))), F.lit(1 << 30)) > 0)
 
     def part(i: int) -> Column:
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
