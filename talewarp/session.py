@@ -20,6 +20,7 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     return builder.config(map=settings).getOrCreate()
 
