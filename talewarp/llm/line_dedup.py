@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, checkpointed, fresh_folder, joined, map_batches, quoted, small_or_not
+from .common import as_bytes, by_bytes, checkpointed, fresh_folder, map_batches, quoted, small_or_not
 from .cuckoo import Stack
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -209,6 +209,20 @@ def _counted(holders: DataFrame, keys: DataFrame) -> DataFrame:
     return found.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
 
 
+def _with_last(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``hi, lo, doc_id, last`` of the rows whose keys are in ``counts``.
+
+    Keys with more than a ten-thousandth of all rows are fewer than ten thousand, so they
+    are broadcast; no other key is large enough to hold up a task.
+    """
+    heavy = F.col("n") > max(10_000, (counts.agg(F.sum("n")).first()[0] or 0) // 10_000)
+    few = F.broadcast(counts.where(heavy).select(*KEY, "last", F.lit(True).alias("heavy")))
+    told = rows.join(few, KEY, "left")
+    rest = told.where("heavy IS NULL").drop("last").join(counts.where(~heavy).select(*KEY, "last"), KEY)
+    columns = [*KEY, "doc_id", "last"]
+    return told.where("heavy").select(*columns).unionByName(rest.select(*columns))
+
+
 @dataclass(frozen=True)
 class LineIndex:
     """The state as DataFrames of the shared folder; each change gives a new index, and the old one stays valid."""
@@ -268,7 +282,7 @@ class LineIndex:
     def clean(self, docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``doc_id, n_lines, n_dropped, text`` of every row of ``docs``, which the index holds."""
         often = self.counts.where(F.col("n") >= min_docs)
-        found = joined(self.holders, often, KEY).where(~F.col("doc_id").eqNullSafe(F.col("last"))).select("doc_id", *KEY).distinct()
+        found = _with_last(self.holders, often).where(~F.col("doc_id").eqNullSafe(F.col("last"))).select("doc_id", *KEY).distinct()
         found = checkpointed(found)
         dropped = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct(*KEY)).alias("dropped"))
         if found.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
