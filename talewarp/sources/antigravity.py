@@ -88,7 +88,8 @@ def events(files: DataFrame) -> DataFrame:
     kind = first_text(c.text_at(v, "$.type"), c.text_at(v, "$.step_type"))
     content = [t for k in CONTENT_KEYS for t in (c.text_at(v, f"$.{k}"), *(c.text_at(v, f"$.{k}.{i}") for i in INNER_KEYS))]
     calls = F.concat(*(F.coalesce(F.filter(c.items_at(v, f"$.{k}"), c.is_object), F.array().cast("array<variant>")) for k in ("tool_calls", "toolCalls")))
-    return rows.withColumn("reason", reason).select(
+    return c.settled(
+        rows.withColumn("reason", reason),
         "path",
         "line",
         "reason",

@@ -33,7 +33,8 @@ def entries(files: DataFrame) -> DataFrame:
     usable = F.when(F.col("type") == "user", (c.kind_of(content) == "STRING") | c.is_array(content)).when(F.col("type") == "assistant", c.is_array(content)).otherwise(content.isNotNull())
     has = F.coalesce(usable, F.lit(False))
     text = F.coalesce(c.text_at(v, "$.message.content"), F.array_join(F.array_compact(F.transform(c.items_at(v, "$.message.content"), rendered)), "\n"), F.lit(""))
-    return rows.withColumn("reason", reason).select(
+    return c.settled(
+        rows.withColumn("reason", reason),
         "path",
         "line",
         "reason",
@@ -99,53 +100,47 @@ def _files(prompt: Column, project: Column) -> Column:
 
 
 def chunks(files: DataFrame, machine: str = "") -> tuple[DataFrame, DataFrame]:
-    """Chunks and issues of transcript files (``path, content``)."""
+    """Chunks and issues of transcript files (``path, content``).
+
+    Every entry gives one row at most: a summary, a title where the file has no summary, a
+    link, an answer with the question before it, or the files of an answer without one.
+    """
     parsed = entries(files)
-    whole = Window.partitionBy("path")
-    log = c.log_window("path")
     rows = c.carried_ns(parsed.where("reason IS NULL"))
-    own = session_of(F.col("path"))
-    other = F.first(F.when((F.col("session") != "") & (F.col("session") != own), F.col("session")), ignorenulls=True).over(log.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    titles = F.array_sort(F.collect_list(F.when(~c.blank(F.col("title")), F.struct("line", c.strip(F.col("title")).alias("t")))).over(whole))
+    own, kind = session_of(F.col("path")), F.col("type")
+    log = c.log_window("path")
+    whole = log.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    named = ~F.col("is_summary") & kind.isin("custom-title", "agent-name")
+    talks = ~F.col("is_summary") & kind.isin("user", "assistant")
+    rows = rows.select(
+        "*",
+        F.first(F.when((F.col("session") != "") & (F.col("session") != own), F.col("session")), ignorenulls=True).over(whole).alias("other"),
+        F.collect_list(F.when(~c.blank(F.col("title")), c.strip(F.col("title")))).over(whole).alias("every_title"),
+        F.max("is_summary").over(whole).alias("summarized"),
+        F.count(F.when(named, 1)).over(log.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("nth"),
+        F.last(F.when(talks, F.struct("type", "text", "ns", "line", "session", "uuid")), ignorenulls=True).over(log.rowsBetween(Window.unboundedPreceding, -1)).alias("asked"),
+    )
+    pairs = (kind == "assistant") & talks & F.coalesce(F.col("asked.type") == "user", F.lit(False))
     project = decoded_project(segment_after(F.col("path"), "projects", last_ok=False))
-    rows = (
-        rows.withColumn("session", first_text(F.col("session"), other, own))
-        .withColumn("titles", F.array_join(F.transform(titles, lambda x: x["t"]), " / "))
-        .withColumn("summarized", F.max("is_summary").over(whole))
-        .withColumn("project_path", project)
-        .withColumn("project_name", basename(project, "/"))
+    rows = rows.withColumn("project_path", project).select(
+        "*",
+        basename(F.col("project_path"), "/").alias("project_name"),
+        F.array_join("every_title", " / ").alias("titles"),
+        pairs.alias("pairs"),
+        c.strip(F.col("asked.text")).alias("question"),
+        c.strip(F.col("text")).alias("answer"),
+        c.fallback_ns(F.col("ns"), F.col("line")).alias("at"),
+        truncated(F.when(pairs, F.col("asked.text")), PROMPT_BYTES, "...").alias("prompt"),
     )
-    name, at = F.col("project_name"), c.fallback_ns(F.col("ns"), F.col("line"))
-    none = F.array().cast(f"array<{c.FILE}>")
-
-    def row(frame: DataFrame, content: Column, kind: str, ns: Column = at, line: Column | None = None, model: Column | None = None, user: Column | None = None, assistant: Column | None = None, made: Column = none) -> DataFrame:
-        empty = F.lit(None).cast("string")
-        return frame.withColumn("_made", made).select(
-            "path",
-            "session",
-            "project_path",
-            "project_name",
-            content.alias("content"),
-            F.lit(kind).alias("chunk_type"),
-            ns.alias("ns"),
-            (F.col("line") if line is None else line).alias("line"),
-            (empty if model is None else model).alias("model"),
-            (empty if user is None else user).alias("user"),
-            (empty if assistant is None else assistant).alias("assistant"),
-            time_key(ns).alias("key"),
-            F.col("_made").alias("files"),
-        )
-
-    def summary(frame: DataFrame, text: Column, title: Column) -> DataFrame:
+    rows = rows.withColumn("session", first_text(F.when(F.col("pairs"), F.col("asked.session")).otherwise(F.col("session")), F.col("other"), own))
+    name = F.col("project_name")
+
+    def summary(text: Column, title: Column) -> Column:
         body = c.strip(text)
         shown = F.when((title != "") & (title != body), F.concat(F.lit("Title: "), title, F.lit("\n"), body)).otherwise(body)
-        return row(frame.where(~c.blank(text)), F.concat(F.lit("Session summary for "), name, F.lit(":\n"), shown), "summary")
+        return F.when(body != "", F.concat(F.lit("Session summary for "), name, F.lit(":\n"), shown))
 
-    summaries = summary(rows.where("is_summary"), first_text(F.col("summary"), F.col("text")), first_text(F.col("title"), F.col("titles")))
-    rest = rows.where("NOT is_summary")
-    named = rest.where(F.col("type").isin("custom-title", "agent-name")).withColumn("n", F.row_number().over(log)).where("n = 1 AND NOT summarized AND titles <> ''")
-    titled = summary(named, F.col("titles"), F.col("title"))
-    links = rest.where((F.col("type") == "pr-link") & (F.concat("pr_url", "pr_number", "pr_repository") != ""))
+    titled = named & (F.col("nth") == 1) & ~F.col("summarized") & (F.col("titles") != "")
     link = F.concat(
         F.lit("In project "),
         name,
@@ -154,20 +149,36 @@ def chunks(files: DataFrame, machine: str = "") -> tuple[DataFrame, DataFrame]:
         F.when(F.col("pr_number") != "", F.concat(F.lit(" #"), F.col("pr_number"))).otherwise(""),
         F.when(F.col("pr_url") != "", F.concat(F.lit(": "), F.col("pr_url"))).otherwise(""),
     )
-    before = F.lag(F.struct("type", "text", "ns", "line", "session", "uuid")).over(log)
-    answers = rest.where(F.col("type").isin("user", "assistant")).withColumn("asked", before).where("type = 'assistant'")
-    paired = answers.where("asked.type = 'user'").withColumn("session", first_text(F.col("asked.session"), F.col("session")))
-    question, answer = c.strip(F.col("asked.text")), c.strip(F.col("text"))
-    head = F.concat(F.lit("In project "), name)
+    question, answer, head = F.col("question"), F.col("answer"), F.concat(F.lit("In project "), name)
     said = (
         F.when((question != "") & (answer != ""), F.concat(head, F.lit(", user asked:\n"), question, F.lit("\n\nAssistant responded:\n"), answer))
         .when(question != "", F.concat(head, F.lit(", user asked:\n"), question, F.lit("\n\n[No assistant response]")))
         .when(answer != "", F.concat(head, F.lit(", assistant response:\n"), answer))
     )
-    turn_ns = F.coalesce(F.col("ns"), F.col("asked.ns"), F.col("line") * 1000)
-    turns = row(paired.where(said.isNotNull()), said, "turn", turn_ns, F.col("asked.line"), F.col("model"), F.col("asked.uuid"), F.col("uuid"), _files(truncated(F.col("asked.text"), PROMPT_BYTES, "..."), name))
-    lone = row(answers.where("asked IS NULL OR asked.type <> 'user'"), F.lit(None).cast("string"), "turn", made=_files(F.lit("[unpaired assistant message]"), name))
-    out = summaries
-    for other_rows in (titled, row(links, link, "turn"), turns, lone):
-        out = out.unionByName(other_rows)
-    return c.build_chunks(out, machine), c.issues(parsed)
+    content = (
+        F.when(F.col("is_summary"), summary(first_text(F.col("summary"), F.col("text")), first_text(F.col("title"), F.col("titles"))))
+        .when(titled, summary(F.col("titles"), F.col("title")))
+        .when((kind == "pr-link") & (F.concat("pr_url", "pr_number", "pr_repository") != ""), link)
+        .when(F.col("pairs"), said)
+    )
+    lone = talks & (kind == "assistant") & ~F.col("pairs")
+    pairs = F.col("pairs")
+    turn_ns = F.when(pairs, F.coalesce(F.col("ns"), F.col("asked.ns"), F.col("at"))).otherwise(F.col("at"))
+    made = F.when(pairs | lone, _files(F.coalesce(F.col("prompt"), F.lit("[unpaired assistant message]")), name))
+    rows = rows.withColumn("content", content).withColumn("made", made)
+    turns = rows.select(
+        "path",
+        "session",
+        "project_path",
+        "project_name",
+        "content",
+        F.when(F.col("is_summary") | named, "summary").otherwise("turn").alias("chunk_type"),
+        turn_ns.alias("ns"),
+        F.when(pairs, F.col("asked.line")).otherwise(F.col("line")).alias("line"),
+        F.when(pairs, F.col("model")).alias("model"),
+        F.when(pairs, F.col("asked.uuid")).alias("user"),
+        F.when(pairs, F.col("uuid")).alias("assistant"),
+        time_key(turn_ns).alias("key"),
+        F.coalesce("made", F.array().cast(f"array<{c.FILE}>")).alias("files"),
+    )
+    return c.build_chunks(turns, machine), c.issues(parsed)

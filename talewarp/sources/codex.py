@@ -66,7 +66,7 @@ def events(files: DataFrame) -> DataFrame:
         .when(F.col("stamp").isNotNull() & F.col("ns").isNull(), "invalid_timestamp")
     )
     payload = F.try_variant_get(v, "$.payload", "variant")
-    return rows.withColumn("reason", reason).select("path", "line", "reason", "type", "ns", F.when(c.is_object(payload), payload).alias("payload"))
+    return c.settled(rows.withColumn("reason", reason), "path", "line", "reason", "type", "ns", F.when(c.is_object(payload), payload).alias("payload"))
 
 
 def chunks(files: DataFrame, machine: str = "") -> tuple[DataFrame, DataFrame]:
@@ -94,36 +94,41 @@ def chunks(files: DataFrame, machine: str = "") -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("asks", asks).withColumn("ops", F.when((kind == "response_item") & ~F.col("is_message"), tool_operations(p)).otherwise(F.array().cast(f"array<{OPERATION}>")))
     whole = c.log_window("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("turn_group", F.sum(F.col("asks").cast("int")).over(whole)).withColumn("at", c.fallback_ns(F.col("ns"), F.col("line")))
-    name = basename(F.col("project_path"))
-    empty, none = F.lit(None).cast("string"), F.array().cast(f"array<{c.FILE}>")
-
-    def row(frame: DataFrame, content: Column, made: Column = none) -> DataFrame:
-        return frame.withColumn("_made", made).select("path", "session", "project_path", name.alias("project_name"), content.alias("content"), F.lit("turn").alias("chunk_type"), F.col("at").alias("ns"), "line", "model", empty.alias("user"), empty.alias("assistant"), time_key(F.col("at")).alias("key"), F.col("_made").alias("files"))
+    rows = rows.withColumn("project_name", basename(F.col("project_path")))
+    name = F.col("project_name")
 
     def told(verb: str, text: Column) -> Column:
         return F.concat(F.lit("In project "), name, F.lit(f", {verb}:\n"), text)
 
-    own = F.coalesce(F.nullif(F.when(kind == "compacted", c.strip(message_text(p))), F.lit("")), F.when(kind == "event_msg", F.nullif(c.text_at(p, "$.message"), F.lit(""))), go_json(p), F.lit(""))
-    as_event = F.concat(F.lit('{"payload":'), F.coalesce(go_json(p), F.lit("null")), F.lit(',"type":'), F.to_json(F.array(kind)).substr(F.lit(2), F.length(F.to_json(F.array(kind))) - 2), F.lit("}"))
+    own = F.coalesce(F.nullif(F.when(kind == "compacted", c.strip(message_text(p))), F.lit("")), F.when(kind == "event_msg", F.nullif(c.text_at(p, "$.message"), F.lit(""))), F.col("shown"), F.lit(""))
+    named = F.to_json(F.array(kind))
+    as_event = F.concat(F.lit('{"payload":'), F.coalesce("shown", F.lit("null")), F.lit(',"type":'), F.substring(named, F.lit(2), F.length(named) - 2), F.lit("}"))
+    rows = rows.withColumn("shown", F.when(kind != "response_item", go_json(p))).withColumn("own", own).withColumn("as_event", F.when(~kind.isin(*KNOWN), as_event))
+    own = F.col("own")
     at_once = (
         F.when((kind == "compacted") & (own != ""), told("assistant responded", F.concat(F.lit("[Compacted summary] "), own)))
         .when((kind == "event_msg") & ~c.blank(own), F.when(F.coalesce(c.text_at(p, "$.type") == "user_message", F.lit(False)), told("user said", own)).otherwise(told("assistant responded", own)))
-        .when(~kind.isin(*KNOWN), told("assistant responded", as_event))
+        .when(F.col("as_event").isNotNull(), told("assistant responded", F.col("as_event")))
+        .when((kind == "response_item") & (F.col("turn_group") == 0) & ~c.blank(F.col("said")), told("assistant responded", F.col("said")))
     )
-    loose = (kind == "response_item") & (F.col("turn_group") == 0) & ~c.blank(F.col("said"))
-    immediate = row(rows.where(at_once.isNotNull()), at_once)
-    alone = row(rows.where(loose), told("assistant responded", F.col("said")), c.simple_files(F.col("ops"), name, F.col("at"), F.col("line")))
-    grouped = (
-        rows.where("turn_group > 0")
-        .groupBy("path", "turn_group")
+    rows = rows.withColumn("at_once", at_once)
+    loose = F.when((F.col("turn_group") == 0) & (kind == "response_item"), c.simple_files(F.col("ops"), name, F.col("at"), F.col("line")))
+    now = F.when(F.col("at_once").isNotNull(), c.turn(F.col("at_once"), "turn", F.col("at"), files=F.coalesce(loose, F.array().cast(f"array<{c.FILE}>")), model=F.col("model")))
+    # a line before the first question is a unit of its own, so no unit is larger than a question with its answer
+    unit = F.when(F.col("turn_group") > 0, F.col("turn_group")).otherwise(-F.col("line"))
+    units = (
+        rows.withColumn("now", now)
+        .groupBy("path", unit.alias("unit"))
         .agg(
-            F.max_by(F.struct("session", "project_path", "model"), "line").alias("state"),
+            F.max_by(F.struct("session", "project_path", "project_name", "model"), "line").alias("state"),
             F.min_by(F.struct("said", "at", "line"), "line").alias("asked"),
             F.array_join(c.ordered(F.when((kind == "response_item") & ~F.col("asks") & (F.col("said") != ""), F.col("said"))), "\n").alias("answer"),
             F.flatten(c.ordered(F.col("ops"))).alias("ops"),
+            c.ordered(F.col("now")).alias("now"),
         )
-        .select("path", "state.*", "asked.*", "answer", "ops")
+        .select("path", "unit", "state.*", "asked.*", c.strip(F.col("answer")).alias("answer"), "ops", "now")
     )
-    content = F.concat(told("user asked", F.col("said")), F.lit("\n\nAssistant responded:\n"), c.strip(F.col("answer")))
-    turns = row(grouped, content, c.simple_files(F.col("ops"), name, F.col("at"), F.col("line")))
-    return c.build_chunks(immediate.unionByName(alone).unionByName(turns), machine), c.issues(parsed)
+    content = F.concat(told("user asked", F.col("said")), F.lit("\n\nAssistant responded:\n"), F.col("answer"))
+    whole_turn = c.turn(content, "turn", F.col("at"), files=c.simple_files(F.col("ops"), name, F.col("at"), F.col("line")), model=F.col("model"))
+    turns = units.select("path", F.inline(F.concat(F.array_compact(F.array(F.when(F.col("unit") > 0, whole_turn))), F.col("now"))))
+    return c.build_chunks(turns, machine), c.issues(parsed)

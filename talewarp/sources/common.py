@@ -1,9 +1,10 @@
 """Shared steps of the readers: files, JSON lines, carried times, and chunks from turns.
 
-Every reader has the same shape: parse each line or message into columns with VARIANT
-functions, order the log with windows over one file, and hand rows with a text and its
-file operations to ``build_chunks``. Only JSON that the built-in parser rejects, or that
-may be too deep, goes through a small Arrow function.
+Every reader has the same shape and reads its log once: parse each line or message into
+columns with VARIANT functions, order the log with windows over one file, which share one
+exchange and sort, and hand rows with a text and its file operations to ``build_chunks``.
+Only JSON that the built-in parser rejects, or that may be too deep, goes through a small
+Arrow function.
 """
 
 from __future__ import annotations
@@ -74,6 +75,15 @@ def json_lines(files: DataFrame) -> DataFrame:
     return out.withColumn("reason", F.when(long_line, "line_too_long").otherwise(F.col("reason"))).drop("short", "text")
 
 
+def settled(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns``, each computed once a row.
+
+    A filter on a computed column is otherwise pushed below it, and takes a copy of its
+    expression and of all that it is made of along; a generator keeps them apart.
+    """
+    return rows.select(F.inline(F.array(F.struct(*columns))))
+
+
 def kind_of(value: Column) -> Column:
     return F.schema_of_variant(value)
 
@@ -145,65 +155,80 @@ def ordered(value: Column, order: str = "line") -> Column:
     return F.transform(rows, lambda x: x["_v"])
 
 
+def turn(content: Column, kind: str, ns: Column, line: Column | None = None, files: Column | None = None, **others: Column) -> Column:
+    """A row for ``build_chunks`` as a struct; its session and project are the row's own unless given."""
+    own = {"session": F.col("session"), "project_path": F.col("project_path"), "project_name": F.col("project_name")}
+    empty = {name: F.lit(None).cast("string") for name in ("model", "user", "assistant")}
+    return F.struct(
+        content.alias("content"),
+        F.lit(kind).alias("chunk_type"),
+        ns.alias("ns"),
+        (F.col("line") if line is None else line).cast("long").alias("line"),
+        others.pop("key", time_key(ns)).alias("key"),
+        (F.array().cast(f"array<{FILE}>") if files is None else files).alias("files"),
+        *((others.get(name, value)).alias(name) for name, value in (own | empty).items()),
+    )
+
+
 def build_chunks(turns: DataFrame, machine: str = "") -> DataFrame:
     """Chunks of rows that have a text (null: none) and ``files``, an array of FILE.
 
     Long texts become parts with ids of their own; parts after the first name the whole
     text's id as parent. Files name the first part as parent, and it lists them as
-    children; ids are computed in the row, so linking needs no join.
-    Columns: path, content, chunk_type, session, project_path, project_name, ns, line,
-    model, user, assistant, key, files.
+    children. A row carries its chunks in an array that is exploded once, so the log is
+    read once and linking needs no join.
+    Columns: ``path`` and the fields of ``turn``.
     """
-    pieces = F.when(F.col("content").isNotNull(), split_content("content"))
-    rows = turns.withColumn("pieces", pieces).withColumn("base", short_id(F.col("content"), F.col("session"), F.col("key")))
+    session, key, first = F.col("session"), F.col("key"), F.col("pieces")
     many = F.size("pieces") > 1
-
-    def marked(text: Column, place: Column) -> Column:
-        return F.when(many, F.concat(F.lit("[Part "), (place + 1).cast("string"), F.lit("/"), F.size("pieces").cast("string"), F.lit("] "), text)).otherwise(text)
-
-    def part_id(text: Column, place: Column) -> Column:
-        own = short_id(text, F.col("session"), F.concat(F.col("key"), F.lit("_part"), (place + 1).cast("string")))
-        return F.when(many, own).otherwise(F.col("base"))
-
-    rows = rows.withColumn("first_id", part_id(marked(F.col("pieces")[0], F.lit(0)), F.lit(0)))
-    rows = rows.withColumn("children", F.transform("files", lambda f: short_id(f["content"], F.col("session"), f["key"])))
-    shared = [F.col("session").alias("SessionId"), F.col("project_path").alias("ProjectPath"), F.col("project_name").alias("ProjectName"), F.col("path").alias("SourceFile"), F.nullif(F.lit(machine), F.lit("")).alias("MachineId")]
-
-    parts = rows.where("content IS NOT NULL").select("*", F.posexplode("pieces").alias("place", "piece")).withColumn("text", marked(F.col("piece"), F.col("place")))
-    said = parts.select(
-        part_id(F.col("text"), F.col("place")).alias("Id"),
-        F.col("text").alias("Content"),
-        F.col("chunk_type").alias("ChunkType"),
-        F.timestamp_micros(F.call_function("div", F.col("ns"), F.lit(1000))).alias("Timestamp"),
-        F.col("ns").alias("TimestampNanos"),
-        F.col("user").alias("UserUuid"),
-        F.col("assistant").alias("AssistantUuid"),
-        F.lit(None).cast("string").alias("FilePath"),
-        F.lit(None).cast("string").alias("Operation"),
-        F.col("model").alias("Model"),
-        F.col("line").alias("SourceLine"),
-        F.when(many & (F.col("place") > 0), F.col("base")).alias("ParentChunkId"),
-        F.when((F.col("place") == 0) & (F.size("files") > 0), F.col("children")).alias("ChildChunkIds"),
-        *shared,
+    rows = turns.withColumn("pieces", F.coalesce(F.when(F.col("content").isNotNull(), split_content("content")), F.array().cast("array<string>")))
+    shown = F.transform(first, lambda text, i: F.concat(F.lit("[Part "), (i + 1).cast("string"), F.lit("/"), F.size("pieces").cast("string"), F.lit("] "), text))
+    rows = rows.withColumn("base", short_id(F.col("content"), session, key)).withColumn("texts", F.when(many, shown).otherwise(first)).drop("content")
+    part_ids = F.transform("texts", lambda text, i: short_id(text, session, F.concat(key, F.lit("_part"), (i + 1).cast("string"))))
+    rows = rows.withColumn("ids", F.when(many, part_ids).otherwise(F.array("base")))
+    rows = rows.withColumn("children", F.transform("files", lambda f: short_id(f["content"], session, f["key"])))
+    none = F.lit(None).cast("string")
+
+    def chunk(**fields: Column) -> Column:
+        return F.struct(*(value.alias(name) for name, value in fields.items()))
+
+    said = F.transform(
+        "texts",
+        lambda text, i: chunk(
+            Id=F.get("ids", i),
+            Content=text,
+            ChunkType=F.col("chunk_type"),
+            TimestampNanos=F.col("ns"),
+            UserUuid=F.col("user"),
+            AssistantUuid=F.col("assistant"),
+            FilePath=none,
+            Operation=none,
+            Model=F.col("model"),
+            SourceLine=F.col("line"),
+            ParentChunkId=F.when(i > 0, F.col("base")),
+            ChildChunkIds=F.when((i == 0) & (F.size("files") > 0), F.col("children")),
+        ),
     )
-    touched = rows.select("*", F.explode("files").alias("f")).select(
-        short_id(F.col("f.content"), F.col("session"), F.col("f.key")).alias("Id"),
-        F.col("f.content").alias("Content"),
-        F.lit("file_change").alias("ChunkType"),
-        F.timestamp_micros(F.call_function("div", F.col("f.ns"), F.lit(1000))).alias("Timestamp"),
-        F.col("f.ns").alias("TimestampNanos"),
-        F.lit(None).cast("string").alias("UserUuid"),
-        F.col("f.assistant").alias("AssistantUuid"),
-        F.col("f.path").alias("FilePath"),
-        F.col("f.kind").alias("Operation"),
-        F.col("f.model").alias("Model"),
-        F.col("f.line").alias("SourceLine"),
-        F.col("first_id").alias("ParentChunkId"),
-        F.lit(None).cast("array<string>").alias("ChildChunkIds"),
-        *shared,
+    touched = F.transform(
+        "files",
+        lambda f, i: chunk(
+            Id=F.get("children", i),
+            Content=f["content"],
+            ChunkType=F.lit("file_change"),
+            TimestampNanos=f["ns"],
+            UserUuid=none,
+            AssistantUuid=f["assistant"],
+            FilePath=f["path"],
+            Operation=f["kind"],
+            Model=f["model"],
+            SourceLine=f["line"],
+            ParentChunkId=F.get("ids", F.lit(0)),
+            ChildChunkIds=F.lit(None).cast("array<string>"),
+        ),
     )
-    out = said.unionByName(touched)
-    return normalized(out)
+    shared = [session.alias("SessionId"), F.col("project_path").alias("ProjectPath"), F.col("project_name").alias("ProjectName"), F.col("path").alias("SourceFile")]
+    out = rows.select(*shared, F.inline(F.concat(said, touched)))
+    return normalized(out.withColumn("Timestamp", F.timestamp_micros(F.call_function("div", F.col("TimestampNanos"), F.lit(1000)))).withColumn("MachineId", F.nullif(F.lit(machine), F.lit(""))))
 
 
 def simple_files(ops: Column, project: Column, ns: Column, line: Column) -> Column:

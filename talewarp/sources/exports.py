@@ -29,18 +29,29 @@ def _text_of(value: object, keys: tuple[str, ...]) -> str:
 
 
 def _nested(*keys: str):
-    @pandas_udf(T.StringType())
+    @pandas_udf(T.ArrayType(T.StringType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: "" if t is None else _text_of(json.loads(t), keys))
+            yield batch.map(lambda ts: None if ts is None else [t and _text_of(json.loads(t), keys) for t in ts])
 
     return run
 
 
-def nested_text(value: Column, *keys: str) -> Column:
-    """Text of recursive content; plain strings don't leave the JVM."""
-    plain = F.when(c.kind_of(value) == "STRING", F.try_variant_get(value, "$", "string"))
-    return F.coalesce(plain, _nested(*keys)(F.when(plain.isNull(), F.to_json(value))), F.lit(""))
+def nested_texts(values: list[Column], *keys: str) -> Column:
+    """Texts of recursive contents as an array; plain strings don't leave the JVM."""
+    plain = [F.when(c.kind_of(v) == "STRING", F.try_variant_get(v, "$", "string")) for v in values]
+    given = F.array(*(F.when((c.kind_of(v) != "STRING") & (c.kind_of(v) != "VOID"), F.to_json(v)) for v in values))
+    inner = _nested(*keys)(F.when(F.exists(given, lambda t: t.isNotNull()), given))
+    return F.array(*(F.coalesce(p, F.get(inner, F.lit(i)), F.lit("")) for i, p in enumerate(plain)))
+
+
+def _parts(value: Column, names: list[str]) -> list[Column]:
+    return [F.try_variant_get(value, f"$.{n}", "variant") for n in names]
+
+
+def _first_of(texts: Column, start: int, number: int) -> Column:
+    """The first non-empty text of a stretch of an array."""
+    return first_text(*(F.get(texts, F.lit(i)) for i in range(start, start + number)))
 
 
 def conversations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,11 +71,6 @@ def _seconds(value: Column, path: str) -> Column:
     return F.coalesce(whole * 1_000_000_000 + ((number - whole) * 1e9).cast("long"), nanos(c.text_at(value, path)))
 
 
-def _rows(frame: DataFrame, content: Column, kind: Column, ns: Column, path: str, name: str, user: Column, assistant: Column) -> DataFrame:
-    empty, none = F.lit(None).cast("string"), F.array().cast(f"array<{c.FILE}>")
-    return frame.select("path", F.col("id").alias("session"), F.lit(path).alias("project_path"), F.lit(name).alias("project_name"), content.alias("content"), kind.alias("chunk_type"), ns.alias("ns"), "line", empty.alias("model"), user.alias("user"), assistant.alias("assistant"), time_key(ns).alias("key"), none.alias("files"))
-
-
 def chatgpt_chunks(files: DataFrame, machine: str = "") -> tuple[DataFrame, DataFrame]:
     """Strict pairs of user and assistant (or tool) messages of each conversation."""
     found, bad = conversations(files)
@@ -79,46 +85,53 @@ def chatgpt_chunks(files: DataFrame, machine: str = "") -> tuple[DataFrame, Data
         F.when(c.is_object(F.try_variant_get(item, "$.mapping", "variant")), F.try_variant_get(item, "$.mapping", "map<string,variant>")).alias("mapping"),
     )
     missing = found.where("messages IS NULL AND mapping IS NULL").select("path", (F.col("place") + 1).cast("long").alias("line"), F.lit("messages_missing").alias("reason"))
-    listed = found.where("messages IS NOT NULL").select("path", "place", "id", "title", F.posexplode("messages").alias("n", "m")).withColumn("node", (F.col("n") + 1).cast("string"))
-    graph = found.where("messages IS NULL AND mapping IS NOT NULL").select("path", "place", "id", "title", F.explode("mapping").alias("node", "entry"))
-    wrong = listed.where(~c.is_object(F.col("m"))).select("path", (F.col("place") + 1).cast("long").alias("line"), F.lit("message_not_object").alias("reason"))
-    loose = graph.where(~c.is_object(F.col("entry"))).select("path", (F.col("place") + 1).cast("long").alias("line"), F.lit("node_not_object").alias("reason"))
-    graph = graph.select("path", "place", "id", "title", "node", F.try_variant_get("entry", "$.message", "variant").alias("m"))
+    listed = F.transform("messages", lambda m, i: F.struct((i + 1).cast("string").alias("node"), m.alias("entry"), m.alias("m")))
+    graph = F.transform(F.map_entries("mapping"), lambda e: F.struct(e["key"].alias("node"), e["value"].alias("entry"), F.try_variant_get(e["value"], "$.message", "variant").alias("m")))
+    every = found.select("path", "place", "id", "title", F.col("messages").isNotNull().alias("listed"), F.posexplode(F.coalesce(listed, graph)).alias("n", "x")).select("path", "place", "id", "title", "listed", "n", "x.*")
+    wrong = every.where(~c.is_object(F.col("entry"))).select("path", (F.col("place") + 1).cast("long").alias("line"), F.when(F.col("listed"), "message_not_object").otherwise("node_not_object").alias("reason"))
     m = F.col("m")
-
-    def said(frame: DataFrame) -> DataFrame:
-        texts = [nested_text(F.try_variant_get(m, f"$.{k}", "variant"), "parts", "text", "value", "content") for k in ("content", "text", "message")]
-        role = F.lower(first_text(c.text_at(m, "$.author.role"), c.text_at(m, "$.role"), c.text_at(m, "$.sender")))
-        return frame.where(c.is_object(m)).withColumn("role", role).withColumn("text", first_text(*texts)).withColumn("ns", F.coalesce(*(_seconds(m, f"$.{k}") for k in ("create_time", "created_at", "update_time")))).withColumn("uuid", first_text(c.text_at(m, "$.id"), c.text_at(m, "$.message_id"), F.col("node")))
-
-    listed = said(listed).withColumn("n", F.row_number().over(Window.partitionBy("path", "place").orderBy("n")))
-    graph = said(graph).withColumn("n", F.row_number().over(Window.partitionBy("path", "place").orderBy(F.col("ns").isNull(), "ns", "node")))
-    every = listed.unionByName(graph, allowMissingColumns=True)
-    kept = every.where(~c.blank(F.col("text")) & F.col("role").isin("user", "assistant", "tool"))
+    role = F.lower(first_text(c.text_at(m, "$.author.role"), c.text_at(m, "$.role"), c.text_at(m, "$.sender")))
+    every = every.where(c.is_object(m)).select(
+        "path",
+        "place",
+        "id",
+        "title",
+        "node",
+        "listed",
+        "n",
+        role.alias("role"),
+        nested_texts(_parts(m, ["content", "text", "message"]), "parts", "text", "value", "content").alias("texts"),
+        F.coalesce(*(_seconds(m, f"$.{k}") for k in ("create_time", "created_at", "update_time"))).alias("ns"),
+        first_text(c.text_at(m, "$.id"), c.text_at(m, "$.message_id"), F.col("node")).alias("uuid"),
+    )
+    # messages of a list stand in their order, those of a graph by time
+    log = Window.partitionBy("path", "place").orderBy(F.when(F.col("listed"), F.col("n")), F.col("ns").isNull(), "ns", "node")
+    every = every.withColumn("text", _first_of(F.col("texts"), 0, 3)).withColumn("n", F.row_number().over(log))
+    talks = ~c.blank(F.col("text")) & F.col("role").isin("user", "assistant", "tool")
     log = Window.partitionBy("path", "place").orderBy("n")
-    pairs = kept.withColumn("asked", F.lag(F.struct("role", "text", "uuid")).over(log)).where("role <> 'user' AND asked.role = 'user'")
+    pairs = every.where(talks).withColumn("asked", F.lag(F.struct("role", "text", "uuid")).over(log)).where("role <> 'user' AND asked.role = 'user'")
     pairs = pairs.withColumn("line", (F.col("place") + 1).cast("long") * 100_000 + F.col("n")).withColumn("at", c.fallback_ns(F.col("ns"), F.col("line")))
     content = F.concat(F.lit("In ChatGPT conversation "), F.col("title"), F.lit(", user asked:\n"), F.col("asked.text"), F.lit("\n\nChatGPT responded:\n"), F.col("text"))
-    turns = _rows(pairs, content, F.lit("turn"), F.col("at"), "/chatgpt/export", "ChatGPT", F.col("asked.uuid"), F.col("uuid"))
-    return c.build_chunks(turns, machine), bad.unionByName(missing).unionByName(wrong).unionByName(loose)
+    turn = c.turn(content, "turn", F.col("at"), session=F.col("id"), project_path=F.lit("/chatgpt/export"), project_name=F.lit("ChatGPT"), user=F.col("asked.uuid"), assistant=F.col("uuid"))
+    return c.build_chunks(pairs.select("path", turn.alias("t")).select("path", "t.*"), machine), bad.unionByName(missing).unionByName(wrong)
 
 
-def _notes(value: Column) -> Column:
-    """The three kinds of notes of a conversation or message, with their headings."""
+#: Headings of the notes of a conversation or message, and the names that they go by.
+NOTES = [("Post-turn summary:\n", "postTurnSummary", "post_turn_summary"), ("Last turn report:\n", "lastTurnReport", "last_turn_report"), ("Side session notes:\n", "sideSessionNotes", "side_session_notes")]
+TEXTS = ["text", "content", "message"]
 
-    def one(*names: str) -> Column:
-        return F.nullif(first_text(*(nested_text(F.try_variant_get(value, f"$.{n}", "variant"), "text", "content", "message", "value") for n in names)), F.lit(""))
 
-    return F.concat_ws(
-        "\n\n",
-        F.concat(F.lit("Post-turn summary:\n"), one("postTurnSummary", "post_turn_summary")),
-        F.concat(F.lit("Last turn report:\n"), one("lastTurnReport", "last_turn_report")),
-        F.concat(F.lit("Side session notes:\n"), one("sideSessionNotes", "side_session_notes")),
-    )
+def _notes(texts: Column, start: int) -> Column:
+    """The three kinds of notes with their headings, from an array that has their texts from ``start`` on."""
+    return F.concat_ws("\n\n", *(F.concat(F.lit(heading), F.nullif(_first_of(texts, start + 2 * i, 2), F.lit(""))) for i, (heading, *_) in enumerate(NOTES)))
 
 
 def claudeapp_chunks(files: DataFrame, machine: str = "") -> tuple[DataFrame, DataFrame]:
-    """Conversation notes as summaries, pairs of user and assistant, and lone messages with notes."""
+    """Conversation notes as summaries, pairs of user and assistant, and lone messages with notes.
+
+    A conversation with notes goes before its messages as a row of its own, so that all
+    are read at once.
+    """
     found, bad = conversations(files)
     item, m = F.col("item"), F.col("m")
     line_of = (F.col("place") + 1).cast("long")
@@ -128,40 +141,69 @@ def claudeapp_chunks(files: DataFrame, machine: str = "") -> tuple[DataFrame, Da
         "place",
         first_text(c.text_at(item, "$.uuid"), c.text_at(item, "$.id"), c.text_at(item, "$.conversation_id"), line_of.cast("string")).alias("id"),
         first_text(c.text_at(item, "$.name"), c.text_at(item, "$.title"), F.lit("Untitled")).alias("title"),
-        _notes(item).alias("notes"),
-        F.coalesce(c.items_at(item, "$.chat_messages"), c.items_at(item, "$.messages")).alias("messages"),
+        F.concat(F.array(item), F.coalesce(c.items_at(item, "$.chat_messages"), c.items_at(item, "$.messages"), F.array().cast("array<variant>"))).alias("messages"),
     )
     rows = found.select("path", "place", "id", "title", F.posexplode("messages").alias("j", "m"))
-    wrong = rows.where(~c.is_object(m)).select("path", line_of.alias("line"), F.lit("message_not_object").alias("reason"))
+    wrong = rows.where((F.col("j") > 0) & ~c.is_object(m)).select("path", line_of.alias("line"), F.lit("message_not_object").alias("reason"))
     speaker = F.coalesce(c.part(m, "$.sender"), c.part(m, "$.role"), c.part(m, "$.author"))
     named = F.coalesce(F.when(c.kind_of(speaker) == "STRING", F.try_variant_get(speaker, "$", "string")), c.text_at(speaker, "$.role"), c.text_at(speaker, "$.name"), F.lit(""))
-    role = F.lower(named)
-    text = first_text(*(nested_text(F.try_variant_get(m, f"$.{k}", "variant"), "text", "content", "message", "value") for k in ("text", "content", "message")))
     rows = rows.where(c.is_object(m)).select(
         "path",
         "place",
         "id",
         "title",
-        F.row_number().over(Window.partitionBy("path", "place").orderBy("j")).alias("n"),
-        F.when(role == "human", "user").when(role == "claude", "assistant").otherwise(role).alias("role"),
-        text.alias("own"),
-        _notes(m).alias("extra"),
+        (F.col("j") == 0).alias("heads"),
+        F.sum(F.lit(1)).over(Window.partitionBy("path", "place").orderBy("j")).alias("n"),
+        F.lower(named).alias("role"),
+        nested_texts(_parts(m, TEXTS + [n for _, *names in NOTES for n in names]), "text", "content", "message", "value").alias("texts"),
         nanos(first_text(c.text_at(m, "$.created_at"), c.text_at(m, "$.createdAt"), c.text_at(m, "$.timestamp"))).alias("ns"),
-        first_text(c.text_at(m, "$.uuid"), c.text_at(m, "$.id"), c.text_at(m, "$.message_id"), (F.col("j") + 1).cast("string")).alias("uuid"),
+        first_text(c.text_at(m, "$.uuid"), c.text_at(m, "$.id"), c.text_at(m, "$.message_id"), F.col("j").cast("string")).alias("uuid"),
+    )
+    rows = rows.select(
+        "path",
+        "place",
+        "id",
+        "title",
+        "heads",
+        (F.col("n") - 1).alias("n"),
+        F.when(F.col("role") == "human", "user").when(F.col("role") == "claude", "assistant").otherwise(F.col("role")).alias("role"),
+        F.when(~F.col("heads"), F.nullif(_first_of(F.col("texts"), 0, 3), F.lit(""))).alias("own"),
+        F.nullif(_notes(F.col("texts"), 3), F.lit("")).alias("extra"),
+        F.when(~F.col("heads"), F.col("ns")).alias("ns"),
+        "uuid",
     )
-    whole = Window.partitionBy("path", "place").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("text", F.concat_ws("\n\n", F.nullif("own", F.lit("")), F.nullif("extra", F.lit("")))).withColumn("first_ns", F.first(F.when(F.col("ns") >= 2_000_000_000, F.col("ns")), ignorenulls=True).over(whole))
-    rows = rows.withColumn("line", (F.col("place") + 1).cast("long") * 100_000 + F.col("n")).where("text <> ''")
     log = Window.partitionBy("path", "place").orderBy("n")
-    talk = rows.where(F.col("role").isin("user", "assistant")).withColumn("asked", F.lag(F.struct("role", "text", "uuid", "ns")).over(log))
-    paired = talk.where("role = 'assistant' AND asked.role = 'user'")
-    lone = talk.where("role = 'assistant' AND (asked IS NULL OR asked.role <> 'user')").drop("asked").unionByName(rows.where(~F.col("role").isin("user", "assistant"))).where("extra <> ''")
-    head = F.concat(F.lit("In Claude app conversation "), F.col("title"))
-    where, none = ("/claude-app/export", "Claude App"), F.lit(None).cast("string")
-    turn_ns = F.coalesce(F.col("ns"), F.col("asked.ns"), F.col("first_ns"), F.col("line") * 1000)
-    turns = _rows(paired, F.concat(head, F.lit(", user asked:\n"), F.col("asked.text"), F.lit("\n\nClaude responded:\n"), F.col("text")), F.lit("turn"), turn_ns, *where, F.col("asked.uuid"), F.col("uuid"))
-    alone = _rows(lone, F.concat(head, F.lit(":\n"), F.col("text")), F.lit("summary"), F.coalesce(F.col("ns"), F.col("first_ns"), F.col("line") * 1000), *where, none, F.col("uuid"))
-    times = rows.groupBy("path", "place").agg(F.first("first_ns", ignorenulls=True).alias("first_ns"))
-    noted = found.where("notes <> ''").select("path", "place", "id", "title", "notes").join(times, ["path", "place"], "left").withColumn("line", line_of * 100_000)
-    summaries = _rows(noted, F.concat(F.lit("Session summary for Claude app conversation "), F.col("title"), F.lit(":\n"), F.col("notes")), F.lit("summary"), F.coalesce("first_ns", F.col("line") * 1000), *where, none, none)
-    return c.build_chunks(turns.unionByName(alone).unionByName(summaries), machine), bad.unionByName(wrong)
+    whole = log.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = log.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("text", F.concat_ws("\n\n", "own", "extra"))
+    talks = (F.col("text") != "") & ~F.col("heads") & F.col("role").isin("user", "assistant")
+    rows = rows.withColumn("first_ns", F.first(F.when(F.col("ns") >= 2_000_000_000, F.col("ns")), ignorenulls=True).over(whole)).withColumn("asked", F.last(F.when(talks, F.struct("role", "text", "uuid", "ns")), ignorenulls=True).over(before))
+    rows = rows.withColumn("line", line_of * 100_000 + F.col("n"))
+    heads, role, at = F.col("heads"), F.col("role"), F.coalesce(F.col("ns"), F.col("first_ns"), F.col("line") * 1000)
+    asked = F.coalesce(F.col("asked.role") == "user", F.lit(False))
+    pairs = ~heads & (role == "assistant") & (F.col("text") != "") & asked
+    lone = ~heads & ((role == "assistant") & ~asked | ~role.isin("user", "assistant")) & F.col("extra").isNotNull()
+    title = F.concat(F.lit("In Claude app conversation "), F.col("title"))
+    content = (
+        F.when(heads, F.concat(F.lit("Session summary for Claude app conversation "), F.col("title"), F.lit(":\n"), F.col("extra")))
+        .when(pairs, F.concat(title, F.lit(", user asked:\n"), F.col("asked.text"), F.lit("\n\nClaude responded:\n"), F.col("text")))
+        .when(lone, F.concat(title, F.lit(":\n"), F.col("text")))
+    )
+    rows = rows.withColumn("content", content).withColumn("pairs", pairs)
+    ns = F.when(F.col("pairs"), F.coalesce(F.col("ns"), F.col("asked.ns"), at)).otherwise(at)
+    turns = rows.select(
+        "path",
+        F.col("id").alias("session"),
+        F.lit("/claude-app/export").alias("project_path"),
+        F.lit("Claude App").alias("project_name"),
+        "content",
+        F.when(F.col("pairs"), "turn").otherwise("summary").alias("chunk_type"),
+        ns.alias("ns"),
+        "line",
+        F.lit(None).cast("string").alias("model"),
+        F.when(F.col("pairs"), F.col("asked.uuid")).alias("user"),
+        F.when(~heads, F.col("uuid")).alias("assistant"),
+        time_key(ns).alias("key"),
+        F.array().cast(f"array<{c.FILE}>").alias("files"),
+    )
+    return c.build_chunks(turns, machine), bad.unionByName(wrong)

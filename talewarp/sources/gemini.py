@@ -68,7 +68,8 @@ def messages(files: DataFrame) -> DataFrame:
     rows = docs.where(F.col("reason").isNull()).select("path", listed.alias("is_event"), first_text(c.text_at(v, "$.sessionId"), F.lit("gemini-session")).alias("document_session"), F.posexplode(items).alias("place", "item"))
     item = F.col("item")
     reason = F.when(~c.is_object(item), F.when(F.col("is_event"), "event_not_object").otherwise("message_not_object"))
-    rows = rows.select(
+    rows = c.settled(
+        rows,
         "path",
         (F.col("place") + 1).cast("long").alias("line"),
         reason.alias("reason"),
@@ -102,24 +103,26 @@ def chunks(files: DataFrame, machine: str = "") -> tuple[DataFrame, DataFrame]:
     said = F.when(F.col("replies"), answer_text(item)).when(F.col("asks") | (~F.col("is_event") & (F.col("type") == "info")), value_text(F.try_variant_get(item, "$.content", "variant"))).otherwise(go_json(item))
     rows = rows.withColumn("said", said).withColumn("ops", F.when(F.col("replies"), tool_operations(c.items_at(item, "$.toolCalls"))).otherwise(F.array().cast(f"array<{OPERATION}>")))
     rows = rows.withColumn("at", c.fallback_ns(F.col("ns"), F.when(F.col("asks"), F.col("first_line")).otherwise(F.col("line"))))
-    head, empty = F.concat(F.lit("In project "), F.col("project_name")), F.lit(None).cast("string")
+    rows = rows.withColumn("model", F.when(~F.col("is_event"), F.col("model")))
+    head = F.concat(F.lit("In project "), F.col("project_name"))
     files_of = c.simple_files(F.col("ops"), F.col("project_name"), F.col("at"), F.col("line"))
-
-    def row(frame: DataFrame, content: Column) -> DataFrame:
-        return frame.withColumn("_made", files_of).select("path", "session", "project_path", "project_name", content.alias("content"), F.lit("turn").alias("chunk_type"), F.col("at").alias("ns"), "line", "model", empty.alias("user"), empty.alias("assistant"), time_key(F.col("at")).alias("key"), F.col("_made").alias("files"))
-
-    alone = rows.where(~F.col("asks") & (~F.col("replies") | (F.col("turn_group") == 0)) & ~c.blank(F.col("said")))
-    alone = row(alone.withColumn("model", F.when(~F.col("is_event"), F.col("model"))), F.concat(head, F.lit(", assistant responded:\n"), F.col("said")))
-    grouped = (
-        rows.where((F.col("turn_group") > 0) & (F.col("asks") | F.col("replies") | F.lit(True)))
-        .groupBy("path", "turn_group")
+    alone = ~F.col("asks") & (~F.col("replies") | (F.col("turn_group") == 0)) & ~c.blank(F.col("said"))
+    now = F.when(alone, c.turn(F.concat(head, F.lit(", assistant responded:\n"), F.col("said")), "turn", F.col("at"), files=files_of, model=F.col("model")))
+    # an item before the first question is a unit of its own, so no unit is larger than a question with its answer
+    unit = F.when(F.col("turn_group") > 0, F.col("turn_group")).otherwise(-F.col("line"))
+    units = (
+        rows.withColumn("now", now)
+        .groupBy("path", unit.alias("unit"))
         .agg(
             F.max_by("model", "line").alias("model"),
             F.min_by(F.struct("session", "project_path", "project_name", "said", "at", F.col("first_line").alias("line")), "line").alias("asked"),
             F.array_join(c.ordered(F.when(F.col("replies") & (F.col("said") != ""), F.col("said"))), "\n").alias("answer"),
             F.flatten(c.ordered(F.col("ops"))).alias("ops"),
+            c.ordered(F.col("now")).alias("now"),
         )
-        .select("path", "model", "asked.*", "answer", "ops")
+        .select("path", "unit", "model", "asked.*", c.strip(F.col("answer")).alias("answer"), "ops", "now")
     )
-    turns = row(grouped, F.concat(head, F.lit(", user asked:\n"), F.col("said"), F.lit("\n\nAssistant responded:\n"), c.strip(F.col("answer"))))
-    return c.build_chunks(alone.unionByName(turns), machine), c.issues(parsed)
+    content = F.concat(head, F.lit(", user asked:\n"), F.col("said"), F.lit("\n\nAssistant responded:\n"), F.col("answer"))
+    whole_turn = c.turn(content, "turn", F.col("at"), files=files_of, model=F.col("model"))
+    turns = units.select("path", F.inline(F.concat(F.array_compact(F.array(F.when(F.col("unit") > 0, whole_turn))), F.col("now"))))
+    return c.build_chunks(turns, machine), c.issues(parsed)
