@@ -16,7 +16,7 @@ from .functions import files, text
 from .operators import hybrid, logs, summaries, vector
 from .operators import text as fulltext
 from .session import ship
-from .sources import claude, codex, exports
+from .sources import antigravity, claude, codex, exports, gemini
 
 TEXT_QUERY, TOP, NEAR = "the and", 10, 100
 CUTOFF = datetime(2024, 1, 8)
@@ -350,3 +350,127 @@ def read_claude_app(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("path", "[0-9]+", 0)
     files_ = _log_files(_rows(spark, sf_dir), path, line, lambda x: x).select("path", F.concat(F.lit('[{"uuid":"c'), number, F.lit('","name":"T'), number, F.lit('","chat_messages":['), F.col("content").cast("string"), F.lit("]}]")).cast("binary").alias("content"))
     return _read_back(exports.claudeapp_chunks(files_)[0]).drop("ProjectPath", "ProjectName")
+
+
+#: Lines of ``conversations`` in SQL: the time a second a turn, and the running number of questions.
+_LINES = """WITH r AS (SELECT conv_id, turn, role, text, 1704067200 + conv_id * 1000 + turn AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line,
+  sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations)"""
+#: Text of at most 200 bytes, not cut within a character.
+_PROMPT = "CASE WHEN octet_length(encode(asked)) <= 200 THEN asked ELSE left(asked, list_max(list_filter(range(201), lambda i: octet_length(encode(left(asked, i))) <= 200))) || '...' END"
+
+
+@query(f"""{_LINES},
+m AS (SELECT *, text || CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN chr(10) || '[Used Write on /w/f' || turn || '.py]' ELSE '' END AS said, line + 1 AS place FROM r),
+p AS (SELECT *, lag(role) OVER w AS before, lag(text) OVER w AS asked, lag(place) OVER w AS asked_place FROM m WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+e AS (SELECT conv_id, min(s) AS first_s, max(s) AS last_s, count(*) AS n FROM r GROUP BY conv_id),
+c AS (
+  SELECT conv_id, asked_place AS line, 'turn' AS kind, s, 'In project demo, user asked:' || chr(10) || asked || chr(10) || chr(10) || 'Assistant responded:' || chr(10) || said AS content FROM p WHERE role = 'assistant' AND before = 'user'
+  UNION ALL SELECT conv_id, place, 'file_change', s, 'In project demo, file /w/f' || turn || '.py was write. Created/overwrote file. This was in response to: ' || CASE WHEN before = 'user' THEN {_PROMPT} ELSE '[unpaired assistant message]' END FROM p WHERE role = 'assistant' AND turn % 3 = 0
+  UNION ALL SELECT conv_id, 1, 'turn', first_s, 'In project demo, linked pull request in r #' || conv_id || ': u' || conv_id FROM e
+  UNION ALL SELECT conv_id, n + 2, 'summary', last_s, 'Session summary for demo:' || chr(10) || CASE WHEN conv_id % 2 = 0 THEN 'All of it' ELSE 'Name ' || conv_id END FROM e)
+SELECT '/home/me/projects/-w-demo/c' || conv_id || '.jsonl' AS SourceFile, line AS SourceLine, kind AS ChunkType, 's' || conv_id AS SessionId, '/w/demo' AS ProjectPath, 'demo' AS ProjectName, s AS seconds, {_DIGEST.format("content")} FROM c""")
+def read_claude_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts with summaries, titles, links and writes; lines without a time carry one."""
+    rows, turn, conv = _rows(spark, sf_dir), F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    written = F.concat(F.lit(',{"type":"tool_use","name":"Write","id":"t'), turn, F.lit('","input":{"file_path":"/w/f'), turn, F.lit('.py"}}'))
+    answer = F.concat(F.lit('{"content":[{"type":"text","text":'), _json(F.col("text")), F.lit("}"), F.when(F.col("turn") % 3 == 0, written).otherwise(""), F.lit("]}"))
+    message = F.when(F.col("role") == "assistant", answer).otherwise(F.concat(F.lit('{"content":'), _json(F.col("text")), F.lit("}")))
+    said = F.concat(F.lit('{"type":'), _json(F.col("role")), F.lit(',"sessionId":"s'), conv, F.lit('","timestamp":"'), F.col("timestamp"), F.lit('","message":'), message, F.lit("}"))
+    link = F.concat(F.lit('{"type":"pr-link","prUrl":"u'), conv, F.lit('","prNumber":'), conv, F.lit(',"prRepository":"r"}'))
+    closing = F.when(F.col("conv_id") % 2 == 0, F.lit('{"type":"summary","summary":"All of it"}')).otherwise(F.concat(F.lit('{"type":"custom-title","customTitle":"Name '), conv, F.lit('"}')))
+    ends = F.when(F.col("last"), F.array(said, closing)).otherwise(F.array(said))
+    rows = _with_ends(rows).select("conv_id", "turn", F.posexplode(F.when(F.col("first"), F.concat(F.array(link), ends)).otherwise(ends)).alias("k", "line"))
+    rows = rows.withColumn("turn", F.col("turn") * 4 + F.col("k"))
+    return _read_back(claude.chunks(_log_files(rows, F.concat(F.lit("/home/me/projects/-w-demo/c"), "conv_id", F.lit(".jsonl")), F.col("line")))[0])
+
+
+def _json(text: Column) -> Column:
+    """A text as a JSON string."""
+    whole = F.to_json(F.array(text))
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+
+def _with_ends(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``first`` and ``last``: whether a row is the first or last of its conversation."""
+    ends = rows.groupBy("conv_id").agg(F.min("turn").alias("low"), F.max("turn").alias("high"))
+    return rows.join(ends, "conv_id").withColumn("first", F.col("turn") == F.col("low")).withColumn("last", F.col("turn") == F.col("high"))
+
+
+_CALL = """'[Tool call] shell {{"command":"touch f' || turn || '.txt"}}'"""
+
+
+@query(f"""{_LINES},
+x AS (SELECT *, 0 AS k, text AS said FROM r UNION ALL SELECT *, 1, {_CALL.format()} FROM r WHERE role <> 'user' AND turn % 3 = 0),
+m AS (SELECT * EXCLUDE line, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) + 1 AS line FROM x),
+t AS (SELECT conv_id, g, min(line) AS line, min(s) AS s, min_by(said, line) AS asked, coalesce(string_agg(said, chr(10) ORDER BY line) FILTER (role <> 'user'), '') AS answer FROM m WHERE g > 0 GROUP BY ALL),
+c AS (SELECT conv_id, line, 'turn' AS kind, s, 'In project demo, user asked:' || chr(10) || asked || chr(10) || chr(10) || 'Assistant responded:' || chr(10) || answer AS content FROM t
+  UNION ALL SELECT conv_id, line, 'turn', s, 'In project demo, assistant responded:' || chr(10) || said FROM m WHERE g = 0
+  UNION ALL SELECT m.conv_id, coalesce(t.line, m.line), 'file_change', coalesce(t.s, m.s), 'In project demo, file f' || turn || '.txt was write.' || chr(10) || 'Summary: Touched file' FROM m LEFT JOIN t ON t.conv_id = m.conv_id AND t.g = m.g WHERE k = 1)
+SELECT '/logs/rollout-' || conv_id || '.jsonl' AS SourceFile, line AS SourceLine, kind AS ChunkType, 'unknown' AS SessionId, '/w/demo' AS ProjectPath, 'demo' AS ProjectName, s AS seconds, {_DIGEST.format("content")} FROM c""")
+def read_codex_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollout logs with shell calls, whose files belong to the question before them."""
+    rows, turn = _rows(spark, sf_dir), F.col("turn").cast("string")
+    kind = F.when(F.col("role") == "user", "input_text").otherwise("output_text")
+    payload = F.struct(F.lit("message").alias("type"), "role", F.array(F.struct(kind.alias("type"), "text")).alias("content"))
+    said = F.to_json(F.struct(F.lit("response_item").alias("type"), "timestamp", payload.alias("payload")))
+    call = F.concat(F.lit('{"type":"response_item","timestamp":"'), F.col("timestamp"), F.lit('","payload":{"type":"function_call","name":"shell","arguments":{"command":"touch f'), turn, F.lit('.txt"}}}'))
+    context = F.concat(F.lit('{"type":"turn_context","timestamp":"'), F.col("timestamp"), F.lit('","payload":{"cwd":"/w/demo"}}'))
+    lines = F.array_compact(F.array(F.when(F.col("first"), context), said, F.when((F.col("role") != "user") & (F.col("turn") % 3 == 0), call)))
+    rows = _with_ends(rows).select("conv_id", "turn", F.posexplode(lines).alias("k", "line")).withColumn("turn", F.col("turn") * 4 + F.col("k"))
+    return _read_back(codex.chunks(_log_files(rows, F.concat(F.lit("/logs/rollout-"), "conv_id", F.lit(".jsonl")), F.col("line")))[0])
+
+
+_GEMINI_CALL = """chr(10) || chr(10) || 'Tool calls:' || chr(10) || '{{"args":{{"command":"touch f' || turn || '.txt"}},"id":"1","name":"shell","resultDisplay":""}}'"""
+
+
+@query(f"""{_LINES},
+m AS (SELECT *, text || CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN {_GEMINI_CALL.format()} ELSE '' END AS said FROM r),
+t AS (SELECT conv_id, g, min(line) AS line, min(s) AS s, min_by(said, line) AS asked, coalesce(string_agg(said, chr(10) ORDER BY line) FILTER (role = 'assistant'), '') AS answer FROM m WHERE g > 0 GROUP BY ALL),
+c AS (SELECT conv_id, line, 'turn' AS kind, s, 'In project demo, user asked:' || chr(10) || asked || chr(10) || chr(10) || 'Assistant responded:' || chr(10) || answer AS content FROM t
+  UNION ALL SELECT conv_id, line, 'turn', s, 'In project demo, assistant responded:' || chr(10) || said FROM m WHERE role = 'system' OR (role = 'assistant' AND g = 0)
+  UNION ALL SELECT m.conv_id, coalesce(t.line, m.line), 'file_change', coalesce(t.s, m.s), 'In project demo, file f' || turn || '.txt was write.' || chr(10) || 'Summary: Touched file' FROM m LEFT JOIN t ON t.conv_id = m.conv_id AND t.g = m.g WHERE role = 'assistant' AND turn % 3 = 0)
+SELECT '/home/me/.gemini/tmp/demo/chats/session-' || conv_id || '.json' AS SourceFile, line AS SourceLine, kind AS ChunkType, 's' || conv_id AS SessionId, '/gemini/demo' AS ProjectPath, 'demo' AS ProjectName, s AS seconds, {_DIGEST.format("content")} FROM c""")
+def read_gemini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session documents with replies, notices and shell calls."""
+    turn = F.col("turn").cast("string")
+    kind = F.when(F.col("role") == "assistant", "gemini").when(F.col("role") == "system", "info").otherwise(F.col("role"))
+    call = F.concat(F.lit(',"toolCalls":[{"name":"shell","args":{"command":"touch f'), turn, F.lit('.txt"}}]'))
+    item = F.concat(F.lit('{"type":"'), kind, F.lit('","timestamp":"'), F.col("timestamp"), F.lit('","content":'), _json(F.col("text")), F.when((F.col("role") == "assistant") & (F.col("turn") % 3 == 0), call).otherwise(""), F.lit("}"))
+    path = F.concat(F.lit("/home/me/.gemini/tmp/demo/chats/session-"), "conv_id", F.lit(".json"))
+    number = F.regexp_extract("path", "[0-9]+", 0)
+    docs = _log_files(_rows(spark, sf_dir), path, item, lambda x: x).select("path", F.concat(F.lit('{"sessionId":"s'), number, F.lit('","messages":['), F.col("content").cast("string"), F.lit("]}")).cast("binary").alias("content"))
+    return _read_back(gemini.chunks(docs)[0])
+
+
+_STEP = """CASE WHEN conv_id % 2 = 0 THEN 'Title: T' || conv_id || chr(10) || chr(10) ELSE '' END || 'Source: ' || CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'agent' ELSE 'system' END || chr(10) || chr(10) || 'Type: ' || CASE role WHEN 'user' THEN 'USER_INPUT' WHEN 'assistant' THEN 'PLANNER_RESPONSE' ELSE 'SYSTEM_MESSAGE' END
+  || chr(10) || chr(10) || 'Status: unknown' || chr(10) || chr(10) || 'Content:' || chr(10) || text || CASE WHEN turn % 3 = 0 THEN chr(10) || chr(10) || 'Tool calls:' || chr(10) || '[{"ID":"1","Name":"edit_file","Args":{"file_path":"/w/f' || turn || '.py"}}]' ELSE '' END"""
+
+
+@query(f"""{_LINES},
+c AS (SELECT conv_id, line, 'turn' AS kind, s, {_STEP} AS content FROM r
+  UNION ALL SELECT conv_id, line, 'file_change', s, 'In Antigravity session s' || conv_id || ', file /w/f' || turn || '.py was edit.' || chr(10) || 'Summary: edit_file tool call' FROM r WHERE turn % 3 = 0)
+SELECT '/antigravity/brain/s' || conv_id || '/transcript_full.jsonl' AS SourceFile, line AS SourceLine, kind AS ChunkType, 's' || conv_id AS SessionId,
+  CASE WHEN conv_id % 2 = 0 THEN '/w/p' || conv_id ELSE '/antigravity/s' || conv_id END AS ProjectPath, CASE WHEN conv_id % 2 = 0 THEN 'p' || conv_id ELSE 'Antigravity Session' END AS ProjectName, s AS seconds, {_DIGEST.format("content")} FROM c""")
+def read_antigravity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step transcripts with tool calls; half of the sessions have a title and a workspace in the side table."""
+    rows, turn = _rows(spark, sf_dir), F.col("turn").cast("string")
+    kind = F.when(F.col("role") == "user", "USER_INPUT").when(F.col("role") == "assistant", "PLANNER_RESPONSE").otherwise("SYSTEM_MESSAGE")
+    call = F.concat(F.lit(',"tool_calls":[{"name":"edit_file","args":{"file_path":"/w/f'), turn, F.lit('.py"}}]'))
+    line = F.concat(F.lit('{"type":"'), kind, F.lit('","created_at":"'), F.col("timestamp"), F.lit('","step_index":'), turn, F.lit(',"content":'), _json(F.col("text")), F.when(F.col("turn") % 3 == 0, call).otherwise(""), F.lit("}"))
+    number = F.col("conv_id").cast("string")
+    sessions = rows.where("conv_id % 2 = 0").select(F.concat(F.lit("s"), number).alias("session"), F.concat(F.lit("T"), number).alias("title"), F.concat(F.lit("/w/p"), number).alias("workspace"), F.concat(F.lit("p"), number).alias("workspace_name")).distinct()
+    path = F.concat(F.lit("/antigravity/brain/s"), "conv_id", F.lit("/transcript_full.jsonl"))
+    return _read_back(antigravity.chunks(_log_files(rows, path, line), sessions=sessions)[0])
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, role, text, 1704067200 + conv_id * 1000 + turn AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+p AS (SELECT *, lag(role) OVER w AS before, lag(text) OVER w AS asked FROM r WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT '/x/' || conv_id || '/conversations.json' AS SourceFile, 100000 + n AS SourceLine, 'turn' AS ChunkType, 'c' || conv_id AS SessionId, s AS seconds,
+  {_DIGEST.format("'In ChatGPT conversation Untitled, user asked:' || chr(10) || asked || chr(10) || '!' || chr(10) || chr(10) || 'ChatGPT responded:' || chr(10) || text || chr(10) || '!'")} FROM p WHERE role = 'assistant' AND before = 'user'""")
+def read_chatgpt_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports whose conversations are graphs of nodes in any order, with nested contents."""
+    node = F.concat(F.lit('"n'), F.lpad((100 - F.col("turn")).cast("string"), 4, "0"), F.lit('":{"message":{"author":{"role":'), _json(F.col("role")), F.lit('},"create_time":'), F.unix_timestamp(F.to_timestamp("timestamp")).cast("string"), F.lit(',"content":{"parts":['), _json(F.col("text")), F.lit(',{"text":"!"}]}}}'))
+    path = F.concat(F.lit("/x/"), "conv_id", F.lit("/conversations.json"))
+    number = F.regexp_extract("path", "[0-9]+", 0)
+    docs = _log_files(_rows(spark, sf_dir), path, node, lambda x: x).select("path", F.concat(F.lit('{"conversations":[{"conversation_id":"c'), number, F.lit('","mapping":{'), F.col("content").cast("string"), F.lit("}}]}")).cast("binary").alias("content"))
+    return _read_back(exports.chatgpt_chunks(docs)[0]).drop("ProjectPath", "ProjectName")
