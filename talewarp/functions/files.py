@@ -33,8 +33,11 @@ def _operation(path: Column, kind: str, summary: str) -> Column:
 
 def shell_operations(command: Column) -> Column:
     """At most one operation of a shell command, as an array."""
-    found = F.coalesce(*(F.when(command.rlike(p), _operation(F.regexp_extract(command, p, 1), kind, summary)) for p, kind, summary in SHELL_RULES))
-    return F.array_compact(F.array(found))
+
+    def first_rule(text: Column) -> Column:
+        return F.coalesce(*(F.when(text.rlike(p), _operation(F.regexp_extract(text, p, 1), kind, summary)) for p, kind, summary in SHELL_RULES))
+
+    return F.array_compact(F.transform(F.array(command), first_rule))
 
 
 def patch_operations(patch: Column, headers: list[tuple[str, str, str]] = PATCH_HEADERS) -> Column:

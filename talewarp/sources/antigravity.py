@@ -55,30 +55,67 @@ def shell_operation(command: Column) -> Column:
     return F.array_compact(F.array(F.when(command.rlike(SHELL), op)))
 
 
-def call_operations(call: Column, quoted: Column) -> Column:
-    """Operations of one tool call; ``quoted`` holds its target and replacement in quotes."""
-    given = F.coalesce(c.part(call, "$.args"), c.part(call, "$.arguments"), c.part(call, "$.input"))
-    raw = F.when(c.kind_of(given) == "STRING", F.try_variant_get(given, "$", "string"))
-    args = F.coalesce(F.when(c.is_object(given), given), F.try_parse_json(raw))
-    name = F.coalesce(c.text_at(call, "$.name"), F.lit(""))
-    path = first_text(*(c.text_at(args, f"$.{k}") for k in ("file_path", "path", "Path", "TargetFile", "AbsolutePath")))
-    changed = (quoted[0] != '""') | (quoted[1] != '""')
+def parsed_call(call: Column) -> Column:
+    """A tool call's id, name, arguments as JSON and as an object, and text that isn't an object."""
+
+    def of(given: Column) -> Column:
+        raw = c.as_text(given)
+        return F.struct(
+            c.text_at(call, "$.id").alias("id"),
+            F.coalesce(c.text_at(call, "$.name"), F.lit("")).alias("name"),
+            F.coalesce(go_json(given), F.lit("null")).alias("shown"),
+            F.coalesce(F.when(c.is_object(given), given), F.try_parse_json(raw)).alias("args"),
+            raw.alias("raw"),
+        )
+
+    return c.bound(F.coalesce(c.part(call, "$.args"), c.part(call, "$.arguments"), c.part(call, "$.input")), of)
+
+
+def call_fields(call: Column) -> Column:
+    """What operations need of a parsed call."""
+
+    def first(*names: str) -> Column:
+        return first_text(*(c.text_at(call["args"], f"$.{k}") for k in names))
+
+    return F.struct(
+        call["id"].alias("id"),
+        call["name"].alias("name"),
+        call["shown"].alias("shown"),
+        F.when(call["raw"].isNotNull() & ~c.is_object(call["args"]), call["raw"]).alias("plain"),
+        c.is_object(call["args"]).alias("is_object"),
+        first("file_path", "path", "Path", "TargetFile", "AbsolutePath").alias("path"),
+        first("old_string", "Target", "TargetContent").alias("old"),
+        first("new_string", "Replacement", "ReplacementContent").alias("new"),
+        first("command", "cmd", "CommandLine").alias("command"),
+        c.text_at(call["args"], "$.patch").alias("patch"),
+    )
+
+
+def call_operations(call: Column, old: Column, new: Column) -> Column:
+    """Operations of one tool call (``call_fields``); ``old`` and ``new`` are its texts in quotes."""
+    name, path = call["name"], call["path"]
+    changed = (old != '""') | (new != '""')
     kind = F.when(F.lower(name).contains("edit") | F.lower(name).contains("replace") | changed, "edit").otherwise("write")
-    summary = F.when(changed, F.concat(name, F.lit(" tool call (replaced "), quoted[0], F.lit(" with "), quoted[1], F.lit(")"))).otherwise(F.concat(name, F.lit(" tool call")))
+    summary = F.when(changed, F.concat(name, F.lit(" tool call (replaced "), old, F.lit(" with "), new, F.lit(")"))).otherwise(F.concat(name, F.lit(" tool call")))
     own = F.array_compact(F.array(F.when(path != "", F.struct(path.alias("path"), kind.alias("kind"), summary.alias("summary")))))
     headers = PATCH_HEADERS[:3]
-    command = first_text(*(c.text_at(args, f"$.{k}") for k in ("command", "cmd", "CommandLine")))
-    plain = F.when(raw.isNotNull() & ~c.is_object(args), F.concat(patch_operations(raw, headers), shell_operation(raw)))
-    whole = F.when(c.is_object(args), F.concat(own, patch_operations(c.text_at(args, "$.patch"), headers), shell_operation(command)))
+    plain = F.when(call["plain"].isNotNull(), F.concat(patch_operations(call["plain"], headers), shell_operation(call["plain"])))
+    whole = F.when(call["is_object"], F.concat(own, patch_operations(call["patch"], headers), shell_operation(call["command"])))
     return F.coalesce(plain, whole, F.array().cast(f"array<{OPERATION}>"))
 
 
-def _target(call: Column) -> Column:
-    given = F.coalesce(c.part(call, "$.args"), c.part(call, "$.arguments"), c.part(call, "$.input"))
-    args = F.coalesce(F.when(c.is_object(given), given), F.try_parse_json(F.when(c.kind_of(given) == "STRING", F.try_variant_get(given, "$", "string"))))
-    old = first_text(*(c.text_at(args, f"$.{k}") for k in ("old_string", "Target", "TargetContent")))
-    new = first_text(*(c.text_at(args, f"$.{k}") for k in ("new_string", "Replacement", "ReplacementContent")))
-    return F.array(old, new)
+def said_in(v: Column) -> Column:
+    """The first text under the content keys: as it is, or under the inner keys of an object."""
+
+    def entries(value: Column) -> Column:
+        return F.try_variant_get(value, "$", "map<string,variant>")
+
+    def texts(value: Column) -> Column:
+        inner = c.bound(entries(value), lambda m: F.transform(F.array(*map(F.lit, INNER_KEYS)), lambda k: c.as_text(F.try_element_at(m, k))))
+        return F.concat(F.array(c.as_text(value)), F.coalesce(inner, F.array().cast("array<string>")))
+
+    every = c.bound(entries(v), lambda m: F.flatten(F.transform(F.array(*map(F.lit, CONTENT_KEYS)), lambda k: c.bound(F.try_element_at(m, k), texts))))
+    return F.coalesce(F.get(F.filter(every, lambda t: t != ""), F.lit(0)), F.lit(""))
 
 
 def events(files: DataFrame) -> DataFrame:
@@ -86,7 +123,6 @@ def events(files: DataFrame) -> DataFrame:
     rows = c.json_lines(files).withColumn("stamp", F.nullif(first_text(c.text_at(v, "$.created_at"), c.text_at(v, "$.timestamp")), F.lit(""))).withColumn("ns", nanos(F.col("stamp")))
     reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(~c.is_object(v), "event_not_object").when(F.col("stamp").isNotNull() & F.col("ns").isNull(), "invalid_timestamp")
     kind = first_text(c.text_at(v, "$.type"), c.text_at(v, "$.step_type"))
-    content = [t for k in CONTENT_KEYS for t in (c.text_at(v, f"$.{k}"), *(c.text_at(v, f"$.{k}.{i}") for i in INNER_KEYS))]
     calls = F.concat(*(F.coalesce(F.filter(c.items_at(v, f"$.{k}"), c.is_object), F.array().cast("array<variant>")) for k in ("tool_calls", "toolCalls")))
     return c.settled(
         rows.withColumn("reason", reason),
@@ -97,10 +133,10 @@ def events(files: DataFrame) -> DataFrame:
         kind.alias("type"),
         first_text(c.text_at(v, "$.source"), c.text_at(v, "$.role"), step_source(kind), F.lit("unknown")).alias("source"),
         first_text(c.text_at(v, "$.status"), c.text_at(v, "$.task_status"), F.lit("unknown")).alias("status"),
-        first_text(*content).alias("said"),
+        said_in(v).alias("said"),
         first_text(c.text_at(v, "$.thinking"), c.text_at(v, "$.thought")).alias("thinking"),
         first_text(c.number_or_text(v, "$.step_index"), F.lit("0")).alias("step"),
-        calls.alias("calls"),
+        F.transform(calls, parsed_call).alias("calls"),
     )
 
 
@@ -156,18 +192,10 @@ def chunks(files: DataFrame, machine: str = "", sessions: DataFrame | None = Non
     if sessions is None:
         sessions = files.sparkSession.createDataFrame([], SUMMARY_SCHEMA)
     rows = rows.join(sessions, "session", "left")
-    targets = F.transform("calls", _target)
-    flat = _quoted(F.flatten(targets))
-    rows = rows.withColumn("quoted", flat).withColumn("at", c.fallback_ns(F.col("ns"), F.col("line")))
-    ops = F.flatten(F.transform("calls", lambda call, i: call_operations(call, F.slice("quoted", 2 * i + 1, F.lit(2)))))
-    shown = F.transform(
-        F.col("calls"),
-        lambda x, i: F.concat(
-            F.lit('{"ID":'), F.to_json(F.array(first_text(c.text_at(x, "$.id"), (i + 1).cast("string")))), F.lit(',"Name":'), F.to_json(F.array(F.coalesce(c.text_at(x, "$.name"), F.lit("")))), F.lit(',"Args":'),
-            F.coalesce(go_json(F.coalesce(c.part(x, "$.args"), c.part(x, "$.arguments"), c.part(x, "$.input"))), F.lit("null")), F.lit("}"),
-        ),
-    )
-    shown = F.transform(shown, lambda t: F.regexp_replace(t, r'"(ID|Name)":\[("(?:[^"\\]|\\.)*")\]', r'"$1":$2'))
+    rows = rows.withColumn("calls", F.transform("calls", call_fields)).withColumn("at", c.fallback_ns(F.col("ns"), F.col("line")))
+    rows = rows.withColumn("quoted", _quoted(F.flatten(F.transform("calls", lambda call: F.array(call["old"], call["new"])))))
+    ops = F.flatten(F.transform("calls", lambda call, i: call_operations(call, F.get("quoted", 2 * i), F.get("quoted", 2 * i + 1))))
+    shown = F.transform("calls", lambda x, i: F.concat(F.lit('{"ID":'), c.json_text(first_text(x["id"], (i + 1).cast("string"))), F.lit(',"Name":'), c.json_text(x["name"]), F.lit(',"Args":'), x["shown"], F.lit("}")))
     text = F.concat_ws(
         "\n\n",
         F.concat(F.lit("Source: "), "source"),

@@ -46,13 +46,17 @@ def tool_operations(p: Column) -> Column:
     """File operations of a tool call: of its patch, or of its shell command."""
     call = c.text_at(p, "$.type").isin("function_call", "custom_tool_call")
     name = c.text_at(p, "$.name")
-    arguments = F.coalesce(c.part(p, "$.arguments"), c.part(p, "$.input"))
-    written = F.try_parse_json(F.when(c.kind_of(arguments) == "STRING", F.try_variant_get(arguments, "$", "string")))
-    command = F.coalesce(c.text_at(arguments, "$.command"), c.text_at(written, "$.command"), F.lit(""))
-    text = value_text(arguments)
-    whole = F.try_parse_json(text)
-    patch = F.when(c.is_object(whole), F.coalesce(c.text_at(whole, "$.patch"), F.lit(""))).when(text.contains("*** "), text)
-    found = F.when(call & name.isin("apply_patch", "patch") & (text != ""), patch_operations(patch)).when(call & name.isin("shell", "shell_command"), shell_operations(command))
+
+    def patch_of(text: Column) -> Column:
+        return c.bound(F.try_parse_json(text), lambda whole: F.when(c.is_object(whole), F.coalesce(c.text_at(whole, "$.patch"), F.lit(""))).when(text.contains("*** "), text))
+
+    def of(arguments: Column) -> Column:
+        written = F.try_parse_json(c.as_text(arguments))
+        command = F.coalesce(c.text_at(arguments, "$.command"), c.text_at(written, "$.command"), F.lit(""))
+        patched = c.bound(value_text(arguments), lambda text: F.when(text != "", patch_operations(patch_of(text))))
+        return F.when(name.isin("apply_patch", "patch"), patched).when(name.isin("shell", "shell_command"), shell_operations(command))
+
+    found = F.when(call, c.bound(F.coalesce(c.part(p, "$.arguments"), c.part(p, "$.input")), of))
     return F.coalesce(found, F.array().cast(f"array<{OPERATION}>"))
 
 
@@ -101,8 +105,7 @@ def chunks(files: DataFrame, machine: str = "") -> tuple[DataFrame, DataFrame]:
         return F.concat(F.lit("In project "), name, F.lit(f", {verb}:\n"), text)
 
     own = F.coalesce(F.nullif(F.when(kind == "compacted", c.strip(message_text(p))), F.lit("")), F.when(kind == "event_msg", F.nullif(c.text_at(p, "$.message"), F.lit(""))), F.col("shown"), F.lit(""))
-    named = F.to_json(F.array(kind))
-    as_event = F.concat(F.lit('{"payload":'), F.coalesce("shown", F.lit("null")), F.lit(',"type":'), F.substring(named, F.lit(2), F.length(named) - 2), F.lit("}"))
+    as_event = F.concat(F.lit('{"payload":'), F.coalesce("shown", F.lit("null")), F.lit(',"type":'), c.json_text(kind), F.lit("}"))
     rows = rows.withColumn("shown", F.when(kind != "response_item", go_json(p))).withColumn("own", own).withColumn("as_event", F.when(~kind.isin(*KNOWN), as_event))
     own = F.col("own")
     at_once = (

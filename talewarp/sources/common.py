@@ -10,7 +10,7 @@ Arrow function.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -99,6 +99,21 @@ def text_at(value: Column, path: str) -> Column:
     return F.when(kind_of(F.try_variant_get(value, path, "variant")) == "STRING", F.try_variant_get(value, path, "string"))
 
 
+def as_text(value: Column) -> Column:
+    """A variant if it is a string; null otherwise."""
+    return F.when(kind_of(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def json_text(text: Column) -> Column:
+    """A text as a JSON string."""
+    return bound(F.to_json(F.array(text)), lambda whole: F.substring(whole, F.lit(2), F.length(whole) - 2))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def flag_at(value: Column, path: str) -> Column:
     return F.coalesce(F.when(kind_of(F.try_variant_get(value, path, "variant")) == "BOOLEAN", F.try_variant_get(value, path, "boolean")), F.lit(False))
 
