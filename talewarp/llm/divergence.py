@@ -15,9 +15,9 @@ term axis. A cell holds at most two blocks of about ``GROUPS`` groups by about `
 terms, however large the input is. Terms that neither side of a cell has are counted, not
 stored.
 
-Counts are summed for each slice of texts, then map-side, before they are shuffled by
-(language, source, term), so a source, a language or a term with a third of all rows is
-spread over tasks.
+Counts are summed by each task, before they are shuffled by (language, source, term), so a
+source, a language or a term with a third of all rows is spread over tasks. Tables of
+groups are broadcast while they have at most ``FEW_ROWS`` rows.
 
 Defined results: null text, language and source count as empty; a group without terms has
 p = 1 + floor(10^9 / V) for every kept term; a language without kept terms has pairs of
@@ -37,14 +37,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, checkpointed, map_batches, quoted
+from .common import as_bytes, by_bytes, checkpointed, map_batches, quoted, small_or_not, written
 
 #: Documents of a language that must hold a term, and ranks of the terms that are reported.
 MIN_DOCS, TOP_TERMS = 3, 200
 #: Groups and terms of a block, on average.
-GROUPS, TERMS = 8, 4096
+GROUPS, TERMS = 16, 4096
 SCALE = 1_000_000_000
 SLICE_BYTES = 4 << 20
+#: Terms whose counts a task holds before it hands them on.
+HELD_TERMS = 1 << 19
+#: Groups that are broadcast at most (about 100 bytes each).
+FEW_ROWS = 200_000
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -53,38 +57,67 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_LETTERS).split()
 
 
-def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences of each term in each group, and documents that hold it.
+class _Held:
+    """Counts of a task's texts so far."""
 
-    Each group also has a row with a null term, so that groups without terms are known.
-    """
+    def __init__(self):
+        self.groups, self.numbers = defaultdict(count().__next__), defaultdict(count().__next__)
+        self.keys, self.n, self.docs = [], [], []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in by_bytes(batch, "text", SLICE_BYTES):
-                yield counted(part)
+    @property
+    def full(self) -> bool:
+        return len(self.numbers) >= HELD_TERMS or sum(map(len, self.keys)) >= 8 * HELD_TERMS
 
-    def counted(part: pa.RecordBatch) -> pa.RecordBatch:
-        groups, numbers = defaultdict(count().__next__), defaultdict(count().__next__)
-        of_doc = [groups[x] for x in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True)]
+    def add(self, part: pa.RecordBatch) -> None:
+        of_doc = np.array([self.groups[x] for x in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True)], np.int64)
         words, lengths = [], []
         for text in as_bytes(part.column("text")):
             found = terms_of(text)
             words += found
             lengths.append(len(found))
-        ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        width = max(len(numbers), 1)
-        in_doc, times = np.unique(np.repeat(np.arange(len(lengths)), lengths) * width + ids, return_counts=True)
-        in_group, at = np.unique(np.array(of_doc)[in_doc // width] * width + in_doc % width, return_inverse=True)
-        n = np.zeros(len(in_group), np.int64)
-        np.add.at(n, at, times)
-        names, spelled = list(groups), pa.array(list(numbers), pa.binary()).cast(pa.string())
-        term = pa.concat_arrays([spelled.take(pa.array(in_group % width)), pa.nulls(len(names), pa.string())])
-        group = pa.array(np.concatenate([in_group // width, np.arange(len(names))]))
-        none = np.zeros(len(names), np.int64)
-        columns = [pa.array([x[k] for x in names], pa.string()).take(group) for k in (0, 1)] + [term, pa.array(np.concatenate([n, none])), pa.array(np.concatenate([np.bincount(at, minlength=len(n)), none]))]
+        ids = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        in_doc, times = np.unique(np.repeat(np.arange(len(lengths)) << 32, lengths) | ids, return_counts=True)
+        self.put(of_doc[in_doc >> 32] << 32 | in_doc & 0xFFFFFFFF, times, np.ones_like(times))
+
+    def put(self, keys: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
+        found, at = np.unique(keys, return_inverse=True)
+        self.keys.append(found)
+        for held, values in ((self.n, n), (self.docs, docs)):
+            sums = np.zeros(len(found), np.int64)
+            np.add.at(sums, at, values)
+            held.append(sums)
+
+    def rows(self) -> pa.RecordBatch:
+        """What is held, and a row without a term for each group."""
+        if self.keys:
+            keys, n, docs = (np.concatenate(x) for x in (self.keys, self.n, self.docs))
+            self.keys, self.n, self.docs = [], [], []
+            self.put(keys, n, docs)
+        keys, n, docs = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (self.keys, self.n, self.docs))
+        names, none = list(self.groups), np.zeros(len(self.groups), np.int64)
+        spelled = pa.array(list(self.numbers), pa.binary()).cast(pa.string())
+        term = pa.concat_arrays([spelled.take(pa.array(keys & 0xFFFFFFFF)), pa.nulls(len(names), pa.string())])
+        group = pa.array(np.concatenate([keys >> 32, np.arange(len(names))]))
+        columns = [pa.array([x[k] for x in names], pa.string()).take(group) for k in (0, 1)] + [term, pa.array(np.concatenate([n, none])), pa.array(np.concatenate([docs, none]))]
         return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
+
+def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """``lang, source, term, n, docs``: occurrences of each term in each group, and documents that hold it.
+
+    Each group also has a row with a null term, so that groups without terms are known.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
+        for batch in batches:
+            for part in by_bytes(batch, "text", SLICE_BYTES):
+                held.add(part)
+                if held.full:
+                    yield held.rows()
+                    held = _Held()
+        yield held.rows()
+
     plain = docs.select(*(F.coalesce(quoted(c).cast("string"), F.lit("")).alias(name) for c, name in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
     found = map_batches(plain, run, "lang string, source string, term string, n long, docs long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -119,9 +152,11 @@ def _cell(rows: pa.Table) -> pa.Table:
     number = {name: k for k, name in enumerate(names)}
     block, total = heads.column("block").to_numpy(), heads.column("n").to_numpy()
     a, b, terms = rows.column("a")[0].as_py(), rows.column("b")[0].as_py(), heads.column("terms")[0].as_py()
-    coded = body.column("term").combine_chunks().dictionary_encode()
-    seen = np.zeros((len(names), len(coded.dictionary)), np.int64)
-    seen[[number[x] for x in body.column("source").to_pylist()], coded.indices.to_numpy(zero_copy_only=False)] = body.column("n").to_numpy()
+    found, place = np.unique(body.column("term").to_numpy(), return_inverse=True)
+    seen = np.zeros((len(names), len(found)), np.int64)
+    sources = body.column("source").combine_chunks().dictionary_encode()
+    of = np.array([number[x] for x in sources.dictionary.to_pylist()], np.int64)
+    seen[of[sources.indices.to_numpy(zero_copy_only=False)], place] = body.column("n").to_numpy()
     total = np.maximum(total, 1)[:, None]
     p = np.hstack([shares(seen + 1, total), shares(np.ones_like(total), total)])
     weight = np.append(np.ones(seen.shape[1], np.int64), terms - seen.shape[1])
@@ -148,22 +183,24 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
     In ``pair`` item is each other source of the language; in ``term`` it is each of the
     ``top_terms`` kept terms that the source has more of than its language.
     """
-    counts = checkpointed(term_counts(docs, text_col, lang_col, source_col))
-    kept = checkpointed(counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= min_docs).drop("docs"))
-    own = counts.where("term IS NOT NULL").join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n")
+    counts = written(term_counts(docs, text_col, lang_col, source_col), "divergence-counts")
+    kept = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= min_docs)
+    kept = written(kept.select("lang", "term", "lang_n", F.monotonically_increasing_id().alias("number")), "divergence-kept")
     of_lang = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
+    own = written(counts.where("term IS NOT NULL").join(kept, ["lang", "term"]).select("lang", "source", "term", "number", "n", "lang_n"), "divergence-own")
     of_group = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     known = counts.where("term IS NULL").select("lang", "source")
     blocks = known.groupBy("lang").agg(F.ceil(F.count("*") / groups).alias("blocks")).join(of_lang, "lang", "left")
-    blocks = blocks.select("lang", "blocks", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"), F.greatest(F.ceil(F.col("v") / terms), F.lit(1)).alias("term_blocks"))
+    blocks = checkpointed(blocks.select("lang", "blocks", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"), F.greatest(F.ceil(F.col("v") / terms), F.lit(1)).alias("term_blocks")))
+    blocks = small_or_not(blocks, FEW_ROWS)
     about = known.join(of_group, ["lang", "source"], "left").na.fill(0, ["total"]).join(blocks, "lang")
     about = checkpointed(about.withColumn("block", _block("source", "blocks")))
+    own = own.join(small_or_not(about, FEW_ROWS), ["lang", "source"])
 
-    own = checkpointed(own.join(about, ["lang", "source"]))
-    in_block = kept.join(blocks.select("lang", "term_blocks"), "lang").groupBy("lang", _block("term", "term_blocks").alias("t")).agg(F.count("*").alias("terms"))
+    in_block = kept.join(blocks.select("lang", "term_blocks"), "lang").groupBy("lang", _block("number", "term_blocks").alias("t")).agg(F.count("*").alias("terms"))
     heads = about.select("lang", "source", "block", "blocks", (F.col("total") + F.col("v")).alias("n"), F.explode(F.sequence(F.lit(0), F.col("term_blocks").cast("int") - 1)).alias("t"))
-    heads = heads.join(in_block, ["lang", "t"], "left").select("lang", "source", "block", "blocks", "t", F.lit(None).cast("string").alias("term"), "n", F.coalesce("terms", F.lit(0)).alias("terms"))
-    body = own.select("lang", "source", "block", "blocks", _block("term", "term_blocks").alias("t"), "term", "n", F.lit(None).cast("long").alias("terms"))
+    heads = heads.join(in_block, ["lang", "t"], "left").select("lang", "source", "block", "blocks", "t", F.lit(None).cast("long").alias("term"), "n", F.coalesce("terms", F.lit(0)).alias("terms"))
+    body = own.select("lang", "source", "block", "blocks", _block("number", "term_blocks").alias("t"), F.col("number").alias("term"), "n", F.lit(None).cast("long").alias("terms"))
     met = heads.unionByName(body).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     cells = met.select("lang", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), "t", "source", "block", "term", "n", "terms")
     sums = cells.groupBy("lang", "a", "b", "t").applyInArrow(_cell, "lang string, source string, item string, value long")

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, checkpointed, fresh_folder, map_batches, quoted, small_or_not
+from .common import as_bytes, by_bytes, checkpointed, map_batches, quoted, small_or_not, written
 from .cuckoo import Stack
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -193,16 +193,10 @@ def _passed(filters: DataFrame, keys: DataFrame, shards: int, work: str = "ask")
     held = filters.select("shard", "place", "data", none("long", "hi"), none("long", "lo"), none("boolean", "many"))
     asked = keys.select(F.pmod("lo", F.lit(shards)).cast("int").alias("shard"), none("int", "place"), none("binary", "data"), "hi", "lo", "many")
     dealt = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", F.col("hi").isNotNull(), "place", "hi", "lo")
-    out = _written(map_batches(dealt, run, "shard int, place int, data binary, hi long, lo long, known boolean"), "line-filters")
+    out = written(map_batches(dealt, run, "shard int, place int, data binary, hi long, lo long, known boolean"), "line-filters")
     return out.where("data IS NOT NULL").select("shard", "place", "data"), out.where("hi IS NOT NULL").select("hi", "lo", "known")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    folder = fresh_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def _counted(holders: DataFrame, keys: DataFrame) -> DataFrame:
     """``hi, lo, n, last`` of ``keys``: how many documents hold it, and the largest id."""
     found = holders.join(small_or_not(keys.select(*KEY), FEW_ROWS), KEY, "left_semi").distinct()
@@ -236,7 +230,7 @@ class LineIndex:
     @classmethod
     def create(cls, docs: DataFrame, min_chars: int = MIN_CHARS, increments: int = 1, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """An index of ``docs``, inserted in ``increments`` parts by a hash of the id."""
-        rows = _written(holders_of(docs, min_chars, id_col, text_col), "line-holders")
+        rows = written(holders_of(docs, min_chars, id_col, text_col), "line-holders")
         spark, kind = docs.sparkSession, rows.schema["doc_id"].dataType.simpleString()
         shards = max(SHARDS, -(-rows.count() // SHARD_ROWS))
         empty = lambda schema: spark.createDataFrame([], schema)
@@ -247,7 +241,7 @@ class LineIndex:
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """The index with further documents."""
-        rows = _written(holders_of(docs, self.min_chars, id_col, text_col), "line-holders")
+        rows = written(holders_of(docs, self.min_chars, id_col, text_col), "line-holders")
         mine, new = self.holders.select("doc_id").distinct(), rows.select(F.col("doc_id").alias("new")).distinct()
         if mine.join(new, F.col("doc_id").eqNullSafe(F.col("new")), "left_semi").limit(1).count():
             raise ValueError("the index holds some of these ids; delete them first")
@@ -262,7 +256,7 @@ class LineIndex:
         if false.limit(1).count():
             filters, _ = _passed(filters, false, self.shards, "add")
         counts = self.counts.unionByName(own).unionByName(earlier).groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-        return replace(self, holders=self.holders.unionByName(rows), filters=filters, counts=_written(counts.where("n > 1"), "line-counts"))
+        return replace(self, holders=self.holders.unionByName(rows), filters=filters, counts=written(counts.where("n > 1"), "line-counts"))
 
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
@@ -270,14 +264,14 @@ class LineIndex:
         ids = checkpointed(ids.select(quoted(id_col).alias("_gone")).distinct())
         same = F.col("doc_id").eqNullSafe(F.col("_gone"))
         some = small_or_not(ids, FEW_ROWS)
-        left = _written(self.holders.join(some, same, "left_anti"), "line-holders")
+        left = written(self.holders.join(some, same, "left_anti"), "line-holders")
         lost = checkpointed(self.holders.join(some, same, "left_semi").distinct().groupBy(*KEY).agg(F.count("*").alias("lost")))
         touched = checkpointed(self.counts.join(small_or_not(lost, FEW_ROWS), KEY).withColumn("n", F.col("n") - F.col("lost")).drop("lost"))
         still = _counted(left, touched.where("n > 1")).select(*KEY, "n", "last")
         counts = self.counts.join(small_or_not(touched.select(*KEY), FEW_ROWS), KEY, "left_anti").unionByName(still)
         gone = lost.join(touched.where("n > 0").select(*KEY), KEY, "left_anti").select(*KEY, F.lit(False).alias("many"))
         filters, _ = _passed(self.filters, gone, self.shards, "remove")
-        return replace(self, holders=left, filters=filters, counts=_written(counts, "line-counts"))
+        return replace(self, holders=left, filters=filters, counts=written(counts, "line-counts"))
 
     def clean(self, docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``doc_id, n_lines, n_dropped, text`` of every row of ``docs``, which the index holds."""
