@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .functions import files, text
 from .operators import hybrid, logs, summaries, vector
 from .operators import text as fulltext
-from .session import ship
-from .sources import antigravity, claude, codex, exports, gemini
+from .session import scratch_folder, ship
+from .sources import antigravity, claude, codex, common, exports, gemini
 
 TEXT_QUERY, TOP, NEAR = "the and", 10, 100
 CUTOFF = datetime(2024, 1, 8)
@@ -474,3 +474,19 @@ def read_chatgpt_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("path", "[0-9]+", 0)
     docs = _log_files(_rows(spark, sf_dir), path, node, lambda x: x).select("path", F.concat(F.lit('{"conversations":[{"conversation_id":"c'), number, F.lit('","mapping":{'), F.col("content").cast("string"), F.lit("}}]}")).cast("binary").alias("content"))
     return _read_back(exports.chatgpt_chunks(docs)[0]).drop("ProjectPath", "ProjectName")
+
+
+@query("""WITH r AS (SELECT conv_id % 16 AS file, conv_id, turn, md5(conv_id || ':' || turn) AS text FROM conversations),
+l AS (SELECT file, conv_id, turn, 0 AS k, text FROM r UNION ALL SELECT file, conv_id, turn, 1, '' FROM r WHERE turn % 3 = 0 UNION ALL SELECT file, conv_id, turn, 2, 'é' || chr(13) FROM r WHERE turn % 5 = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY conv_id, turn, k) AS line FROM l)
+SELECT file::INTEGER AS file, line, text FROM n""")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files of many lines, written by Spark and read in splits with their physical line numbers."""
+    rows = table(spark, sf_dir, "conversations").withColumn("file", (F.col("conv_id") % 16).cast("int"))
+    text_ = F.md5(F.concat("conv_id", F.lit(":"), "turn").cast("binary"))
+    more = F.when(F.col("turn") % 3 == 0, F.lit("\n")).otherwise(""), F.when(F.col("turn") % 5 == 1, F.lit("\né\r")).otherwise("")
+    folder = scratch_folder(spark, "log-lines")
+    lines = rows.repartition("file").sortWithinPartitions("file", "conv_id", "turn").select("file", F.concat(text_, *more).alias("value"))
+    lines.write.partitionBy("file").option("lineSep", "\n").text(folder)
+    found = common.read_lines(spark, folder, "*.txt")
+    return found.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("int").alias("file"), "line", "text")

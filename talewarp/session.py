@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,3 +39,18 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(archive)
         _shipped.add(app)
     return spark
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
+
+    A session on one machine without that setting gets a temporary folder; on a cluster
+    that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="talewarp-scratch-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{str(root).rstrip('/')}/{name}-{uuid.uuid4().hex}"

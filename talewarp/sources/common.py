@@ -23,6 +23,10 @@ from ..schema import normalized
 
 MAX_LINE_BYTES, MAX_DEPTH = 32 << 20, 50
 MAX_SNAPSHOT_BYTES, MAX_FILES = 512 << 20, 1024
+#: Largest files of line logs and of documents that are read.
+MAX_LOG_BYTES, MAX_DOCUMENT_BYTES = 10 << 30, 2 << 30
+#: Splits of files whose numbers of lines are broadcast at most (about 200 bytes each).
+FEW_SPLITS = 100_000
 #: Fields of a file operation that ``build_chunks`` turns into a chunk.
 FILE = "struct<content:string,path:string,kind:string,key:string,ns:bigint,line:bigint,model:string,assistant:string>"
 
@@ -34,6 +38,29 @@ def read_files(spark: SparkSession, path: str, glob: str = "*", most: int = MAX_
     return found.select(plain.alias("path"), "content", F.sha2("content", 256).alias("digest"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
+def read_lines(spark: SparkSession, path: str, glob: str = "*", most: int = MAX_LOG_BYTES) -> DataFrame:
+    """``path, line, text`` of the physical lines below ``path``, numbered from 1 in each file.
+
+    Files are read in splits by many tasks, from any store that Spark knows; a first pass
+    counts the lines of every split without their texts, and sums over the splits before
+    give each its first number. Files of more than ``most`` bytes are left out by their
+    listing. Bytes that aren't UTF-8 become replacement characters; a carriage return at
+    the end stays.
+    """
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
+    meta = F.col("_metadata")
+    found = found.where(meta["file_size"] <= most).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.col("value"), F.monotonically_increasing_id().alias("id"))
+    splits = found.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(F.col("file").alias("of"), F.col("start").alias("at"), "first", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines"))
+    splits = F.broadcast(splits) if splits.limit(FEW_SPLITS + 1).count() <= FEW_SPLITS else splits
+    within = F.col("id") - F.col("first")
+    checked = F.when((within >= 0) & (within < F.col("n")), within).otherwise(F.raise_error(F.lit("a file changed while it was read")).cast("long"))
+    plain = F.regexp_replace(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "^file:(?://)?(?=/)", "")
+    rows = found.join(splits, (F.col("file") == F.col("of")) & (F.col("start") == F.col("at")))
+    return rows.select(plain.alias("path"), (F.col("lines") + checked + 1).alias("line"), F.make_valid_utf8("value").alias("text"))
+
+
 def _depth(value: object) -> int:
     most, level = 0, [value]
     while level and most <= MAX_DEPTH + 1:
@@ -67,12 +94,17 @@ def parsed(rows: DataFrame, text: str) -> DataFrame:
 
 
 def json_lines(files: DataFrame) -> DataFrame:
-    """``path, line, value, reason`` of each non-blank line; lines count from 1."""
-    lines = files.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n", -1)).alias("place", "text"))
-    lines = lines.select("path", (F.col("place") + 1).cast("long").alias("line"), F.regexp_replace("text", r"^[\s]+|[\s]+$", "").alias("text")).where("text <> ''")
+    """``path, line, value, reason`` of each non-blank line; lines count from 1.
+
+    ``files`` has whole files (``path, content``) or their lines (``read_lines``).
+    """
+    if "content" in files.columns:
+        lines = files.select("path", F.posexplode(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n", -1)).alias("place", "text"))
+        files = lines.select("path", (F.col("place") + 1).cast("long").alias("line"), "text")
     long_line = F.octet_length("text") > MAX_LINE_BYTES
-    out = parsed(lines.withColumn("short", F.when(~long_line, F.col("text"))), "short")
-    return out.withColumn("reason", F.when(long_line, "line_too_long").otherwise(F.col("reason"))).drop("short", "text")
+    lines = files.select("path", "line", F.regexp_replace(F.when(~long_line, F.col("text")), r"^[\s]+|[\s]+$", "").alias("short")).where("short IS NULL OR short <> ''")
+    out = parsed(lines, "short")
+    return out.withColumn("reason", F.when(F.col("short").isNull(), "line_too_long").otherwise(F.col("reason"))).drop("short")
 
 
 def settled(rows: DataFrame, *columns: Column | str) -> DataFrame:

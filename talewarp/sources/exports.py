@@ -56,7 +56,7 @@ def _first_of(texts: Column, start: int, number: int) -> Column:
 
 def conversations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``path, place, item`` of each conversation (places count from 0), and issues of whole files."""
-    docs = c.parsed(files.select("path", F.decode("content", "UTF-8").alias("text")), "text")
+    docs = c.parsed(files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")), "text")
     v = F.col("value")
     items = F.when(c.is_array(v), F.try_variant_get(v, "$", "array<variant>")).when(c.is_object(v), c.items_at(v, "$.conversations"))
     reason = F.coalesce(F.col("reason"), F.when(items.isNull(), "conversations_invalid"))

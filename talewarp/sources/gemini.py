@@ -58,7 +58,7 @@ def _quoted(text: Column) -> Column:
 
 def messages(files: DataFrame) -> DataFrame:
     """Rows of documents: events of an array, or messages of a session object."""
-    docs = c.parsed(files.select("path", F.decode("content", "UTF-8").alias("text")), "text")
+    docs = c.parsed(files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")), "text")
     v = F.col("value")
     listed = c.is_array(v)
     items = F.when(listed, F.try_variant_get(v, "$", "array<variant>")).when(c.is_object(v), c.items_at(v, "$.messages"))

@@ -1,6 +1,7 @@
 """Readers on small files of each source's shape."""
 
 import json
+import random
 import sqlite3
 
 from talewarp.sources import antigravity, claude, codex, common, exports, gemini
@@ -118,3 +119,28 @@ def test_antigravity(spark, tmp_path):
     assert rows[0]["Content"] == "Title: My title\n\nSource: user\n\nType: USER_INPUT\n\nStatus: unknown\n\nContent:\nhey"
     assert [(r["FilePath"], r["Operation"]) for r in rows if r["ChunkType"] == "file_change"] == [("a.py", "edit"), ("k", "write")]
     assert antigravity.read_summaries(spark, str(tmp_path / "none.db")).count() == 0
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    rng = random.Random(1)
+    bodies = {f"a b+%20/f{i}.jsonl": "".join(rng.choice(["", "x", "é" * 30, "y" * 200, "z\r"]) + "\n" for _ in range(n)) for i, n in enumerate([0, 1, 4000, 9000])}
+    bodies["last.jsonl"] = "one\n\nlast line without an end"
+    for name, body in bodies.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body.encode())
+    (tmp_path / "bytes.jsonl").write_bytes(b"ok\n\xff\xfe\nend")
+    (tmp_path / "large.jsonl").write_bytes(b"x\n" * 2_000_000)
+    with_splits = spark.newSession()
+    with_splits.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    found = common.read_lines(with_splits, str(tmp_path), "*.jsonl", 3_000_000)
+    assert found.rdd.getNumPartitions() > 30
+    got = sorted(tuple(r) for r in found.collect())
+    want = [(f"{tmp_path}/{name}", i, line) for name, body in bodies.items() for i, line in enumerate(body.split("\n")[: -1 if body.endswith("\n") or not body else None], 1)]
+    assert got == sorted(want + [(f"{tmp_path}/bytes.jsonl", i, t) for i, t in ((1, "ok"), (2, "\ufffd\ufffd"), (3, "end"))])
+
+
+def test_readers_take_lines(spark, tmp_path):
+    body = lines({"type": "user", "message": {"content": "q"}, "timestamp": "2026-01-02T03:04:05Z"}, "", {"type": "assistant", "message": {"content": [{"type": "text", "text": "a"}]}}, "{")
+    whole = files(spark, tmp_path / "projects/p/s.jsonl", body)
+    split = common.read_lines(spark, str(tmp_path / "projects/p"))
+    assert collected(claude.chunks(split)) == collected(claude.chunks(whole)) != ([], [])
