@@ -99,6 +99,18 @@ def fulltext_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.search_index(index, stats, TEXT_QUERY, TOP).select(F.col("Id").alias("doc_id"), F.round("Score", 6).alias("score"))
 
 
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, doc_id LIMIT {TOP}")
+def fulltext_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From posting blocks that are stored and read again, of which a search opens those that can count."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("Id"), F.col("text").alias("Content"))
+    folder = scratch_folder(spark, "blocks")
+    rows = fulltext.numbered(docs.withColumn("bucket", F.pmod(F.xxhash64("Id"), F.lit(8)).cast("int")))
+    blocks = fulltext.posting_blocks(rows)
+    blocks.repartition("token").sortWithinPartitions("token", F.desc("density")).write.parquet(folder)
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return fulltext.BlockSearch(spark.read.schema(blocks.schema).parquet(folder), stats, TEXT_QUERY, TOP).top().select(F.col("Id").alias("doc_id"), F.round("Score", 6).alias("score"))
+
+
 @query(f"""WITH {_BM25},
 v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY d, vec_id) - 1 AS rank FROM (
   SELECT vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS d

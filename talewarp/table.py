@@ -129,9 +129,9 @@ def _live(state: dict) -> Column:
 class ChunkTable:
     """A versioned chunk table below ``path``, which may be on any store that Spark writes."""
 
-    #: Parts of the inverted index by token, and times that a write is repeated after another's.
-    SLOTS, TRIES = 16, 8
-    POSTINGS = "bucket int, token string, Id string, tf long, dl int, folder string, slot int"
+    #: Folders of the inverted index by token, files that share one folder's tokens, and times that a write is repeated after another's.
+    SLOTS, SPREAD, TRIES = 16, 16, 8
+    POSTINGS = "token string, bucket int, block int, n long, most long, density double, posts array<struct<Id: string, tf: long, dl: int>>, folder string, slot int"
     TOTALS = "bucket int, n long, tokens long, folder string"
     LEAVES = "Id string, ChunkType string, SessionId string, ProjectName string, MachineId string, Vector array<float>, leaf int, bucket int, folder string"
 
@@ -181,14 +181,15 @@ class ChunkTable:
     def _write(self, number: int, state: dict, rows: DataFrame, touched: set[int]) -> None:
         """Commit ``rows`` as all that the touched buckets hold."""
         name = f"d-{uuid.uuid4().hex}"
-        dealt = rows.select([f.name for f in CHUNK.fields]).withColumn("bucket", self._bucket(state)).repartition("bucket")
+        dealt = fulltext.numbered(rows.select([f.name for f in CHUNK.fields]).withColumn("bucket", self._bucket(state)).repartition("bucket"))
         dealt.sortWithinPartitions("bucket", "ProjectPath", "Timestamp").write.partitionBy("bucket").parquet(f"{self.path}/data/{name}")
         # the indexes are made from what was written
         written = self.spark.read.schema(f"{dealt.drop('bucket').schema.toDDL()}, bucket int").parquet(f"{self.path}/data/{name}")
         folder = F.lit(name).alias("folder")
-        postings = fulltext.inverted_index(written, keep=("bucket",)).select("bucket", "token", "Id", "tf", "dl", F.pmod(F.xxhash64("token"), F.lit(self.SLOTS)).cast("int").alias("slot"))
-        postings.repartition("slot").sortWithinPartitions("slot", "token").write.partitionBy("slot").parquet(f"{self.path}/text/folder={name}")
-        totals = written.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.size(fulltext.tokens("Content"))).cast("long").alias("tokens")).select("*", folder)
+        postings = fulltext.posting_blocks(written).withColumn("slot", F.pmod(F.xxhash64("token"), F.lit(self.SLOTS)).cast("int"))
+        spread = postings.repartition("slot", F.pmod("bucket", F.lit(self.SPREAD))).sortWithinPartitions("slot", "token", F.desc("density"))
+        spread.write.partitionBy("slot").parquet(f"{self.path}/text/folder={name}")
+        totals = written.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("dl").cast("long").alias("tokens")).select("*", folder)
         totals.coalesce(1).write.parquet(f"{self.path}/totals/{name}")
         if state["index"]:
             self._write_leaves(state["index"], written, name)
@@ -309,7 +310,7 @@ class ChunkTable:
 
     # indexes ---------------------------------------------------------------
     def search_text(self, query: str, k: int, where: Column | None = None) -> DataFrame:
-        """``Id, Score, Distance`` by BM25 from the stored inverted index; only the query's tokens are read."""
+        """``Id, Score, Distance`` by BM25 from the stored posting blocks, of which only those are read that can count."""
         state = self.state()
         names, wanted = sorted(set(state["buckets"].values())), fulltext.query_tokens(query)
         if not names or not wanted:
@@ -319,7 +320,7 @@ class ChunkTable:
         totals = self.spark.read.schema(self.TOTALS).parquet(*(f"{self.path}/totals/{n}" for n in names)).where(_live(state))
         stats = totals.agg(F.sum("n").alias("n"), (F.sum("tokens") / F.sum("n")).alias("avgdl"))
         allowed = None if where is None else self._rows(state).where(where).select("Id")
-        return fulltext.search_index(postings.where(F.col("slot").isin(slots)).where(_live(state)), stats, query, k, allowed)
+        return fulltext.BlockSearch(postings.where(F.col("slot").isin(slots)).where(_live(state)), stats, query, k, allowed, ("folder", "bucket", "block")).top()
 
     def optimize(self, leaves: int = 1000) -> bool:
         """Build the vector index once the table is large enough; later writes keep it up."""

@@ -129,6 +129,29 @@ def test_indexes_follow_every_write(spark, tmp_path, monkeypatch):
     assert engine.search('{"query": "parser lexer"}')["search_type"] == "hybrid"
 
 
+def test_block_search_reads_few_postings(spark, tmp_path):
+    """Equal to scoring every document, while at most a fifth of a frequent token's postings are read."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(F.col("doc_id").alias("Id"), F.col("text").alias("Content"))
+    rows = fulltext.numbered(docs.withColumn("bucket", F.pmod(F.xxhash64("Id"), F.lit(4)).cast("int")))
+    fulltext.posting_blocks(rows).repartition("token").sortWithinPartitions("token", F.desc("density")).write.parquet(str(tmp_path / "blocks"))
+    index = spark.read.parquet(str(tmp_path / "blocks"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    every = {r["token"]: r["n"] for r in index.where(F.col("token").isin("the", "and", "of", "le")).groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    for query, k, most in (("the", 10, 0.2), ("the and", 10, 0.2), ("the and of", 5, 0.2), ("the le", 10, 1.0), ("the nowhere", 10, 1.0)):
+        search = fulltext.BlockSearch(index, stats, query, k)
+        want = [(r["Id"], round(r["Score"], 9)) for r in fulltext.bm25_topk(docs, query, k).collect()]
+        assert [(r["Id"], round(r["Score"], 9)) for r in search.top().collect()] == want
+        if not search.empty:
+            read = {r["token"]: r["n"] for r in search.blocks().groupBy("token").agg(F.sum("n").alias("n")).collect()}
+            shares = {t: n / every[t] for t, n in read.items()}
+            assert shares["the"] <= most, (query, shares)
+            plan = search.blocks()._jdf.queryExecution().executedPlan().toString()
+            assert "GreaterThanOrEqual(density" in plan or search.least_density("the") == 0
+    kept = docs.where("Id % 7 = 3").select("Id")
+    want = [r["Id"] for r in fulltext.bm25_topk(docs, "the and", 10, F.col("Id") % 7 == 3).collect()]
+    assert [r["Id"] for r in fulltext.BlockSearch(index, stats, "the and", 10, kept).top().collect()] == want
+
+
 def test_ann_recall(spark):
     """Against brute force, over queries with ids divisible by 20, at both settings that are used."""
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
