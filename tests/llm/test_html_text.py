@@ -51,7 +51,36 @@ def test_pages(page, want):
     assert html_text.main_text(page) == want
 
 
-@pytest.mark.parametrize("piece", ["<a '", '<a b="', "<a b='x>\"", "<div>", "</p>", "<p><b>", "<!--", "<b><p>x", "<nav>", "<a>x", "<", "&amp", "<x y=' ", '<a b="x">', "<article><nav>", "<li>a<script>", "= '\"<i "])
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        *((f'<div {names}><article><p>{LONG}</p></article></div>', LONG.strip()) for names in ('class="layout has-sidebar"', 'class="post comments-open"', 'id="widget-area-main"', 'class="sidebar"', 'class="no-menu with-footer"')),
+        (f'<div class="menu-wrapper"><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG.strip()}\n{LONG.strip()}"),
+        (f'<article><p>{LONG}</p><p class="share-price">Up 3</p><p class="notice">Note</p><div class="ad-free-reading">Read on</div></article>', f"{LONG.strip()}\nUp 3\nNote\nRead on"),
+        (f'<div class="comments"><p>{LONG * 3}</p></div><article><p>{LONG}</p></article>', LONG.strip()),
+        (f'<article><p>{LONG}</p></article><div class="comment-list"><article><p>reader {LONG * 3}</p></article></div>', LONG.strip()),
+        (f'<body><div><a href="a">Home</a> <a href="b">News</a></div><div>{LONG}</div><div>Copyright 2024 by us</div></body>', LONG.strip()),
+        (f"<table><tr><td><a href='a'>Home</a></td></tr><tr><td>{LONG}</td></tr><tr><td>Imprint, contact</td></tr></table>", LONG.strip()),
+        (f'<div class="main-sidebar"><p>{LONG}</p></div><div id="siteFooter">x</div><div><p>{LONG * 2}</p></div>', (LONG * 2).strip()),
+        ('<article><ul><li><a href="a">One</a><li><a href="b">Two</a></ul></article>', "One\nTwo"),
+        (f'<article><h2><a href="x">A linked title</a></h2><p>{LONG}</p></article>', f"A linked title\n{LONG.strip()}"),
+    ],
+)
+def test_names_of_wrappers_and_unmarked_blocks(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_window_sums_decide_in_a_marked_article():
+    links = "".join(f'<li><a href="/{x}">{x} and more</a></li>' for x in ("Home", "News", "Sport", "Weather"))
+    page = f'<article><h1>Title</h1><p>{LONG}</p><p><a href="x">one link alone</a></p><p>{LONG}</p><ul>{links}</ul></article>'
+    want = "\n".join(["Title", LONG.strip(), "one link alone", LONG.strip()])
+    assert html_text.main_text(page) == want
+    between = page.replace("</article>", f"<p>{LONG}</p></article>")
+    assert html_text.main_text(between) == f"{want}\n{LONG.strip()}"
+    assert "Weather and more" in html_text.main_text(between, window=9)  # a wide window spans the links
+
+
+@pytest.mark.parametrize("piece", ["<a '", '<a b="', "<a b='x>\"", "<div>", "</p>", "<p><b>", "<!--", "<b><p>x", "<nav>", "<a>x", "<", "&amp", "<x y=' ", '<a b="x">', "<article><nav>", "<li>a<script>", "= '\"<i ", '<div class="sidebar">x'])
 def test_malformed_markup_takes_linear_time(piece):
     page = piece * ((1 << 20) // len(piece))
     start = time.process_time()
