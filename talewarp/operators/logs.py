@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def carry(df: DataFrame, value: Column, partition: list[str], order: list[str], first: bool = False) -> Column:
+def carry(df: DataFrame | None, value: Column, partition: list[str], order: list[str], first: bool = False) -> Column:
     """The last non-null ``value`` up to a row; before any, the first in the partition if asked."""
     w = Window.partitionBy(*partition).orderBy(*order)
     last = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -26,6 +26,14 @@ def carried_timestamp(df: DataFrame, time: str, partition: list[str], order: lis
     return F.coalesce(carry(df, valid, partition, order, first=True), ts)
 
 
+def repaired_timestamp(time: str, cutoff: Column, partition: list[str], order: list[str]) -> Column:
+    """Missing times and times within the first second become the nearest one at or after the cutoff: before the row, else the first of its file, else the cutoff itself. Other times stay, early ones too."""
+    ts = F.col(time).cast("timestamp")
+    missing = ts.isNull() | (F.unix_micros(ts) < 2_000_000)
+    timely = F.when(~missing & (ts >= cutoff), ts)
+    return F.when(missing, F.coalesce(carry(None, timely, partition, order, first=True), cutoff)).otherwise(ts)
+
+
 def paired_turns(messages: DataFrame, partition: list[str], order: list[str], role: str = "role", user: str = "user", answers: tuple[str, ...] = ("assistant",), payload: tuple[str, ...] = ("text",)) -> DataFrame:
     """Answers paired with the user message right before them among user and answer rows.
 

@@ -18,11 +18,13 @@ from ..operators.filters import Filter
 from ..schema import RESULT_COLUMNS, vector_error
 from ..table import ChunkTable, Embedder
 from ..streaming.forward import KeyedState
-from .requests import MAX_RESPONSE_BYTES, InvalidRequest, Request, choose_mode, decode
+from .requests import LIMITS, MAX_RESPONSE_BYTES, InvalidRequest, Request, choose_mode, decode
 
 DEADLINE_SECONDS, STATS_SECONDS = 60, 30
 #: Wire name of each result column.
 WIRE = {"Id": "id", "Content": "content", "ChunkType": "chunk_type", "SessionId": "session_id", "ProjectPath": "project_path", "ProjectName": "project_name", "Timestamp": "timestamp", "FilePath": "file_path", "Operation": "operation", "SourceFile": "source_file", "Distance": "distance", "SearchType": "search_type"}
+#: Kind of request of each tool that searches.
+KINDS = {"search_conversations": "search", "search_file_changes": "files", "get_session_summaries": "sessions", "get_session_summary": "sessions"}
 TOOLS = ("search_conversations", "search_file_changes", "get_session_summaries", "get_status", "get_health")
 
 
@@ -161,22 +163,55 @@ class Engine:
 
     def call_tool(self, name: str, arguments: dict) -> dict:
         """One of the five tools, with arguments normalised to a request."""
-        given = {k: v for k, v in arguments.items() if v not in (None, "")}
-        if name == "search_conversations":
-            return self.search(json.dumps(given))
-        if name == "search_file_changes":
-            if not given.get("file_path") and not given.get("query"):
-                given["query"] = "file changes modifications edits"
-            return self.search_files(json.dumps(given))
-        if name == "get_session_summaries":
-            return self.sessions(json.dumps(given))
-        if name == "get_status":
+        if name in ("search_conversations", "search_file_changes", "get_session_summaries", "get_session_summary"):
+            body = json.dumps(tool_request(name, arguments))
+            run = self.search if name == "search_conversations" else self.search_files if name == "search_file_changes" else self.sessions
+            return run(body)
+        if name in ("get_status", "get_index_status"):
+            if arguments:
+                raise InvalidRequest(f"{name} takes no arguments")
             return self.status()
-        if name == "get_health":
-            return {"ready": self.ready()}
+        if name in ("get_health", "get_server_status"):
+            if set(arguments) - {"detail_level"} or arguments.get("detail_level", "basic") not in ("basic", "full"):
+                raise InvalidRequest("detail_level must be basic or full")
+            return {"ready": self.ready()} | (self.status() if arguments.get("detail_level") == "full" else {})
         raise InvalidRequest(f"unknown tool {name!r}")
 
 
+#: Arguments of each tool: the request's field, and what the value must be.
+ARGUMENTS = {
+    "search_conversations": {"query": ("query", str), "project_filter": ("project_path", str), "date_from": ("date_from", str), "date_to": ("date_to", str), "limit": ("limit", int), "use_hybrid": ("use_hybrid", bool), "enable_analysis": ("enable_analysis", bool), "enable_synthesis": ("enable_synthesis", bool), "include_debug": ("include_debug", bool)},
+    "search_file_changes": {"file_path": ("file_path", str), "query": ("query", str), "project_filter": ("project_path", str), "operation_filter": ("operation", str), "date_from": ("date_from", str), "date_to": ("date_to", str), "limit": ("limit", int)},
+    "get_session_summaries": {"session_id": ("session_id", str), "project_filter": ("project_path", str), "count": ("limit", int)},
+}
+ARGUMENTS["get_session_summary"] = ARGUMENTS["get_session_summaries"]
+
+
+def tool_request(name: str, arguments: dict) -> dict:
+    """A tool's arguments as a request: null text is absent, numbers are whole and within the tool's limit, flags are flags.
+
+    Names of the request's own fields are taken as they are.
+    """
+    known, out = ARGUMENTS[name], {}
+    own = {field: kind for field, kind in known.values()}
+    for key, value in arguments.items():
+        field, kind = known.get(key) or (key, own.get(key, str))
+        if value is None and kind is str:
+            continue
+        whole = isinstance(value, float) and value.is_integer() and kind is int
+        if not whole and (not isinstance(value, kind) or (kind is int and isinstance(value, bool))):
+            raise InvalidRequest(f"{key} isn't valid")
+        if field == "operation" and value not in ("edit", "write"):
+            raise InvalidRequest("operation must be edit or write")
+        if field == "limit" and not 1 <= value <= LIMITS[KINDS[name]][0]:
+            raise InvalidRequest(f"{key} must be 1 to {LIMITS[KINDS[name]][0]}")
+        if value != "":
+            out[field] = int(value) if kind is int else value
+    if name == "search_file_changes" and "query" not in out and "file_path" not in out:
+        out["query"] = "file changes modifications edits"
+    return out
+
+
 def checked(rows: list[dict]) -> list[dict]:
     """Results, if each has what it must have and a finite distance; raises InvalidResult otherwise."""
     for row in rows:

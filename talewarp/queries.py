@@ -502,3 +502,130 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines.write.partitionBy("file").option("lineSep", "\n").text(folder)
     found = common.read_lines(spark, folder, "*.txt")
     return found.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("int").alias("file"), "line", "text")
+
+
+# the table, its bounds, the wire, and ingest requests over whole tables ---------------------------
+
+_FIRST = """SELECT 'd' || doc_id AS Id, text, source FROM documents JOIN embeddings ON doc_id = vec_id WHERE octet_length(encode(text)) > 0 AND len(embedding) = {size}
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: abs(x) >= 1e-10)) > 0""".format(size="(SELECT max(len(embedding)) FROM embeddings)")
+
+
+def _chunks(rows: DataFrame, vector_: Column | None = None) -> DataFrame:
+    """Rows ``Id, text, source`` as chunks."""
+    fixed = {"ChunkType": "turn", "SessionId": "s", "ProjectPath": "/p", "ProjectName": "p", "SourceFile": "f"}
+    more = [F.lit(v).alias(k) for k, v in fixed.items()]
+    return rows.select("Id", F.col("text").alias("Content"), *more, F.timestamp_seconds(F.lit(1_704_067_200)).alias("Timestamp"), F.lit(1).alias("SourceLine"), F.col("source").alias("MachineId"), (F.lit(None) if vector_ is None else vector_).cast("array<float>").alias("Vector"))
+
+
+@query(f"""WITH a AS ({_FIRST}),
+b AS (SELECT 'd' || doc_id AS Id, CASE WHEN doc_id % 2 = 0 THEN text ELSE text || '!' END AS text, source FROM documents WHERE doc_id % 3 = 0 AND octet_length(encode(text)) > 0),
+u AS (SELECT Id, text, source, false AS again FROM a WHERE Id NOT IN (SELECT Id FROM b) UNION ALL SELECT Id, text, source, true FROM b)
+SELECT u.Id, sha256(u.text) AS digest, a.Id IS NOT NULL AND a.text = u.text AS embedded FROM u LEFT JOIN a ON a.Id = u.Id WHERE u.source IS DISTINCT FROM 'src4'""")
+def table_upsert_deferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table is filled, a third of it written again without vectors, and a machine deleted; vectors of unchanged texts stay."""
+    from .schema import vector_error
+    from .table import ChunkTable
+
+    docs, vectors = table(spark, sf_dir, "documents").where(F.octet_length("text") > 0), table(spark, sf_dir, "embeddings")
+    size = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    store = ChunkTable(spark, scratch_folder(spark, "chunks"), size, buckets=8)
+    store.initialize()
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("Id")
+    first = docs.join(vectors.where(F.col("embedding").isNotNull() & vector_error("embedding", size).isNull()), F.col("doc_id") == F.col("vec_id"))
+    store.upsert(_chunks(first.select(name, "text", "source", "embedding"), F.col("embedding")))
+    text_ = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!")))
+    store.upsert(_chunks(docs.where("doc_id % 3 = 0").select(name, text_.alias("text"), "source")))
+    store.delete_machine("src4")
+    return store.read().select("Id", F.sha2("Content", 256).alias("digest"), F.col("Vector").isNotNull().alias("embedded"))
+
+
+_CHECKS = """[CASE WHEN doc_id % 70 = 0 THEN 'Id_missing' END, CASE WHEN doc_id % 70 > 64 THEN 'Id_too_long' END,
+  CASE WHEN coalesce(octet_length(encode(text)), 0) = 0 THEN 'Content_missing' END, CASE WHEN doc_id % 40 > 32 THEN 'ChunkType_too_long' END, CASE WHEN doc_id % 40 = 0 THEN 'ChunkType_missing' END,
+  CASE WHEN doc_id % 90 = 89 THEN 'Operation_too_long' END, CASE WHEN doc_id % 11 = 0 THEN 'Timestamp_missing' END, CASE WHEN doc_id % 7 = 0 THEN 'SourceLine_negative' END,
+  CASE WHEN doc_id % 17 = 3 THEN 'ChildChunkIds_bad' END,
+  CASE WHEN doc_id % 5 = 1 THEN 'vector_dimension' WHEN doc_id % 5 = 2 THEN 'vector_not_finite' WHEN doc_id % 5 = 3 THEN 'vector_zero' END]"""
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_filter({_CHECKS}, lambda x: x IS NOT NULL)), ',') AS errors FROM documents")
+def chunk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bounds that rows break, which are made to break them by their id."""
+    from .schema import chunk_errors
+
+    n, bad = F.col("doc_id"), [F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(float("nan"))), F.array(F.lit(0.0), F.lit(1e-12))]
+    vector_ = F.when(n % 5 == 1, bad[0]).when(n % 5 == 2, bad[1]).when(n % 5 == 3, bad[2]).when(n % 5 == 4, F.array(F.lit(0.0), F.lit(1.0)))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.repeat(F.lit("x"), (n % 70).cast("int")).alias("Id"),
+        F.col("text").alias("Content"),
+        F.repeat(F.lit("x"), (n % 40).cast("int")).alias("ChunkType"),
+        *(F.lit("given").alias(c) for c in ("SessionId", "ProjectPath", "ProjectName", "SourceFile")),
+        *(F.lit(None).cast("string").alias(c) for c in ("UserUuid", "AssistantUuid", "FilePath", "Model", "ParentChunkId", "MachineId")),
+        F.when(n % 90 == 89, F.repeat(F.lit("é"), 17)).alias("Operation"),
+        F.when(n % 11 != 0, F.timestamp_seconds(n)).alias("Timestamp"),
+        (n % 7 - 1).alias("SourceLine"),
+        F.when(n % 17 == 3, F.array(F.lit("ok"), F.lit(""))).when(n % 17 == 4, F.array(F.lit("ok"))).alias("ChildChunkIds"),
+        vector_.cast("array<float>").alias("Vector"),
+    )
+    return rows.select("doc_id", F.array_join(F.array_sort(chunk_errors(2)), ",").alias("errors"))
+
+
+@query("""SELECT 'd' || doc_id AS id, sha256(text) AS content, 'turn' AS chunk_type, 's' AS session_id, coalesce(lang, '') AS project_path, 'p' AS project_name,
+  strftime(TIMESTAMP '2024-01-01' + to_microseconds(doc_id * 1001500), '%Y-%m-%dT%H:%M:%S') || CASE WHEN doc_id * 1001500 % 1000000 = 0 THEN '' ELSE '.' || rtrim(printf('%06d', doc_id * 1001500 % 1000000), '0') END || 'Z' AS timestamp,
+  CASE WHEN doc_id % 3 = 0 THEN 'a.py' ELSE '' END AS file_path, '' AS operation, coalesce(source, '') AS source_file, doc_id / 4 AS distance, 'exact' AS search_type FROM documents""")
+def wire_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results under their wire names: null text is empty, times are RFC 3339 without trailing zeros."""
+    from .plans.engine import wire
+
+    n = F.col("doc_id")
+    found = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), n.cast("string")).alias("Id"), F.sha2("text", 256).alias("Content"), F.lit("turn").alias("ChunkType"), F.lit("s").alias("SessionId"), F.col("lang").alias("ProjectPath"), F.lit("p").alias("ProjectName"), F.timestamp_micros(1_704_067_200_000_000 + n * 1_001_500).alias("Timestamp"), F.when(n % 3 == 0, "a.py").alias("FilePath"), F.lit(None).cast("string").alias("Operation"), F.col("source").alias("SourceFile"), (n / 4).alias("Distance"), F.lit("exact").alias("SearchType"))
+    return wire(found)
+
+
+@query("""WITH r AS (SELECT conv_id, turn, role, text, strftime(to_timestamp(1704067200 + conv_id * 1000 + turn) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM conversations),
+c AS (SELECT conv_id, turn, '{"id":"' || sha256(conv_id || ':' || turn) || '","content":' || to_json(text) || ',"chunk_type":"turn","session_id":"s' || conv_id || '","project_path":"/w/demo","project_name":"demo","timestamp":"' || stamp || '"'
+    || CASE WHEN role = 'user' THEN ',"user_uuid":"u' || turn || '"' ELSE ',"model":"m"' END || ',"source_file":"c' || conv_id || '.jsonl","source_line":' || turn + 1 || '}' AS line FROM r),
+p AS (SELECT conv_id, count(*) AS chunks, '[' || string_agg(line, ',' ORDER BY turn) || ']' AS payload, max(turn) + 1 AS n FROM c GROUP BY conv_id),
+b AS (SELECT conv_id, chunks, payload, '{"schema_version":1,"machine_id":"mac","source":{"format":"codex_jsonl","root_volume":"0000000000000001","root_object":"' || printf('%016x', conv_id) || '","relative_path":"c' || conv_id || '.jsonl"},"cursor":{"kind":"physical_lines","start_exclusive":0,"end_inclusive":' || n || ',"prefix_sha256":"' || sha256('c' || conv_id) || '"},"generation":"g","chunks":' || payload || '}' AS body FROM p)
+SELECT conv_id, chunks, octet_length(encode(body)) AS bytes, sha256(body) AS request_sha256, sha256(payload) AS payload_sha256, sha256(encode('talewarp/record/v1') || '\x00'::BLOB || unhex(sha256(body))) AS record_id, NULL::VARCHAR AS error FROM b""")
+def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each conversation as canonical JSON, with its digests and record id."""
+    from .sources import ingest
+
+    conv, turn, none = F.col("conv_id"), F.col("turn"), F.lit(None).cast("string")
+    path = F.concat(F.lit("c"), conv.cast("string"), F.lit(".jsonl"))
+    most = table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.max("turn") + 1).alias("n"))
+    cursor = F.struct(F.lit("physical_lines").alias("kind"), F.lit(0).alias("start_exclusive"), F.col("n").alias("end_inclusive"), F.sha2(F.concat(F.lit("c"), conv.cast("string")), 256).alias("prefix_sha256"), none.alias("revision_sha256"), none.alias("previous_revision_sha256"))
+    rows = table(spark, sf_dir, "conversations").join(most, "conv_id").select(
+        "conv_id",
+        turn.alias("ordinal"),
+        F.sha2(F.concat_ws(":", conv, turn), 256).alias("Id"),
+        F.col("text").alias("Content"),
+        F.lit("turn").alias("ChunkType"),
+        F.concat(F.lit("s"), conv.cast("string")).alias("SessionId"),
+        F.lit("/w/demo").alias("ProjectPath"),
+        F.lit("demo").alias("ProjectName"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + conv * 1000 + turn).alias("Timestamp"),
+        F.when(F.col("role") == "user", F.concat(F.lit("u"), turn.cast("string"))).alias("UserUuid"),
+        F.when(F.col("role") != "user", "m").alias("Model"),
+        *(F.lit("").alias(c) for c in ("AssistantUuid", "FilePath", "Operation", "ParentChunkId", "client_name")),
+        path.alias("SourceFile"),
+        (turn + 1).alias("SourceLine"),
+        F.lit(None).cast("array<string>").alias("ChildChunkIds"),
+        F.lit("mac").alias("machine_id"),
+        ingest.source_struct(F.lit("codex_jsonl"), F.lit(1), conv, path, none).alias("source"),
+        cursor.alias("cursor"),
+        F.lit("g").alias("generation"),
+    )
+    return ingest.encoded(rows, ["conv_id"]).select("conv_id", "chunks", F.octet_length("body").cast("long").alias("bytes"), "request_sha256", "payload_sha256", "record_id", "error")
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN TIMESTAMP '1970-01-01 00:00:01' ELSE ts END AS ts FROM events),
+v AS (SELECT *, CASE WHEN ts >= TIMESTAMP '{CUTOFF}' THEN ts END AS timely FROM e)
+SELECT event_id, user_id, CASE WHEN ts IS NULL OR ts < TIMESTAMP '1970-01-01 00:00:02' THEN coalesce(last_value(timely IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING),
+  first_value(timely IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), TIMESTAMP '{CUTOFF}') ELSE ts END AS repaired FROM v""")
+def timestamp_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing times become the nearest one at or after the cutoff."""
+    ts = F.when(F.col("event_id") % 3 == 1, F.timestamp_seconds(F.lit(1))).when(F.col("event_id") % 3 == 2, F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", ts.alias("ts"))
+    fixed = logs.repaired_timestamp("ts", F.lit(CUTOFF).cast("timestamp"), ["user_id"], ["event_id"])
+    return events.select("event_id", "user_id", fixed.cast("timestamp_ntz").alias("repaired"))

@@ -94,5 +94,8 @@ def normalized(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         col = F.col(field.name) if field.name in have else F.lit(None)
         if field.name in OPTIONAL_TEXT:
             col = F.nullif(col.cast("string"), F.lit(""))
+        if field.name == "Vector" and field.name in have:
+            # a missing component isn't finite, so that the row is refused
+            col = F.transform(col.cast("array<float>"), lambda x: F.coalesce(x, F.lit(float("nan")).cast("float")))
         out.append(col.cast(field.dataType).alias(field.name))
     return chunks.select(out[len(keep) :] + out[: len(keep)])

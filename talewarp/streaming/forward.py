@@ -234,6 +234,9 @@ class ForwardIngest:
         accepted = own.join(units.where("status = 'accept'").select("unit"), "unit", "left_semi").drop("unit")
         old = self._read("excluded").select("session").where("session IS NOT NULL").distinct()
         accepted = accepted.join(old, F.lower("SessionId") == old.session, "left_anti")
+        # chunks without a time of their own take the nearest one of their file, which isn't before the cutoff
+        accepted = accepted.withColumn("Timestamp", F.when(F.unix_seconds("Timestamp") >= 86_400, F.col("Timestamp")))
+        accepted = accepted.withColumn("Timestamp", logs.repaired_timestamp("Timestamp", F.lit(cutoff), ["SourceFile"], ["SourceLine", "Id"]))
         current = self.table.read().select("Id", F.sha2("Content", 256).alias("sha"))
         novel = accepted.withColumn("sha", F.sha2("Content", 256)).join(current, ["Id", "sha"], "left_anti").drop("sha")
         if novel.limit(1).count():

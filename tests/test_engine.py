@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from talewarp.operators import summaries, vector
 from talewarp.operators import text as fulltext
 from talewarp.operators.filters import Filter, InvalidRequest, parse_bound
-from talewarp.plans.engine import REQUIRED, Engine, InvalidResult, checked
+from talewarp.plans.engine import REQUIRED, Engine, InvalidResult, checked, tool_request
 from talewarp.plans.requests import choose_mode, decode
 from talewarp.schema import CHUNK
 from talewarp.streaming.forward import ForwardIngest, KeyedState
@@ -195,6 +195,25 @@ def test_requests():
     assert summaries.progress((10, 0.0), 70, 60, 60.0) == {"rate_per_minute": 60.0, "eta_seconds": 60.0}
 
 
+def test_tool_arguments():
+    assert tool_request("search_conversations", {"query": "x", "project_filter": "/p", "date_from": None, "limit": 3.0}) == {"query": "x", "project_path": "/p", "limit": 3}
+    assert tool_request("search_file_changes", {}) == {"query": "file changes modifications edits"}
+    assert tool_request("search_file_changes", {"file_path": "a", "operation_filter": "edit"}) == {"file_path": "a", "operation": "edit"}
+    assert tool_request("get_session_summary", {"session_id": "s", "count": 20}) == {"session_id": "s", "limit": 20}
+    for name, bad in (("search_conversations", {"query": "x", "limit": 51}), ("search_conversations", {"query": "x", "limit": 1.5}), ("search_conversations", {"query": "x", "use_hybrid": "yes"}), ("search_conversations", {"query": 3}), ("search_file_changes", {"operation_filter": "delete"}), ("get_session_summary", {"count": 21}), ("get_session_summary", {"count": True})):
+        with pytest.raises(InvalidRequest):
+            tool_request(name, bad)
+
+
+def test_vectors_of_any_nullability_are_taken(spark, tmp_path):
+    table = ChunkTable(spark, str(tmp_path / "t"), 2, buckets=2)
+    table.initialize()
+    rows = frame(spark, chunk(1)).withColumn("Vector", F.array(F.lit(1.0), F.when(F.col("SourceLine") == 1, 2.0)))
+    assert table.upsert(rows) == 1 and table.read().first()["Vector"] == [1.0, 2.0]
+    with pytest.raises(InvalidChunks, match="vector_not_finite"):
+        table.upsert(rows.withColumn("Vector", F.array(F.lit(1.0), F.lit(None).cast("double"))))
+
+
 def transcript(root, name, stamp, turns=1):
     rows = []
     for i in range(turns):
