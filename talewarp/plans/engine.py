@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_text
-from ..operators import hybrid, summaries, vector
+from ..operators import hybrid, summaries, tree, vector
 from ..operators import text as fulltext
 from ..operators.filters import Filter
 from ..schema import RESULT_COLUMNS, vector_error
@@ -68,8 +68,9 @@ class Engine:
         if mode == "exact":
             top = vector.exact_topk(self.table.read(), query, k, request.where.column())
             return top.select(*RESULT_COLUMNS, "Distance", F.lit("exact").alias("SearchType"))
-        rows, centres = index
-        top = vector.ann_topk(rows, centres, query, k, self.probes or vector.probes_for(len(centres)), request.where.column()).select("Id", "Distance")
+        rows, model = index
+        share = self.probes / len(model) if self.probes else tree.VISITED
+        top = tree.topk(rows, model, query, k, share, request.where.column()).select("Id", "Distance")
         return hybrid.late_materialized(top, self.table.read(), RESULT_COLUMNS).select(*RESULT_COLUMNS, "Distance", F.lit("ann").alias("SearchType")).orderBy("Distance", "Id")
 
     def text_search(self, request: Request) -> DataFrame:

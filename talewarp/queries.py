@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import files, text
-from .operators import hybrid, logs, summaries, vector
+from .operators import hybrid, logs, summaries, tree, vector
 from .operators import text as fulltext
 from .session import scratch_folder, ship
 from .sources import antigravity, claude, codex, common, exports, gemini
@@ -73,6 +73,17 @@ def vector_ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("vec_id", "label", F.round("Distance", 6).alias("distance"))
 
 
+@query()
+def vector_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a two-level index with product codes; vectors are read of 20 times ten rows only."""
+    rows = table(spark, sf_dir, "embeddings")
+    model = tree.train(rows, 64, id_col="vec_id", vector="embedding")
+    folder = scratch_folder(spark, "tree")
+    tree.assigned(rows, model, ("vec_id", "label"), "embedding").repartition("leaf").sortWithinPartitions("leaf").write.parquet(folder)
+    top = tree.topk(spark.read.parquet(folder), model, _query_vector(spark, sf_dir), TOP, vector="embedding", id_col="vec_id")
+    return top.select("vec_id", "label", F.round("Distance", 6).alias("distance"))
+
+
 _WORDS = ", ".join(f"'{w}'" for w in fulltext.query_tokens(TEXT_QUERY))
 _BM25 = f"""
 tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t FROM documents),

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import logs, summaries, vector
+from .operators import logs, summaries, tree, vector
 from .operators import text as fulltext
 from .schema import CHUNK, DIMENSION, chunk_errors, normalized
 from .versions import Conflict, Versions
@@ -133,13 +133,13 @@ class ChunkTable:
     SLOTS, SPREAD, TRIES = 16, 16, 8
     POSTINGS = "token string, bucket int, block int, n long, most long, density double, posts array<struct<Id: string, tf: long, dl: int>>, folder string, slot int"
     TOTALS = "bucket int, n long, tokens long, folder string"
-    LEAVES = "Id string, ChunkType string, SessionId string, ProjectName string, MachineId string, Vector array<float>, leaf int, bucket int, folder string"
+    LEAVES = "Id string, ChunkType string, SessionId string, ProjectName string, MachineId string, Vector array<float>, leaf int, code binary, bucket int, folder string"
 
     def __init__(self, spark: SparkSession, path: str, dimension: int = DIMENSION, buckets: int = 64):
         self.spark, self.path, self.dimension, self.buckets = spark, path.rstrip("/"), dimension, buckets
         self.versions = Versions(spark, f"{self.path}/states")
         self._sample: tuple[int, float] | None = None
-        self._centres: tuple[str, list[list[float]]] | None = None
+        self._tree: tuple[str, tree.Tree] | None = None
 
     # state -----------------------------------------------------------------
     def state(self) -> dict:
@@ -328,7 +328,7 @@ class ChunkTable:
         if rows.where(F.col("Vector").isNotNull()).limit(vector.BUILD_THRESHOLD).count() < vector.BUILD_THRESHOLD:
             return False
         index = f"i-{uuid.uuid4().hex}"
-        vector.train_leaves(rows, leaves).write().save(f"{self.path}/index/{index}/model")
+        tree.train(rows, leaves).save(self.spark, f"{self.path}/index/{index}/model")
         done: set[str] = set()
         for _ in range(self.TRIES):
             number, state = self.versions.latest()
@@ -343,25 +343,23 @@ class ChunkTable:
                 continue
         raise Conflict(f"{self.path} keeps being changed by others")
 
-    def _write_leaves(self, index: str, written: DataFrame, name: str) -> None:
-        from pyspark.ml.clustering import KMeansModel
+    def _model(self, index: str) -> tree.Tree:
+        if not self._tree or self._tree[0] != index:
+            self._tree = (index, tree.Tree.load(self.spark, f"{self.path}/index/{index}/model"))
+        return self._tree[1]
 
-        model = KMeansModel.load(f"{self.path}/index/{index}/model")
-        rows = vector.assigned(written, model, (*vector.STORED, "bucket"))
+    def _write_leaves(self, index: str, written: DataFrame, name: str) -> None:
+        rows = tree.assigned(written, self._model(index), (*vector.STORED, "bucket"))
         rows.withColumn("folder", F.lit(name)).sortWithinPartitions("leaf").write.parquet(f"{self.path}/index/{index}/{name}")
 
-    def leaves(self) -> tuple[DataFrame, list[list[float]]] | None:
-        """The vector index's entries for the table as it is, and its centroids; None where there is none."""
+    def leaves(self) -> tuple[DataFrame, tree.Tree] | None:
+        """The vector index's entries for the table as it is, and its tree; None where there is none."""
         state = self.state()
         index, names = state["index"], sorted(set(state["buckets"].values()))
         if not index or not names:
             return None
-        if not self._centres or self._centres[0] != index:
-            from pyspark.ml.clustering import KMeansModel
-
-            self._centres = (index, vector.centres_of(KMeansModel.load(f"{self.path}/index/{index}/model")))
         entries = self.spark.read.schema(self.LEAVES).parquet(*(f"{self.path}/index/{index}/{n}" for n in names))
-        return entries.where(_live(state)), self._centres[1]
+        return entries.where(_live(state)), self._model(index)
 
     def stats(self, now: float) -> dict:
         row = summaries.store_stats(self.read()).first().asDict()
