@@ -31,3 +31,15 @@ def components(edges: DataFrame) -> DataFrame:
         changed = moved.where("label < old").limit(1).count()
         labels = moved.select("node", "label")
     return labels
+
+
+def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` after further ``edges``: components of components, so only edges between them are followed.
+
+    Nodes that had no label get one if an edge names them.
+    """
+    a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in "ab")
+    between = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a <> b").distinct()
+    above = components(between).select(F.col("node").alias("label"), F.col("label").alias("above"))
+    new = above.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("above").alias("label"))
+    return checkpointed(labels.join(above, "label", "left").select("node", F.coalesce("above", "label").alias("label")).unionByName(new))

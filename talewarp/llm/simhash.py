@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, checkpointed, joined, map_batches, quoted, small_or_not
+from .common import as_bytes, by_bytes, checkpointed, fresh_name, joined, map_batches, quoted, small_or_not
 from .graph import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -144,12 +144,11 @@ def first_of() -> tuple[Column, Column]:
     return F.count("*").alias("n"), F.struct(smallest.isNull().alias("missing"), smallest.alias("doc_id"), text.alias("text_key")).alias("first")
 
 
-def with_components(marked: DataFrame, distinct: DataFrame, edges: DataFrame, key: str, node: str) -> DataFrame:
+def with_components(marked: DataFrame, distinct: DataFrame, roots: DataFrame, key: str, node: str) -> DataFrame:
     """``marked`` with ``first``, the smallest (id, text) of its component.
 
-    ``distinct`` has ``first_of`` for each ``key``, and the ``node`` by which ``edges`` name it.
+    ``distinct`` has ``first_of`` for each ``key``, and the ``node`` by which ``roots`` (``components``) name it.
     """
-    roots = components(edges)
     grouped = checkpointed(distinct.join(roots.withColumnRenamed("node", "_node"), F.col(node) == F.col("_node")).select(node, "label", "first"))
     smallest = checkpointed(grouped.groupBy("label").agg(F.min("first").alias("smallest")))
     changed = grouped.join(smallest, "label").select(F.col(node).alias("_node"), "smallest")
@@ -160,7 +159,7 @@ def with_components(marked: DataFrame, distinct: DataFrame, edges: DataFrame, ke
 def _linked(docs: DataFrame, size: int, hot: int, id_col: str, text_col: str) -> DataFrame:
     marked = checkpointed(fingerprints(docs, size, id_col, text_col))
     distinct = checkpointed(marked.groupBy("fp").agg(*first_of()))
-    return with_components(marked, distinct, links(distinct, hot), "fp", "fp")
+    return with_components(marked, distinct, components(links(distinct, hot)), "fp", "fp")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,8 +177,9 @@ def keep_first(docs: DataFrame, linked: DataFrame, id_col: str = "doc_id", text_
     aren't shuffled.
     """
     own = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")
-    dropped = checkpointed(linked.where(~own.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_dropped_id"), F.col("text_key").alias("_dropped_key")).distinct())
-    same = quoted(id_col).eqNullSafe(F.col("_dropped_id")) & (F.xxhash64(quoted(text_col)) == F.col("_dropped_key"))
+    gone, key = (fresh_name(docs, x) for x in ("dropped_id", "dropped_key"))
+    dropped = checkpointed(linked.where(~own.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias(gone), F.col("text_key").alias(key)).distinct())
+    same = quoted(id_col).eqNullSafe(F.col(gone)) & (F.xxhash64(quoted(text_col)) == F.col(key))
     return docs.join(small_or_not(dropped, FEW_ROWS), same, "left_anti")
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from talewarp.llm import near, simhash
+from talewarp.llm import graph, near, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +77,62 @@ def test_repeated_ids_keep_their_other_text(spark):
     for stage in (near.deduplicate, simhash.deduplicate):
         kept = stage(docs)
         assert kept.columns == docs.columns and sorted(r["a.b"] for r in kept.collect()) == [1, 3, 6, 7]
+
+
+def test_a_crowd_that_shares_a_passage_makes_few_pairs(spark, monkeypatch):
+    """Documents that have a long passage in common, some with little else, and near copies among them."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(100)]
+    rows = []
+    for i in range(400):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([8, 11, 14, 18, 22, 26, 40, 120]))]
+        cut = rng.randrange(len(own))
+        text = own[:cut] + passage + own[cut:]
+        rows.append((i, " ".join(text)))
+        if i % 20 == 0:  # an edited copy
+            text[rng.randrange(len(text))] = "edited"
+            rows.append((1000 + i, " ".join(text)))
+    want, compared, verified = groups(rows), [], near._verified
+    monkeypatch.setattr(near, "_verified", lambda pairs, *more: compared.append(pairs.count()) or verified(pairs, *more))
+    got = {r["doc_id"]: r["component_id"] for r in near.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 20 < len(rows) - len(set(want.values())) < 400
+    assert len(compared) == 3 and sum(compared) < 20 * len(rows) < len(rows) ** 2 / 10
+
+
+def test_prefix_pairs_hold_all_similar_pairs(spark):
+    """The prefix join alone, without buckets and components, against all pairs."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        base = [f"w{rng.randrange(40)}" if i % 2 else f"v{i} {j}" for j in range(rng.randrange(1, 60))]
+        for _ in range(4):
+            text = list(base)
+            for _ in range(rng.randrange(4)):
+                text[rng.randrange(len(text))] = f"x{rng.randrange(9)}"
+            rows.append(near.hashed_shingles(" ".join(text).encode()))
+    sets = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(rows)], "node long, hashes binary")
+    crowd = sets.selectExpr("node", "node AS label")
+    for least in (0.8, 0.5):
+        found = {(r["a"], r["b"]) for r in near._prefix_pairs(crowd, sets, least).collect()}
+        want = {(i, j) for j in range(len(rows)) for i in range(j) if near.similarity(rows[i], rows[j]) >= least}
+        assert want <= found and len(want) > 60
+    one = near._prefix_pairs(sets.selectExpr("node", "0L AS label"), sets, 0.8)
+    assert one.count() == 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    frame = spark.createDataFrame([(1, "a b c", 1, 2, 3), (2, "a b c", 4, 5, 6)], "doc_id long, text string, dropped_id long, Dropped_Key long, _dropped_id long")
+    for stage in (near.deduplicate, simhash.deduplicate):
+        kept = stage(frame)
+        assert kept.columns == frame.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c", 1, 2, 3)]
+    placed = sharding.place(spark.createDataFrame([(1, 2, 3, 4)], "doc_id long, place int, PLACE_ int, _slot int"), "doc_id")
+    assert placed.columns == ["doc_id", "place", "PLACE_", "_slot", "slot", "shard"] and tuple(placed.first())[:4] == (1, 2, 3, 4)
+    assert sharding.place(spark.createDataFrame([("k", 1)], "doc_id string, Slot int"), "doc_id").columns == ["doc_id", "slot", "shard"]
+
+
+def test_labels_join_by_further_links(spark):
+    links = lambda *pairs: spark.createDataFrame(list(pairs), "a long, b long")
+    labels = graph.components(links((5, 6), (2, 3), (8, 9)))
+    joined = graph.joined_labels(labels, links((6, 3), (1, 9), (20, 21), (2, 3)))
+    assert {r["node"]: r["label"] for r in joined.collect()} == {2: 2, 3: 2, 5: 2, 6: 2, 8: 1, 9: 1, 1: 1, 20: 20, 21: 20}
+    assert graph.joined_labels(labels, links((2, 3)).limit(0)).count() == 6
