@@ -13,8 +13,8 @@ placed by DataFrame functions alone.
 
 Defined results: a null key hashes as the text ``null`` in angle brackets, and shares a
 shard with that text; repeated keys share a shard; long keys are hashed whole; columns
-called ``slot`` and ``shard`` are replaced, even if one is the key; other columns are
-kept, whatever their names; an empty table gives an empty result.
+called ``slot`` and ``shard``, in any case of letters, are replaced, even if one is the
+key; other columns are kept, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import fresh_name, quoted
 
 SHARDS, SLOTS = 32, 4099
 
@@ -73,9 +73,10 @@ def table_frame(spark: SparkSession, names: list[str], slots: int = SLOTS) -> Da
 def place(df: DataFrame, key: str, names: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
     """``df`` with its rows' ``slot`` and ``shard``; columns of these names are replaced."""
     names = names or shard_names()
-    kept = [quoted(c) for c in df.columns if c not in ("slot", "shard")]
-    table = F.broadcast(table_frame(df.sparkSession, names, slots).select(F.col("slot").alias("_slot"), "shard"))
-    return df.select(*kept, slot_of(quoted(key), slots).alias("slot")).join(table, F.col("slot") == F.col("_slot")).drop("_slot")
+    kept = [quoted(c) for c in df.columns if c.lower() not in ("slot", "shard")]
+    place = fresh_name(df, "place")
+    table = F.broadcast(table_frame(df.sparkSession, names, slots).select(F.col("slot").alias(place), "shard"))
+    return df.select(*kept, slot_of(quoted(key), slots).alias("slot")).join(table, F.col("slot") == F.col(place)).drop(place)
 
 
 #: DuckDB: the same turns as a recursion over the list of owners, then the same placement.
