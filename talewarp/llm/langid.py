@@ -14,8 +14,8 @@ more memory.
 
 Defined results: null or letterless text gives ``und`` with score 0; ties go to the
 language that sorts first; without training rows every text is ``und``, and nothing is
-kept; more than ``max_languages`` labels raise an error; rows without an id aren't
-trained on; repeated rows count, and are predicted, each for itself; other columns are
+kept; of more than ``max_languages`` labels the most frequent are learned (ties: those
+that sort first), and rows with others aren't trained on; rows without an id aren't; repeated rows count, and are predicted, each for itself; other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -87,10 +87,12 @@ def train(docs: DataFrame, buckets: int = BUCKETS, orders: tuple[int, ...] = ORD
     """The model of the rows that are not held out and have a text and a language; only those are read."""
     usable = ~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()
     source = docs.where(usable).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counted = {r["lang"]: r["n"] for r in source.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    found = source.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()
+    counted = {r["lang"]: r["n"] for r in found[:max_languages]}
     languages = sorted(counted)
-    if len(languages) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    if len(found) > max_languages:
+        usable &= F.col(lang_col).isin(languages)
+        source = source.where(F.col("lang").isin(languages))
     if train_rows is not None and sum(counted.values()) > train_rows:
         taken = quotas(counted, train_rows)
         limits = F.create_map(*(F.lit(x) for lang in languages for x in (lang, hash_limit(taken[lang] / counted[lang]))))

@@ -16,6 +16,16 @@ def test_a_rare_language_is_trained_on(spark):
     assert all(got[i] == lang for i, _, lang in rows)
 
 
+def test_of_many_labels_the_most_frequent_are_learned(spark):
+    rows = [(i, f"word{i % 300} {chr(0x4E00 + i % 300)}", f"l{i % 300:03d}") for i in range(1500)] + [(i, "abc abc", "many") for i in range(2000, 2300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.languages) == langid.MAX_LANGUAGES and "many" in model.languages
+    assert langid.predict(docs.where("lang = 'many'"), model).where("lang_pred = 'many'").count() == 300
+    few = langid.train(docs, max_languages=1, train_rows=50)
+    assert few.languages == ["many"] and langid.keep_identified(docs, max_languages=1).count() == 1800
+
+
 def test_quotas():
     assert langid.quotas({"a": 1000, "b": 3, "c": 500}, 100) == {"b": 3, "c": 48, "a": 49}
     assert langid.quotas({"a": 5, "b": 3}, 100) == {"a": 5, "b": 3}
