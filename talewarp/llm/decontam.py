@@ -10,6 +10,8 @@ text stands in the document's, letter by letter.
 Windows of an item's size start at every word of a whole document. A lossless filter
 leaves those that can match: k edits spare all but k of an item's words, so of its
 k + ``SPARE`` rarest words (its anchors) at least ``SPARE`` stand within n + k words.
+Words of more than ``CROWD`` items are anchors only of items that have no k + 1 rarer
+ones, and count accordingly.
 Where they do, windows start at the place that an anchor implies, and up to k words
 before and after it. Windows that remain, and
 the items of that size, take the CGK random walk (Chakraborty, Goldenberg and Koucky,
@@ -46,6 +48,10 @@ from .common import by_bytes, keep_rows, map_batches
 SIMILARITY = 0.8
 BITS, REPEATS, STRETCH, SPARE = 3, 32, 2, 5
 BLOCK_BYTES, SLICE_BYTES = 16 << 20, 4 << 20
+#: Items that share a word beyond which it is no anchor if others are enough, and pairs of an anchor's place and item that are held at once.
+CROWD, EXPANDED = 64, 1 << 20
+#: Comparisons of words that are held at once.
+CELLS = 1 << 24
 #: Characters of a long text that are split into words at once.
 PART_CHARS = 1 << 20
 _WORDS = re.compile(r"\w+").findall
@@ -141,25 +147,35 @@ class Index:
         seen = np.bincount(np.concatenate(self.items), minlength=len(self.numbers) + 1) if self.items else np.zeros(1, int)
         letters = np.array([0, *map(len, self.numbers)])
         posted: list[tuple[int, int, int]] = []  # word, item, place in the item
+        need: list[int] = []
         for k, (x, e) in enumerate(zip(self.items, self.edits, strict=True)):
             self.by_size.setdefault(len(x), []).append(k)
-            posted += [(int(x[i]), k, int(i)) for i in np.lexsort((-letters[x], seen[x]))[: e + SPARE]]
+            anchors = np.lexsort((-letters[x], seen[x]))[: e + SPARE]
+            # words of a crowd of items tell little; one more than the edits is enough to lose nothing
+            anchors = anchors[(seen[x[anchors]] <= CROWD) | (np.arange(len(anchors)) <= e)]
+            need.append(len(anchors) - e)
+            posted += [(int(x[i]), k, int(i)) for i in anchors]
         postings = np.array(sorted(posted), np.int64).reshape(-1, 3)
         self.posting_ends = np.searchsorted(postings[:, 0], np.arange(len(self.numbers) + 2))
         self.posted_item, self.posted_place = postings[:, 1], postings[:, 2]
-        self.need = np.array([min(len(x), e + SPARE) - e for x, e in zip(self.items, self.edits, strict=True)], np.int64)
+        self.need = np.array(need, np.int64)
         self.span = np.array([len(x) + e for x, e in zip(self.items, self.edits, strict=True)], np.int64)
         self.reach = max((len(x) + e for x, e in zip(self.items, self.edits, strict=True)), default=0)
-        self.buckets: dict[int, list[dict[int, list[int]]]] = {}
+        #: By size and repetition the items' keys in order, and the items.
+        self.buckets: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.stacked: dict[int, np.ndarray] = {}
+        self.row_of = np.zeros(len(self.items), np.int64)
         for n, members in self.by_size.items():
-            stacked = padded(np.stack([self.items[k] for k in members]))
+            own = np.array(members, np.int32)
+            self.stacked[n] = np.stack([self.items[k] for k in members])
+            self.row_of[own] = np.arange(len(own))
+            stacked = padded(self.stacked[n])
             self.buckets[n] = []
             for r in range(repeats):
-                found: dict[int, list[int]] = {}
-                for k, key in zip(members, walk_keys(stacked, r, bits).tolist(), strict=True):
-                    found.setdefault(key, []).append(k)
-                self.buckets[n].append(found)
-        self.sorted_keys = {n: [np.array(sorted(b), np.uint64) for b in reps] for n, reps in self.buckets.items()}
+                keys = walk_keys(stacked, r, bits)
+                order = np.argsort(keys, kind="stable")
+                self.buckets[n].append((keys[order], own[order]))
+        self.size_of = np.array([len(x) for x in self.items], np.int64)
 
     def find(self, texts: list[str]) -> list[dict[int, tuple[int, int]]]:
         """For each text the items that it holds: distance, and the word where the window starts."""
@@ -184,35 +200,63 @@ class Index:
         return out
 
     def _starts(self, joined: np.ndarray, first: np.ndarray, ends: np.ndarray) -> dict[int, np.ndarray]:
-        """By item size, where windows start that hold enough anchors of one item; within the document of the anchor."""
+        """By item size, where windows start that hold enough anchors of one item; within the document of the anchor.
+
+        Occurrences of anchors are looked at ``EXPANDED`` (place, item) pairs at a time,
+        and with them those that follow within the longest window.
+        """
         count = self.posting_ends[joined + 1] - self.posting_ends[joined]
         at = np.flatnonzero(count)
-        count = count[at]
-        which = np.repeat(self.posting_ends[joined[at]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        total = np.cumsum(count[at])
+        out: dict[int, list[np.ndarray]] = {}
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + EXPANDED, side="right")))
+            upto = int(np.searchsorted(at, at[b - 1] + self.reach))
+            for n, found in self._anchored(at[a:upto], at[b - 1], joined, first, ends):
+                out.setdefault(n, []).append(found)
+            a = b
+        return {n: np.unique(np.concatenate(found)) for n, found in out.items()}
+
+    def _anchored(self, at: np.ndarray, last_place: int, joined: np.ndarray, first: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Item size and starts of windows whose first anchor stands at one of the places ``at`` up to ``last_place``."""
+        begin = self.posting_ends[joined[at]]
+        count = self.posting_ends[joined[at] + 1] - begin
+        which = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
         item, place, pos = self.posted_item[which], self.posted_place[which], np.repeat(at, count)
         order = np.argsort(item * (len(joined) + 1) + pos, kind="stable")
         item, place, pos = item[order], place[order], pos[order]
         last = np.minimum(np.arange(len(item)) + self.need[item] - 1, len(item) - 1)
-        hit = np.flatnonzero((np.arange(len(item)) + self.need[item] <= len(item)) & (item[last] == item) & (pos[last] - pos < self.span[item]))
-        out: dict[int, list[np.ndarray]] = {}
-        guess = pos[hit] - place[hit]
-        doc = np.searchsorted(first, pos[hit], side="right") - 1
-        for n, members in self.by_size.items():
-            its = np.isin(item[hit], members)
-            if its.any():
-                k, mine = self.edits[members[0]], doc[its]
-                out[n] = np.unique(np.clip(guess[its][:, None] + np.arange(-k, k + 1), first[mine][:, None], ends[mine][:, None] - 1))
-        return out
+        enough = (np.arange(len(item)) + self.need[item] <= len(item)) & (item[last] == item) & (pos[last] - pos < self.span[item])
+        hit = np.flatnonzero(enough & (pos <= last_place))
+        guess, doc, size = pos[hit] - place[hit], np.searchsorted(first, pos[hit], side="right") - 1, self.size_of[item[hit]]
+        for n in np.unique(size).tolist():
+            its = size == n
+            k, mine = self.edits[self.by_size[n][0]], doc[its]
+            yield n, np.unique(np.clip(guess[its][:, None] + np.arange(-k, k + 1), first[mine][:, None], ends[mine][:, None] - 1))
 
     def _match(self, n: int, k: int, starts: np.ndarray, joined: np.ndarray, first: np.ndarray, ends: np.ndarray, out: list[dict[int, tuple[int, int]]]) -> None:
         windows = padded(np.concatenate([joined, np.zeros(n, np.int32)])[starts[:, None] + np.arange(n)])
-        candidates: set[tuple[int, int]] = set()
+        doc = np.searchsorted(first, starts, side="right") - 1
+        places = starts[:, None] + np.arange(-k, n + k)
+        inside = (places >= first[doc][:, None]) & (places < ends[doc][:, None])
+        around = np.where(inside, joined[np.clip(places, 0, len(joined) - 1)], -1)
+        candidates = np.zeros(0, np.int64)
         for r in range(self.repeats):
-            keys, held = walk_keys(windows, r, self.bits), self.sorted_keys[n][r]
-            place = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-            for i in np.flatnonzero(held[place] == keys).tolist():
-                candidates.update((i, item) for item in self.buckets[n][r][int(keys[i])])
-        for i, item in sorted(candidates):
+            keys, (held, members) = walk_keys(windows, r, self.bits), self.buckets[n][r]
+            begin = np.searchsorted(held, keys)
+            count = np.searchsorted(held, keys, side="right") - begin
+            met = np.flatnonzero(count)
+            total, a = np.cumsum(count[met]), 0
+            while a < len(met):  # a bounded number of pairs at a time, of which few share enough words
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + EXPANDED, side="right")))
+                own, times = met[a:b], count[met[a:b]]
+                items = members[np.repeat(begin[own] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+                pairs = np.setdiff1d(np.repeat(own, times) << 32 | items, candidates, assume_unique=True)
+                candidates = np.concatenate([candidates, pairs[self._share_words(pairs, around, n, k)]])
+                a = b
+        candidates.sort()
+        for i, item in zip((candidates >> 32).tolist(), (candidates & 0xFFFFFFFF).tolist(), strict=True):
             start = int(starts[i])
             doc = int(np.searchsorted(first, start, side="right")) - 1
             begin = max(int(first[doc]), start - k)
@@ -220,13 +264,22 @@ class Index:
             words = self.items[item]
             if item in out[doc] and out[doc][item][0] == 0:
                 continue
-            if np.isin(words, stretch).sum() < n - k:
-                continue
             distance = fitting_distance(words, stretch)
             if distance <= k and (item not in out[doc] or distance < out[doc][item][0]):
                 out[doc][item] = (distance, start - int(first[doc]))
 
 
+    def _share_words(self, pairs: np.ndarray, around: np.ndarray, n: int, k: int) -> np.ndarray:
+        """Whether all but ``k`` of an item's words stand around a window, for pairs of window and item."""
+        enough = np.zeros(len(pairs), bool)
+        step = max(1, CELLS // (n * around.shape[1]))
+        for a in range(0, len(pairs), step):
+            part = pairs[a : a + step]
+            words = self.stacked[n][self.row_of[part & 0xFFFFFFFF]]
+            enough[a : a + step] = (words[:, :, None] == around[part >> 32][:, None, :]).any(axis=2).sum(axis=1) >= n - k
+        return enough
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
     """The benchmark's rows in blocks of bounded size."""
     rows = benchmark.where("text IS NOT NULL").select("item_id", "text")

@@ -1,6 +1,7 @@
 """Documents of one slice are matched each for itself."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -57,6 +58,30 @@ def test_recall_by_edits(share, least, alphabet):
     assert sum(x in got for x in want) >= least * len(want)
 
 
+def test_items_of_common_words_take_bounded_memory(monkeypatch):
+    """Thousands of items that differ in a word, on a text full of their common words."""
+    rng = random.Random(5)
+    items = [f"what is the capital of place{i}" for i in range(4000)]
+    filler = ["what", "is", "the", "of", "capital"] + [f"w{i}" for i in range(200)]
+    words = rng.choices(filler, k=60_000)
+    for i in range(0, 4000, 400):
+        words[10 * i : 10 * i] = f"what is the{' big' * (i % 800 == 0)} capital of place{i}".split()
+    docs = [" ".join(words), "what is a capital of place7", "the capital of place9 is what"]
+    want = {(0, i): int(i % 800 == 0) for i in range(0, 4000, 400)} | {(1, 7): 1}
+    index = decontam.Index(list(enumerate(items)))
+    tracemalloc.start()
+    found = {(i, item): d for i, m in enumerate(index.find(docs)) for k, (d, _) in m.items() for item in index.ids[k]}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # a text may hold an item at a distance of one by chance, as any place may be missing
+    assert {k: v for k, v in found.items() if k in want} == want and peak < 400e6, peak
+    monkeypatch.setattr(decontam, "EXPANDED", 1000)
+    monkeypatch.setattr(decontam, "CROWD", 10**9)
+    again = decontam.Index(list(enumerate(items[:300])))
+    few = {(i, item): d for i, m in enumerate(again.find(docs)) for k, (d, _) in m.items() for item in again.ids[k]}
+    assert few == {k: v for k, v in found.items() if k[1] < 300}
+
+
 def test_items_of_any_length_take_part():
     items = ["the quick brown fox", "北京是中国的首都", "ok", "!?!?", "", " ", "ภาษาไทย", "北"]
     docs = ["see The Quick, brown fox run", "我知道北京是中国的首都。", "北京是中国的都市", "what!?!?", "OK then", "quick brown fox", "เขียนภาษาไทยได้", None or ""]
