@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import files, text
 from .operators import hybrid, logs, summaries, tree, vector
 from .operators import text as fulltext
+from .plans import sql
 from .session import scratch_folder, ship
 from .sources import antigravity, claude, codex, common, exports, gemini
 
@@ -640,3 +641,30 @@ def timestamp_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", ts.alias("ts"))
     fixed = logs.repaired_timestamp("ts", F.lit(CUTOFF).cast("timestamp"), ["user_id"], ["event_id"])
     return events.select("event_id", "user_id", fixed.cast("timestamp_ntz").alias("repaired"))
+
+
+# the same searches as SQL table functions ------------------------------------------------------------
+
+_HYBRID = ORACLE_SQL["hybrid_rrf_topk"].replace("SELECT f.id AS doc_id, lang, source, ", "SELECT f.id AS doc_id, ")
+
+
+def _as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    both = docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "left")
+    return both.select(F.format_string("%012d", "doc_id").alias("Id"), F.col("text").alias("Content"), F.col("embedding").alias("Vector"), F.col("lang").alias("ProjectPath"), F.lit("turn").alias("ChunkType"), F.col("source").alias("SessionId"), F.timestamp_seconds(F.col("n_chars")).alias("Timestamp"))
+
+
+@query(_HYBRID)
+def sql_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(_as_chunks(spark, sf_dir))
+    near = F.array(*map(F.lit, _query_vector(spark, sf_dir)))
+    top = spark.sql("SELECT * FROM hybrid_search(:near, :words, :most)", args={"near": near, "words": TEXT_QUERY, "most": TOP})
+    return top.select(F.col("Id").cast("long").alias("doc_id"), F.round("Distance", 6).alias("distance"))
+
+
+@query("""SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents WHERE lang = 'en')
+WHERE n = 1 ORDER BY n_chars DESC, doc_id LIMIT 7""")
+def sql_latest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(_as_chunks(spark, sf_dir))
+    found = spark.sql("SELECT * FROM latest_sessions(7, :project)", args={"project": "en"})
+    return found.select(F.col("SessionId").alias("source"), F.col("Id").cast("long").alias("doc_id"), F.unix_seconds("Timestamp").alias("n_chars"))

@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talewarp.operators import summaries, tree, vector
+from talewarp.operators import hybrid, summaries, tree, vector
 from talewarp.operators import text as fulltext
 from talewarp.operators.filters import Filter, InvalidRequest, parse_bound
+from talewarp.plans import sql
 from talewarp.plans.engine import REQUIRED, Engine, InvalidResult, checked, tool_request
 from talewarp.plans.requests import choose_mode, decode
 from talewarp.schema import CHUNK
@@ -228,6 +229,30 @@ def test_requests():
     assert summaries.progress((10, 0.0), 70, 60, 60.0) == {"rate_per_minute": 60.0, "eta_seconds": 60.0}
 
 
+def test_sql_functions_equal_the_operators(spark):
+    words = ["parser", "lexer", "token", "stack"]
+    own = np.random.default_rng(3)
+    rows = [chunk(n, " ".join(own.choice(words, 5)), Id=f"{n:04x}", SessionId=f"s{n % 7}", ProjectPath=f"/p{n % 3}", Timestamp=datetime(2026, 1, 1 + n % 5, tzinfo=UTC), Vector=[float(x) for x in own.normal(size=4)] if n % 4 else None) for n in range(60)]
+    chunks = frame(spark, *rows)
+    sql.register(chunks)
+    sql.register(chunks)
+    near, kept = [0.1, 0.2, -0.3, 1.0], F.col("ProjectPath") == "/p1"
+    bound = {"near": F.array(*map(F.lit, near)), "words": "parser stack", "project": "/p1"}
+
+    def rounded(found):
+        return [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in found.collect()]
+
+    said = lambda k, where=None: fulltext.bm25_topk(chunks, "parser stack", k, where)
+    assert rounded(spark.sql("SELECT * FROM exact_search(:near, 6, :project) ORDER BY Distance, Id", args=bound)) == rounded(vector.exact_topk(chunks, near, 6, kept).select("Id", "Distance"))
+    assert rounded(spark.sql("SELECT * FROM text_search(:words, 6, :project) ORDER BY Score DESC, Id", args=bound)) == rounded(said(6, kept).select("Id", "Score"))
+    fused = hybrid.fuse([hybrid.ranked(vector.exact_topk(chunks, near, 100), "Distance", "Id"), hybrid.ranked(said(100), F.desc("Score"), "Id")], 8)
+    assert rounded(spark.sql("SELECT * FROM hybrid_search(:near, :words, 8) ORDER BY Distance, Id", args=bound)) == rounded(fused.select("Id", "Distance").orderBy("Distance", "Id"))
+    latest = summaries.latest_per_session(chunks, 3, kept).select("SessionId", "Id", "Timestamp")
+    assert rounded(spark.sql("SELECT * FROM latest_sessions(3, :project) ORDER BY Timestamp DESC, Id", args=bound)) == rounded(latest)
+    odd = bound | {"project": "/p1' OR '1' = '1", "words": "x') OR true --"}
+    assert spark.sql("SELECT * FROM exact_search(:near, 6, :project)", args=odd).count() == spark.sql("SELECT * FROM text_search(:words, 6)", args=odd).count() == 0
+
+
 def test_tool_arguments():
     assert tool_request("search_conversations", {"query": "x", "project_filter": "/p", "date_from": None, "limit": 3.0}) == {"query": "x", "project_path": "/p", "limit": 3}
     assert tool_request("search_file_changes", {}) == {"query": "file changes modifications edits"}
