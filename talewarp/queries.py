@@ -216,7 +216,28 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.short_id(content, F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"))
 
 
-@query()
+#: Byte offsets of a text's characters, of blank lines, and of ends of sentences and lines; then the parts one after another.
+_SPLIT = """WITH RECURSIVE c AS (SELECT doc_id, text, octet_length(encode(text)) AS size, string_split(text, '') AS chars FROM documents WHERE octet_length(encode(text)) > 8000),
+x AS (SELECT doc_id, unnest(chars) AS ch, generate_subscripts(chars, 1) AS i FROM c),
+y AS (SELECT doc_id, i, ch, lead(ch) OVER w AS after, sum(octet_length(encode(ch))) OVER w - octet_length(encode(ch)) AS place FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT doc_id, list(place::BIGINT ORDER BY i) AS places, coalesce(list(place::BIGINT) FILTER (ch = chr(10) AND after = chr(10)), []) AS blanks,
+  coalesce(list(place::BIGINT + 2) FILTER (ch IN ('.', '!', '?') AND after = ' '), []) AS stops, coalesce(list(place::BIGINT + 1) FILTER (ch = chr(10)), []) AS ends FROM y GROUP BY doc_id),
+d AS (SELECT c.doc_id, text, size, places || [size] AS places, blanks, stops, ends FROM c JOIN t ON t.doc_id = c.doc_id),
+parts AS (
+  SELECT doc_id, 0 AS part, 0::BIGINT AS a, {first} AS b FROM d
+  UNION ALL
+  SELECT doc_id, part + 1, a, {next} AS b FROM (
+    SELECT p.doc_id, p.part, d.* EXCLUDE (doc_id), list_min(list_filter(d.places, lambda o: o >= greatest(p.a + 1, p.b - 1500))) AS a FROM parts p JOIN d ON d.doc_id = p.doc_id WHERE p.b < d.size))"""
+_BEGIN = "greatest({a}, {a} + 7000)"
+_END = f"""CASE WHEN size - {{a}} <= 8000 THEN size ELSE coalesce(
+  list_max(list_filter(blanks, lambda o: o > {_BEGIN} AND o + 2 <= {{a}} + 8000)) + 2,
+  greatest(list_max(list_filter(stops, lambda o: o - 2 > {_BEGIN} AND o <= {{a}} + 8000)) - 1, list_max(list_filter(ends, lambda o: o - 1 > {_BEGIN} AND o <= {{a}} + 8000))),
+  list_max(list_filter(places, lambda o: o <= {{a}} + 8000))) END"""
+
+
+@query(_SPLIT.format(first=_END.format(a="0"), next=_END.format(a="a")) + """
+SELECT p.doc_id, part::INTEGER AS part, (b - a)::INTEGER AS bytes, sha256(substr(text, list_position(places, a)::BIGINT, list_position(places, b)::BIGINT - list_position(places, a)::BIGINT)) AS digest FROM parts p JOIN d ON d.doc_id = p.doc_id
+UNION ALL SELECT doc_id, 0, octet_length(encode(text))::INTEGER, sha256(text) FROM documents WHERE octet_length(encode(text)) <= 8000""")
 def split_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.split_content("text")).alias("part", "content"))
     return parts.select("doc_id", "part", F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("digest"))
