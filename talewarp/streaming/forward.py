@@ -30,6 +30,8 @@ from ..sources.common import MAX_FILES, MAX_SNAPSHOT_BYTES
 from ..table import ChunkTable, Embedder
 from ..versions import Conflict, Versions
 
+#: Seconds after which a tick begins no further batch.
+SCAN_SECONDS = 60.0
 #: Sessions that name no conversation, and so are never excluded.
 SYNTHETIC = ["unknown", "gemini-session", "gemini-logs"]
 #: Sources whose files hold many conversations.
@@ -156,8 +158,12 @@ class ForwardIngest:
             self._keep_roots(new)
 
     # one tick --------------------------------------------------------------
-    def tick(self) -> dict[str, int]:
-        """One pass over the roots; returns the number of changed files by outcome."""
+    def tick(self, budget: float = SCAN_SECONDS) -> dict[str, int]:
+        """One pass over the roots; returns the number of changed files by outcome.
+
+        After ``budget`` seconds no further batch is begun; its files wait for the next tick.
+        """
+        until = time.monotonic() + budget
         cutoff = self.cutoff()
         if cutoff is None:
             raise RuntimeError("start() comes first")
@@ -175,6 +181,8 @@ class ForwardIngest:
                 for name, number in self._batch(part, progress, cutoff).items():
                     outcome[name] += number
                 after = part[-1]["path"]
+                if time.monotonic() >= until:
+                    break
         finally:
             changed.unpersist()
         self.ready = True

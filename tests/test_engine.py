@@ -15,6 +15,7 @@ from talewarp.plans import sql
 from talewarp.plans.engine import REQUIRED, Engine, InvalidResult, checked, tool_request
 from talewarp.plans.requests import choose_mode, decode
 from talewarp.schema import CHUNK
+from talewarp.streaming import forward
 from talewarp.streaming.forward import ForwardIngest, KeyedState
 from talewarp.table import ChunkTable, HashEmbedder, InvalidChunks
 from talewarp.versions import Conflict
@@ -315,6 +316,19 @@ def test_forward_and_search(spark, tmp_path):
     assert engine.status()["total"] == 6 and engine.ready() and not engine.ready(watcher_ready=False)
 
 
+def test_a_tick_stops_at_its_budget(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(forward, "MAX_FILES", 1)
+    root = tmp_path / "projects" / "-w-app"
+    root.mkdir(parents=True)
+    table = ChunkTable(spark, str(tmp_path / "table"), 8, buckets=2)
+    table.initialize()
+    ingest = ForwardIngest(spark, [str(tmp_path / "projects")], table, str(tmp_path / "state"), "mac")
+    ingest.start()
+    for name in ("one", "two"):
+        transcript(root, name, (datetime.now(UTC) + timedelta(hours=1)).isoformat().replace("+00:00", "Z"))
+    assert [ingest.tick(budget=0)["accepted"] for _ in range(3)] == [1, 1, 0]
+
+
 def test_keyed_state(spark, tmp_path):
     state = KeyedState(spark, str(tmp_path / "q"), capacity=1)
     state.enqueue("a", "1", 0)
