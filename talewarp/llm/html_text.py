@@ -6,8 +6,8 @@ styles, comments by readers) are known by tag, role, or a name in their class an
 empty lines stand for them, more than a window holds. A name tells such an element only
 as a whole (``sidebar``, ``comments``), as the last part of it (``site-footer``), or as
 the first part before a word for a box (``comment-list``), never as a part of the state
-of a wrapper (``has-sidebar``, ``comments-open``); in a marked article it tells nothing of
-paragraphs, headings and quotations. An element that would be left out by its name, but
+of a wrapper (``has-sidebar``, ``comments-open``); in a marked article only names of adverts tell
+something of paragraphs, headings and quotations. An element that would be left out by its name, but
 holds nearly all of the page's text, or its articles and most of the text, is a wrapper
 and stays. Where the page marks an ``article`` or ``main`` element with text, lines
 outside it count as empty too.
@@ -66,8 +66,9 @@ WORDS = frozenset("ad ads adv advert advertisement adverts advertising adsense b
 #: Last parts of names that make a box of what their first part names, and parts that tell a state.
 BOXES = frozenset("area bar bars block blocks body bottom box buttons buttonset card column container content footer form group header inner item items left link links list menu navigation panel right row section sections slot strip title top unit units widget wrap wrapper zone".split())
 STATES = frozenset("active closed disabled enabled free hide hidden less no none not off on open show shown visible with without has is js".split())
-#: Elements of running text, whose names tell nothing within a marked article; and headings.
+#: Elements of running text, of whose names only those of adverts tell something within a marked article; and headings.
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption figure b i em strong span a code td th tr table".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising promo promoted sponsor sponsored".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A region begins earlier by such lines right before it.
 LEADS = HEADINGS | {"p"}
@@ -132,7 +133,10 @@ def _never(tag: str, attributes: str, in_article: bool) -> str:
             if tag in ARTICLE:
                 if any(OTHER_ARTICLES.fullmatch(x) for x in value.lower().split()):
                     return "part"
-            elif not (in_article and tag in RUNNING) and any(map(_names_boilerplate, value.split())):
+            elif in_article and tag in RUNNING:
+                if not ADVERTS.isdisjoint(value.lower().split()):
+                    return "name"
+            elif any(map(_names_boilerplate, value.split())):
                 return "name"
     return ""
 

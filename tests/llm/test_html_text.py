@@ -57,6 +57,7 @@ def test_pages(page, want):
         *((f'<div {names}><article><p>{LONG}</p></article></div>', LONG.strip()) for names in ('class="layout has-sidebar"', 'class="post comments-open"', 'id="widget-area-main"', 'class="sidebar"', 'class="no-menu with-footer"')),
         (f'<div class="menu-wrapper"><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG.strip()}\n{LONG.strip()}"),
         (f'<article><p>{LONG}</p><p class="share-price">Up 3</p><p class="notice">Note</p><div class="ad-free-reading">Read on</div></article>', f"{LONG.strip()}\nUp 3\nNote\nRead on"),
+        (f'<article><p>{LONG}</p><p class="ad">Buy</p><section class="comments"><p>reader</p></section><div class="ad-slot">Buy</div></article>', LONG.strip()),
         (f'<div class="comments"><p>{LONG * 3}</p></div><article><p>{LONG}</p></article>', LONG.strip()),
         (f'<article><p>{LONG}</p></article><div class="comment-list"><article><p>reader {LONG * 3}</p></article></div>', LONG.strip()),
         (f'<body><div><a href="a">Home</a> <a href="b">News</a></div><div>{LONG}</div><div>Copyright 2024 by us</div></body>', LONG.strip()),
