@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from talewarp.operators import hybrid, summaries, tree, vector
 from talewarp.operators import text as fulltext
 from talewarp.operators.filters import Filter, InvalidRequest, parse_bound
-from talewarp.plans import sql
+from talewarp.plans import model, sql
 from talewarp.plans.engine import REQUIRED, Engine, InvalidResult, checked, tool_request
 from talewarp.plans.requests import choose_mode, decode
 from talewarp.schema import CHUNK
@@ -254,6 +254,34 @@ def test_sql_functions_equal_the_operators(spark):
     assert spark.sql("SELECT * FROM exact_search(:near, 6, :project)", args=odd).count() == spark.sql("SELECT * FROM text_search(:words, 6)", args=odd).count() == 0
 
 
+class Brittle(HashEmbedder):
+    """Gives a vector too few for calls with "short", and fails on "bad"."""
+
+    def embed(self, texts, task="RETRIEVAL_DOCUMENT"):
+        if "bad" in texts:
+            raise ValueError("refused")
+        return super().embed(texts, task)[: -1 if "short" in texts else None]
+
+
+def test_model_as_a_table_function(spark):
+    texts = {f"r{i:02d}": {7: "short", 12: "bad"}.get(i, f"text {i}") for i in range(23)}
+    spark.createDataFrame([(k, v, 1) for k, v in texts.items()], "Id string, Content string, other int").coalesce(1).createOrReplaceTempView("texts_to_embed")
+    model.register(spark, Brittle(8), "embed_some")
+    found = spark.sql("SELECT * FROM embed_some(TABLE(SELECT * FROM texts_to_embed) WITH SINGLE PARTITION)")
+    rows = {r["Id"]: r for r in found.collect()}
+    assert set(rows) == set(texts) and found.columns == ["Id", "Vector", "Error"]
+    failed = {k: r["Error"] for k, r in rows.items() if r["Vector"] is None}
+    assert set(failed.values()) == {"refused", "4 vectors for 5 texts"} and len(failed) == 10
+    want = dict(zip(texts, HashEmbedder(8).embed(list(texts.values())), strict=True))
+    assert all(np.allclose(r["Vector"], want[k]) and r["Error"] is None for k, r in rows.items() if k not in failed)
+    dealt = spark.sql("SELECT count(*) AS n, count(Vector) + count(Error) AS told FROM embed_some(TABLE(SELECT * FROM texts_to_embed) PARTITION BY pmod(hash(Id), 4))").first()
+    assert tuple(dealt) == (23, 23)
+    with pytest.raises(Exception, match="Id and Content"):
+        spark.sql("SELECT * FROM embed_some(TABLE(SELECT other FROM texts_to_embed))")
+    with pytest.raises(ValueError, match="1 to 5"):
+        model.register(spark, Brittle(8), batch=6)
+
+
 def test_tool_arguments():
     assert tool_request("search_conversations", {"query": "x", "project_filter": "/p", "date_from": None, "limit": 3.0}) == {"query": "x", "project_path": "/p", "limit": 3}
     assert tool_request("search_file_changes", {}) == {"query": "file changes modifications edits"}
