@@ -237,23 +237,19 @@ class Index:
 
     def _match(self, n: int, k: int, starts: np.ndarray, joined: np.ndarray, first: np.ndarray, ends: np.ndarray, out: list[dict[int, tuple[int, int]]]) -> None:
         windows = padded(np.concatenate([joined, np.zeros(n, np.int32)])[starts[:, None] + np.arange(n)])
-        doc = np.searchsorted(first, starts, side="right") - 1
-        places = starts[:, None] + np.arange(-k, n + k)
-        inside = (places >= first[doc][:, None]) & (places < ends[doc][:, None])
-        around = np.where(inside, joined[np.clip(places, 0, len(joined) - 1)], -1)
         candidates = np.zeros(0, np.int64)
         for r in range(self.repeats):
             keys, (held, members) = walk_keys(windows, r, self.bits), self.buckets[n][r]
             begin = np.searchsorted(held, keys)
-            count = np.searchsorted(held, keys, side="right") - begin
-            met = np.flatnonzero(count)
-            total, a = np.cumsum(count[met]), 0
+            met = np.flatnonzero(held[np.minimum(begin, len(held) - 1)] == keys)
+            begin, count = begin[met], np.searchsorted(held, keys[met], side="right") - begin[met]
+            total, a = np.cumsum(count), 0
             while a < len(met):  # a bounded number of pairs at a time, of which few share enough words
                 b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + EXPANDED, side="right")))
-                own, times = met[a:b], count[met[a:b]]
-                items = members[np.repeat(begin[own] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
-                pairs = np.setdiff1d(np.repeat(own, times) << 32 | items, candidates, assume_unique=True)
-                candidates = np.concatenate([candidates, pairs[self._share_words(pairs, around, n, k)]])
+                times = count[a:b]
+                items = members[np.repeat(begin[a:b] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+                pairs = np.setdiff1d(np.repeat(met[a:b], times) << 32 | items, candidates, assume_unique=True)
+                candidates = np.concatenate([candidates, pairs[self._share_words(pairs, starts, joined, first, ends, n, k)]])
                 a = b
         candidates.sort()
         for i, item in zip((candidates >> 32).tolist(), (candidates & 0xFFFFFFFF).tolist(), strict=True):
@@ -269,14 +265,18 @@ class Index:
                 out[doc][item] = (distance, start - int(first[doc]))
 
 
-    def _share_words(self, pairs: np.ndarray, around: np.ndarray, n: int, k: int) -> np.ndarray:
+    def _share_words(self, pairs: np.ndarray, starts: np.ndarray, joined: np.ndarray, first: np.ndarray, ends: np.ndarray, n: int, k: int) -> np.ndarray:
         """Whether all but ``k`` of an item's words stand around a window, for pairs of window and item."""
         enough = np.zeros(len(pairs), bool)
-        step = max(1, CELLS // (n * around.shape[1]))
+        step = max(1, CELLS // (n * (n + 2 * k)))
         for a in range(0, len(pairs), step):
             part = pairs[a : a + step]
-            words = self.stacked[n][self.row_of[part & 0xFFFFFFFF]]
-            enough[a : a + step] = (words[:, :, None] == around[part >> 32][:, None, :]).any(axis=2).sum(axis=1) >= n - k
+            start, words = starts[part >> 32], self.stacked[n][self.row_of[part & 0xFFFFFFFF]]
+            doc = np.searchsorted(first, start, side="right") - 1
+            places = start[:, None] + np.arange(-k, n + k)
+            inside = (places >= first[doc][:, None]) & (places < ends[doc][:, None])
+            around = np.where(inside, joined[np.clip(places, 0, len(joined) - 1)], -1)
+            enough[a : a + step] = (words[:, :, None] == around[:, None, :]).any(axis=2).sum(axis=1) >= n - k
         return enough
 
 
