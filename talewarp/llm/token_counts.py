@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, by_bytes, kept, map_batches
 
 #: Words held by a worker's cache, and the longest word that it keeps, in bytes.
-CACHE_WORDS, CACHE_WORD_BYTES = 250_000, 48
+CACHE_WORDS, CACHE_WORD_BYTES = 150_000, 48
+#: Runs of marks at the ends of words that are held.
+CACHE_ENDS = 10_000
 #: Bytes of text encoded at once.
 SLICE_BYTES = 4 << 20
 
@@ -90,9 +92,9 @@ def safe_splits(spec: dict) -> bool:
 
 
 def letter_pieces(spec: dict) -> bool:
-    """True if a lower-cased run of letters reaches the model as its bytes' characters."""
+    """True if a lower-cased run of letters reaches the model as its bytes' characters, and added tokens can't lie in a plain word."""
     steps = spec["pre_tokenizer"].get("pretokenizers", [])
-    return len(steps) == 2 and steps[0]["pattern"]["Regex"].endswith(_LETTER_RUNS) and steps[1]["type"] == "ByteLevel" and not steps[1].get("use_regex", True) and any(x["type"] == "Lowercase" for x in spec["normalizer"].get("normalizers", []))
+    return len(steps) == 2 and steps[0]["pattern"]["Regex"].endswith(_LETTER_RUNS) and steps[1]["type"] == "ByteLevel" and not steps[1].get("use_regex", True) and any(x["type"] == "Lowercase" for x in spec["normalizer"].get("normalizers", [])) and all("<" in t["content"] for t in spec.get("added_tokens", []))
 
 
 def split_long(text: bytes, limit: int) -> Iterator[bytes]:
@@ -114,8 +116,8 @@ def split_long(text: bytes, limit: int) -> Iterator[bytes]:
 
 _SPACES = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
 _SPACE = re.compile(rb"[ \t-\r]")
-#: Words of Latin-1 letters (A-Z, a-z, U+00C0 to U+00FF without the two signs) and one mark.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)").fullmatch
+#: Words of Latin-1 letters (A-Z, a-z, U+00C0 to U+00FF without the two signs) and a run of marks.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{-~]*)").fullmatch
 #: A pre-tokenizer pattern with this end takes a run of letters as one piece.
 _LETTER_RUNS = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -125,12 +127,16 @@ class TextEncoder:
 
     def __init__(self, path: str):
         self.encode, self.safe, self.tokenize = _library(path)
+        #: words of late slices and of those before: what is asked for again stays, and the rest goes when the first is half full
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         if self.tokenize:
             from tokenizers.pre_tokenizers import ByteLevel
 
-            self.shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-            self.ends = dict(zip((b"", b".", b","), (self._pack(x) for x in ([], *self.encode([".", ","]))), strict=True))
+            show = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            #: the characters that the model sees for the bytes of letters beyond ASCII
+            self.shown = {ord(c): show(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
+            self.ends = {b"": b""}
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -139,15 +145,19 @@ class TextEncoder:
     def _learn(self, words: list[bytes]) -> None:
         known, rest = self.known, words
         if self.tokenize:
-            rest, cores = [], {}
+            rest, cores, ends, tokenize = [], {}, self.ends, self.tokenize
             for w in words:
-                if plain := _PLAIN(w):
-                    core = plain[1].decode().lower()
+                if len(w) <= CACHE_WORD_BYTES and (plain := _PLAIN(w)):
+                    core, end = plain.groups()
                     ids = cores.get(core)
                     if ids is None:
-                        shown = core if core.isascii() else self.shown(core)[0][0]
-                        ids = cores[core] = self._pack([t.id for t in self.tokenize(shown)])
-                    known[w] = ids + self.ends[plain[2]]
+                        letters = core.decode().lower()
+                        ids = cores[core] = self._pack([t.id for t in tokenize(letters if core.isascii() else letters.translate(self.shown))])
+                    if end not in ends:
+                        if len(ends) > CACHE_ENDS:
+                            ends.clear()
+                        ends[end] = self._pack(self.encode([end.decode()])[0])
+                    known[w] = ids + ends[end]
                 else:
                     rest.append(w)
         for start in range(0, len(rest), 20_000):
@@ -162,14 +172,21 @@ class TextEncoder:
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        self._learn([w for w in words if w not in known])
-        packed = [known[w] for w in words]
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
         for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older.pop(w)
+                else:
+                    new.append(w)
+        self._learn(new)
+        packed = [known[w] for w in words]
+        for w in new:
             if len(w) > CACHE_WORD_BYTES:
-                known.pop(w, None)
+                del known[w]
         return np.asarray(lists.offsets)[1:], np.asarray(coded.indices), packed
 
     def counts(self, texts: list[bytes]) -> np.ndarray:

@@ -271,3 +271,21 @@ def test_main_text(spark):
     got = {r["page_id"]: r for r in html_text.extract(rows).collect()}
     assert [got[i]["text"] for i in range(len(cases))] == list(cases.values())
     assert got[9]["text"] == "" and got[9]["n_chars"] == 0 and got[0]["n_chars"] == len(got[0]["text"])
+
+
+def test_words_with_marks_and_words_asked_again_are_cheap(monkeypatch, tokenizer):
+    """Marks after a plain word are encoded once a run of marks, and a full cache keeps what the last slices had."""
+    monkeypatch.setattr(token_counts, "CACHE_WORDS", 40)
+    enc, calls = token_counts.TextEncoder(token_counts.default_tokenizer_path()), []
+    encode, tokenize = enc.encode, enc.tokenize
+    enc.encode = lambda texts: calls.extend(texts) or encode(texts)
+    enc.tokenize = lambda text: calls.append(text) or tokenize(text)
+    common = " ".join(f"w{c}rd{end}" for c in "aeiouÉß" for end in ("", "###", "&&&"))
+    slices = [f"{common} " + " ".join(f"own{chr(97 + k)}{chr(97 + i)}" for i in range(20)) for k in range(8)]
+    odd = "don't x's. a<|endoftext|> b<c>, é## ż!! [É] 3a"
+    for text in [*slices, odd, *slices]:
+        flat, counts = enc.ids([text.encode()])
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert flat.tolist() == want and counts.tolist() == [len(want)]
+    assert calls.count("###") == calls.count("&&&") == 1 and calls.count("ward") <= 3 and not any(x.endswith("rd###") for x in calls)
+    assert len(enc.known) + len(enc.older) < 200
