@@ -4,15 +4,19 @@ Two documents are near copies if their sets of ``SIZE``-word shingles have a Jac
 similarity of ``SIMILARITY`` or more; groups are the components of that relation. Words
 are those of ``simhash``.
 
-At that similarity fingerprints of 64 bits differ in about ten bits, which no posting of
-positional bytes can guarantee; of the pairs in ``sf0.01`` at 0.8 or more that aren't
-equal, none lies within two bits. Candidates are therefore pairs that share a SimHash
-posting of four positional bytes, or one of ``BANDS`` bands of ``ROWS`` minimum hashes of
-the same shingles (a pair at 0.8 shares one with probability 0.9993, at 0.85 with
-0.99999). Each candidate is verified by the exact similarity of the shingles.
-
-Exact copies (equal words) are one member. A bucket of more than ``hot`` members is
-compared with its smallest member first. Where members of a bucket are then in different
+Fingerprints of the shingles go through op 5's byte-position index: 14 postings of four
+positional bytes each, a tally of the positional bytes that two members share in them,
+and pairs with six of eight or more are candidates. At that similarity fingerprints of
+64 bits differ in about ten bits, which no posting of positional bytes can guarantee; of
+the pairs in ``sf0.01`` at 0.8 or more that aren't equal, none lies within two bits. So
+that no link is lost, members that share one of ``BANDS`` bands of ``ROWS`` minimum
+hashes of the same shingles are candidates as well (a pair at 0.8 shares one with
+probability 0.9993, at 0.85 with 0.99999). Each candidate is verified by the exact
+similarity of the shingles, which is what the bits of fingerprints estimate.
+
+Exact copies (equal words) are one member. Postings of up to ``simhash.HOT`` members are
+tallied: two members share a larger one, or have a whole tally. A larger posting, or a
+band's bucket of more than ``hot`` members, is compared with its smallest member first. Where members of a bucket are then in different
 components, those outside the largest meet ``HUBS`` of its members, so that a crowd of
 near copies costs few comparisons a member. All members of buckets that are still split
 then go through a prefix join, which is exact (Xiao et al., 2011): shingles are ordered
@@ -32,7 +36,6 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, by_bytes, checkpointed, map_batches, small_or_not, written
 from .graph import components, joined_labels
-from .simhash import FEW_ROWS, SLICE_BYTES, SLICE_HASHES, _bit_counts, _hashes, _mask, first_of, keep_first, with_components, with_text_key
+from .simhash import FEW_ROWS, SLICE_BYTES, SLICE_HASHES, _bit_counts, _hashes, first_of, keep_first, postings, tallied, with_components, with_text_key
+from .simhash import HOT as HOT_POSTING
 
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
@@ -57,8 +61,6 @@ BLOCK = 1 << 12
 _rng = np.random.default_rng(5)
 _FLIPS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
 _FACTORS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
-#: Six postings of two pairs of positions each: whichever two bytes differ, one holds neither.
-_MASKS = np.array([_mask(3 << 2 * i | 3 << 2 * j) for i, j in combinations(range(4), 2)], np.int64)
 
 
 def words_of(text: bytes) -> bytes:
@@ -79,11 +81,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def buckets(text: bytes, size: int = SIZE) -> tuple[int, np.ndarray]:
-    """Number of distinct shingles; one key for each band, and the six postings of the fingerprint."""
+def buckets(text: bytes, size: int = SIZE) -> tuple[int, int, np.ndarray]:
+    """Number of distinct shingles, fingerprint, and one key for each band."""
     every = np.array(_hashes(text, size), np.uint64)
     if not len(every):
-        return 0, np.zeros(0, np.int64)
+        return 0, 0, np.zeros(0, np.int64)
     counts = sum(_bit_counts(every[k : k + SLICE_HASHES]) for k in range(0, len(every), SLICE_HASHES))
     print_ = np.packbits(2 * counts > len(every), bitorder="little").view(np.int64)[0]
     distinct = np.unique(every)
@@ -92,11 +94,11 @@ def buckets(text: bytes, size: int = SIZE) -> tuple[int, np.ndarray]:
     for k in range(0, len(short), BLOCK):
         np.minimum(least, ((short[None, k : k + BLOCK] ^ _FLIPS) * _FACTORS).min(axis=1), out=least)
     bands = [xxhash.xxh3_64_intdigest(row.tobytes()) for row in least.reshape(BANDS, ROWS)]
-    return len(distinct), np.concatenate([np.array(bands, np.uint64).view(np.int64), print_ & _MASKS])
+    return len(distinct), int(print_), np.array(bands, np.uint64).view(np.int64)
 
 
 def _marked(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text_key, key, size, buckets`` of every row; rows of equal words have equal keys."""
+    """``doc_id, text_key, key, size, fp, buckets`` of every row; rows of equal words have equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,11 +106,11 @@ def _marked(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame
                 texts = as_bytes(part.column("text"))
                 found = [buckets(t, size) for t in texts]
                 keys = [xxhash.xxh3_128_digest(words_of(t)) for t in texts]
-                columns = [part.column("doc_id"), part.column("text_key"), pa.array(keys, pa.binary()), pa.array([n for n, _ in found], pa.int32()), pa.array([b for _, b in found], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "key", "size", "buckets"])
+                columns = [part.column("doc_id"), part.column("text_key"), pa.array(keys, pa.binary()), pa.array([n for n, *_ in found], pa.int32()), pa.array([fp for _, fp, _ in found], pa.int64()), pa.array([b for *_, b in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "key", "size", "fp", "buckets"])
 
     source = with_text_key(docs, id_col, text_col)
-    return map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key long, key binary, size int, buckets array<long>")
+    return map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key long, key binary, size int, fp long, buckets array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -150,12 +152,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return checkpointed(map_batches(dealt, run, "a long, b long"))
 
 
+def _posted(distinct: DataFrame) -> DataFrame:
+    """``band, bucket, node, size``: bands of minimum hashes from 0, and postings of the byte-position index from ``BANDS`` on."""
+    bands = distinct.select("node", "size", F.posexplode("buckets").alias("band", "bucket"))
+    index = postings(distinct.where("size > 0"), "node", "size")
+    return bands.unionByName(index.select("node", "size", (F.col("positions") + BANDS).alias("band"), F.col("bytes").alias("bucket")))
+
+
+def _alike_prints(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of postings whose fingerprints share six positional bytes or more by the tally."""
+    return tallied(members.select("node", (F.col("band") - BANDS).alias("positions"), F.col("bucket").alias("bytes")), node="node")
+
+
 def _linked(docs: DataFrame, size: int, least: float, hot: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, text_key, first`` of every row; see ``simhash.with_components``."""
     marked = checkpointed(_marked(docs, size, id_col, text_col))
-    distinct = marked.groupBy("key").agg(*first_of(), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
+    distinct = marked.groupBy("key").agg(*first_of(), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets"))
     distinct = checkpointed(distinct.withColumn("node", F.monotonically_increasing_id()))
-    posted = checkpointed(distinct.select("node", "size", F.posexplode("buckets").alias("band", "bucket")))
+    posted = checkpointed(_posted(distinct))
     shared = checkpointed(posted.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.min_by("size", "node").alias("hub_size")).where("n > 1"))
     members = checkpointed(posted.join(shared, ["band", "bucket"]))
     alike = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(least) - 1e-6
@@ -163,10 +177,12 @@ def _linked(docs: DataFrame, size: int, least: float, hot: int, id_col: str, tex
     def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
         return rows.select("band", "bucket", F.col("node").alias(name), F.col("size").alias(f"{name}_size"), *(F.col(c).alias(f"{name}_{c}") for c in more))
 
-    few, many = members.where(F.col("n") <= hot), members.where(F.col("n") > hot)
+    banded, crowded = F.col("band") < BANDS, F.col("n") > F.when(F.col("band") < BANDS, hot).otherwise(max(hot, HOT_POSTING))
+    few, many = members.where(banded & ~crowded), members.where(crowded)
+    prints = _alike_prints(members.where(~banded & ~crowded))
     cold = side(few, "a").join(side(few, "b"), ["band", "bucket"]).where("a < b").where(alike).select("a", "b")
     star = many.select(F.col("hub").alias("a"), F.col("hub_size").alias("a_size"), F.col("node").alias("b"), F.col("size").alias("b_size")).where("a <> b").where(alike).select("a", "b")
-    pairs = checkpointed(cold.unionByName(star).distinct())
+    pairs = checkpointed(prints.unionByName(cold).unionByName(star).distinct())
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")).distinct()
     sets = checkpointed(_sets(docs, distinct.join(wanted, "node", "left_semi"), size, id_col, text_col))
     labels = components(_verified(pairs, sets, least))

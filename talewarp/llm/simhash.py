@@ -110,15 +110,15 @@ def _mask(positions: int) -> int:
     return _signed(sum(0xFF << (8 * p) for p in range(8) if positions >> p & 1))
 
 
-def postings(distinct: DataFrame) -> DataFrame:
-    """``fp, positions, bytes``: the byte-position index of distinct fingerprints."""
+def postings(distinct: DataFrame, *keep: str) -> DataFrame:
+    """``fp, positions, bytes``: the byte-position index of fingerprints, with columns to keep."""
     keys = F.array(*(F.struct(F.lit(p).alias("positions"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("bytes")) for p in blocks()))
-    return distinct.select("fp", F.explode(keys).alias("key")).select("fp", "key.positions", "key.bytes")
+    return distinct.select("fp", *keep, F.explode(keys).alias("key")).select("fp", *keep, "key.positions", "key.bytes")
 
 
-def tallied(members: DataFrame, least: int = 8 - MAX_BITS) -> DataFrame:
-    """Pairs (a, b) of members of postings that share at least ``least`` positional bytes."""
-    left, right = (members.select("positions", "bytes", F.col("fp").alias(x)) for x in "ab")
+def tallied(members: DataFrame, least: int = 8 - MAX_BITS, node: str = "fp") -> DataFrame:
+    """Pairs (a, b) of members of postings that share at least ``least`` positional bytes; ``node`` names the members."""
+    left, right = (members.select("positions", "bytes", F.col(node).alias(x)) for x in "ab")
     shared = left.join(right, ["positions", "bytes"]).where("a < b")
     return shared.groupBy("a", "b").agg(F.bit_or("positions").alias("agree")).where(F.bit_count("agree") >= least).select("a", "b")
 

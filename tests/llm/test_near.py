@@ -136,3 +136,28 @@ def test_labels_join_by_further_links(spark):
     joined = graph.joined_labels(labels, links((6, 3), (1, 9), (20, 21), (2, 3)))
     assert {r["node"]: r["label"] for r in joined.collect()} == {2: 2, 3: 2, 5: 2, 6: 2, 8: 1, 9: 1, 1: 1, 20: 20, 21: 20}
     assert graph.joined_labels(labels, links((2, 3)).limit(0)).count() == 6
+
+
+def test_fingerprints_go_through_the_tally(spark, monkeypatch):
+    """Of members of one posting those with six positional bytes or more are candidates, and the stage takes them."""
+    rng, prints = random.Random(5), []
+    for _ in range(30):
+        base = [rng.randrange(256) for _ in range(8)]
+        for changed in (0, 0, 1, 2, 2, 3, 4, 4, 5):
+            other = list(base)
+            for place in rng.sample(range(8), changed):
+                other[place] ^= rng.randrange(1, 256)
+            prints.append(bytes(other))
+    rows = [(i, 9, int.from_bytes(x, "little", signed=True), [i]) for i, x in enumerate(prints)]
+    posted = near._posted(spark.createDataFrame(rows, "node long, size int, fp long, buckets array<long>"))
+    found = near._alike_prints(posted.where(f"band >= {near.BANDS}")).collect()
+    shared = lambda a, b: sum(x == y for x, y in zip(prints[a], prints[b], strict=True))
+    want = {(a, b) for b in range(len(rows)) for a in range(b) if shared(a, b) >= 6}
+    assert sorted(tuple(r) for r in found) == sorted(want) and len(want) > 100
+    assert any(3 < shared(a, b) < 6 for b in range(len(rows)) for a in range(b))
+
+    tally, calls = near.tallied, []
+    monkeypatch.setattr(near, "tallied", lambda *a, **k: calls.append(1) or tally(*a, **k))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "an other text of some words")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [1, 3] and calls
