@@ -25,6 +25,8 @@ MAX_LINE_BYTES, MAX_DEPTH = 32 << 20, 50
 MAX_SNAPSHOT_BYTES, MAX_FILES = 512 << 20, 1024
 #: Largest files of line logs and of documents that are read.
 MAX_LOG_BYTES, MAX_DOCUMENT_BYTES = 10 << 30, 2 << 30
+#: Bytes of rows that go to Python at once.
+BATCH_BYTES = 8 << 20
 #: Splits of files whose numbers of lines are broadcast at most (about 200 bytes each).
 FEW_SPLITS = 100_000
 #: Fields of a file operation that ``build_chunks`` turns into a chunk.
@@ -83,11 +85,33 @@ def _reread(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["text", "depth"])
 
 
+def _nested_deeper(text: Column, most: int) -> Column:
+    """True if brackets of valid JSON stand in each other more than ``most`` times.
+
+    Escapes go, then strings, then all but brackets; each turn takes away the innermost pairs.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*"', ""), r"[^\[\]{}]+", "")
+    left = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.translate(bare, "{}", "[]"), lambda x, _: F.replace(x, F.lit("[]"), F.lit("")))
+    return left != ""
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python gets at most about ``BATCH_BYTES`` of rows at once, however long the texts; a setting of the user's stays."""
+    name, own = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
+    if spark.conf.get(name, own) == own:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def parsed(rows: DataFrame, text: str) -> DataFrame:
-    """``value`` (VARIANT) of a JSON column, and ``reason`` if it is invalid or too deep."""
+    """``value`` (VARIANT) of a JSON column, and ``reason`` if it is invalid or too deep.
+
+    Python reads again what the built-in parser rejects, and what is nested deeply.
+    """
+    small_batches(rows.sparkSession)
     first = rows.withColumn("_v", F.try_parse_json(F.col(text)))
     brackets = F.length(F.regexp_replace(F.col(text), r"[^\[{]", ""))
-    again = first.withColumn("_r", _reread(F.when(F.col("_v").isNull() | (brackets > MAX_DEPTH), F.col(text))))
+    deep = F.when(brackets > MAX_DEPTH, _nested_deeper(F.col(text), MAX_DEPTH)).otherwise(F.lit(False))
+    again = first.withColumn("_r", _reread(F.when(F.col("_v").isNull() | deep, F.col(text))))
     value = F.coalesce("_v", F.try_parse_json("_r.text"))
     reason = F.when(F.col("_r.depth") > MAX_DEPTH, "json_too_deep").when(value.isNull(), "invalid_json")
     return again.withColumn("value", value).withColumn("reason", reason).drop("_v", "_r")

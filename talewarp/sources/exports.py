@@ -37,12 +37,28 @@ def _nested(*keys: str):
     return run
 
 
+def _flat_text(value: Column, keys: tuple[str, ...]) -> Column:
+    """``_text_of`` for a list, or the list of an object's parts, of strings and objects with a text; null for other shapes."""
+    first, parts = next(k for k in keys if k != "parts"), F.try_variant_get(value, "$.parts", "array<variant>")
+    items = F.when(c.is_array(value), F.try_variant_get(value, "$", "array<variant>"))
+    if "parts" in keys:
+        items = F.coalesce(items, F.when(c.is_array(F.try_variant_get(value, "$.parts", "variant")), parts))
+
+    def one(item: Column) -> Column:
+        held = F.nullif(c.text_at(item, f"$.{first}"), F.lit(""))
+        if "parts" in keys:
+            held = F.when(~c.is_array(F.try_variant_get(item, "$.parts", "variant")), held)
+        return F.when(c.kind_of(item) == "STRING", F.try_variant_get(item, "$", "string")).when(c.is_object(item), held)
+
+    return c.bound(F.transform(items, one), lambda t: F.when(~F.exists(t, lambda x: x.isNull()), F.array_join(F.filter(t, lambda x: x != ""), "\n")))
+
+
 def nested_texts(values: list[Column], *keys: str) -> Column:
-    """Texts of recursive contents as an array; plain strings don't leave the JVM."""
-    plain = [F.when(c.kind_of(v) == "STRING", F.try_variant_get(v, "$", "string")) for v in values]
-    given = F.array(*(F.when((c.kind_of(v) != "STRING") & (c.kind_of(v) != "VOID"), F.to_json(v)) for v in values))
+    """Texts of recursive contents as an array; strings and plain lists of texts don't leave the JVM."""
+    plain = F.array(*(F.when(c.kind_of(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(_flat_text(v, keys)) for v in values))
+    given = F.array(*(F.when((c.kind_of(v) != "STRING") & (c.kind_of(v) != "VOID") & _flat_text(v, keys).isNull(), F.to_json(v)) for v in values))
     inner = _nested(*keys)(F.when(F.exists(given, lambda t: t.isNotNull()), given))
-    return F.array(*(F.coalesce(p, F.get(inner, F.lit(i)), F.lit("")) for i, p in enumerate(plain)))
+    return F.array(*(F.coalesce(F.get(plain, F.lit(i)), F.get(inner, F.lit(i)), F.lit("")) for i in range(len(values))))
 
 
 def _parts(value: Column, names: list[str]) -> list[Column]:

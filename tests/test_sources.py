@@ -4,6 +4,10 @@ import json
 import random
 import sqlite3
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
 from talewarp.sources import antigravity, claude, codex, common, exports, gemini
 
 
@@ -144,3 +148,35 @@ def test_readers_take_lines(spark, tmp_path):
     whole = files(spark, tmp_path / "projects/p/s.jsonl", body)
     split = common.read_lines(spark, str(tmp_path / "projects/p"))
     assert collected(claude.chunks(split)) == collected(claude.chunks(whole)) != ([], [])
+
+
+def test_plain_graphs_stay_out_of_python(spark, tmp_path, monkeypatch):
+    """Python sees neither contents that are lists of texts, nor documents that have many brackets but aren't deep."""
+    values = ["s", ["a", {"text": "b"}, ""], {"parts": ["a", {"text": "!"}]}, {"parts": []}, {"parts": ["a", ["b", {"value": "c"}]]}, {"text": "t"}, {"parts": [None, {"text": ""}, {"parts": ["x"], "text": "y"}]}, {"value": [1, "v"]}, None, 7, {"text": ["é\n", {"text": "\\\"]"}]}]
+    for keys in (("parts", "text", "value", "content"), ("text", "content", "message", "value")):
+        frame = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, j string").selectExpr("i", "parse_json(j) AS v")
+        got = {r["i"]: r["t"][0] for r in frame.select("i", exports.nested_texts([F.col("v")], *keys).alias("t")).collect()}
+        assert got == {i: exports._text_of(v, keys) for i, v in enumerate(values)}
+    deep = lambda n: "[" * n + '"\\"[[{{"' + "]" * n
+    texts = [deep(3), deep(common.MAX_DEPTH), deep(common.MAX_DEPTH + 1), "[" + ",".join(['{"a":["x\\\\","[["]}'] * 60) + "]", '{"a":' * 60 + "1" + "}" * 60]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in frame.orderBy("i").select(common._nested_deeper(F.col("t"), common.MAX_DEPTH)).collect()] == [False, False, True, False, True]
+    assert [r["reason"] for r in common.parsed(frame, "t").orderBy("i").collect()] == [None, None, "json_too_deep", None, "json_too_deep"]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{8 << 20}b"
+
+    def refuse(given):
+        raise AssertionError("a text went to Python")
+
+    @pandas_udf("array<string>")
+    def inner(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda ts: None if ts is None else refuse(ts))
+
+    @pandas_udf("text string, depth int")
+    def again(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if t is None else refuse(t) for t in batch], columns=["text", "depth"])
+
+    monkeypatch.setattr(exports, "_nested", lambda *keys: inner)
+    monkeypatch.setattr(common, "_reread", again)
+    mapping = {f"n{i}": {"message": {"author": {"role": "assistant" if i % 2 else "user"}, "create_time": i + 10, "content": {"parts": [f"t{i}", {"text": "!"}]}}} for i in range(40)}
+    rows, issues = collected(exports.chatgpt_chunks(files(spark, tmp_path / "x/conversations.json", {"conversations": [{"conversation_id": "c", "mapping": mapping}]})))
+    assert len(rows) == 20 and not issues and rows[0]["Content"].endswith("ChatGPT responded:\nt1\n!")
