@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 #: Documents of a block, and blocks that are scored first.
 BLOCK, SEEDS = 16, 64
+#: Tokens of a bucket whose postings are made and sorted by one task in memory.
+BUCKET_TOKENS = 2_000_000
 #: Keys of blocks that are broadcast at most (about 100 bytes each).
 FEW_BLOCKS = 200_000
 SPLIT = r"[^\p{L}\p{N}]+"
@@ -106,7 +108,10 @@ def numbered(docs: DataFrame, text_col: str = "Content", id_col: str = "Id", buc
 
 
 def posting_blocks(docs: DataFrame, text_col: str = "Content", id_col: str = "Id") -> DataFrame:
-    """``token, bucket, block, n, most, density, posts`` of numbered documents, a row for each token of a block."""
+    """``token, bucket, block, n, most, density, posts`` of numbered documents, a row for each token of a block.
+
+    Where all documents of a block are in one task already, nothing is shuffled.
+    """
     split = docs.select("bucket", "block", F.col(id_col).alias("Id"), "dl", F.explode(tokens(text_col)).alias("token"))
     postings = split.groupBy("token", "bucket", "block", "Id", "dl").agg(F.count("*").alias("tf"))
     posts = F.array_sort(F.collect_list(F.struct("Id", "tf", "dl")))

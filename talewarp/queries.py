@@ -116,10 +116,14 @@ def fulltext_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From posting blocks that are stored and read again, of which a search opens those that can count."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("Id"), F.col("text").alias("Content"))
     folder = scratch_folder(spark, "blocks")
-    rows = fulltext.numbered(docs.withColumn("bucket", F.pmod(F.xxhash64("Id"), F.lit(8)).cast("int")))
-    blocks = fulltext.posting_blocks(rows)
-    blocks.repartition("token").sortWithinPartitions("token", F.desc("density")).write.parquet(folder)
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    dl = F.size(fulltext.tokens("Content"))
+    row = docs.agg(F.count("*").alias("n"), F.avg(dl).alias("avgdl"), F.sum(dl).alias("tokens")).first()
+    # a bucket's postings fit a task, and are written by the task that has its texts
+    count = max(8, -(-(row["tokens"] or 0) // fulltext.BUCKET_TOKENS))
+    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("Id"), F.lit(count)).cast("int")).repartition(count, "bucket")
+    blocks = fulltext.posting_blocks(fulltext.numbered(dealt))
+    blocks.sortWithinPartitions("token", F.desc("density")).write.parquet(folder)
+    stats = spark.createDataFrame([row], "n long, avgdl double, tokens long")
     return fulltext.BlockSearch(spark.read.schema(blocks.schema).parquet(folder), stats, TEXT_QUERY, TOP).top().select(F.col("Id").alias("doc_id"), F.round("Score", 6).alias("score"))
 
 
