@@ -129,8 +129,10 @@ def _live(state: dict) -> Column:
 class ChunkTable:
     """A versioned chunk table below ``path``, which may be on any store that Spark writes."""
 
-    #: Folders of the inverted index by token, files that share one folder's tokens, and times that a write is repeated after another's.
-    SLOTS, SPREAD, TRIES = 16, 16, 8
+    #: Folders of the inverted index by token, and times that a write is repeated after another's.
+    SLOTS, TRIES = 16, 8
+    #: Bytes of files whose rows, and then their postings, one task holds at a time.
+    PIECE_BYTES = 4 << 20
     POSTINGS = "token string, bucket int, block int, n long, most long, density double, posts array<struct<Id: string, tf: long, dl: int>>, folder string, slot int"
     TOTALS = "bucket int, n long, tokens long, folder string"
     LEAVES = "Id string, ChunkType string, SessionId string, ProjectName string, MachineId string, Vector array<float>, leaf int, code binary, bucket int, folder string"
@@ -178,17 +180,34 @@ class ChunkTable:
         found = self.spark.createDataFrame([(x,) for x in ids], "Id string").select(self._bucket(state).alias("b")).distinct().collect()
         return self._rows(state, {r["b"] for r in found}).where(F.col("Id").isin(ids))
 
+    def _parts(self, rows: DataFrame, buckets: int) -> int:
+        """Pieces of each of ``buckets`` by the size of the files that ``rows`` come from."""
+        jvm = self.spark._jvm
+        folders = {f.rpartition("/")[0] for f in rows.inputFiles()}
+        size = sum(self.versions.fs.getContentSummary(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))).getLength() for f in folders)
+        return max(1, -(-size // (buckets * self.PIECE_BYTES)))
+
+    @staticmethod
+    def _dealt(rows: DataFrame, tasks: int, many: bool, *keys: str) -> DataFrame:
+        """``rows`` by keys; of ``many`` pieces Spark doesn't put tasks together again, as their rows grow when they are split."""
+        return rows.repartition(tasks, *keys) if many else rows.repartition(*keys)
+
     def _write(self, number: int, state: dict, rows: DataFrame, touched: set[int]) -> None:
         """Commit ``rows`` as all that the touched buckets hold."""
         name = f"d-{uuid.uuid4().hex}"
-        dealt = fulltext.numbered(rows.select([f.name for f in CHUNK.fields]).withColumn("bucket", self._bucket(state)).repartition("bucket"))
+        # a bucket is dealt to as many pieces as its size wants; blocks of documents lie within a piece
+        parts = self._parts(rows, len(touched))
+        piece = (F.col("bucket") * parts + F.pmod(F.xxhash64("Id", F.lit(1)), F.lit(parts))).cast("int")
+        pieces = rows.select([f.name for f in CHUNK.fields]).withColumn("bucket", self._bucket(state)).withColumn("piece", piece)
+        dealt = fulltext.numbered(self._dealt(pieces, parts * len(touched), parts > 1, "piece"), bucket="piece")
+        dealt = dealt.withColumn("block", (F.col("block") * parts + F.pmod("piece", F.lit(parts))).cast("int")).drop("piece")
         dealt.sortWithinPartitions("bucket", "ProjectPath", "Timestamp").write.partitionBy("bucket").parquet(f"{self.path}/data/{name}")
         # the indexes are made from what was written
         written = self.spark.read.schema(f"{dealt.drop('bucket').schema.toDDL()}, bucket int").parquet(f"{self.path}/data/{name}")
         folder = F.lit(name).alias("folder")
-        postings = fulltext.posting_blocks(written).withColumn("slot", F.pmod(F.xxhash64("token"), F.lit(self.SLOTS)).cast("int"))
-        spread = postings.repartition("slot", F.pmod("bucket", F.lit(self.SPREAD))).sortWithinPartitions("slot", "token", F.desc("density"))
-        spread.write.partitionBy("slot").parquet(f"{self.path}/text/folder={name}")
+        blocks = self._dealt(written.select("bucket", "block", "Id", "dl", "Content"), parts * len(touched), parts > 1, "bucket", "block")
+        postings = fulltext.posting_blocks(blocks).withColumn("slot", F.pmod(F.xxhash64("token"), F.lit(self.SLOTS)).cast("int"))
+        postings.sortWithinPartitions("slot", "token", F.desc("density")).write.partitionBy("slot").parquet(f"{self.path}/text/folder={name}")
         totals = written.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("dl").cast("long").alias("tokens")).select("*", folder)
         totals.coalesce(1).write.parquet(f"{self.path}/totals/{name}")
         if state["index"]:
@@ -251,7 +270,9 @@ class ChunkTable:
         rows = self._kept(normalized(chunks.withColumn("_order", place), keep=("_order",)))
         self.validate(rows)
         columns = [f.name for f in CHUNK.fields]
-        latest = logs.last_wins(rows, ["Id"], ["_order"]).select(columns)
+        # whole rows are only dealt by id where one is repeated
+        repeated = rows.groupBy("Id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        latest = (logs.last_wins(rows, ["Id"], ["_order"]) if repeated else rows).select(columns)
         sizes = latest.agg(F.count("*").alias("n"), F.count("Vector").alias("v")).first()
         if sizes["n"] == 0:
             raise InvalidChunks("the batch is empty")
@@ -269,9 +290,10 @@ class ChunkTable:
             touched = {r["b"] for r in latest.select(self._bucket(state).alias("b")).distinct().collect()}
             target, new = self._rows(state, touched), latest
             if keep_vectors:
-                old = target.select(F.col("Id").alias("_id"), F.col("Content").alias("_content"), F.col("Vector").alias("_vector"))
+                # of what is stored, vectors and digests of texts are joined; the texts stay where they are
+                old = target.where(F.col("Vector").isNotNull()).select(F.col("Id").alias("_id"), F.sha2("Content", 256).alias("_digest"), F.col("Vector").alias("_vector"))
                 joined = latest.join(old, latest.Id == old._id, "left")
-                new = joined.withColumn("Vector", F.when(F.col("Content") == F.col("_content"), F.col("_vector"))).select(columns)
+                new = joined.withColumn("Vector", F.when(F.sha2("Content", 256) == F.col("_digest"), F.col("_vector"))).select(columns)
             return merged(target, new), touched, sizes["n"]
 
         return self._change(make)

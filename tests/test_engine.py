@@ -372,3 +372,40 @@ def test_keyed_state(spark, tmp_path):
     with pytest.raises(ValueError):
         state.put("c", "y", 1)
     assert state.rows().where(F.col("key") == "c").first()["value"] == "x"
+
+
+def test_postings_of_many_buckets_are_made_in_one_shuffle(spark, monkeypatch):
+    """However many buckets the texts want, the answer is that of the plain search, and postings stay in the task of their texts."""
+    from talewarp import queries
+
+    monkeypatch.setattr(queries.fulltext, "BUCKET_TOKENS", 2000)
+    folder = "/root/testdata/sf0.001"
+    assert queries.fulltext_block_topk(spark, folder).collect() == queries.fulltext_bm25_topk(spark, folder).collect()
+    docs = queries.table(spark, folder, "documents").selectExpr("doc_id AS Id", "text AS Content", "int(doc_id % 30) AS bucket").repartition(30, "bucket")
+    plan = queries.fulltext.posting_blocks(queries.fulltext.numbered(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_pieces_of_buckets_answer_as_the_table(spark, tmp_path, monkeypatch):
+    """Buckets that are dealt to many pieces: rows, vectors of unchanged texts, repeated ids, blocks and searches."""
+    from talewarp.operators import text as fulltext
+    from talewarp.table import ChunkTable, HashEmbedder
+
+    monkeypatch.setattr(ChunkTable, "PIECE_BYTES", 2000)
+    store = ChunkTable(spark, f"{tmp_path}/t", 8, buckets=2)
+    store.initialize()
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    body = lambda i: " ".join(words[(i * k) % 8] for k in range(1, 4 + i % 9))
+    rows = [(f"r{i}", body(i), HashEmbedder(8).embed([body(i)])[0]) for i in range(300)]
+    fixed = "'turn' AS ChunkType, 's' AS SessionId, '/p' AS ProjectPath, 'p' AS ProjectName, 'f' AS SourceFile, timestamp'2024-01-01' AS Timestamp, 1 AS SourceLine, 'm' AS MachineId"
+    frame = lambda found: spark.createDataFrame(found, "Id string, Content string, Vector array<float>").selectExpr("*", *fixed.split(", "))
+    store.upsert(frame(rows))
+    store.upsert(frame([(i, t if n % 2 else t + " omega", None) for n, (i, t, _) in enumerate(rows[:100])] + [("r0", "alpha again", None)]).coalesce(1))
+    got = {r["Id"]: r for r in store.read().collect()}
+    assert len(got) == 300 and got["r0"]["Content"] == "alpha again" and got["r2"]["Content"] == body(2) + " omega"
+    assert all((got[f"r{n}"]["Vector"] is not None) == (n % 2 == 1 or n >= 100) for n in range(300))
+    data = spark.read.parquet(*(f"{tmp_path}/t/data/{name}" for name in set(store.state()["buckets"].values())))
+    assert data.groupBy("bucket", "block").count().where(f"count > {fulltext.BLOCK}").count() == 0 and data.where("block % 2 = 1").count() and data.where("block % 2 = 0").count()
+    for query in ("alpha", "gamma theta"):
+        want = [(r["Id"], round(r["Score"], 9)) for r in fulltext.bm25_topk(store.read(), query, 12).collect()]
+        assert [(r["Id"], round(r["Score"], 9)) for r in store.search_text(query, 12).collect()] == want and want
