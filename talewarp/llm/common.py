@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 HELD_OUT_MODULUS = 5
 #: Bytes of rows that go to Python at once.
 BATCH_BYTES = 8 << 20
+#: Rows of a few numbers, and rows with a text's hashes, that a task takes before there are more tasks than cores.
+TASK_ROWS, TASK_WIDE_ROWS = 100_000, 10_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -59,6 +61,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def sized(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` rows need, or cores; never in more than it has.
+
+    A task that writes to a shuffle leaves three files, one that writes a checkpoint two,
+    and both a line in the event log, however few rows they have. The number of shuffle
+    partitions is chosen for the whole input; what is derived from it may be far smaller.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def quoted(name: str) -> Column:
     """A column by its whole name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -43,9 +43,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, checkpointed, map_batches, small_or_not, written
+from .common import TASK_WIDE_ROWS, as_bytes, by_bytes, checkpointed, map_batches, sized, small_or_not, written
 from .graph import components, joined_labels
-from .simhash import FEW_ROWS, SLICE_BYTES, SLICE_HASHES, _bit_counts, _hashes, first_of, keep_first, postings, tallied, with_components, with_text_key
+from .simhash import FEW_ROWS, SLICE_BYTES, SLICE_HASHES, _bit_counts, _hashes, blocks, first_of, keep_first, postings, tallied, with_components, with_text_key
 from .simhash import HOT as HOT_POSTING
 
 SIZE, SIMILARITY = 5, 0.8
@@ -122,10 +122,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col:
                 found = [hashed_shingles(t, size).tobytes() for t in as_bytes(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.binary())], names=["node", "hashes"])
 
+    rows = wanted.count()
     firsts = wanted.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_text_key"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text_key"))
     found = with_text_key(docs, id_col, text_col).join(small_or_not(firsts, FEW_ROWS), same).select("node", "text")
-    return map_batches(found, run, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    return sized(map_batches(found, run, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")), rows, TASK_WIDE_ROWS)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -145,10 +146,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 keep.append(not own.as_py() and similarity(held, found) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    salted = checkpointed(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")))
+    rows = pairs.count()
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     own = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(True).alias("own"), F.lit(None).cast("long").alias("b"), "hashes")
     other = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", F.lit(False).alias("own"), "b", "hashes")
-    dealt = own.unionByName(other).repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("own"))
+    both = sized(own, rows, TASK_WIDE_ROWS).unionByName(sized(other, rows, TASK_WIDE_ROWS))
+    dealt = sized(both.repartition("a", "salt"), 2 * rows, TASK_WIDE_ROWS).sortWithinPartitions("a", "salt", F.desc("own"))
     return checkpointed(map_batches(dealt, run, "a long, b long"))
 
 
@@ -167,11 +170,12 @@ def _alike_prints(members: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, size: int, least: float, hot: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, text_key, first`` of every row; see ``simhash.with_components``."""
     marked = checkpointed(_marked(docs, size, id_col, text_col))
+    rows = marked.count() * (BANDS + len(blocks()))  # of postings, at most
     distinct = marked.groupBy("key").agg(*first_of(), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets"))
-    distinct = checkpointed(distinct.withColumn("node", F.monotonically_increasing_id()))
+    distinct = checkpointed(sized(distinct, rows).withColumn("node", F.monotonically_increasing_id()))
     posted = checkpointed(_posted(distinct))
-    shared = checkpointed(posted.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.min_by("size", "node").alias("hub_size")).where("n > 1"))
-    members = checkpointed(posted.join(shared, ["band", "bucket"]))
+    shared = checkpointed(sized(posted.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.min_by("size", "node").alias("hub_size")).where("n > 1"), rows))
+    members = checkpointed(sized(posted.join(shared, ["band", "bucket"]), rows))
     alike = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(least) - 1e-6
 
     def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
@@ -182,29 +186,31 @@ def _linked(docs: DataFrame, size: int, least: float, hot: int, id_col: str, tex
     prints = _alike_prints(members.where(~banded & ~crowded))
     cold = side(few, "a").join(side(few, "b"), ["band", "bucket"]).where("a < b").where(alike).select("a", "b")
     star = many.select(F.col("hub").alias("a"), F.col("hub_size").alias("a_size"), F.col("node").alias("b"), F.col("size").alias("b_size")).where("a <> b").where(alike).select("a", "b")
-    pairs = checkpointed(prints.unionByName(cold).unionByName(star).distinct())
+    pairs = checkpointed(sized(sized(prints, rows).unionByName(sized(cold, rows)).unionByName(star).distinct(), rows))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")).distinct()
-    sets = checkpointed(_sets(docs, distinct.join(wanted, "node", "left_semi"), size, id_col, text_col))
+    wanted = checkpointed(sized(distinct.select("node", "first").join(sized(wanted, rows), "node", "left_semi"), rows))
+    sets = checkpointed(_sets(docs, wanted, size, id_col, text_col))
     labels = components(_verified(pairs, sets, least))
-    if many.limit(1).count():
-        rest = _split(many, labels)
+    if rows := many.count():
+        rest = _split(many, labels, rows)
         main = F.col("label") == F.col("main")
         hubs = rest.where(main).groupBy("band", "bucket").agg(*(F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(HUBS)))
-        met = rest.where(~main).join(hubs, ["band", "bucket"]).select("node", F.explode(F.array(*(f"h{i}" for i in range(HUBS)))).alias("hub"))
-        more = checkpointed(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+        met = sized(rest.where(~main).join(sized(hubs, rows), ["band", "bucket"]), rows).select("node", F.explode(F.array(*(f"h{i}" for i in range(HUBS)))).alias("hub"))
+        more = checkpointed(sized(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), HUBS * rows))
         labels = joined_labels(labels, _verified(more, sets, least))
-        crowd = checkpointed(_split(many, labels).select("node", "label").distinct())
-        last = checkpointed(_prefix_pairs(crowd, sets, least).join(pairs.unionByName(more), ["a", "b"], "left_anti"))
+        crowd = checkpointed(sized(_split(many, labels, rows).select("node", "label").distinct(), rows))
+        last = checkpointed(sized(_prefix_pairs(crowd, sets, least).join(pairs.unionByName(more), ["a", "b"], "left_anti"), HUBS * rows))
         labels = joined_labels(labels, _verified(last, sets, least))
     return with_components(marked.select("doc_id", "text_key", "key"), distinct.select("key", "node", "n", "first"), labels, "key", "node")
 
 
-def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _split(members: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """``band, bucket, node, label, main`` of members whose bucket has several components; main is the largest one's label."""
-    told = checkpointed(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    parts = told.groupBy("band", "bucket", "label").agg(F.count("*").alias("n"))
+    told = checkpointed(sized(members.select("band", "bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), rows))
+    parts = sized(told.groupBy("band", "bucket", "label").agg(F.count("*").alias("n")), rows)
     split = parts.groupBy("band", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    return checkpointed(told.join(split.select("band", "bucket", "main"), ["band", "bucket"]).select("band", "bucket", "node", "label", "main"))
+    split = sized(split.select("band", "bucket", "main"), rows)
+    return checkpointed(sized(told.join(split, ["band", "bucket"]).select("band", "bucket", "node", "label", "main"), rows))
 
 
 def _prefix_pairs(crowd: DataFrame, sets: DataFrame, least: float) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, checkpointed, fresh_name, joined, map_batches, quoted, small_or_not
+from .common import as_bytes, by_bytes, checkpointed, fresh_name, joined, map_batches, quoted, sized, small_or_not
 from .graph import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -149,10 +149,11 @@ def with_components(marked: DataFrame, distinct: DataFrame, roots: DataFrame, ke
 
     ``distinct`` has ``first_of`` for each ``key``, and the ``node`` by which ``roots`` (``components``) name it.
     """
-    grouped = checkpointed(distinct.join(roots.withColumnRenamed("node", "_node"), F.col(node) == F.col("_node")).select(node, "label", "first"))
-    smallest = checkpointed(grouped.groupBy("label").agg(F.min("first").alias("smallest")))
-    changed = grouped.join(smallest, "label").select(F.col(node).alias("_node"), "smallest")
-    labels = checkpointed(distinct.join(changed, F.col(node) == F.col("_node"), "left").select(key, "n", F.coalesce("smallest", "first").alias("first")))
+    rows, linked = distinct.count(), roots.count()
+    grouped = checkpointed(sized(distinct.join(roots.withColumnRenamed("node", "_node"), F.col(node) == F.col("_node")).select(node, "label", "first"), linked))
+    smallest = checkpointed(sized(grouped.groupBy("label").agg(F.min("first").alias("smallest")), linked))
+    changed = sized(grouped.join(smallest, "label").select(F.col(node).alias("_node"), "smallest"), linked)
+    labels = checkpointed(sized(distinct.join(changed, F.col(node) == F.col("_node"), "left").select(key, "n", F.coalesce("smallest", "first").alias("first")), rows))
     return joined(marked, labels, key)
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from talewarp.llm import graph, near, sharding, simhash
+from talewarp.llm import common, graph, near, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -161,3 +161,34 @@ def test_fingerprints_go_through_the_tally(spark, monkeypatch):
     text = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "an other text of some words")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [1, 3] and calls
+
+
+def test_tasks_follow_the_rows_not_the_shuffle_partitions(spark, rows, monkeypatch):
+    """Of many shuffle partitions few get a task and files where there are few rows, though Spark joins none."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before, parts, whole = {k: spark.conf.get(k, None) for k in settings}, [], near.checkpointed
+
+    def counted(df):
+        parts.append((out := whole(df)).rdd.getNumPartitions())
+        return out
+
+    for module in (near, graph, simhash):
+        monkeypatch.setattr(module, "checkpointed", counted)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        frame = spark.createDataFrame(rows[-100:], "doc_id long, text string").coalesce(4)
+        got = {r["doc_id"]: r["component_id"] for r in near.near_copies(frame).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    few = max(4, spark.sparkContext.defaultParallelism)
+    assert got == groups(rows[-100:]) and len(parts) > 10
+    assert sum(n > 2 * few for n in parts) <= 3, parts  # the links that each round of components begins with
+
+
+def test_sized_holds_all_rows_in_no_more_partitions(spark):
+    cores = spark.sparkContext.defaultParallelism
+    for there, rows, each, want in ((64, 10, 100_000, cores), (64, 48 * 1000 - 1, 1000, max(48, cores)), (3, 10**9, 1000, 3)):
+        frame = common.sized(spark.range(0, 5000, 1, there), rows, each)
+        assert frame.rdd.getNumPartitions() == min(want, there) and frame.count() == 5000
