@@ -17,7 +17,7 @@ HELD_OUT_MODULUS = 5
 #: Bytes of rows that go to Python at once.
 BATCH_BYTES = 8 << 20
 #: Rows of a few numbers, and rows with a text's hashes, that a task takes before there are more tasks than cores.
-TASK_ROWS, TASK_WIDE_ROWS = 100_000, 10_000
+TASK_ROWS, TASK_WIDE_ROWS = 100_000, 2_000
 
 
 def shared_root(spark: SparkSession) -> str:

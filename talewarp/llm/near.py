@@ -129,10 +129,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col:
     return sized(map_batches(found, run, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")), rows, TASK_WIDE_ROWS)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, least: float, nodes: int) -> DataFrame:
     """The pairs (a, b) that are similar enough; a member of many pairs is dealt to many tasks.
 
     A member's own set comes first, and those that it is compared with stream past.
+    ``nodes`` is the number of sets, all of which the joins read, however few pairs there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +151,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     own = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(True).alias("own"), F.lit(None).cast("long").alias("b"), "hashes")
     other = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", F.lit(False).alias("own"), "b", "hashes")
-    both = sized(own, rows, TASK_WIDE_ROWS).unionByName(sized(other, rows, TASK_WIDE_ROWS))
+    both = sized(own, rows + nodes, TASK_WIDE_ROWS).unionByName(sized(other, rows + nodes, TASK_WIDE_ROWS))
     dealt = sized(both.repartition("a", "salt"), 2 * rows, TASK_WIDE_ROWS).sortWithinPartitions("a", "salt", F.desc("own"))
     return checkpointed(map_batches(dealt, run, "a long, b long"))
 
@@ -190,17 +191,18 @@ def _linked(docs: DataFrame, size: int, least: float, hot: int, id_col: str, tex
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many.select("node")).distinct()
     wanted = checkpointed(sized(distinct.select("node", "first").join(sized(wanted, rows), "node", "left_semi"), rows))
     sets = checkpointed(_sets(docs, wanted, size, id_col, text_col))
-    labels = components(_verified(pairs, sets, least))
+    nodes = sets.count()
+    labels = components(_verified(pairs, sets, least, nodes))
     if rows := many.count():
         rest = _split(many, labels, rows)
         main = F.col("label") == F.col("main")
         hubs = rest.where(main).groupBy("band", "bucket").agg(*(F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(HUBS)))
         met = sized(rest.where(~main).join(sized(hubs, rows), ["band", "bucket"]), rows).select("node", F.explode(F.array(*(f"h{i}" for i in range(HUBS)))).alias("hub"))
         more = checkpointed(sized(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), HUBS * rows))
-        labels = joined_labels(labels, _verified(more, sets, least))
+        labels = joined_labels(labels, _verified(more, sets, least, nodes))
         crowd = checkpointed(sized(_split(many, labels, rows).select("node", "label").distinct(), rows))
         last = checkpointed(sized(_prefix_pairs(crowd, sets, least).join(pairs.unionByName(more), ["a", "b"], "left_anti"), HUBS * rows))
-        labels = joined_labels(labels, _verified(last, sets, least))
+        labels = joined_labels(labels, _verified(last, sets, least, nodes))
     return with_components(marked.select("doc_id", "text_key", "key"), distinct.select("key", "node", "n", "first"), labels, "key", "node")
 
 
